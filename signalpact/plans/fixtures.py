@@ -103,3 +103,178 @@ def _demo(version: int) -> dict:
 
 def demo_contract(spark: SparkSession, version: int = 1) -> Contract:
     return contract_from_dict(configure(spark), _demo(version), "demo")
+
+
+def snapshots(events: DataFrame) -> DataFrame:
+    """Stored samples: even ids under ``sha_a``, odd ones under ``sha_b``."""
+    return events.select(
+        F.col("event_id").alias("id"),
+        F.when(F.col("event_id") % 2 == 0, "sha_a").otherwise("sha_b").alias("sha"),
+        F.col("event_type").alias("event_name"),
+        payload_of(events).alias("payload"),
+        F.col("ts").alias("created_at"),
+    )
+
+
+def deep_events(events: DataFrame) -> DataFrame:
+    """Raw events whose properties nest 95 to 106 objects, so that some exceed the limit."""
+    levels = (F.lit(95) + F.col("event_id") % 12).cast("int")
+    return events.select("event_id", F.concat(
+        F.lit('{"event":"'), F.col("event_type"), F.lit('","userId":"u","properties":'),
+        F.repeat(F.lit('{"d":'), levels), F.lit("1"), F.repeat(F.lit("}"), levels), F.lit("}"),
+    ).alias("payload"))
+
+
+def _plan_columns() -> list[Column]:
+    return [F.lit("registry").alias("plan_id"), F.lit("1").alias("version")]
+
+
+def _type_by(n: Column) -> Column:
+    return F.when(n % 3 == 0, "number").when(n % 3 == 1, "string").otherwise("boolean")
+
+
+def _body(**given: Column) -> list[Column]:
+    blank = {
+        "type": "string", "required": "boolean", "enum": "array<string>", "ref": "string",
+        "description": "string", "min": "double", "max": "double", "min_length": "int",
+        "max_length": "int", "pattern": "string",
+    }
+    return [(given[c] if c in given else F.lit(None)).cast(t).alias(c) for c, t in blank.items()]
+
+
+def registry(part: DataFrame) -> Contract:
+    """A contract that grows with ``part``: brands are events that import one mixin per type.
+
+    Mixins collide on their properties; the one latest in alphabetical order must win. Every fifth
+    own property refers to an enum, three of ten of which do not exist.
+    """
+    p = part.select("p_partkey", "p_brand", "p_type", "p_size", "p_retailprice", "p_name")
+    brand_types = p.select("p_brand", "p_type").distinct()
+    ranked = brand_types.groupBy("p_brand").agg(F.array_sort(F.collect_set("p_type")).alias("types"))
+    imports = ranked.select(
+        *_plan_columns(), F.lit("event").alias("owner_kind"), F.col("p_brand").alias("owner"),
+        F.posexplode("types").alias("ordinal", "mixin"),
+    )
+    shared = p.groupBy("p_type", "p_size").agg(F.min("p_partkey").alias("k")).select(
+        *_plan_columns(), F.lit("mixin").alias("owner_kind"), F.col("p_type").alias("owner"),
+        F.concat(F.lit("properties.s"), F.col("p_size").cast("string")).alias("property"),
+        *_body(type=_type_by(F.col("k")), required=F.col("k") % 2 == 0, description=F.col("p_type")),
+    )
+    is_enum = F.col("p_partkey") % 5 == 0
+    own = p.select(
+        *_plan_columns(), F.lit("event").alias("owner_kind"), F.col("p_brand").alias("owner"),
+        F.concat(F.lit("properties.p"), F.col("p_partkey").cast("string")).alias("property"),
+        *_body(
+            type=F.when(is_enum, "enum").otherwise(_type_by(F.col("p_size"))),
+            required=F.col("p_partkey") % 4 == 0,
+            ref=F.when(is_enum, F.concat(F.lit("e"), (F.col("p_size") % 10).cast("string"))),
+            description=F.col("p_name"), min=F.col("p_size"), max=F.col("p_retailprice"),
+            max_length=F.col("p_size") + 10, pattern=F.when(F.col("p_size") % 2 == 0, "^[a-z]+$"),
+        ),
+    )
+    enums = p.filter(F.col("p_size") % 10 < 7).groupBy((F.col("p_size") % 10).alias("j")).agg(
+        F.array_sort(F.collect_set("p_type")).alias("values")
+    ).select(*_plan_columns(), F.concat(F.lit("e"), F.col("j").cast("string")).alias("name"), "values")
+    events = p.select("p_brand").distinct().select(
+        *_plan_columns(), F.col("p_brand").alias("event"),
+        F.concat(F.lit("All of "), F.col("p_brand")).alias("description"), F.lit("").alias("entity_type"),
+    )
+    mixins = p.select("p_type").distinct().select(
+        *_plan_columns(), F.col("p_type").alias("mixin"), F.lit("").alias("description"))
+    identity = events.select("plan_id", "version", F.lit("userId").alias("key")).distinct()
+    return Contract(events, imports, shared.unionByName(own), enums, identity, mixins)
+
+
+def chained_registry(part: DataFrame) -> Contract:
+    """One event per seven parts, importing a chain of mixins; some chains close, some break off."""
+    k = F.col("p_partkey")
+    p = part.select(k, F.floor(k / 7).cast("bigint").alias("block"), (k % 7).alias("place"))
+    name = lambda c: F.concat(F.lit("P"), c.cast("string"))
+    events = p.select("block").distinct().select(
+        *_plan_columns(), F.concat(F.lit("B"), F.col("block").cast("string")).alias("event"),
+        F.lit("").alias("description"), F.lit("").alias("entity_type"), "block",
+    )
+    first = events.select(
+        *_plan_columns(), F.lit("event").alias("owner_kind"), F.col("event").alias("owner"),
+        F.lit(0).alias("ordinal"), name(F.col("block") * 7).alias("mixin"),
+    )
+    last = p.agg(F.max("p_partkey").alias("last"))
+    target = (
+        F.when((F.col("place") < 6) & (k < F.col("last")), name(k + 1))
+        .when((F.col("place") == 6) & (F.col("block") % 5 == 0), name(F.col("block") * 7))
+        .when((F.col("place") == 6) & (F.col("block") % 5 == 1),
+              F.concat(F.lit("X"), F.col("block").cast("string")))
+    )
+    onward = p.join(F.broadcast(last)).select(  # a single row
+        *_plan_columns(), F.lit("mixin").alias("owner_kind"), name(k).alias("owner"),
+        F.lit(0).alias("ordinal"), target.alias("mixin"),
+    ).filter(F.col("mixin").isNotNull())
+    props = p.select(
+        *_plan_columns(), F.lit("mixin").alias("owner_kind"), name(k).alias("owner"),
+        F.concat(F.lit("properties.p"), F.col("place").cast("string")).alias("property"),
+        *_body(type=F.lit("string"), required=F.lit(False)),
+    )
+    mixins = p.select(*_plan_columns(), name(k).alias("mixin"), F.lit("").alias("description"))
+    enums = events.select("plan_id", "version", F.lit("").alias("name"), F.array(F.lit("")).alias("values")).limit(0)
+    identity = events.select("plan_id", "version", F.lit("userId").alias("key")).distinct()
+    return Contract(events.drop("block"), first.unionByName(onward), props, enums, identity, mixins)
+
+
+def side(part: DataFrame, new: bool) -> DataFrame:
+    """Resolved properties of the old or the new registry side."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    rows = part.filter(k % (5 if new else 7) != 0)
+    return rows.select(
+        F.col("p_brand").alias("event"),
+        F.concat(F.lit("properties.p"), k.cast("string")).alias("property"),
+        _type_by(size + (k % 11 == 0).cast("int") if new else size).alias("type"),
+        (k % (3 if new else 4) == 0).alias("required"),
+        F.slice(F.array(*[F.lit(x) for x in "abcd"]), F.lit(1), size % (4 if new else 3)).alias("enum"),
+    )
+
+
+def side_events(part: DataFrame, new: bool) -> DataFrame:
+    """Events (brand and size) of one side, with an entity type that moves on some of them."""
+    rows = part.filter(F.col("p_partkey") % (5 if new else 7) != 0)
+    event = F.concat(F.col("p_brand"), F.lit("-"), F.col("p_size").cast("string"))
+    moved = (F.col("p_size") % 4 == 0).cast("int") if new else F.lit(0)
+    return rows.select(
+        event.alias("event"),
+        F.concat(F.lit("t"), (F.col("p_size") % 3 + moved).cast("string")).alias("entity_type"),
+    ).distinct()
+
+
+TYPES = ["click", "view", "purchase", "signup", "error"]
+
+
+def flow_nodes(customer: DataFrame) -> DataFrame:
+    """Journeys of ten customers each; every node leads to the next, the last one out of its flow."""
+    i = F.col("c_custkey")
+    flow = F.floor(i / 10).cast("bigint")
+    types = F.array(*[F.lit(t) for t in TYPES])
+    pick = lambda n: F.element_at(types, (n % 5 + 1).cast("int"))
+    opens = (i % 10 == 0) & (flow % 6 != 0)
+    kind = (
+        F.when(opens, "TriggerNode").when(i % 3 == 1, "GateNode").when(i % 3 == 2, "WaitNode")
+        .otherwise("TerminalNode")
+    )
+    target = F.concat(F.lit("N"), (i + 1).cast("string"))
+    expression = (
+        F.when(i % 4 == 0, "$event.properties.price > 10")
+        .when(i % 4 == 1, "x == 1 and $event.properties.qty < 3 or $event.zzz")
+        .when(i % 4 == 2, "$event.missing").otherwise("")
+    )
+    inline = F.struct(*_body(type=F.lit("string"), required=F.lit(True)))
+    return customer.select(
+        *_plan_columns(),
+        F.concat(F.lit("F"), flow.cast("string")).alias("flow"), F.lit("Main").alias("namespace"),
+        F.concat(F.lit("N"), i.cast("string")).alias("node"), kind.alias("type"),
+        F.when(opens, pick(flow)).otherwise("").alias("event"),
+        F.when(~opens & (i % 3 == 2), pick(i)).otherwise("").alias("listen_for"),
+        F.when(i % 3 == 0, F.array(F.struct(target.alias("target")))).alias("transitions"),
+        F.when(i % 3 == 1, F.array(F.struct(
+            expression.alias("expression"), (i % 4 == 3).alias("is_default"), target.alias("target")
+        ))).alias("conditions"),
+        F.when(i % 3 == 2, F.struct(F.lit("24h").alias("duration"), target.alias("target"))).alias("timeout"),
+        F.create_map(F.concat(F.lit("properties.n"), i.cast("string")), inline).alias("properties"),
+    )

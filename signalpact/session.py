@@ -14,6 +14,9 @@ def configure(spark: SparkSession) -> SparkSession:
     # A repeated JSON key keeps its last value instead of making the document unreadable.
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    # A fused stage whose method is beyond what the JIT compiles runs interpreted; above this size
+    # Spark generates the projection in small methods instead.
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     return spark
 
 
