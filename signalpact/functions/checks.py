@@ -1,135 +1,153 @@
-"""The checks on one property value, written once for literal and for column bounds."""
+"""The checks on one property value as SQL text, for fixed bounds and for bounds held as data."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-from pyspark.sql import Column, functions as F
+from signalpact.functions.paths import quoted
 
 ERROR_DDL = "struct<property:string,rule:string,detail:string>"
 
 
+def numeric_tag(tag: str) -> str:
+    return f"({tag} = 'BIGINT' OR startswith({tag}, 'DECIMAL') OR {tag} = 'DOUBLE')"
+
+
 @dataclass(frozen=True)
 class Value:
     """A property value of one event: kind tag (NULL = absent), text and number where they fit."""
 
-    tag: Column
-    text: Column
-    number: Column
-    present: Column = field(init=False)
-
-    def __post_init__(self) -> None:
-        object.__setattr__(
-            self, "present", self.tag.isNotNull() & ~F.startswith(self.tag, F.lit("OBJECT"))
-        )
+    tag: str
+    text: str
+    number: str
 
     @property
-    def numeric(self) -> Column:
-        return numeric_tag(self.tag)
+    def present(self) -> str:
+        return f"({self.tag} IS NOT NULL AND NOT startswith({self.tag}, 'OBJECT'))"
 
     @property
-    def whole(self) -> Column:
-        return (self.tag == "BIGINT") | (self.numeric & (self.number == F.floor(self.number)))
+    def whole(self) -> str:
+        return (
+            f"({self.tag} = 'BIGINT' OR ({numeric_tag(self.tag)} AND {self.number} = floor({self.number})))"
+        )
+
+    def has_type(self, type_name: str) -> str:
+        """Whether a present value has a JSON type; objects were flattened away."""
+        return {
+            "string": f"({self.tag} = 'STRING')",
+            "number": numeric_tag(self.tag),
+            "integer": self.whole,
+            "boolean": f"({self.tag} = 'BOOLEAN')",
+            "array": f"startswith({self.tag}, 'ARRAY')",
+            "null": f"({self.tag} = 'VOID')",
+        }.get(type_name, "false")
 
     @property
-    def is_text(self) -> Column:
-        return self.tag == "STRING"
+    def kind(self) -> str:
+        """JSON type name of a present value, for messages."""
+        t = self.tag
+        return (
+            f"CASE WHEN {t} = 'STRING' THEN 'string' WHEN {t} = 'BOOLEAN' THEN 'boolean' "
+            f"WHEN {t} = 'VOID' THEN 'null' WHEN startswith({t}, 'ARRAY') THEN 'array' "
+            f"WHEN {t} = 'BIGINT' OR {self.number} = floor({self.number}) THEN 'integer' ELSE 'number' END"
+        )
 
 
-def numeric_tag(tag: Column) -> Column:
-    return (tag == "BIGINT") | F.startswith(tag, F.lit("DECIMAL")) | (tag == "DOUBLE")
+@dataclass(frozen=True)
+class Spec:
+    """What to check, as SQL text; None for a check that is known not to be wanted.
 
+    ``type_name`` is the declared type where it is fixed, else None and ``type`` tells it per row.
+    """
 
-def kind_name(v: Value) -> Column:
-    """JSON type name of a present value, for messages."""
-    return (
-        F.when(v.is_text, "string").when(v.tag == "BOOLEAN", "boolean").when(v.tag == "VOID", "null")
-        .when(F.startswith(v.tag, F.lit("ARRAY")), "array").when(v.whole, "integer")
-        .otherwise("number")
-    )
+    property: str
+    type: str
+    type_name: str | None
+    required: str
+    min: str | None = None
+    max: str | None = None
+    min_length: str | None = None
+    max_length: str | None = None
+    pattern: str | None = None
+    allowed: str | None = None
 
 
-def type_matches(v: Value, name: str) -> Column:
-    """Whether a present value has the JSON type ``name``; objects were flattened away."""
-    return {
-        "string": lambda: v.is_text,
-        "number": lambda: v.numeric,
-        "integer": lambda: v.whole,
-        "boolean": lambda: v.tag == "BOOLEAN",
-        "array": lambda: F.startswith(v.tag, F.lit("ARRAY")),
-        "null": lambda: v.tag == "VOID",
-        "object": lambda: F.lit(False),
-    }[name]()
+def error(prop: str, rule: str, detail: str) -> str:
+    return f"named_struct('property', {prop}, 'rule', '{rule}', 'detail', {detail})"
 
 
-def plain(number: Column) -> Column:
+def _plain(number: str) -> str:
     """A bound as text, without a trailing ``.0``."""
-    return F.regexp_replace(number.cast("string"), r"\.0$", "")
-
-
-def error(prop: Column, rule: str, detail: Column) -> Column:
-    return F.struct(prop.alias("property"), F.lit(rule).alias("rule"), detail.alias("detail"))
+    return f"regexp_replace(cast({number} AS string), '\\\\.0$', '')"
 
 
-@dataclass(frozen=True)
-class Spec:
-    """What to check, either fixed (Python values) or taken from a rule column."""
-
-    property: Column
-    type: str | Column
-    required: Column
-    min: Column | None = None
-    max: Column | None = None
-    min_length: Column | None = None
-    max_length: Column | None = None
-    pattern: Column | None = None
-    allowed: Column | None = None
-
-
-def checks_of(v: Value, s: Spec, when: Column | None = None) -> list[tuple[Column, Column]]:
+def checks_of(v: Value, s: Spec, guard: str = "true") -> list[tuple[str, str]]:
     """(condition, error struct) per check that the spec can raise, in rule-name order.
 
     After a type mismatch only the type error is raised. Bounds look at numbers, lengths, pattern
     and enum at strings.
     """
-    guard = when if when is not None else F.lit(True)
-    if isinstance(s.type, str):
-        type_name, right_type = F.lit(s.type), type_matches(v, s.type)
-        on_number, on_text = s.type in ("number", "integer"), s.type == "string"
+    if s.type_name is not None:
+        right_type = v.has_type(s.type_name)
+        on_number, on_text = s.type_name in ("number", "integer"), s.type_name == "string"
     else:
-        type_name = s.type
-        right_type = F.when(s.type == "string", type_matches(v, "string"))
-        for name in ("number", "integer", "boolean", "array", "null"):
-            right_type = right_type.when(s.type == name, type_matches(v, name))
-        right_type = right_type.otherwise(False)
+        cases = " ".join(
+            f"WHEN '{t}' THEN {v.has_type(t)}"
+            for t in ("string", "number", "integer", "boolean", "array", "null")
+        )
+        right_type = f"coalesce(CASE {s.type} {cases} END, false)"
         on_number = on_text = True
-    typed = guard & v.present & right_type
-    out: list[tuple[Column, Column]] = []
+    fits = f"{guard} AND {right_type}"
+    number = f"{fits} AND {numeric_tag(v.tag)}" if s.type_name is None else fits
+    text = f"{fits} AND {v.tag} = 'STRING'" if s.type_name is None else fits
+    out: list[tuple[str, str]] = []
 
-    def add(rule: str, condition: Column, detail: Column) -> None:
+    def add(rule: str, condition: str, detail: str) -> None:
         out.append((condition, error(s.property, rule, detail)))
 
-    length = F.char_length(v.text)
     if s.allowed is not None and on_text:
-        add("enum", typed & v.is_text & ~F.array_contains(s.allowed, v.text), F.concat(
-            s.property, F.lit(" must be one of the following: "), F.array_join(s.allowed, ", ")))
+        add("enum", f"{text} AND NOT array_contains({s.allowed}, {v.text})",
+            f"concat({s.property}, ' must be one of the following: ', array_join({s.allowed}, ', '))")
     if s.max is not None and on_number:
-        add("max", typed & v.numeric & (v.number > s.max), F.concat(
-            F.lit("Must be less than or equal to "), plain(s.max)))
+        add("max", f"{number} AND {v.number} > {s.max}",
+            f"concat('Must be less than or equal to ', {_plain(s.max)})")
     if s.max_length is not None and on_text:
-        add("max_length", typed & v.is_text & (length > s.max_length), F.concat(
-            F.lit("String length must be less than or equal to "), s.max_length.cast("string")))
+        add("max_length", f"{text} AND char_length({v.text}) > {s.max_length}",
+            f"concat('String length must be less than or equal to ', {s.max_length})")
     if s.min is not None and on_number:
-        add("min", typed & v.numeric & (v.number < s.min), F.concat(
-            F.lit("Must be greater than or equal to "), plain(s.min)))
+        add("min", f"{number} AND {v.number} < {s.min}",
+            f"concat('Must be greater than or equal to ', {_plain(s.min)})")
     if s.min_length is not None and on_text:
-        add("min_length", typed & v.is_text & (length < s.min_length), F.concat(
-            F.lit("String length must be greater than or equal to "), s.min_length.cast("string")))
+        add("min_length", f"{text} AND char_length({v.text}) < {s.min_length}",
+            f"concat('String length must be greater than or equal to ', {s.min_length})")
     if s.pattern is not None and on_text:
-        add("pattern", typed & v.is_text & ~v.text.rlike(s.pattern) if isinstance(s.pattern, str)
-            else typed & v.is_text & ~F.rlike(v.text, s.pattern), F.concat(
-            F.lit("Does not match pattern '"), s.pattern, F.lit("'")))
-    add("required", guard & s.required & ~v.present, F.concat(s.property, F.lit(" is required")))
-    add("type", guard & v.present & ~right_type, F.concat(
-        F.lit("Invalid type. Expected: "), type_name, F.lit(", given: "), kind_name(v)))
+        add("pattern", f"{text} AND NOT rlike({v.text}, {s.pattern})",
+            f"concat('Does not match pattern \\'', {s.pattern}, '\\'')")
+    if s.required != "false":
+        add("required", f"{guard} AND {s.required} AND NOT {v.present}", f"concat({s.property}, ' is required')")
+    add("type", f"{guard} AND {v.present} AND NOT {right_type}",
+        f"concat('Invalid type. Expected: ', {s.type}, ', given: ', {v.kind})")
     return out
+
+
+def literal_spec(check) -> Spec:
+    """Spec of one constraint row with its bounds as literals."""
+    def lit(value, wrap=str):
+        return None if value is None else wrap(value)
+
+    return Spec(
+        property=quoted(check["property"]), type=quoted(check["type"]), type_name=check["type"],
+        required="true" if check["required"] else "false",
+        min=lit(check["min"], lambda x: f"double({x!r})"), max=lit(check["max"], lambda x: f"double({x!r})"),
+        min_length=lit(check["min_length"]), max_length=lit(check["max_length"]),
+        pattern=lit(check["pattern"], quoted),
+        allowed=lit(check["allowed"], lambda xs: "array(" + ", ".join(map(quoted, xs)) + ")" if xs
+                    else "cast(array() AS array<string>)"),
+    )
+
+
+def data_spec(row: str) -> Spec:
+    """Spec whose bounds are fields of a struct; a missing bound is NULL and never fails."""
+    f = {n: f"{row}.{n}" for n in (
+        "property", "type", "required", "min", "max", "min_length", "max_length", "pattern", "allowed")}
+    return Spec(type_name=None, **f)

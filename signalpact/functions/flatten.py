@@ -1,169 +1,139 @@
-"""Flattening nested JSON objects to dotted keys inside one row: no explode, no shuffle."""
+"""Flattening nested JSON objects to dotted keys inside one row: no explode, no shuffle.
+
+All functions take and return SQL text.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame
 
-from signalpact.functions.paths import json_path
+from signalpact.functions.paths import json_path, name, quoted
 from signalpact.model import MAX_DEPTH
 
 # An overflow needs the document, the root object and MAX_DEPTH + 1 objects below it.
 OVERFLOW_BRACES = MAX_DEPTH + 3
 OVERFLOW_BYTES = 5 * (MAX_DEPTH + 1)
+ALL_LEVELS = str(MAX_DEPTH + 1)
 
 
-def object_entries(value: Column) -> Column:
-    """Entries of an object variant; NULL for every other kind of value."""
-    return F.map_entries(F.try_variant_get(value, "$", "map<string,variant>"))
-
-
-def is_object(value: Column) -> Column:
-    return F.startswith(F.schema_of_variant(value), F.lit("OBJECT"))
+def is_object(value: str) -> str:
+    return f"startswith(schema_of_variant({value}), 'OBJECT')"
 
 
-def brace_count(payload: Column) -> Column:
-    return F.length(payload) - F.length(F.translate(payload, "{", ""))
+def brace_count(payload: str) -> str:
+    return f"(length({payload}) - length(translate({payload}, '{{', '')))"
 
 
-def _entry(key: Column, value: Column, depth: Column) -> Column:
-    return F.struct(key.alias("key"), value.alias("value"), depth.alias("depth"))
+def _rounds(levels: str) -> str:
+    return f"sequence(1, greatest(least({levels}, {ALL_LEVELS}), 1))"
 
 
-def expand_objects(root: str, value: Column, levels: Column) -> Column:
-    """Replace objects by their members, ``levels`` times; arrays stay whole.
+def expand_objects(root: str, value: str, levels: str) -> str:
+    """Entries (key, value, depth) after opening objects ``levels`` times; arrays stay whole.
 
     ``levels`` is normally bounded by the number of braces of the document, so flat documents
-    stop early; at most MAX_DEPTH + 1 levels are ever opened.
+    stop early. A root that is missing or no object gives no entry.
     """
-    def open_one_level(acc: Column, _: Column) -> Column:
-        return F.flatten(F.transform(acc, lambda e: F.coalesce(
-            F.transform(
-                object_entries(e["value"]),
-                lambda c: _entry(
-                    F.concat(e["key"], F.lit("."), c["key"]), c["value"],
-                    e["depth"] + F.lit(1),
-                ),
-            ),
-            F.array(e),
-        )))
-
-    opened = F.aggregate(
-        F.sequence(F.lit(1), F.greatest(F.least(levels, F.lit(MAX_DEPTH + 1)), F.lit(1))),
-        F.array(_entry(F.lit(root), value, F.lit(-1))),
-        open_one_level,
+    opened = (
+        "flatten(transform(acc, e -> coalesce("
+        "transform(map_entries(try_variant_get(e.value, '$', 'map<string,variant>')), c -> "
+        "named_struct('key', concat(e.key, '.', c.key), 'value', c.value, 'depth', e.depth + 1)), "
+        "array(e))))"
     )
-    # A root that is missing or no object stays as its own start entry: drop it.
-    return F.filter(opened, lambda e: e["depth"] >= 0)
-
-
-def overflows(entries: Column) -> Column:
-    """True when an object is left after all permitted levels were opened."""
-    return F.exists(entries, lambda e: is_object(e["value"]))
+    start = f"array(named_struct('key', {quoted(root)}, 'value', {value}, 'depth', -1))"
+    return f"filter(aggregate({_rounds(levels)}, {start}, (acc, i) -> {opened}), e -> e.depth >= 0)"
 
 
-def expand_text(root: str, text: Column, levels: Column) -> Column:
+def expand_text(root: str, text: str, levels: str) -> str:
     """Like expand_objects, but reads the text so that document order is kept.
 
     Needed only where a dotted key and a nested key meet: the later one must win.
     """
-    def open_one_level(acc: Column, _: Column) -> Column:
-        def members(e: Column) -> Column:
-            typed = F.map_entries(F.from_json(e["text"], "map<string,variant>"))
-            texts = F.map_values(F.from_json(e["text"], "map<string,string>"))
-            return F.zip_with(typed, texts, lambda t, s: F.struct(
-                F.concat(e["key"], F.lit("."), t["key"]).alias("key"),
-                t["value"].alias("value"),
-                (e["depth"] + F.lit(1)).alias("depth"),
-                F.when(is_object(t["value"]), s).alias("text"),
-            ))
-        return F.flatten(F.transform(
-            acc, lambda e: F.when(e["text"].isNull(), F.array(e)).otherwise(members(e))
-        ))
-
-    start = F.array(F.struct(
-        F.lit(root).alias("key"), F.try_parse_json(text).alias("value"),
-        F.lit(-1).alias("depth"), text.alias("text"),
-    ))
-    opened = F.aggregate(
-        F.sequence(F.lit(1), F.greatest(F.least(levels, F.lit(MAX_DEPTH + 1)), F.lit(1))),
-        start, open_one_level,
+    members = (
+        "zip_with(map_entries(from_json(e.text, 'map<string,variant>')), "
+        "map_values(from_json(e.text, 'map<string,string>')), (t, s) -> "
+        "named_struct('key', concat(e.key, '.', t.key), 'value', t.value, 'depth', e.depth + 1, "
+        f"'text', CASE WHEN {is_object('t.value')} THEN s END))"
     )
-    return F.transform(
-        F.filter(opened, lambda e: e["depth"] >= 0),
-        lambda e: _entry(e["key"], e["value"], e["depth"]),
+    opened = f"flatten(transform(acc, e -> CASE WHEN e.text IS NULL THEN array(e) ELSE {members} END))"
+    start = (
+        f"array(named_struct('key', {quoted(root)}, 'value', try_parse_json({text}), 'depth', -1, "
+        f"'text', {text}))"
+    )
+    entries = f"filter(aggregate({_rounds(levels)}, {start}, (acc, i) -> {opened}), e -> e.depth >= 0)"
+    return f"transform({entries}, e -> named_struct('key', e.key, 'value', e.value, 'depth', e.depth))"
+
+
+def keep_last(entries: str) -> str:
+    """One entry per key, the last one given."""
+    return (
+        f"transform(array_distinct(transform({entries}, e -> e.key)), "
+        f"k -> element_at(filter({entries}, e -> e.key = k), -1))"
     )
 
 
 def add_entries(
-    df: DataFrame, text: Column, roots: dict[str, Column], levels: Column, when: Column
+    df: DataFrame, text: str, roots: dict[str, str], levels: str, when: str
 ) -> DataFrame:
     """Add ``__flat_<root>``: flat entries below each root, one per key.
 
     On equal keys the later one wins; only then is the text itself read for its order. Done in
     steps of one column each, as array lambdas would evaluate a shared input once per use.
     """
-    opened = df.select("*", *[
-        F.when(when, expand_objects(r, v, levels)).alias(f"__open_{r}") for r, v in roots.items()
+    opened = df.selectExpr("*", *[
+        f"CASE WHEN {when} THEN {expand_objects(r, v, levels)} END AS __open_{r}" for r, v in roots.items()
     ])
-    kept = [F.col(c) for c in df.columns]
-    return opened.select(*kept, *[
-        F.when(
-            F.size(F.array_distinct(keys(F.col(f"__open_{r}")))) == F.size(f"__open_{r}"),
-            F.col(f"__open_{r}"),
-        ).when(
-            F.col(f"__open_{r}").isNotNull(),
-            keep_last(expand_text(r, F.get_json_object(text, json_path([r])), levels)),
-        ).alias(f"__flat_{r}")
+    return opened.selectExpr(*[name(c) for c in df.columns], *[
+        f"CASE WHEN size(array_distinct(transform(__open_{r}, e -> e.key))) = size(__open_{r}) THEN __open_{r} "
+        f"WHEN __open_{r} IS NOT NULL THEN "
+        f"{keep_last(expand_text(r, f'get_json_object({text}, {json_path([r])})', levels))} END AS __flat_{r}"
         for r in roots
     ])
 
 
-def last_at(text: Column, root: str, key: str) -> Column:
+def last_at(text: str, root: str, key: str) -> str:
     """Value of one flat key read from the text, so that the later of two spellings wins."""
-    entries = expand_text(root, F.get_json_object(text, json_path([root])), brace_count(text))
-    return F.element_at(F.filter(entries, lambda e: e["key"] == key), -1)["value"]
+    entries = expand_text(root, f"get_json_object({text}, {json_path([root])})", brace_count(text))
+    return f"element_at(filter({entries}, e -> e.key = {quoted(key)}), -1).value"
 
 
-def keys(entries: Column) -> Column:
-    return F.transform(entries, lambda e: e["key"])
+def spelled_with_dot(text: str, segments: list[str]) -> str:
+    """Whether some key of the document may hold a dot that stands for these nested segments."""
+    tests = [f"contains({text}, {quoted(a + '.' + b)})" for a, b in zip(segments, segments[1:])]
+    return " OR ".join([f"contains({text}, {quoted(chr(92) + 'u002e')})", *tests])
 
 
-def keep_last(entries: Column) -> Column:
-    """One entry per key, the last one given."""
-    return F.transform(
-        F.array_distinct(keys(entries)),
-        lambda k: F.element_at(F.filter(entries, lambda e: e["key"] == k), -1),
-    )
+def value_at(text: str, root: str, root_column: str, below: list[str]) -> str:
+    """VARIANT at a flat key; a key with a dot in its name can spell it as well."""
+    nested = f"try_variant_get({root_column}, {json_path(below)}, 'variant')"
+    if len(below) == 1:
+        return nested
+    key = ".".join([root, *below])
+    return f"CASE WHEN {spelled_with_dot(text, below)} THEN {last_at(text, root, key)} ELSE {nested} END"
 
 
-def text_overflows(payload: Column) -> Column:
+def text_overflows(payload: str) -> str:
     """Depth test for text the JSON reader gave up on because of its own nesting limit."""
-    bare = F.regexp_replace(payload, r'"(?:[^"\\]|\\.)*"', "")
-    marks = F.split(F.regexp_replace(bare, r"[^{}\[\]]", ""), "")
-    zero = F.struct(F.lit(0).alias("objects"), F.lit(0).alias("arrays"), F.lit(0).alias("deepest"))
-
-    def step(acc: Column, mark: Column) -> Column:
-        arrays = acc["arrays"] + F.when(mark == "[", 1).when(mark == "]", -1).otherwise(0)
-        objects = acc["objects"] + F.when(acc["arrays"] > 0, 0).when(mark == "{", 1).when(
-            mark == "}", -1).otherwise(0)
-        return F.struct(
-            objects.alias("objects"), arrays.alias("arrays"),
-            F.greatest(acc["deepest"], objects).alias("deepest"),
-        )
-
-    return F.aggregate(marks, zero, step, lambda acc: acc["deepest"] >= OVERFLOW_BRACES)
-
-
-def too_deep(payload: Column, doc: Column, roots: dict[str, Column]) -> Column:
-    """Whether any root object nests deeper than permitted; nearly free for ordinary documents."""
-    all_levels = F.lit(MAX_DEPTH + 1)
-    exact = None
-    for name, value in roots.items():
-        found = overflows(expand_objects(name, value, all_levels))
-        exact = found if exact is None else exact | found
-    return F.coalesce(
-        (F.octet_length(payload) >= OVERFLOW_BYTES)
-        & (brace_count(payload) >= OVERFLOW_BRACES)
-        & F.when(doc.isNull(), text_overflows(payload)).otherwise(exact),
-        F.lit(False),
+    strings, others = quoted(r'"(?:[^"\\]|\\.)*"'), quoted(r"[^{}\[\]]")
+    marks = f"split(regexp_replace(regexp_replace({payload}, {strings}, ''), {others}, ''), '')"
+    arrays = "acc.arrays + CASE m WHEN '[' THEN 1 WHEN ']' THEN -1 ELSE 0 END"
+    objects = "acc.objects + CASE WHEN acc.arrays > 0 THEN 0 WHEN m = '{' THEN 1 WHEN m = '}' THEN -1 ELSE 0 END"
+    return (
+        f"aggregate({marks}, named_struct('objects', 0, 'arrays', 0, 'deepest', 0), (acc, m) -> "
+        f"named_struct('objects', {objects}, 'arrays', {arrays}, 'deepest', greatest(acc.deepest, {objects})), "
+        f"acc -> acc.deepest >= {OVERFLOW_BRACES})"
+    )
+
+
+def too_deep(payload: str, doc: str, roots: dict[str, str]) -> str:
+    """Whether any root object nests deeper than permitted; nearly free for ordinary documents.
+
+    Opening all permitted levels must leave no object behind.
+    """
+    left = " OR ".join(
+        f"exists({expand_objects(r, v, ALL_LEVELS)}, e -> {is_object('e.value')})" for r, v in roots.items()
+    )
+    return (
+        f"coalesce(octet_length({payload}) >= {OVERFLOW_BYTES} AND {brace_count(payload)} >= {OVERFLOW_BRACES} "
+        f"AND CASE WHEN {doc} IS NULL THEN {text_overflows(payload)} ELSE {left} END, false)"
     )

@@ -1,10 +1,24 @@
-"""Column builders that read single values out of a JSON payload."""
+"""SQL text that reads single values out of a JSON payload.
+
+Expressions are built as text and handed over once per column: a contract can need hundreds of
+them, and composing each from Column calls would cost a driver round trip per node.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+
+def quoted(text: str) -> str:
+    """A SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def name(column: str) -> str:
+    """A column name as SQL."""
+    return "`" + column.replace("`", "``") + "`"
 
 
 def quotable(segment: str) -> bool:
@@ -13,16 +27,18 @@ def quotable(segment: str) -> bool:
 
 
 def json_path(segments: Iterable[str]) -> str:
-    return "$" + "".join(f"['{s}']" for s in segments)
+    """A JSON path as SQL literal."""
+    return quoted("$" + "".join(f"['{s}']" for s in segments))
 
 
-def repeated(payload: Column, key: str) -> Column:
+def repeated(payload: str, key: str) -> str:
     """Cheap necessary test for a repeated key: its quoted name occurs twice in the text."""
-    head = F.substring_index(payload, f'"{key}"', 2)  # the whole text if there is no second one
-    return F.octet_length(head) != F.octet_length(payload)
+    # substring_index gives the whole text when there is no second one
+    found = quoted(f'"{key}"')
+    return f"octet_length(substring_index({payload}, {found}, 2)) <> octet_length({payload})"
 
 
-def root_text(payload: Column, doc: Column, path: str) -> Column:
+def root_text(payload: str, doc: str, path: str) -> str:
     """Text at a dotted path below the document root, NULL where absent or JSON null.
 
     The parsed document keeps the last of repeated keys; a repeated root key must yield its first
@@ -30,37 +46,42 @@ def root_text(payload: Column, doc: Column, path: str) -> Column:
     """
     segments = path.split(".")
     steps = json_path(segments)
-    return F.when(repeated(payload, segments[0]), F.get_json_object(payload, steps)).otherwise(
-        F.try_variant_get(doc, steps, "string")
+    return (
+        f"CASE WHEN {repeated(payload, segments[0])} THEN get_json_object({payload}, {steps}) "
+        f"ELSE try_variant_get({doc}, {steps}, 'string') END"
     )
 
 
-def first_text(payload: Column, doc: Column, paths: Iterable[str]) -> Column:
-    """First non-empty text among several paths, NULL when all are empty."""
-    return F.coalesce(*[F.nullif(root_text(payload, doc, p), F.lit("")) for p in paths])
-
-
 def add_first_texts(
-    df: DataFrame, payload: Column, doc: Column, wanted: dict[str, tuple[str, ...]]
+    df: DataFrame, payload: str, doc: str, wanted: dict[str, tuple[str, ...]]
 ) -> DataFrame:
     """Add columns with the first non-empty text of each path list (NULL when all are empty).
 
     First a plain coalesce, which is right unless it meets an empty string; only then are the
     paths gone through again. So an ordinary event costs one lookup per missing path.
     """
-    first = df.select("*", *[
-        F.coalesce(*[root_text(payload, doc, p) for p in paths]).alias(name)
-        for name, paths in wanted.items()
-    ])
+    texts = {n: [root_text(payload, doc, p) for p in paths] for n, paths in wanted.items()}
+    first = df.selectExpr("*", *[f"coalesce({', '.join(t)}) AS {n}" for n, t in texts.items()])
     return first.select(*[F.col(c) for c in df.columns], *[
-        F.when(F.col(name) == "", first_text(payload, doc, paths)).otherwise(F.col(name)).alias(name)
-        for name, paths in wanted.items()
+        F.expr(f"CASE WHEN {n} = '' THEN get(filter(array({', '.join(t)}), t -> t <> ''), 0) ELSE {n} END").alias(n)
+        for n, t in texts.items()
     ])
 
 
-def root_object(payload: Column, doc: Column, key: str) -> Column:
+def root_object(payload: str, doc: str, key: str) -> str:
     """Sub-document under a root key as VARIANT (first one wins when the key is repeated)."""
     steps = json_path([key])
-    return F.when(
-        repeated(payload, key), F.try_parse_json(F.get_json_object(payload, steps))
-    ).otherwise(F.try_variant_get(doc, steps, "variant"))
+    return (
+        f"CASE WHEN {repeated(payload, key)} THEN try_parse_json(get_json_object({payload}, {steps})) "
+        f"ELSE try_variant_get({doc}, {steps}, 'variant') END"
+    )
+
+
+def sealed(df: DataFrame, keep: list[str], fields: dict[str, str]) -> DataFrame:
+    """Project ``fields`` as one generated row.
+
+    A later filter on them stays above. Over a plain projection the optimizer would inline the
+    expressions into the filter and parse every document once more.
+    """
+    row = ", ".join(f"{quoted(n)}, {e}" for n, e in fields.items())
+    return df.selectExpr(*[name(c) for c in keep], f"inline(array(named_struct({row})))")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from signalpact.functions import flatten as fl
-from signalpact.functions.paths import json_path, root_object
-from signalpact.model import Contract, Mapping
-from signalpact.operators.normalize import ROOTS, add_event_name, add_identity, identity_names
+from signalpact.functions.paths import name, root_object, sealed
+from signalpact.model import Contract, Mapping, local_table
+from signalpact.operators.normalize import DOC, ROOTS, add_event_name, add_identity, identity_names, parse
 from signalpact.operators.resolve import resolve_properties
 
 # --- fixed values: column type per contract type; every other type is text ---
@@ -37,41 +37,36 @@ def typed_model(
     With ``event`` only that event's rows are taken; without it all rows are, so that columns
     other events lack are NULL there.
     """
-    text, doc = F.col(payload), F.col("__doc")
+    text = name(payload)
     identity = {k: f"__id_{i}" for i, k in enumerate(identity_names(mapping))
                 if k in {p for p, _, _ in properties}}
-    parsed = df.select(*keep, payload, F.try_parse_json(text).alias("__doc"))
+    parsed = parse(df.select(*keep, payload), payload)
     if event is not None:
-        named = add_event_name(parsed, text, doc, mapping, "__name")
-        # Filtering on a generated row keeps the parsed document from being computed twice.
-        parsed = named.select(
-            *keep, payload, F.inline(F.array(F.struct(doc, F.col("__name"))))
-        ).filter(F.col("__name") == event)
-    filled = add_identity(parsed, text, doc, mapping, identity) if identity else parsed
-    opened = filled.select("*", *[root_object(text, doc, r).alias(f"__root_{r}") for r in ROOTS])
-
-    def column(prop: str, type_name: str) -> Column:
+        named = add_event_name(parsed, text, DOC, mapping, "__name")
+        parsed = sealed(named, [*keep, payload], {DOC: DOC, "__name": "__name"}).filter(
+            F.col("__name") == event)
+    filled = add_identity(parsed, text, DOC, mapping, identity)
+    opened = filled.selectExpr("*", *[f"{root_object(text, DOC, r)} AS __root_{r}" for r in ROOTS])
+    found = {
+        p: fl.value_at(text, p.split(".")[0], f"__root_{p.split('.')[0]}", p.split(".")[1:])
+        for p, _, _ in properties if p.split(".")[0] in ROOTS and "." in p
+    }
+    order = {p: n for n, p in enumerate(sorted(found))}
+    valued = opened.selectExpr("*", *[f"{found[p]} AS __v{n}" for p, n in order.items()])
+
+    def column(prop: str, type_name: str) -> str:
         target = COLUMN_TYPES.get(type_name, "string")
-        segments = prop.split(".")
-        value = F.lit(None).cast(target)
-        if segments[0] in ROOTS and len(segments) > 1:
-            below = segments[1:]
-            raw = F.try_variant_get(F.col(f"__root_{segments[0]}"), json_path(below), "variant")
-            if len(below) > 1:
-                dotted = F.contains(text, F.lit("\\u002e"))
-                for a, b in zip(below, below[1:]):
-                    dotted = dotted | F.contains(text, F.lit(f"{a}.{b}"))
-                raw = F.when(dotted, fl.last_at(text, segments[0], prop)).otherwise(raw)
-            if target == "string":
-                # Objects are flattened away, so an object here means the key itself is absent.
-                value = F.when(~fl.is_object(raw), F.try_variant_get(raw, "$", target))
-            else:
-                value = F.try_variant_get(raw, "$", target)
+        value = f"cast(NULL AS {target})"
+        if prop in order:
+            held = f"__v{order[prop]}"
+            # Objects are flattened away, so an object here means the key itself is absent.
+            value = (f"CASE WHEN NOT {fl.is_object(held)} THEN "
+                     f"try_variant_get({held}, '$', '{target}') END")
         if prop in identity:
-            value = F.coalesce(F.col(identity[prop]).try_cast(target), value)
-        return value.alias(prop)
+            value = f"coalesce(try_cast({identity[prop]} AS {target}), {value})"
+        return f"{value} AS {name(prop)}"
 
-    return opened.select(*keep, *[column(p, t) for p, t, _ in sorted(properties)])
+    return valued.selectExpr(*[name(c) for c in keep], *[column(p, t) for p, t, _ in sorted(properties)])
 
 
 def materialize_model(model: DataFrame, table: str | None = None, path: str | None = None) -> None:
@@ -90,8 +85,6 @@ def required_columns(properties: DataFrame, event: str | None = None) -> DataFra
 
 def check_columns(model: DataFrame, required: DataFrame) -> DataFrame:
     """Required properties the model has no column for."""
-    from signalpact.model import local_table
-
     have = local_table(model.sparkSession, [(c,) for c in model.columns], "property string")
     return required.join(F.broadcast(have), "property", "left_anti")
 

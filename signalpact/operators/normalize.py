@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from signalpact.functions import flatten as fl
-from signalpact.functions.paths import add_first_texts, root_object
+from signalpact.functions.paths import add_first_texts, name, quoted, root_object, sealed
 from signalpact.model import MAX_DEPTH, Mapping
 
 ROOTS = ("properties", "context")
 DEPTH_ERROR = f"excessive json nesting: depth exceeds limit of {MAX_DEPTH}"
+DOC = "__doc"
 
 
-def add_event_name(df: DataFrame, text: Column, doc: Column, mapping: Mapping, name: str) -> DataFrame:
+def parse(df: DataFrame, payload: str) -> DataFrame:
+    """Add the parsed document; everything below reads it instead of the text."""
+    return df.selectExpr("*", f"try_parse_json({name(payload)}) AS {DOC}")
+
+
+def add_event_name(df: DataFrame, text: str, doc: str, mapping: Mapping, column: str) -> DataFrame:
     """Add the event name, an empty string when no path holds one."""
-    out = add_first_texts(df, text, doc, {name: tuple(mapping.event_paths)})
-    return out.withColumn(name, F.coalesce(F.col(name), F.lit("")))
+    out = add_first_texts(df, text, doc, {column: tuple(mapping.event_paths)})
+    return out.selectExpr(*[name(c) for c in df.columns], f"coalesce({column}, '') AS {column}")
 
 
 def identity_names(mapping: Mapping) -> list[str]:
@@ -24,51 +30,53 @@ def identity_names(mapping: Mapping) -> list[str]:
 
 
 def add_identity(
-    df: DataFrame, text: Column, doc: Column, mapping: Mapping, columns: dict[str, str]
+    df: DataFrame, text: str, doc: str, mapping: Mapping, columns: dict[str, str]
 ) -> DataFrame:
     """Add one text column per identity key in ``columns`` (key -> column), NULL when empty."""
     paths = {}
-    for key, name in columns.items():
+    for key, column in columns.items():
         own = tuple(mapping.identity_paths.get(key, ()))
-        paths[name] = own + (tuple(mapping.identity_paths.get("anonymousId", ())) if key == "userId" else ())
-    return add_first_texts(df, text, doc, {n: p for n, p in paths.items() if p})
+        stand_in = tuple(mapping.identity_paths.get("anonymousId", ())) if key == "userId" else ()
+        paths[column] = own + stand_in
+    return add_first_texts(df, text, doc, paths) if paths else df
+
+
+def _identity_map(columns: dict[str, str]) -> str:
+    pairs = ", ".join(f"{quoted(key)}, {column}" for key, column in columns.items())
+    return f"map_filter(map({pairs}), (k, v) -> v IS NOT NULL)"
+
+
+def _identity_columns(mapping: Mapping) -> dict[str, str]:
+    return {k: f"__id_{i}" for i, k in enumerate(identity_names(mapping))}
 
 
 def extract_event_name(
     df: DataFrame, payload: str = "payload", mapping: Mapping = Mapping()
 ) -> DataFrame:
     """Add ``event``: the first non-empty name, else an empty string."""
-    parsed = df.withColumn("__doc", F.try_parse_json(payload))
-    return add_event_name(parsed, F.col(payload), F.col("__doc"), mapping, "event").drop("__doc")
-
-
-def _identity_map(columns: dict[str, str]) -> Column:
-    pairs = [x for key, name in columns.items() for x in (F.lit(key), F.col(name))]
-    return F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull())
+    named = add_event_name(parse(df, payload), name(payload), DOC, mapping, "__name")
+    return sealed(named, [c for c in df.columns if c != "event"], {"event": "__name"})
 
 
 def extract_identity(
     df: DataFrame, payload: str = "payload", mapping: Mapping = Mapping()
 ) -> DataFrame:
     """Add ``identity``, MAP<STRING,STRING> of the identity keys that are set."""
-    columns = {k: f"__id_{i}" for i, k in enumerate(identity_names(mapping))}
-    parsed = df.withColumn("__doc", F.try_parse_json(payload))
-    found = add_identity(parsed, F.col(payload), F.col("__doc"), mapping, columns)
-    return found.withColumn("identity", _identity_map(columns)).drop("__doc", *columns.values())
+    columns = _identity_columns(mapping)
+    found = add_identity(parse(df, payload), name(payload), DOC, mapping, columns)
+    return sealed(found, [c for c in df.columns if c != "identity"], {"identity": _identity_map(columns)})
 
 
 def _with_entries(df: DataFrame, payload: str, roots: tuple[str, ...]) -> DataFrame:
     """Parse once, then add per root its flat entries and one flag for excessive depth."""
-    text = F.col(payload)
-    parsed = df.withColumn("__doc", F.try_parse_json(text))
-    opened = parsed.select(
-        "*",
-        *[root_object(text, F.col("__doc"), r).alias(f"__root_{r}") for r in roots],
-        fl.brace_count(text).alias("__levels"),
+    text = name(payload)
+    opened = parse(df, payload).selectExpr(
+        "*", *[f"{root_object(text, DOC, r)} AS __root_{r}" for r in roots],
+        f"{fl.brace_count(text)} AS __levels",
     )
-    values = {r: F.col(f"__root_{r}") for r in roots}
-    flagged = opened.withColumn("__deep", fl.too_deep(text, F.col("__doc"), values))
-    return fl.add_entries(flagged, text, values, F.col("__levels"), ~F.col("__deep"))
+    values = {r: f"__root_{r}" for r in roots}
+    flagged = opened.selectExpr("*", f"{fl.too_deep(text, DOC, values)} AS __deep")
+    return fl.add_entries(flagged, text, values, "__levels", "NOT __deep")
 
 
 def flatten_events(
@@ -79,19 +87,17 @@ def flatten_events(
     Events nested too deeply give no rows; find them with :func:`depth_guard`.
     """
     flat = _with_entries(df.select(id_col, payload), payload, (root,))
-    return flat.select(id_col, F.inline(f"__flat_{root}"))
+    return flat.selectExpr(name(id_col), f"inline(__flat_{root})")
 
 
 def depth_guard(df: DataFrame, payload: str = "payload") -> DataFrame:
     """Add ``too_deep``: some object below properties or context exceeds the depth limit."""
-    text = F.col(payload)
-    parsed = df.withColumn("__doc", F.try_parse_json(text)).select(
-        "*", *[root_object(text, F.col("__doc"), r).alias(f"__root_{r}") for r in ROOTS]
-    )
-    roots = {r: F.col(f"__root_{r}") for r in ROOTS}
-    return parsed.withColumn("too_deep", fl.too_deep(text, F.col("__doc"), roots)).drop(
-        "__doc", *[f"__root_{r}" for r in ROOTS]
+    text = name(payload)
+    opened = parse(df, payload).selectExpr(
+        "*", *[f"{root_object(text, DOC, r)} AS __root_{r}" for r in ROOTS]
     )
+    deep = fl.too_deep(text, DOC, {r: f"__root_{r}" for r in ROOTS})
+    return sealed(opened, df.columns, {"too_deep": deep})
 
 
 def normalize(
@@ -102,19 +108,16 @@ def normalize(
     ``properties`` is MAP<STRING,VARIANT> over both roots; an event nested too deeply has NULL
     properties and the reason in ``error``. Everything happens inside the row.
     """
-    text, doc = F.col(payload), F.col("__doc")
-    columns = {k: f"__id_{i}" for i, k in enumerate(identity_names(mapping))}
+    text = name(payload)
+    columns = _identity_columns(mapping)
     flat = _with_entries(df, payload, ROOTS)
-    named = add_event_name(flat, text, doc, mapping, "__name")
-    identified = add_identity(named, text, doc, mapping, columns).withColumn(
-        "__all", F.concat(*[F.col(f"__flat_{r}") for r in ROOTS])
-    )
-    return identified.select(
-        *df.columns,
-        F.col("__name").alias("event"),
-        _identity_map(columns).alias("identity"),
-        F.map_from_entries(
-            F.transform("__all", lambda e: F.struct(e["key"], e["value"]))
-        ).alias("properties"),
-        F.when(F.col("__deep"), DEPTH_ERROR).alias("error"),
+    named = add_event_name(flat, text, DOC, mapping, "__name")
+    whole = add_identity(named, text, DOC, mapping, columns).selectExpr(
+        "*", f"concat({', '.join(f'__flat_{r}' for r in ROOTS)}) AS __all"
     )
+    kept = [c for c in df.columns if c not in ("event", "identity", "properties", "error")]
+    return sealed(whole, kept, {
+        "event": "__name", "identity": _identity_map(columns),
+        "properties": "map_from_arrays(transform(__all, e -> e.key), transform(__all, e -> e.value))",
+        "error": f"CASE WHEN __deep THEN {quoted(DEPTH_ERROR)} END",
+    })

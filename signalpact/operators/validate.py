@@ -7,18 +7,19 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from signalpact.functions import flatten as fl
-from signalpact.functions.checks import ERROR_DDL, Spec, Value, error, checks_of, numeric_tag
-from signalpact.functions.paths import json_path, root_object
-from signalpact.model import PROPERTY_TYPES, Contract, Mapping
+from signalpact.functions.checks import (
+    ERROR_DDL, Value, checks_of, data_spec, error, literal_spec, numeric_tag,
+)
+from signalpact.functions.paths import name, quoted, root_object, sealed
+from signalpact.model import Contract, Mapping
 from signalpact.operators.compiled import WORD_BITS, CompiledContract, compile_contract
-from signalpact.operators.normalize import DEPTH_ERROR, ROOTS, add_event_name, add_identity, identity_names
+from signalpact.operators.normalize import (
+    DEPTH_ERROR, ROOTS, add_event_name, add_identity, identity_names,
+)
 
 IDENTITY_ERROR = "identity_required: no recognized identity properties found"
 SALTS = 16
-
-
-def _none(type_name: str) -> Column:
-    return F.lit(None).cast(type_name)
+NO_ERRORS = f"cast(array() AS array<{ERROR_DDL}>)"
 
 
 def validate(
@@ -37,54 +38,43 @@ def validate(
     Works the same on batch and streaming frames.
     """
     compiled = contract if isinstance(contract, CompiledContract) else compile_contract(contract)
-    text = F.col(payload)
+    text, doc = name(payload), "__doc"
     kept = [c for c in df.columns if c not in ("event", "status", "errors")]
-
-    doc = F.col("__doc")
     wanted = _identity_columns(compiled, mapping, identity_gate)
-    roots = {r: F.col(f"__root_{r}") for r in ROOTS}
+    roots = {r: f"__root_{r}" for r in ROOTS}
 
     given = [] if event is None else [(F.lit(event) if isinstance(event, str) else event).alias("__name")]
-    parsed = df.select(*[F.col(c) for c in kept], *given, F.try_parse_json(text).alias("__doc"))
+    parsed = df.select(*[F.col(name(c)) for c in kept], *given, F.expr(f"try_parse_json({text})").alias(doc))
     named = parsed if given else add_event_name(parsed, text, doc, mapping, "__name")
     identified = add_identity(named, text, doc, mapping, {k: f"__id_{i}" for k, i in wanted.items()})
-    opened = identified.select("*", *[root_object(text, doc, r).alias(f"__root_{r}") for r in ROOTS])
-    gated = opened.select(
-        "*",
-        fl.too_deep(text, doc, roots).alias("__deep"),
-        _identity_ok(compiled, wanted, identity_gate).alias("__identified"),
-    )
-    joined = _join_rules(gated, compiled)
-    active = ~F.col("__deep") & F.col("__identified") & F.col("__event").isNotNull() & F.col("__broken").isNull()
-
-    if compiled.checks is None:
-        checked = _check_as_data(joined, compiled, text, wanted, active)
-    else:
-        checked = _check_as_code(joined, compiled, text, wanted, active, with_errors)
-
-    def lone(rule: str, detail: Column) -> Column:
-        return F.array(error(F.lit(""), rule, detail))
-
-    name = F.coalesce(F.col("__name"), F.lit(""))
-    errors = (
-        F.when(F.col("__deep"), lone("depth", F.lit(DEPTH_ERROR)))
-        .when(~F.col("__identified"), lone("identity", F.lit(IDENTITY_ERROR)))
-        .when(F.col("__event").isNull(), lone(
-            "unknown_event", F.concat(F.lit("event "), name, F.lit(" not found"))))
-        .when(F.col("__broken").isNotNull(), lone("contract", F.col("__broken")))
-        .otherwise(F.col("__failed"))
+    opened = identified.selectExpr("*", *[f"{root_object(text, doc, r)} AS {c}" for r, c in roots.items()])
+    gated = opened.selectExpr(
+        *[name(c) for c in opened.columns if c != doc],
+        f"{fl.too_deep(text, doc, roots)} AS __deep",
+        f"{_identity_ok(compiled, wanted, identity_gate)} AS __identified",
     )
-    status = (
-        F.when(F.col("__deep"), "error").when(~F.col("__identified"), "invalid")
-        .when(F.col("__event").isNull() | F.col("__broken").isNotNull(), "error")
-        .when(F.col("__any"), "invalid").otherwise("valid")
-    )
-    outcome = F.struct(
-        name.alias("event"), status.alias("status"), *([errors.alias("errors")] if with_errors else [])
-    )
-    # Generating the outcome as a row keeps later filters on it above the checks. A plain
-    # projection would be inlined into such a filter and every document parsed once more.
-    return checked.select(*[F.col(c) for c in kept], F.inline(F.array(outcome)))
+    joined = _join_rules(gated, compiled, kept)
+    active = "(NOT __deep AND __identified AND __event IS NOT NULL AND __broken IS NULL)"
+    check = _check_as_data if compiled.checks is None else _check_as_code
+    checked = check(joined, compiled, text, wanted, active, with_errors)
+
+    def lone(rule: str, detail: str) -> str:
+        return f"array({error(quoted(''), rule, detail)})"
+
+    known_name = "coalesce(__name, '')"
+    fields = {"event": known_name, "status": (
+        "CASE WHEN __deep THEN 'error' WHEN NOT __identified THEN 'invalid' "
+        "WHEN __event IS NULL OR __broken IS NOT NULL THEN 'error' "
+        "WHEN __any THEN 'invalid' ELSE 'valid' END"
+    )}
+    if with_errors:
+        fields["errors"] = (
+            f"CASE WHEN __deep THEN {lone('depth', quoted(DEPTH_ERROR))} "
+            f"WHEN NOT __identified THEN {lone('identity', quoted(IDENTITY_ERROR))} "
+            f"WHEN __event IS NULL THEN {lone('unknown_event', f"concat('event ', {known_name}, ' not found')")} "
+            f"WHEN __broken IS NOT NULL THEN {lone('contract', '__broken')} ELSE __failed END"
+        )
+    return sealed(checked, kept, fields)
 
 
 def _identity_columns(
@@ -100,194 +90,136 @@ def _identity_columns(
     return {k: i for i, k in enumerate(sorted(known & used))}
 
 
-def _identity_ok(compiled: CompiledContract, wanted: dict[str, int], gate: bool) -> Column:
+def _identity_ok(compiled: CompiledContract, wanted: dict[str, int], gate: bool) -> str:
     if not gate or not compiled.identity_keys:
-        return F.lit(True)
-    found = [F.col(f"__id_{wanted[k]}").isNotNull() for k in compiled.identity_keys if k in wanted]
-    out = F.lit(False)
-    for f in found:
-        out = out | f
-    return out
+        return "true"
+    found = [f"__id_{wanted[k]} IS NOT NULL" for k in compiled.identity_keys if k in wanted]
+    return " OR ".join(found) or "false"
 
 
-def _join_rules(df: DataFrame, compiled: CompiledContract) -> DataFrame:
+def _join_rules(df: DataFrame, compiled: CompiledContract, kept: list[str]) -> DataFrame:
     """Left join on the event name: broadcast within the size bound, else a salted shuffle."""
     on = F.col("__name") == F.col("__event")
     if compiled.broadcast:
         return df.join(F.broadcast(compiled.rules), on, "left")
-    # One event name may hold a third of all rows: spread it over copies of its rules.
+    # One event name may hold a third of all rows: spread it over copies of its rules. Equal rows
+    # share a copy; a partition they overfill is split by the adaptive skew join.
     salted = compiled.rules.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    keyed = df.withColumn("__slot", F.pmod(
-        F.xxhash64(*[c for c in df.columns if not c.startswith("__")]), F.lit(SALTS)).cast("int"))
+    slot = F.pmod(F.xxhash64(*[F.col(name(c)) for c in kept]), F.lit(SALTS)).cast("int")
+    keyed = df.withColumn("__slot", slot)
     return keyed.join(salted, on & (F.col("__slot") == F.col("__salt")), "left").drop("__slot", "__salt")
 
 
-def _dotted(segments: list[str]) -> list[str]:
-    return [f"{a}.{b}" for a, b in zip(segments, segments[1:])]
-
-
 def _check_as_code(
-    df: DataFrame, compiled: CompiledContract, text: Column, wanted: dict[str, int], active: Column,
+    df: DataFrame, compiled: CompiledContract, text: str, wanted: dict[str, int], active: str,
     with_errors: bool,
 ) -> DataFrame:
     """Few distinct checks: each becomes a literal expression, switched on by the event's mask."""
     words = [c for c in df.columns if c.startswith("__mask_")]
-    bits = {i: (f"__mask_{i // WORD_BITS}", 1 << (i % WORD_BITS)) for i in range(len(compiled.checks))}
     by_prop: dict[str, list[int]] = defaultdict(list)
     for i, c in enumerate(compiled.checks):
         by_prop[c["property"]].append(i)
     props = sorted(by_prop)
+    others = [name(c) for c in df.columns if c not in words]
 
-    masked = df.select(
-        *[F.col(c) for c in df.columns if c not in words],
-        *[F.coalesce(F.when(active, F.col(w)), F.lit(0).cast("bigint")).alias(w) for w in words],
-        F.contains(text, F.lit("\\u002e")).alias("__escaped_dot"),
-    )
-
-    def any_of(ids: list[int]) -> Column:
-        per_word: dict[str, int] = defaultdict(int)
+    def bits_set(prefix: str, ids: list[int]) -> str:
+        per_word: dict[int, int] = defaultdict(int)
         for i in ids:
-            per_word[bits[i][0]] |= bits[i][1]
-        out = None
-        for w, m in per_word.items():
-            hit = F.col(w).bitwiseAND(F.lit(m)) != F.lit(0)
-            out = hit if out is None else out | hit
-        return out
-
-    values, tags, details = [], [], []
-    for n, prop in enumerate(props):
-        segments = prop.split(".")
-        root, below = segments[0], segments[1:]
-        raw = None
-        if root in ROOTS and below:
-            raw = F.try_variant_get(F.col(f"__root_{root}"), json_path(below), "variant")
-            if len(below) > 1:
-                # A key with a dot in its name can also spell this property.
-                suspect = F.col("__escaped_dot")
-                for d in _dotted(below):
-                    suspect = suspect | F.contains(text, F.lit(d))
-                raw = F.when(suspect, fl.last_at(text, root, prop)).otherwise(raw)
-            values.append(F.when(any_of(by_prop[prop]), raw).alias(f"__v{n}"))
-            tag = F.schema_of_variant(F.col(f"__v{n}"))
-        else:
-            tag = _none("string")
-        if prop in wanted:
-            tag = F.when(F.col(f"__id_{wanted[prop]}").isNotNull(), "STRING").otherwise(tag)
-        tags.append(tag.alias(f"__t{n}"))
+            per_word[i // WORD_BITS] |= 1 << (i % WORD_BITS)
+        return "(" + " OR ".join(f"({prefix}_{w} & {m}L) <> 0" for w, m in per_word.items()) + ")"
 
-        specs = [compiled.checks[i] for i in by_prop[prop]]
-        variant = F.col(f"__v{n}") if raw is not None else None
-        # Keys that name an identity are read as its text, everything else as a variant.
-        string = F.try_variant_get(variant, "$", "string") if raw is not None else _none("string")
-        if prop in wanted:
-            string = F.coalesce(F.col(f"__id_{wanted[prop]}"), string)
-        tag_col = F.col(f"__t{n}")
-        if any(c["type"] == "string" for c in specs):
-            details.append(F.when(tag_col == "STRING", string).alias(f"__s{n}"))
-        if any(c["type"] in ("integer", "number") for c in specs) and raw is not None:
-            details.append(F.when(
-                numeric_tag(tag_col), F.try_variant_get(variant, "$", "double")).alias(f"__n{n}"))
-
-    with_values = masked.select("*", *values)
-    with_tags = with_values.select("*", *tags)
-    ready = with_tags.select("*", *details)
-    have = set(ready.columns)
-
-    pairs: list[tuple[Column, Column]] = []
+    masked = df.selectExpr(
+        *others, *[f"CASE WHEN {active} THEN {w} ELSE 0L END AS {w}" for w in words]
+    )
+    values, tags, details, pairs = [], [], [], []
     for n, prop in enumerate(props):
-        value = Value(
-            F.col(f"__t{n}"),
-            F.col(f"__s{n}") if f"__s{n}" in have else _none("string"),
-            F.col(f"__n{n}") if f"__n{n}" in have else _none("double"),
-        )
+        root, *below = prop.split(".")
+        specs = [compiled.checks[i] for i in by_prop[prop]]
+        own = f"__id_{wanted[prop]}" if prop in wanted else None
+        held = root in ROOTS and bool(below)
+        tag, string = "cast(NULL AS string)", "cast(NULL AS string)"
+        if held:
+            found = fl.value_at(text, root, f"__root_{root}", below)
+            values.append(f"CASE WHEN {bits_set('__mask', by_prop[prop])} THEN {found} END AS __v{n}")
+            tag = f"schema_of_variant(__v{n})"
+            string = f"try_variant_get(__v{n}, '$', 'string')"
+        # A key that names an identity is its text, whatever the properties hold.
+        if own:
+            tag = f"CASE WHEN {own} IS NOT NULL THEN 'STRING' ELSE {tag} END"
+            string = f"coalesce({own}, {string})"
+        tags.append(f"{tag} AS __t{n}")
+        fields = ("min_length", "max_length", "pattern", "allowed")
+        on_text = any(c["type"] == "string" and any(c[f] is not None for f in fields) for c in specs)
+        on_number = held and any(
+            c["type"] == "integer" or c["min"] is not None or c["max"] is not None for c in specs)
+        if on_text:
+            details.append(f"CASE WHEN __t{n} = 'STRING' THEN {string} END AS __s{n}")
+        # Numbers are also told apart from whole numbers where another type was wanted.
+        details.append((
+            f"CASE WHEN {numeric_tag(f'__t{n}')} THEN try_variant_get(__v{n}, '$', 'double') END"
+            if held else "cast(NULL AS double)"
+        ) + f" AS __n{n}")
+        value = Value(f"__t{n}", f"__s{n}" if on_text else "cast(NULL AS string)", f"__n{n}")
         for i in by_prop[prop]:
-            c = compiled.checks[i]
-            lit = lambda x: None if x is None else F.lit(x)
-            pairs += checks_of(value, Spec(
-                property=F.lit(prop), type=c["type"] if c["type"] in PROPERTY_TYPES else "object",
-                required=F.lit(c["required"]), min=lit(c["min"]), max=lit(c["max"]),
-                min_length=lit(c["min_length"]), max_length=lit(c["max_length"]),
-                pattern=lit(c["pattern"]),
-                allowed=None if c["allowed"] is None else F.array(*[F.lit(x) for x in c["allowed"]]),
-            ), any_of([i]))
+            pairs += checks_of(value, literal_spec(compiled.checks[i]), bits_set("__mask", [i]))
+
+    with_values = masked.selectExpr("*", *values)
+    with_tags = with_values.selectExpr("*", *tags)
+    ready = with_tags.selectExpr(*[name(c) for c in with_tags.columns if not c.startswith("__root_")], *details)
 
     # All conditions go into bit words in generated code; error structs are built from the bits
     # and only for events that have any.
-    zero = F.lit(0).cast("bigint")
-    failed_words = {}
-    for w in range(len(pairs) // WORD_BITS + 1):
-        total = zero
-        for k, (condition, _) in enumerate(pairs[w * WORD_BITS:(w + 1) * WORD_BITS]):
-            total = total.bitwiseOR(F.when(condition, F.lit(1 << k).cast("bigint")).otherwise(zero))
-        failed_words[f"__failed_{w}"] = total
-    flagged = ready.select("*", *[c.alias(w) for w, c in failed_words.items()])
-    some = F.lit(False)
-    for w in failed_words:
-        some = some | (F.col(w) != 0)
-    base = [F.col(c) for c in df.columns if c not in words]
+    failed_words = []
+    for w in range(0, max(len(pairs), 1), WORD_BITS):
+        bits = [f"CASE WHEN {cond} THEN {1 << k}L ELSE 0L END"
+                for k, (cond, _) in enumerate(pairs[w:w + WORD_BITS])]
+        failed_words.append(" | ".join(bits) or "0L")
+    base = [c for c in others if not c.startswith("`__root_")]
+    kinds = [f"__{k}{n}" for n in range(len(props)) for k in "tn"] if with_errors else []
+    flagged = ready.selectExpr(
+        *base, *kinds, *[f"{x} AS __failed_{w}" for w, x in enumerate(failed_words)])
+    some = " OR ".join(f"__failed_{w} <> 0" for w in range(len(failed_words)))
     if not with_errors:
-        return flagged.select(*base, some.alias("__any"))
-    structs = [
-        F.when(
-            F.col(f"__failed_{k // WORD_BITS}").bitwiseAND(F.lit(1 << (k % WORD_BITS)).cast("bigint")) != 0,
-            err,
-        )
-        for k, (_, err) in enumerate(pairs)
-    ]
-    slots = flagged.select(
-        *base, some.alias("__any"), F.when(some, F.array(*structs)).alias("__slots")
-    ) if pairs else flagged.select(*base, some.alias("__any"), _none(f"array<{ERROR_DDL}>").alias("__slots"))
-    return slots.select(
-        *base, "__any",
-        F.coalesce(F.array_compact("__slots"), F.array().cast(f"array<{ERROR_DDL}>")).alias("__failed"),
-    )
+        return flagged.selectExpr(*base, f"({some}) AS __any")
+    slots = [f"CASE WHEN {bits_set('__failed', [k])} THEN {err} END" for k, (_, err) in enumerate(pairs)]
+    listed = f"CASE WHEN {some} THEN array({', '.join(slots)}) END" if slots else f"cast(NULL AS array<{ERROR_DDL}>)"
+    filled = flagged.selectExpr(*base, f"({some}) AS __any", f"{listed} AS __slots")
+    return filled.selectExpr(*base, "__any", f"coalesce(array_compact(__slots), {NO_ERRORS}) AS __failed")
 
 
 def _check_as_data(
-    df: DataFrame, compiled: CompiledContract, text: Column, wanted: dict[str, int], active: Column
+    df: DataFrame, compiled: CompiledContract, text: str, wanted: dict[str, int], active: str,
+    with_errors: bool,
 ) -> DataFrame:
     """Many distinct checks: flatten the event as deep as any property name and walk its rules."""
-    counted = df.withColumn("__levels", F.least(fl.brace_count(text), F.lit(compiled.levels)))
-    entries = fl.add_entries(
-        counted, text, {r: F.col(f"__root_{r}") for r in ROOTS}, F.col("__levels"), active
-    )
-    flat = entries.select(
-        *[F.col(c) for c in df.columns], F.concat(*[F.col(f"__flat_{r}") for r in ROOTS]).alias("__flat")
-    )
-    identity = F.array(*[
-        F.struct(F.lit(k).alias("key"), F.col(f"__id_{i}").alias("text")) for k, i in wanted.items()
-    ]) if wanted else F.array().cast("array<struct<key:string,text:string>>")
-    ready = flat.withColumn("__ids", F.filter(identity, lambda e: e["text"].isNotNull()))
-
-    def with_value(c: Column) -> Column:
-        held = F.get(F.filter("__flat", lambda e: e["key"] == c["property"]), F.lit(0))["value"]
-        own = F.get(F.filter("__ids", lambda e: e["key"] == c["property"]), F.lit(0))["text"]
-        return F.struct(
-            c.alias("check"),
-            F.when(own.isNotNull(), "STRING").otherwise(F.schema_of_variant(held)).alias("tag"),
-            F.coalesce(own, F.try_variant_get(held, "$", "string")).alias("text"),
-            F.try_variant_get(held, "$", "double").alias("number"),
-        )
-
-    def failed(x: Column) -> Column:
-        c = x["check"]
-        value = Value(x["tag"], x["text"], F.when(numeric_tag(x["tag"]), x["number"]))
-        return F.array_compact(F.array(*[F.when(cond, err) for cond, err in checks_of(value, Spec(
-            property=c["property"], type=c["type"], required=c["required"], min=c["min"],
-            max=c["max"], min_length=c["min_length"], max_length=c["max_length"],
-            pattern=c["pattern"], allowed=c["allowed"],
-        ))]))
-
-    paired = ready.select(
-        *[F.col(c) for c in df.columns],
-        F.transform(F.when(active, F.col("__checks")), with_value).alias("__paired"),
-    )
-    none = F.array().cast(f"array<{ERROR_DDL}>")
-    checked = paired.select(
-        *[F.col(c) for c in df.columns],
-        F.coalesce(F.flatten(F.transform("__paired", failed)), none).alias("__failed"),
+    roots = {r: f"__root_{r}" for r in ROOTS}
+    base = [name(c) for c in df.columns if c not in roots.values()]
+    counted = df.selectExpr("*", f"least({fl.brace_count(text)}, {compiled.levels}) AS __levels")
+    entries = fl.add_entries(counted, text, roots, "__levels", active)
+    own = ", ".join(f"named_struct('key', {quoted(k)}, 'text', __id_{i})" for k, i in wanted.items())
+    ids = f"array({own})" if own else "cast(array() AS array<struct<key:string,text:string>>)"
+    flat = entries.selectExpr(
+        *base, f"concat({', '.join(f'__flat_{r}' for r in ROOTS)}) AS __flat",
+        f"filter({ids}, e -> e.text IS NOT NULL) AS __ids",
     )
-    return checked.withColumn("__any", F.size("__failed") > 0)
+    paired = flat.selectExpr(*base, f"""
+        transform(CASE WHEN {active} THEN __checks END, c -> named_struct(
+            'check', c,
+            'held', get(filter(__flat, e -> e.key = c.property), 0).value,
+            'own', get(filter(__ids, e -> e.key = c.property), 0).text)) AS __paired""")
+    typed = paired.selectExpr(*base, """
+        transform(__paired, x -> named_struct(
+            'check', x.check,
+            'tag', CASE WHEN x.own IS NOT NULL THEN 'STRING' ELSE schema_of_variant(x.held) END,
+            'text', coalesce(x.own, try_variant_get(x.held, '$', 'string')),
+            'number', try_variant_get(x.held, '$', 'double'))) AS __typed""")
+    value = Value("x.tag", "x.text", "x.number")
+    found = ", ".join(
+        f"CASE WHEN {cond} THEN {err} END" for cond, err in checks_of(value, data_spec("x.check")))
+    checked = typed.selectExpr(*base, f"transform(__typed, x -> array({found})) AS __found")
+    failed = checked.selectExpr(
+        *base, f"coalesce(array_compact(flatten(__found)), {NO_ERRORS}) AS __failed")
+    return failed.selectExpr("*", "size(__failed) > 0 AS __any")
 
 
 def error_strings(errors: str | Column = "errors") -> Column:
