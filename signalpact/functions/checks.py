@@ -9,48 +9,56 @@ from signalpact.functions.paths import quoted
 ERROR_DDL = "struct<property:string,rule:string,detail:string>"
 
 
-def numeric_tag(tag: str) -> str:
-    return f"({tag} = 'BIGINT' OR startswith({tag}, 'DECIMAL') OR {tag} = 'DOUBLE')"
+# Kinds of a value. Small numbers, as every check compares them.
+ABSENT, STRING, INTEGER, NUMBER, BOOLEAN, NULL, ARRAY = range(7)
+KIND_NAMES = {STRING: "string", INTEGER: "integer", NUMBER: "number", BOOLEAN: "boolean",
+              NULL: "null", ARRAY: "array"}
+
+
+def kind_of(tag: str, value: str) -> str:
+    """Kind of a VARIANT with a given schema tag; a number without fraction is an integer.
+
+    Objects were flattened away, so one that is left means the key itself is absent.
+    """
+    number = f"try_variant_get({value}, '$', 'double')"
+    return (
+        f"CASE WHEN {tag} IS NULL THEN {ABSENT} WHEN {tag} = 'STRING' THEN {STRING} "
+        f"WHEN {tag} = 'BIGINT' THEN {INTEGER} "
+        f"WHEN startswith({tag}, 'DECIMAL') OR {tag} = 'DOUBLE' THEN "
+        f"CASE WHEN {number} = floor({number}) THEN {INTEGER} ELSE {NUMBER} END "
+        f"WHEN {tag} = 'BOOLEAN' THEN {BOOLEAN} WHEN {tag} = 'VOID' THEN {NULL} "
+        f"WHEN startswith({tag}, 'ARRAY') THEN {ARRAY} ELSE {ABSENT} END"
+    )
 
 
 @dataclass(frozen=True)
 class Value:
-    """A property value of one event: kind tag (NULL = absent), text and number where they fit."""
+    """A property value of one event as SQL text: its kind, text and number."""
 
-    tag: str
+    kind: str
     text: str
     number: str
 
     @property
     def present(self) -> str:
-        return f"({self.tag} IS NOT NULL AND NOT startswith({self.tag}, 'OBJECT'))"
+        return f"{self.kind} <> {ABSENT}"
 
     @property
-    def whole(self) -> str:
-        return (
-            f"({self.tag} = 'BIGINT' OR ({numeric_tag(self.tag)} AND {self.number} = floor({self.number})))"
-        )
+    def numeric(self) -> str:
+        return f"{self.kind} IN ({INTEGER}, {NUMBER})"
 
     def has_type(self, type_name: str) -> str:
-        """Whether a present value has a JSON type; objects were flattened away."""
-        return {
-            "string": f"({self.tag} = 'STRING')",
-            "number": numeric_tag(self.tag),
-            "integer": self.whole,
-            "boolean": f"({self.tag} = 'BOOLEAN')",
-            "array": f"startswith({self.tag}, 'ARRAY')",
-            "null": f"({self.tag} = 'VOID')",
-        }.get(type_name, "false")
+        """Whether a present value has a JSON type (an object never is one, see kind_of)."""
+        if type_name == "number":
+            return f"({self.numeric})"
+        kinds = {n: k for k, n in KIND_NAMES.items()}
+        return f"({self.kind} = {kinds[type_name]})" if type_name in kinds else "false"
 
     @property
-    def kind(self) -> str:
+    def kind_name(self) -> str:
         """JSON type name of a present value, for messages."""
-        t = self.tag
-        return (
-            f"CASE WHEN {t} = 'STRING' THEN 'string' WHEN {t} = 'BOOLEAN' THEN 'boolean' "
-            f"WHEN {t} = 'VOID' THEN 'null' WHEN startswith({t}, 'ARRAY') THEN 'array' "
-            f"WHEN {t} = 'BIGINT' OR {self.number} = floor({self.number}) THEN 'integer' ELSE 'number' END"
-        )
+        cases = " ".join(f"WHEN {k} THEN '{n}'" for k, n in KIND_NAMES.items())
+        return f"CASE {self.kind} {cases} END"
 
 
 @dataclass(frozen=True)
@@ -98,8 +106,8 @@ def checks_of(v: Value, s: Spec, guard: str = "true") -> list[tuple[str, str]]:
         right_type = f"coalesce(CASE {s.type} {cases} END, false)"
         on_number = on_text = True
     fits = f"{guard} AND {right_type}"
-    number = f"{fits} AND {numeric_tag(v.tag)}" if s.type_name is None else fits
-    text = f"{fits} AND {v.tag} = 'STRING'" if s.type_name is None else fits
+    number = f"{fits} AND {v.numeric}" if s.type_name is None else fits
+    text = f"{fits} AND {v.kind} = {STRING}" if s.type_name is None else fits
     out: list[tuple[str, str]] = []
 
     def add(rule: str, condition: str, detail: str) -> None:
@@ -124,9 +132,9 @@ def checks_of(v: Value, s: Spec, guard: str = "true") -> list[tuple[str, str]]:
         add("pattern", f"{text} AND NOT rlike({v.text}, {s.pattern})",
             f"concat('Does not match pattern \\'', {s.pattern}, '\\'')")
     if s.required != "false":
-        add("required", f"{guard} AND {s.required} AND NOT {v.present}", f"concat({s.property}, ' is required')")
+        add("required", f"{guard} AND {s.required} AND NOT ({v.present})", f"concat({s.property}, ' is required')")
     add("type", f"{guard} AND {v.present} AND NOT {right_type}",
-        f"concat('Invalid type. Expected: ', {s.type}, ', given: ', {v.kind})")
+        f"concat('Invalid type. Expected: ', {s.type}, ', given: ', {v.kind_name})")
     return out
 
 

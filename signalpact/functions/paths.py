@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 
 def quoted(text: str) -> str:
@@ -52,20 +52,21 @@ def root_text(payload: str, doc: str, path: str) -> str:
     )
 
 
-def add_first_texts(
-    df: DataFrame, payload: str, doc: str, wanted: dict[str, tuple[str, ...]]
-) -> DataFrame:
-    """Add columns with the first non-empty text of each path list (NULL when all are empty).
+def first_texts(
+    payload: str, doc: str, wanted: dict[str, tuple[str, ...]]
+) -> tuple[dict[str, str], dict[str, str]]:
+    """First non-empty text of each path list, NULL when all are empty, in two steps of columns.
 
-    First a plain coalesce, which is right unless it meets an empty string; only then are the
-    paths gone through again. So an ordinary event costs one lookup per missing path.
+    The first step is a plain coalesce, which is right unless it meets an empty string; only then
+    does the second go through the paths again. An ordinary event costs one lookup per missing path.
     """
     texts = {n: [root_text(payload, doc, p) for p in paths] for n, paths in wanted.items()}
-    first = df.selectExpr("*", *[f"coalesce({', '.join(t)}) AS {n}" for n, t in texts.items()])
-    return first.select(*[F.col(c) for c in df.columns], *[
-        F.expr(f"CASE WHEN {n} = '' THEN get(filter(array({', '.join(t)}), t -> t <> ''), 0) ELSE {n} END").alias(n)
+    first = {n: f"coalesce({', '.join(t)})" for n, t in texts.items()}
+    then = {
+        n: f"CASE WHEN {n} = '' THEN get(filter(array({', '.join(t)}), t -> t <> ''), 0) ELSE {n} END"
         for n, t in texts.items()
-    ])
+    }
+    return first, then
 
 
 def root_object(payload: str, doc: str, key: str) -> str:

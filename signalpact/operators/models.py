@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from signalpact.functions import flatten as fl
 from signalpact.functions.paths import name, root_object, sealed
 from signalpact.model import Contract, Mapping, local_table
-from signalpact.operators.normalize import DOC, ROOTS, add_event_name, add_identity, identity_names, parse
+from signalpact.operators.normalize import DOC, ROOTS, identity_names, parse, read_names
 from signalpact.operators.resolve import resolve_properties
 
 # --- fixed values: column type per contract type; every other type is text ---
@@ -42,11 +42,11 @@ def typed_model(
                 if k in {p for p, _, _ in properties}}
     parsed = parse(df.select(*keep, payload), payload)
     if event is not None:
-        named = add_event_name(parsed, text, DOC, mapping, "__name")
+        named = read_names(parsed, text, DOC, mapping, "__name", {})
         parsed = sealed(named, [*keep, payload], {DOC: DOC, "__name": "__name"}).filter(
             F.col("__name") == event)
-    filled = add_identity(parsed, text, DOC, mapping, identity)
-    opened = filled.selectExpr("*", *[f"{root_object(text, DOC, r)} AS __root_{r}" for r in ROOTS])
+    opened = read_names(parsed, text, DOC, mapping, None, identity, first={
+        f"__root_{r}": root_object(text, DOC, r) for r in ROOTS})
     found = {
         p: fl.value_at(text, p.split(".")[0], f"__root_{p.split('.')[0]}", p.split(".")[1:])
         for p, _, _ in properties if p.split(".")[0] in ROOTS and "." in p

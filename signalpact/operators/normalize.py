@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from signalpact.functions import flatten as fl
-from signalpact.functions.paths import add_first_texts, name, quoted, root_object, sealed
+from signalpact.functions.paths import first_texts, name, quoted, root_object, sealed
 from signalpact.model import MAX_DEPTH, Mapping
 
 ROOTS = ("properties", "context")
@@ -18,27 +18,36 @@ def parse(df: DataFrame, payload: str) -> DataFrame:
     return df.selectExpr("*", f"try_parse_json({name(payload)}) AS {DOC}")
 
 
-def add_event_name(df: DataFrame, text: str, doc: str, mapping: Mapping, column: str) -> DataFrame:
-    """Add the event name, an empty string when no path holds one."""
-    out = add_first_texts(df, text, doc, {column: tuple(mapping.event_paths)})
-    return out.selectExpr(*[name(c) for c in df.columns], f"coalesce({column}, '') AS {column}")
-
-
 def identity_names(mapping: Mapping) -> list[str]:
     """Keys an event can carry; ``anonymousId`` may also stand in for ``userId``."""
     return sorted({*mapping.identity_paths, *(["userId"] if "anonymousId" in mapping.identity_paths else [])})
 
 
-def add_identity(
-    df: DataFrame, text: str, doc: str, mapping: Mapping, columns: dict[str, str]
+def read_names(
+    df: DataFrame, text: str, doc: str, mapping: Mapping, event: str | None,
+    identity: dict[str, str], first: dict[str, str] | None = None, then: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Add one text column per identity key in ``columns`` (key -> column), NULL when empty."""
-    paths = {}
-    for key, column in columns.items():
+    """Add the event name (column ``event``, an empty string when no path holds one) and one text
+    column per identity key (key -> column, NULL when empty).
+
+    ``first`` and ``then`` are further columns for the two projections this takes: every
+    projection less is a copy of the row less.
+    """
+    wanted = {}
+    if event is not None:
+        wanted[event] = tuple(mapping.event_paths)
+    for key, column in identity.items():
         own = tuple(mapping.identity_paths.get(key, ()))
         stand_in = tuple(mapping.identity_paths.get("anonymousId", ())) if key == "userId" else ()
-        paths[column] = own + stand_in
-    return add_first_texts(df, text, doc, paths) if paths else df
+        wanted[column] = own + stand_in
+    wanted = {n: p for n, p in wanted.items() if p}
+    one, two = first_texts(text, doc, wanted)
+    if event in two:
+        two[event] = f"coalesce({two[event]}, '')"
+    one.update(first or {})
+    step = df.selectExpr("*", *[f"{e} AS {n}" for n, e in one.items()])
+    kept = [name(c) for c in step.columns if c not in two]
+    return step.selectExpr(*kept, *[f"{e} AS {n}" for n, e in {**two, **(then or {})}.items()])
 
 
 def _identity_map(columns: dict[str, str]) -> str:
@@ -54,7 +63,7 @@ def extract_event_name(
     df: DataFrame, payload: str = "payload", mapping: Mapping = Mapping()
 ) -> DataFrame:
     """Add ``event``: the first non-empty name, else an empty string."""
-    named = add_event_name(parse(df, payload), name(payload), DOC, mapping, "__name")
+    named = read_names(parse(df, payload), name(payload), DOC, mapping, "__name", {})
     return sealed(named, [c for c in df.columns if c != "event"], {"event": "__name"})
 
 
@@ -63,7 +72,7 @@ def extract_identity(
 ) -> DataFrame:
     """Add ``identity``, MAP<STRING,STRING> of the identity keys that are set."""
     columns = _identity_columns(mapping)
-    found = add_identity(parse(df, payload), name(payload), DOC, mapping, columns)
+    found = read_names(parse(df, payload), name(payload), DOC, mapping, None, columns)
     return sealed(found, [c for c in df.columns if c != "identity"], {"identity": _identity_map(columns)})
 
 
@@ -87,7 +96,7 @@ def flatten_events(
     Events nested too deeply give no rows; find them with :func:`depth_guard`.
     """
     flat = _with_entries(df.select(id_col, payload), payload, (root,))
-    return flat.selectExpr(name(id_col), f"inline(__flat_{root})")
+    return sealed(flat, [id_col], {"__flat": f"__flat_{root}"}).selectExpr(name(id_col), "inline(__flat)")
 
 
 def depth_guard(df: DataFrame, payload: str = "payload") -> DataFrame:
@@ -111,10 +120,8 @@ def normalize(
     text = name(payload)
     columns = _identity_columns(mapping)
     flat = _with_entries(df, payload, ROOTS)
-    named = add_event_name(flat, text, DOC, mapping, "__name")
-    whole = add_identity(named, text, DOC, mapping, columns).selectExpr(
-        "*", f"concat({', '.join(f'__flat_{r}' for r in ROOTS)}) AS __all"
-    )
+    whole = read_names(flat, text, DOC, mapping, "__name", columns, first={
+        "__all": f"concat({', '.join(f'__flat_{r}' for r in ROOTS)})"})
     kept = [c for c in df.columns if c not in ("event", "identity", "properties", "error")]
     return sealed(whole, kept, {
         "event": "__name", "identity": _identity_map(columns),

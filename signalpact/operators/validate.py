@@ -8,13 +8,13 @@ from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from signalpact.functions import flatten as fl
 from signalpact.functions.checks import (
-    ERROR_DDL, Value, checks_of, data_spec, error, literal_spec, numeric_tag,
+    ABSENT, ERROR_DDL, STRING, Value, checks_of, data_spec, error, kind_of, literal_spec,
 )
 from signalpact.functions.paths import name, quoted, root_object, sealed
 from signalpact.model import Contract, Mapping
 from signalpact.operators.compiled import WORD_BITS, CompiledContract, compile_contract
 from signalpact.operators.normalize import (
-    DEPTH_ERROR, ROOTS, add_event_name, add_identity, identity_names,
+    DEPTH_ERROR, ROOTS, identity_names, read_names,
 )
 
 IDENTITY_ERROR = "identity_required: no recognized identity properties found"
@@ -45,12 +45,13 @@ def validate(
 
     given = [] if event is None else [(F.lit(event) if isinstance(event, str) else event).alias("__name")]
     parsed = df.select(*[F.col(name(c)) for c in kept], *given, F.expr(f"try_parse_json({text})").alias(doc))
-    named = parsed if given else add_event_name(parsed, text, doc, mapping, "__name")
-    identified = add_identity(named, text, doc, mapping, {k: f"__id_{i}" for k, i in wanted.items()})
-    opened = identified.selectExpr("*", *[f"{root_object(text, doc, r)} AS {c}" for r, c in roots.items()])
+    opened = read_names(
+        parsed, text, doc, mapping, None if given else "__name", {k: f"__id_{i}" for k, i in wanted.items()},
+        first={c: root_object(text, doc, r) for r, c in roots.items()},
+        then={"__deep": fl.too_deep(text, doc, roots)},
+    )
     gated = opened.selectExpr(
         *[name(c) for c in opened.columns if c != doc],
-        f"{fl.too_deep(text, doc, roots)} AS __deep",
         f"{_identity_ok(compiled, wanted, identity_gate)} AS __identified",
     )
     joined = _join_rules(gated, compiled, kept)
@@ -131,41 +132,38 @@ def _check_as_code(
     masked = df.selectExpr(
         *others, *[f"CASE WHEN {active} THEN {w} ELSE 0L END AS {w}" for w in words]
     )
-    values, tags, details, pairs = [], [], [], []
+    values, kinds, pairs = [], [], []
     for n, prop in enumerate(props):
         root, *below = prop.split(".")
         specs = [compiled.checks[i] for i in by_prop[prop]]
         own = f"__id_{wanted[prop]}" if prop in wanted else None
         held = root in ROOTS and bool(below)
-        tag, string = "cast(NULL AS string)", "cast(NULL AS string)"
         if held:
+            # The value is a column of its own, so its kind and its forms share one lookup.
             found = fl.value_at(text, root, f"__root_{root}", below)
-            values.append(f"CASE WHEN {bits_set('__mask', by_prop[prop])} THEN {found} END AS __v{n}")
-            tag = f"schema_of_variant(__v{n})"
-            string = f"try_variant_get(__v{n}, '$', 'string')"
+            found = f"CASE WHEN {bits_set('__mask', by_prop[prop])} THEN {found} END"
+            values += [f"{found} AS __v{n}", f"schema_of_variant({found}) AS __t{n}"]
+            kind, string = kind_of(f"__t{n}", f"__v{n}"), f"try_variant_get(__v{n}, '$', 'string')"
+            number = f"try_variant_get(__v{n}, '$', 'double')"
+        else:
+            kind, string, number = str(ABSENT), "cast(NULL AS string)", "cast(NULL AS double)"
         # A key that names an identity is its text, whatever the properties hold.
         if own:
-            tag = f"CASE WHEN {own} IS NOT NULL THEN 'STRING' ELSE {tag} END"
+            kind = f"CASE WHEN {own} IS NOT NULL THEN {STRING} ELSE {kind} END"
             string = f"coalesce({own}, {string})"
-        tags.append(f"{tag} AS __t{n}")
-        fields = ("min_length", "max_length", "pattern", "allowed")
-        on_text = any(c["type"] == "string" and any(c[f] is not None for f in fields) for c in specs)
-        on_number = held and any(
-            c["type"] == "integer" or c["min"] is not None or c["max"] is not None for c in specs)
-        if on_text:
-            details.append(f"CASE WHEN __t{n} = 'STRING' THEN {string} END AS __s{n}")
-        # Numbers are also told apart from whole numbers where another type was wanted.
-        details.append((
-            f"CASE WHEN {numeric_tag(f'__t{n}')} THEN try_variant_get(__v{n}, '$', 'double') END"
-            if held else "cast(NULL AS double)"
-        ) + f" AS __n{n}")
-        value = Value(f"__t{n}", f"__s{n}" if on_text else "cast(NULL AS string)", f"__n{n}")
+        kinds.append(f"{kind} AS __k{n}")
+        if any(c["type"] == "string" and any(
+                c[f] is not None for f in ("min_length", "max_length", "pattern", "allowed")) for c in specs):
+            kinds.append(f"{string} AS __s{n}")
+        if any(c["type"] in ("integer", "number") and (c["min"] is not None or c["max"] is not None) for c in specs):
+            kinds.append(f"{number} AS __n{n}")
+        value = Value(f"__k{n}", f"__s{n}", f"__n{n}")
         for i in by_prop[prop]:
             pairs += checks_of(value, literal_spec(compiled.checks[i]), bits_set("__mask", [i]))
 
     with_values = masked.selectExpr("*", *values)
-    with_tags = with_values.selectExpr("*", *tags)
-    ready = with_tags.selectExpr(*[name(c) for c in with_tags.columns if not c.startswith("__root_")], *details)
+    base = [c for c in others if not c.startswith("`__root_")]
+    ready = with_values.selectExpr(*base, *words, *kinds)
 
     # All conditions go into bit words in generated code; error structs are built from the bits
     # and only for events that have any.
@@ -174,10 +172,9 @@ def _check_as_code(
         bits = [f"CASE WHEN {cond} THEN {1 << k}L ELSE 0L END"
                 for k, (cond, _) in enumerate(pairs[w:w + WORD_BITS])]
         failed_words.append(" | ".join(bits) or "0L")
-    base = [c for c in others if not c.startswith("`__root_")]
-    kinds = [f"__{k}{n}" for n in range(len(props)) for k in "tn"] if with_errors else []
+    told = [f"__k{n}" for n in range(len(props))] if with_errors else []
     flagged = ready.selectExpr(
-        *base, *kinds, *[f"{x} AS __failed_{w}" for w, x in enumerate(failed_words)])
+        *base, *told, *[f"{x} AS __failed_{w}" for w, x in enumerate(failed_words)])
     some = " OR ".join(f"__failed_{w} <> 0" for w in range(len(failed_words)))
     if not with_errors:
         return flagged.selectExpr(*base, f"({some}) AS __any")
@@ -207,13 +204,16 @@ def _check_as_data(
             'check', c,
             'held', get(filter(__flat, e -> e.key = c.property), 0).value,
             'own', get(filter(__ids, e -> e.key = c.property), 0).text)) AS __paired""")
-    typed = paired.selectExpr(*base, """
+    tagged = paired.selectExpr(*base, """
         transform(__paired, x -> named_struct(
+            'check', x.check, 'own', x.own, 'held', x.held, 'tag', schema_of_variant(x.held))) AS __tagged""")
+    typed = tagged.selectExpr(*base, f"""
+        transform(__tagged, x -> named_struct(
             'check', x.check,
-            'tag', CASE WHEN x.own IS NOT NULL THEN 'STRING' ELSE schema_of_variant(x.held) END,
+            'kind', CASE WHEN x.own IS NOT NULL THEN {STRING} ELSE {kind_of('x.tag', 'x.held')} END,
             'text', coalesce(x.own, try_variant_get(x.held, '$', 'string')),
             'number', try_variant_get(x.held, '$', 'double'))) AS __typed""")
-    value = Value("x.tag", "x.text", "x.number")
+    value = Value("x.kind", "x.text", "x.number")
     found = ", ".join(
         f"CASE WHEN {cond} THEN {err} END" for cond, err in checks_of(value, data_spec("x.check")))
     checked = typed.selectExpr(*base, f"transform(__typed, x -> array({found})) AS __found")
