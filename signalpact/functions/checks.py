@@ -25,7 +25,7 @@ def kind_of(tag: str, value: str) -> str:
         f"CASE WHEN {tag} IS NULL THEN {ABSENT} WHEN {tag} = 'STRING' THEN {STRING} "
         f"WHEN {tag} = 'BIGINT' THEN {INTEGER} "
         f"WHEN startswith({tag}, 'DECIMAL') OR {tag} = 'DOUBLE' THEN "
-        f"CASE WHEN {number} = floor({number}) THEN {INTEGER} ELSE {NUMBER} END "
+        f"CASE WHEN {number} % 1 = 0 THEN {INTEGER} ELSE {NUMBER} END "
         f"WHEN {tag} = 'BOOLEAN' THEN {BOOLEAN} WHEN {tag} = 'VOID' THEN {NULL} "
         f"WHEN startswith({tag}, 'ARRAY') THEN {ARRAY} ELSE {ABSENT} END"
     )

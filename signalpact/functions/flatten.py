@@ -94,7 +94,7 @@ def add_entries(
 def last_at(text: str, root: str, key: str) -> str:
     """Value of one flat key read from the text, so that the later of two spellings wins."""
     entries = expand_text(root, f"get_json_object({text}, {json_path([root])})", brace_count(text))
-    return f"element_at(filter({entries}, e -> e.key = {quoted(key)}), -1).value"
+    return f"try_element_at(filter({entries}, e -> e.key = {quoted(key)}), -1).value"
 
 
 def spelled_with_dot(text: str, segments: list[str]) -> str:

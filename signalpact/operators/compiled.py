@@ -5,8 +5,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import DataFrame, functions as F
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, functions as F
 
 from signalpact.functions.paths import quotable
 from signalpact.model import Contract, local_table
@@ -35,14 +36,15 @@ class CompiledContract:
     broadcast: bool
 
 
-def _bad_patterns(spark, patterns: list[str]) -> list[str]:
-    """Patterns the regex dialect rejects (few: only called for literal checks)."""
+def _bad_patterns(table: DataFrame) -> list[str]:
+    """Patterns the regex dialect of Spark rejects; each event that has one cannot be checked."""
+    compile_java = table.sparkSession.sparkContext._jvm.java.util.regex.Pattern.compile
     bad = []
-    for p in patterns:
+    for row in table.select("pattern").filter(F.col("pattern").isNotNull()).distinct().toLocalIterator():
         try:
-            spark.range(1).select(F.rlike(F.col("id").cast("string"), F.lit(p))).collect()
-        except PySparkException:
-            bad.append(p)
+            compile_java(row["pattern"])
+        except (Py4JJavaError, PySparkException):
+            bad.append(row["pattern"])
     return bad
 
 
@@ -55,6 +57,12 @@ def compile_contract(
     spark = configure(contract.events.sparkSession)
     resolution = resolve_properties(contract)
     table = constraint_table(contract, resolution).withColumn("__why", unusable()).persist()
+    bad = _bad_patterns(table)
+    if bad:
+        table = table.withColumn("__why", F.coalesce("__why", F.when(
+            F.col("pattern").isin(bad),
+            F.concat(F.lit("property "), F.col("property"), F.lit(": bad pattern")),
+        ))).withColumn("pattern", F.when(~F.col("pattern").isin(bad), F.col("pattern"))).persist()
 
     size = table.agg(
         F.sum(
@@ -73,11 +81,6 @@ def compile_contract(
     )
 
     if literal:
-        bad = _bad_patterns(spark, sorted({r["pattern"] for r in distinct if r["pattern"]}))
-        table = table.withColumn("__why", F.coalesce("__why", F.when(
-            F.col("pattern").isin(bad), F.concat(
-                F.lit("property "), F.col("property"), F.lit(": bad pattern")))
-        )) if bad else table
         checks = sorted(distinct, key=_check_order)
         grouped = _masks(spark, table, checks)
     else:

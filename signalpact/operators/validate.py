@@ -243,8 +243,9 @@ def _count(status: str) -> Column:
 def observe_validation(validated: DataFrame, name: str = "validation") -> tuple[DataFrame, Observation]:
     """Attach outcome counts to whatever action the frame is used in."""
     seen = Observation(name)
+    # A stream reports through its listener, under the name alone.
     return validated.observe(
-        seen, F.count(F.lit(1)).alias("total"), _count("valid").alias("valid"),
+        name if validated.isStreaming else seen, F.count(F.lit(1)).alias("total"), _count("valid").alias("valid"),
         _count("invalid").alias("invalid"), _count("error").alias("error"),
     ), seen
 

@@ -10,7 +10,7 @@ from signalpact.model import Mapping
 from signalpact.operators import impact, lint, models, normalize as norm, resolve, validate as val
 from signalpact.operators.compiled import CompiledContract, compile_contract
 from signalpact.plans import fixtures as fx
-from signalpact.session import scratch_path
+from signalpact.session import scratch_path, spread
 from signalpact.sources import sinks, snapshots as snap
 from signalpact.sources.events import read_events, read_events_stream
 from signalpact.streaming.jobs import summary_stream
@@ -33,8 +33,12 @@ def demo(spark: SparkSession, version: int = 1) -> CompiledContract:
     return _compiled[key]
 
 
+def events_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(fx.table(spark, sf_dir, "events"))
+
+
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fx.raw_events(fx.table(spark, sf_dir, "events"))
+    return fx.raw_events(events_table(spark, sf_dir))
 
 
 def validated(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
@@ -68,7 +72,7 @@ def stream_validate_counts(spark, sf_dir):
 @query
 def snapshot_roundtrip(spark, sf_dir):
     path = scratch_path(spark, "snapshots")
-    snap.save_snapshots(fx.snapshots(fx.table(spark, sf_dir, "events")), path)
+    snap.save_snapshots(fx.snapshots(events_table(spark, sf_dir)), path)
     return snap.load_snapshots(spark, path, "sha_a").select(
         "id", "sha", "event_name", F.unix_micros("created_at").alias("created_us"),
         F.get_json_object("payload", "$.properties.qty").cast("int").alias("qty"),
@@ -77,7 +81,7 @@ def snapshot_roundtrip(spark, sf_dir):
 
 @query
 def snapshots_by_event(spark, sf_dir):
-    samples = fx.snapshots(fx.table(spark, sf_dir, "events")).filter("sha = 'sha_a'")
+    samples = fx.snapshots(events_table(spark, sf_dir)).filter("sha = 'sha_a'")
     groups = snap.snapshots_by_event(samples, chunk_rows=500)
     return groups.select(
         "event_name", F.size("payloads").alias("n"),
@@ -158,7 +162,7 @@ def flatten_context(spark, sf_dir):
 
 @query
 def depth_guard(spark, sf_dir):
-    deep = fx.deep_events(fx.table(spark, sf_dir, "events"))
+    deep = fx.deep_events(events_table(spark, sf_dir))
     return norm.depth_guard(deep).select("event_id", "too_deep")
 
 
@@ -321,7 +325,7 @@ def validation_summary(spark, sf_dir):
 
 @query
 def check_parity(spark, sf_dir):
-    samples = fx.snapshots(fx.table(spark, sf_dir, "events"))
+    samples = fx.snapshots(events_table(spark, sf_dir))
     return impact.check_parity(samples, "sha_a", demo(spark, 2)).select(
         "event_name", "id", codes().alias("errors"))
 

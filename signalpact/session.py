@@ -40,6 +40,15 @@ def scratch_path(spark: SparkSession, purpose: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on an input with fewer partitions than cores (one small file, one row group).
+
+    Inputs of any size worth distributing have more partitions than that and stay unshuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def cut_lineage(df: DataFrame, purpose: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, so lost executors cannot undo it."""
     spark = df.sparkSession

@@ -11,7 +11,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from signalpact.model import Contract, Mapping
 from signalpact.operators.compiled import CompiledContract, compile_contract
-from signalpact.operators.validate import summary, validate
+from signalpact.operators.validate import observe_validation, summary, validate
 from signalpact.session import scratch_path
 from signalpact.sources.sinks import dlq_records, write_dlq_webhook
 
@@ -130,6 +130,17 @@ def summary_stream(
     ).trigger(availableNow=True).start()
 
 
+def observed_stream(
+    events: DataFrame, contract: Contract | CompiledContract, sink: Sink, checkpoint: str | None = None,
+    metric: str = "validation",
+) -> StreamingQuery:
+    """Validate with one contract and report outcome counts per batch to a ValidationListener."""
+    checked, _ = observe_validation(validate(events, contract), metric)
+    return checked.writeStream.foreachBatch(sink).option(
+        "checkpointLocation", checkpoint or scratch_path(events.sparkSession, "observed-stream")
+    ).trigger(availableNow=True).start()
+
+
 class ValidationListener(StreamingQueryListener):
     """Collects the outcome counts and the duration of every finished batch."""
 
