@@ -191,7 +191,8 @@ def _check_as_data(
     """Many distinct checks: flatten the event as deep as any property name and walk its rules."""
     roots = {r: f"__root_{r}" for r in ROOTS}
     base = [name(c) for c in df.columns if c not in roots.values()]
-    counted = df.selectExpr("*", f"least({fl.brace_count(text)}, {compiled.levels}) AS __levels")
+    # One level more than any property name has, so that no unopened object bears a property's name.
+    counted = df.selectExpr("*", f"least({fl.brace_count(text)}, {compiled.levels + 1}) AS __levels")
     entries = fl.add_entries(counted, text, roots, "__levels", active)
     own = ", ".join(f"named_struct('key', {quoted(k)}, 'text', __id_{i})" for k, i in wanted.items())
     ids = f"array({own})" if own else "cast(array() AS array<struct<key:string,text:string>>)"

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 SNAPSHOTS_DDL = "id bigint, event_name string, payload string, created_at timestamp, sha string"
 CHUNK_ROWS = 10_000
+BROADCAST_EVENTS = 100_000
 
 
 def save_snapshots(df: DataFrame, path: str, sha: str | None = None) -> None:
@@ -31,7 +32,10 @@ def snapshots_by_event(snapshots: DataFrame, chunk_rows: int = CHUNK_ROWS) -> Da
     holds a whole event; all chunks of an event together are its samples. Counting first costs
     one pass over the event names only.
     """
-    sizes = snapshots.groupBy("event_name").agg(F.count(F.lit(1)).alias("__n"))
+    sizes = snapshots.groupBy("event_name").agg(F.count(F.lit(1)).alias("__n")).persist()
+    # Joining by event would bring a frequent one together after all; so broadcast where it fits.
+    few = sizes.limit(BROADCAST_EVENTS + 1).count() <= BROADCAST_EVENTS
+    sizes = F.broadcast(sizes) if few else sizes
     chunks = F.ceil(F.col("__n") / F.lit(chunk_rows)).cast("int")
     placed = snapshots.join(sizes, "event_name").withColumn(
         "chunk", F.pmod(F.xxhash64("id"), chunks).cast("int")

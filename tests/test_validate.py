@@ -198,3 +198,14 @@ def test_custom_mapping(spark):
     raw = spark.createDataFrame([('{"event":"no","meta":{"name":"yes","id":5}}',)], "payload string")
     row = norm.normalize(raw, mapping=mapping).first()
     assert (row["event"], row["identity"]) == ("yes", {"account": "5"})
+
+
+@pytest.mark.parametrize("limit", [256, 0])
+def test_dotted_leaf_beside_deeper_object(spark, limit):
+    plan = {"events": {"E": {"properties": {"properties.a.b": {"type": "integer", "rules": {"max": 5}}}}}}
+    compiled = compile_contract(contract_from_dict(spark, plan), max_literal_checks=limit)
+    raw = spark.createDataFrame([
+        ('{"event":"E","properties":{"a.b":7,"a":{"b":{"c":1}}}}',),
+        ('{"event":"E","properties":{"a":{"b":{"c":1}},"a.b":7}}',),
+        ('{"event":"E","properties":{"a":{"b":3},"x":{"y":{"z":{}}}}}',)], "payload string")
+    assert [r["status"] for r in validate(raw, compiled).collect()] == ["invalid", "invalid", "valid"]
