@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Iterable, Mapping as MappingType
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 from typing import Any
 
 import pyarrow as pa
@@ -211,6 +211,4 @@ def load_contract(spark: SparkSession, path: str, plan_id: str = "plan") -> Cont
     return contract_from_dict(spark, plan_of_fragments(merged), plan_id)
 
 
-__all__ = [
-    "Contract", "Mapping", "contract_from_dict", "load_contract", "read_plan_file", "replace",
-]
+__all__ = ["Contract", "Mapping", "contract_from_dict", "load_contract", "read_plan_file"]
