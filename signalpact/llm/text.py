@@ -7,10 +7,13 @@ Word and n-gram hashes are computed for whole texts with numpy; every hash is 64
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
 _BLOCK = 1 << 20
@@ -128,3 +131,27 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def per_text(
+    df: DataFrame, keep: list[str], text: str, make: Callable[[], Callable[[list], dict]], added: str, rows: int = 512,
+) -> DataFrame:
+    """One output row per input row: the columns ``keep`` untouched plus what a function makes of whole texts.
+
+    ``make`` runs once per task and returns a function from some texts to its columns (``added``, a DDL).
+    Columns pass through Arrow, so nulls and wide integers in ``keep`` survive.
+    """
+    fields = StructType.fromDDL(added).fields
+    schema = StructType([*(df.schema[c] for c in keep), *fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work, arrow = make(), to_arrow_schema(StructType(fields))
+        for batch in batches:
+            for i in range(0, batch.num_rows, rows):
+                part = batch.slice(i, rows)
+                out = work(part.column(len(keep)).to_pylist())
+                columns = [part.column(k) for k in range(len(keep))]
+                columns += [pa.array(out[f.name], f.type) for f in arrow]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return df.select(*keep, text).mapInArrow(run, schema)
