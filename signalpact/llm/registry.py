@@ -4,20 +4,25 @@ from __future__ import annotations
 
 from signalpact.llm.bpe import op10_segment_tree_bpe
 from signalpact.llm.packing import op6_grouping_genetic_packing
+from signalpact.llm.pii import op7_information_sanitiser
 from signalpact.llm.rules import op2_isolation_forest_rules
 from signalpact.llm.sharding import OP9_SQL, op9_rendezvous_shards
 from signalpact.llm.urls import op1_url_language_models
+from signalpact.llm.vafile import OP3_SQL, op3_vector_approximation_topk
 from signalpact.llm.weak import op5_weak_label_quality
 
 QUERIES = {
     "op1_url_language_models": op1_url_language_models,
     "op2_isolation_forest_rules": op2_isolation_forest_rules,
+    "op3_vector_approximation_topk": op3_vector_approximation_topk,
     "op5_weak_label_quality": op5_weak_label_quality,
     "op6_grouping_genetic_packing": op6_grouping_genetic_packing,
+    "op7_information_sanitiser": op7_information_sanitiser,
     "op9_rendezvous_shards": op9_rendezvous_shards,
     "op10_segment_tree_bpe": op10_segment_tree_bpe,
 }
 
 ORACLE = {
+    "op3_vector_approximation_topk": OP3_SQL,
     "op9_rendezvous_shards": OP9_SQL,
 }

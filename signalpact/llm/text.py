@@ -139,6 +139,7 @@ def per_text(
     """One output row per input row: the columns ``keep`` untouched plus what a function makes of whole texts.
 
     ``make`` runs once per task and returns a function from some texts to its columns (``added``, a DDL).
+    ``text`` may be one of ``keep``.
     Columns pass through Arrow, so nulls and wide integers in ``keep`` survive.
     """
     fields = StructType.fromDDL(added).fields
@@ -149,9 +150,10 @@ def per_text(
         for batch in batches:
             for i in range(0, batch.num_rows, rows):
                 part = batch.slice(i, rows)
-                out = work(part.column(len(keep)).to_pylist())
+                out = work(part.column(at).to_pylist())
                 columns = [part.column(k) for k in range(len(keep))]
                 columns += [pa.array(out[f.name], f.type) for f in arrow]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return df.select(*keep, text).mapInArrow(run, schema)
+    at = keep.index(text) if text in keep else len(keep)
+    return df.select(*keep, *([] if text in keep else [text])).mapInArrow(run, schema)
