@@ -24,29 +24,18 @@ from signalpact.llm.text import per_text, slices, table
 SHORT = 64
 #: Pieces kept with their ids per Python worker.
 CACHE = 200_000
-_NEVER = 1 << 24  # beyond every rank; times SHORT it still fits 32 bits
+#: Rank of pairs that don't merge: beyond every rank, and times SHORT it still fits 32 bits.
+NEVER = 1 << 24
 
 
-class Ranks:
-    """A rank file (base64 token, rank per line) as lookup tables."""
+class PairTable:
+    """Ranks of pairs of ids as a hash table that numpy probes for many pairs at once."""
 
-    def __init__(self, path: str):
-        with open(path, "rb") as file:
-            self.ids = {base64.b64decode(a): int(b) for a, b in (line.split() for line in file if line.strip())}
-        self.tokens = {i: t for t, i in self.ids.items()}
-        self.byte = np.array([self.ids[bytes([b])] for b in range(256)], np.int64)
-        self.width = max(self.tokens) + 1
-        pairs = {}
-        for token, rank in self.ids.items():
-            for cut in range(1, len(token)):
-                left, right = self.ids.get(token[:cut]), self.ids.get(token[cut:])
-                if left is not None and right is not None:
-                    pairs[left * self.width + right] = rank
-        self.pairs = pairs
-        # Open addressing: one probe finds most pairs, numpy does all rows of a probe at once.
+    def __init__(self, pairs: dict[int, int], width: int):
+        self.width = width  # a pair's key is left * width + right
         size = 1 << (2 * len(pairs) - 1).bit_length() + 1
         self.mask = size - 1
-        self.keys, self.ranks = np.full(size, -1, np.int64), np.full(size, _NEVER, np.int32)
+        self.keys, self.ranks = np.full(size, -1, np.int64), np.full(size, NEVER, np.int32)
         todo_keys = np.fromiter(pairs.keys(), np.int64, len(pairs))
         todo_ranks = np.fromiter(pairs.values(), np.int64, len(pairs))
         at = self._slot(todo_keys)
@@ -64,10 +53,10 @@ class Ranks:
         return (mixed >> np.uint64(20)).astype(np.int64) & self.mask
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Rank of each pair of ids; _NEVER where they don't merge or either is negative."""
+        """Rank of each pair of ids; NEVER where they don't merge or either is negative."""
         keys = np.where((left < 0) | (right < 0), -2, left.astype(np.int64) * self.width + right)
         at = self._slot(keys)
-        out = np.full(len(keys), _NEVER, np.int32)
+        out = np.full(len(keys), NEVER, np.int32)
         open_ = np.arange(len(keys))
         while len(open_):
             found = self.keys[at]
@@ -78,6 +67,24 @@ class Ranks:
         return out
 
 
+class Ranks:
+    """A rank file (base64 token, rank per line) as lookup tables."""
+
+    def __init__(self, path: str):
+        with open(path, "rb") as file:
+            self.ids = {base64.b64decode(a): int(b) for a, b in (line.split() for line in file if line.strip())}
+        self.tokens = {i: t for t, i in self.ids.items()}
+        self.byte = np.array([self.ids[bytes([b])] for b in range(256)], np.int64)
+        self.width = max(self.tokens) + 1
+        self.pairs = {}
+        for token, rank in self.ids.items():
+            for cut in range(1, len(token)):
+                left, right = self.ids.get(token[:cut]), self.ids.get(token[cut:])
+                if left is not None and right is not None:
+                    self.pairs[left * self.width + right] = rank
+        self.rank = PairTable(self.pairs, self.width).rank
+
+
 @lru_cache(maxsize=2)
 def load(path: str) -> Ranks:
     return Ranks(path)
@@ -88,7 +95,7 @@ def merge_long(piece: bytes, ranks: Ranks) -> list[int]:
     n = len(piece)
     parts = [int(ranks.byte[b]) for b in piece]
     size = 1 << max(1, (n - 1).bit_length())
-    worst = (_NEVER, n)
+    worst = (NEVER, n)
     tree = [worst] * (2 * size)
     pairs, width = ranks.pairs, ranks.width
     for i in range(n - 1):
@@ -116,7 +123,7 @@ def merge_long(piece: bytes, ranks: Ranks) -> list[int]:
         rank = pairs.get(parts[i] * width + parts[j]) if j < n else None
         return worst if rank is None else (rank, i)
 
-    while tree[1][0] < _NEVER:
+    while tree[1][0] < NEVER:
         rank, i = tree[1]
         j = after[i]
         parts[i], after[i] = rank, after[j]
@@ -140,11 +147,11 @@ def merge_short(pieces: list[bytes], ranks: Ranks) -> list[list[int]]:
     parts = np.full((count, size + 1), -1, np.int32)
     parts[rows, at] = ranks.byte[np.frombuffer(b"".join(pieces), np.uint8)]
     places = np.arange(size)
-    worst = np.int32(_NEVER * size)
+    worst = np.int32(NEVER * size)
     # A leaf packs rank and position, so that the least value is the leftmost least rank.
     tree = np.full((count, 2 * size), worst, np.int32)
     inner = ranks.rank(parts[:, :-1].ravel(), parts[:, 1:].ravel()).reshape(count, size)
-    tree[:, size:] = np.where(inner < _NEVER, inner * size + places, worst)
+    tree[:, size:] = np.where(inner < NEVER, inner * size + places, worst)
     level = size
     while level > 1:
         level >>= 1
@@ -167,7 +174,7 @@ def merge_short(pieces: list[bytes], ranks: Ranks) -> list[list[int]]:
         nxt = after[row, place]
         right = np.where(nxt < lengths[row], parts[row, nxt], -1)
         rank = ranks.rank(parts[row, place], right)
-        return np.where(rank < _NEVER, rank * size + place, worst)
+        return np.where(rank < NEVER, rank * size + place, worst)
 
     while len(live):
         top = tree[live, 1]

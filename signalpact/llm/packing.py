@@ -9,17 +9,21 @@ leaves open does not add up.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalpact.llm.text import per_text, slices, table, text_bytes
+from signalpact.llm.bpe import NEVER, PairTable
+from signalpact.llm.text import per_text, slices, table, word_table
 from signalpact.session import cut_lineage
 
 #: Tokens a sequence holds.
@@ -29,14 +33,20 @@ SHARD = 4096
 ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2, 2, 3, 4
 #: Bins at least this full are kept as they are; the others are packed again.
 GOOD = 0.995
-#: Words kept with their ids per Python worker.
+#: Words, and pieces of words, kept with their ids per Python worker.
 CACHE = 200_000
+#: Bytes of a piece that is merged beside others.
+SHORT = 32
+_HIGH = re.compile("[\u0300-\U0010ffff]")
 
 
 class WordTokens:
-    """Ids of whole texts as little-endian 32-bit bytes, word by word.
+    """Ids of whole texts as little-endian 32-bit bytes.
 
-    The vocabulary drops white space and never joins across it, so a text's ids are those of its words.
+    The vocabulary drops white space and never joins across it, so a text's ids are those of its words, and
+    the distinct words of a few megabytes are looked up together. New words without characters from
+    U+0300 on (which normalisation leaves alone) are split by the vocabulary's pattern and merged side by
+    side from its merge list; all others go through the tokenizers library.
     """
 
     def __init__(self, path: str):
@@ -45,23 +55,122 @@ class WordTokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[bytes, bytes] = {}
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        model, vocab = spec["model"], spec["model"]["vocab"]
+        pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
+        self.split = regex.compile(pattern).findall
+        letters, end = _byte_letters(), model["end_of_word_suffix"]
+        self.byte = np.array([vocab[c] for c in letters], np.int32)
+        self.last = np.array([vocab[c + end] for c in letters], np.int32)
+        width = max(vocab.values()) + 1
+        self.merged = np.array([vocab[a + b] for a, b in model["merges"]], np.int32)
+        self.table = PairTable({vocab[a] * width + vocab[b]: i for i, (a, b) in enumerate(model["merges"])}, width)
+        self.words: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _library(self, texts: list[str]) -> list[bytes]:
+        coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(c.ids, "<u4").tobytes() for c in coded]
+
+    def _merge(self, pieces: list[bytes]) -> list[bytes]:
+        """Merge pieces of 1 to SHORT bytes side by side, in every step each row's leftmost best pair."""
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        rows = np.repeat(np.arange(len(pieces)), lengths)
+        at = np.arange(len(rows)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        codes = np.frombuffer(b"".join(pieces), np.uint8)
+        ids = np.full((len(pieces), int(lengths.max()) + 1), -1, np.int32)
+        ids[rows, at] = np.where(at == lengths[rows] - 1, self.last[codes], self.byte[codes])
+        ranks = self.table.rank(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(len(pieces), -1)
+        result = ids.copy()
+        live = np.arange(len(pieces))
+        places = np.arange(ids.shape[1])
+        while len(live):
+            best = ranks.argmin(axis=1)
+            rank = ranks[np.arange(len(live)), best]
+            done = rank >= NEVER
+            if done.any():
+                result[live[done]] = ids[done]
+                go = ~done
+                live, ids, ranks, best, rank = live[go], ids[go], ranks[go], best[go], rank[go]
+                if not len(live):
+                    break
+            every = np.arange(len(live))
+            shift = np.minimum(places + (places > best[:, None]), ids.shape[1] - 1)
+            ids = np.take_along_axis(ids, shift, axis=1)
+            ids[:, -1] = -1
+            ids[every, best] = self.merged[rank]
+            ranks = np.take_along_axis(ranks, np.minimum(shift[:, :-1], ranks.shape[1] - 1), axis=1)
+            ranks[:, -1] = NEVER
+            ranks[every, best] = self.table.rank(ids[every, best], ids[every, best + 1])
+            left = np.maximum(best - 1, 0)
+            before = self.table.rank(ids[every, left], ids[every, left + 1])
+            ranks[every, left] = np.where(best > 0, before, ranks[every, left])
+        kept = result >= 0
+        flat = result[kept].astype("<u4").tobytes()
+        ends = (4 * np.cumsum(kept.sum(axis=1))).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        raw = [p.encode() for p in pieces]
+        out: list = [None] * len(raw)
+        groups: dict[int, list[int]] = {}
+        for i, piece in enumerate(raw):
+            groups.setdefault(len(piece) if len(piece) <= SHORT else 0, []).append(i)
+        for length, group in groups.items():
+            for k in range(0, len(group), 4096):
+                some = group[k:k + 4096]
+                coded = self._merge([raw[i] for i in some]) if length else self._library([pieces[i] for i in some])
+                for i, ids in zip(some, coded, strict=True):
+                    out[i] = ids
+        return out
+
+    def _encode_words(self, words: list[bytes]) -> list[bytes]:
+        texts = [w.decode() for w in words]
+        out: list = [None] * len(texts)
+        rare = [i for i, t in enumerate(texts) if not t.isascii() and _HIGH.search(t)]
+        for i, ids in zip(rare, self._library([texts[i] for i in rare]) if rare else [], strict=True):
+            out[i] = ids
+        split = [None if out[i] is not None else self.split(t.lower()) for i, t in enumerate(texts)]
+        here = set().union(*(s for s in split if s))
+        fresh = list(here.difference(self.pieces))
+        if fresh:
+            if len(self.pieces) + len(fresh) > CACHE:
+                self.pieces = {p: self.pieces[p] for p in here.intersection(self.pieces)}
+            self.pieces.update(zip(fresh, self._encode_pieces(fresh), strict=True))
+        find = self.pieces.__getitem__
+        return [ids if pieces is None else find(pieces[0]) if len(pieces) == 1 else b"".join(map(find, pieces))
+                for ids, pieces in zip(out, split, strict=True)]
 
     def encode(self, texts: list) -> Iterator[bytes]:
         for part in slices(texts):
-            split = [text_bytes(t).split() for t in texts[part]]
-            here = set().union(*split)
-            fresh = list(here.difference(self.known))
+            rows = [b"" if not t else t.encode() if not t.isascii() and _HIGH.search(t) else t.lower().encode() for t in texts[part]]
+            data = b"\n".join(rows)
+            hashes, starts, ends = word_table(data)
+            _, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+            words = [data[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+            fresh = [w for w in words if w not in self.words]
             if fresh:
-                if len(self.known) + len(fresh) > CACHE:
-                    self.known = {w: self.known[w] for w in here.intersection(self.known)}
-                for i in range(0, len(fresh), 4096):
-                    some = fresh[i:i + 4096]
-                    coded = self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
-                    self.known.update((w, np.array(c.ids, "<u4").tobytes()) for w, c in zip(some, coded, strict=True))
-            find = self.known.__getitem__
-            for words in split:
-                yield b"".join(map(find, words))
+                if len(self.words) + len(fresh) > CACHE:
+                    self.words = {w: self.words[w] for w in words if w in self.words}
+                self.words.update(zip(fresh, self._encode_words(fresh), strict=True))
+            values = list(map(self.words.__getitem__, words))
+            counts = np.fromiter(map(len, values), np.int64, len(values)) // 4
+            flat = np.frombuffer(b"".join(values), "<u4")
+            each = counts[inverse]
+            upto = np.concatenate([[0], np.cumsum(each)])
+            ids = flat[np.arange(upto[-1]) - np.repeat(upto[:-1] - (np.cumsum(counts) - counts)[inverse], each)]
+            begins = np.cumsum([0, *(len(r) + 1 for r in rows)])
+            cuts = upto[np.searchsorted(starts, begins)].tolist()
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                yield ids[a:b].tobytes()
+
+
+def _byte_letters() -> list[str]:
+    """The printable character that stands for each byte in a byte-level vocabulary."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
 
 
 def default_path() -> str:

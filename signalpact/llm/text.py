@@ -54,10 +54,10 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return have[:n]
 
 
-def _hash_block(b: np.ndarray) -> np.ndarray:
+def _hash_block(b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     at = np.flatnonzero(_IN_WORD[b])
     if not len(at):
-        return np.empty(0, np.uint64)
+        return np.empty(0, np.uint64), at, at
     first = np.empty(len(at), dtype=bool)
     first[0] = True
     np.not_equal(at[1:], at[:-1] + 1, out=first[1:])
@@ -65,20 +65,31 @@ def _hash_block(b: np.ndarray) -> np.ndarray:
     lengths = np.diff(starts, append=len(at))
     place = np.arange(len(at)) - np.repeat(starts, lengths)
     hashed = _BYTE[b[at]] * powers(_BASE, int(lengths.max()))[place]
-    return mix(np.add.reduceat(hashed, starts) + lengths.astype(np.uint64) * _STEP)
+    begin = at[starts]
+    return mix(np.add.reduceat(hashed, starts) + lengths.astype(np.uint64) * _STEP), begin, begin + lengths
 
 
-def word_hashes(data: bytes) -> np.ndarray:
-    """One 64-bit hash per word of a whole text, in order."""
+def word_table(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A 64-bit hash, the first byte and the byte after the last of every word of a whole text, in order."""
     parts, i, n = [], 0, len(data)
     while i < n:
         j = min(i + _BLOCK, n)
         if j < n:
             found = _SPACE.search(data, j)
             j = found.start() if found else n
-        parts.append(_hash_block(np.frombuffer(data, np.uint8, j - i, i)))
+        hashes, starts, ends = _hash_block(np.frombuffer(data, np.uint8, j - i, i))
+        parts.append((hashes, starts + i, ends + i))
         i = j
-    return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.empty(0, np.uint64)
+    if len(parts) == 1:
+        return parts[0]
+    if not parts:
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+    return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """One 64-bit hash per word of a whole text, in order."""
+    return word_table(data)[0]
 
 
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
