@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from signalpact.llm.bpe import op10_segment_tree_bpe
+from signalpact.llm.near import OP8_SQL, op8_hyperminhash_near_dedup
 from signalpact.llm.packing import op6_grouping_genetic_packing
 from signalpact.llm.pii import op7_information_sanitiser
 from signalpact.llm.rules import op2_isolation_forest_rules
@@ -18,11 +19,13 @@ QUERIES = {
     "op5_weak_label_quality": op5_weak_label_quality,
     "op6_grouping_genetic_packing": op6_grouping_genetic_packing,
     "op7_information_sanitiser": op7_information_sanitiser,
+    "op8_hyperminhash_near_dedup": op8_hyperminhash_near_dedup,
     "op9_rendezvous_shards": op9_rendezvous_shards,
     "op10_segment_tree_bpe": op10_segment_tree_bpe,
 }
 
 ORACLE = {
     "op3_vector_approximation_topk": OP3_SQL,
+    "op8_hyperminhash_near_dedup": OP8_SQL,
     "op9_rendezvous_shards": OP9_SQL,
 }
