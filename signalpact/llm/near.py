@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from signalpact.llm.text import LOWER, gram_hashes, mix, per_text, signed, table, text_bytes, word_hashes
+from signalpact.llm.text import LOWER, gram_hashes, mix, per_text, signed, stored, table, text_bytes, word_hashes
 from signalpact.session import cut_lineage
 
 #: Words of a shingle and the similarity of a link in per cent.
@@ -197,14 +197,14 @@ def link(
     take part, but don't give their component its id unless none has one; of rows that repeat an id
     all are kept if the id is the smallest. Other columns are ignored.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = stored(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "documents")
     numbered, stats = _sketched(rows, k)
     return _linked(numbered, stats, k, percent).select(
         F.col("id").alias(id_col), "n_shingles", F.col("component").alias("component_id"), F.col("kept"))
 
 
 def _sketched(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """Rows with a number each (deterministic for a stored input), and the stored sketches by number."""
+    """Rows of a stored input with a number each, and the written sketches by number."""
     numbered = rows.withColumn("rid", F.monotonically_increasing_id())
 
     def make():
@@ -285,10 +285,9 @@ def _weighed(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one row of each group of near duplicates: the one of least id (and least number)."""
-    rows = docs.withColumns({"id": F.col(id_col), "rid": F.monotonically_increasing_id()}) if {"id", "rid"}.isdisjoint(
-        c.lower() for c in docs.columns) else None
-    if rows is None:
+    if not {"id", "rid"}.isdisjoint(c.lower() for c in docs.columns):
         raise ValueError("docs already has a column id or rid")
+    rows = stored(docs, "documents").withColumns({"id": F.col(id_col), "rid": F.monotonically_increasing_id()})
     k, percent = options.get("k", SHINGLE), options.get("percent", PERCENT)
     numbered, stats = _sketched(rows.select("id", F.col(text_col).alias("text")), k)
     found = _linked(numbered, stats, k, percent).where("kept")

@@ -8,6 +8,7 @@ from signalpact.llm.packing import op6_grouping_genetic_packing
 from signalpact.llm.pii import op7_information_sanitiser
 from signalpact.llm.rules import op2_isolation_forest_rules
 from signalpact.llm.sharding import OP9_SQL, op9_rendezvous_shards
+from signalpact.llm.substrings import OP4_SQL, op4_seed_extend_substrings
 from signalpact.llm.urls import op1_url_language_models
 from signalpact.llm.vafile import OP3_SQL, op3_vector_approximation_topk
 from signalpact.llm.weak import op5_weak_label_quality
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_url_language_models": op1_url_language_models,
     "op2_isolation_forest_rules": op2_isolation_forest_rules,
     "op3_vector_approximation_topk": op3_vector_approximation_topk,
+    "op4_seed_extend_substrings": op4_seed_extend_substrings,
     "op5_weak_label_quality": op5_weak_label_quality,
     "op6_grouping_genetic_packing": op6_grouping_genetic_packing,
     "op7_information_sanitiser": op7_information_sanitiser,
@@ -26,6 +28,7 @@ QUERIES = {
 
 ORACLE = {
     "op3_vector_approximation_topk": OP3_SQL,
+    "op4_seed_extend_substrings": OP4_SQL,
     "op8_hyperminhash_near_dedup": OP8_SQL,
     "op9_rendezvous_shards": OP9_SQL,
 }

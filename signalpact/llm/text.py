@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from signalpact.session import cut_lineage
+
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
 _BLOCK = 1 << 20
 _IN_WORD = np.ones(256, dtype=bool)
@@ -140,6 +142,14 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """``df`` itself if it only reads files, else its written copy: so that rows keep their numbers when read again."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() in ("Project", "Filter"):
+        plan = plan.children().head()
+    return df if plan.getClass().getSimpleName() == "LogicalRelation" else cut_lineage(df, purpose)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
