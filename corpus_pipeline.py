@@ -7,12 +7,18 @@ returns the packed pieces. A text that a stage empties stays a document, and pac
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from signalpact.llm import near, packing, pii, substrings, weak
 from signalpact.llm.text import table
 from signalpact.session import scratch_path
 
 
+def _counted(docs: DataFrame) -> DataFrame:
+    """``n_chars`` of a changed text; other columns stay."""
+    return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weak-label classifier keeps."""
     return weak.classify(docs).where("kept").select(*docs.columns)
@@ -25,12 +31,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of 20 words and more that also start earlier."""
-    return substrings.drop_repeats(docs)
+    return _counted(substrings.drop_repeats(docs))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with personal data masked and disclosing terms generalised or removed."""
-    return pii.sanitise(docs)
+    return _counted(pii.sanitise(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
