@@ -6,7 +6,10 @@ filled one, so short documents are compared as well. Runs of registers are bande
 band are candidates, weighed by the collision-corrected Jaccard estimate and confirmed on their full sets.
 
 Connected components need no pair inside a component. So every document is first confirmed against the
-best of its band leaders, then only pairs across components are left.
+best of its band leaders, and components meet through one document per band for a few rounds. At last all
+pairs across components that share a band are left. There a document's rare shingles count: a pair shares
+one of them, which the few documents that hold it tell, or none of them, which bounds the pair's similarity
+and sets most pairs aside by their sizes alone.
 """
 
 from __future__ import annotations
@@ -29,6 +32,10 @@ REGISTERS, MANTISSA, ROWS = 128, 10, 4
 SLACK = 0.3
 #: Documents compared with one leader by one task.
 STAR = 256
+#: Rounds in which components meet through one document per band, at most.
+MEETINGS = 3
+#: A shingle of this many documents at most is rare, where bands still mix components.
+RARE = 8
 #: Bytes of row numbers that are sent to every task to pick texts; beyond it they are joined.
 BROADCAST_BYTES = 16 << 20
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -146,6 +153,89 @@ def components(edges: DataFrame, purpose: str = "components") -> DataFrame:
         labels = new.select("node", F.col("next").alias("label"))
 
 
+def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(rid, shingles binary) of the rows numbered in ``wanted``; the numbers are broadcast within their bound."""
+    small = 8 * wanted.count() <= BROADCAST_BYTES
+    texts = docs.select("rid", "text").join(F.broadcast(wanted) if small else wanted, "rid", "left_semi")
+
+    def make():
+        return lambda rows: {"shingles": [shingle_set(t, k).tobytes() for t in rows]}
+
+    return per_text(texts, ["rid"], "text", make, "shingles binary")
+
+
+def _mixed(keys: DataFrame, part: DataFrame) -> DataFrame:
+    """(key, rid, part) of the bands that hold more than one component."""
+    placed = keys.join(part.withColumnRenamed("node", "rid"), "rid", "left").select("key", "rid", "weight", F.coalesce("component", "rid").alias("part"))
+    several = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high")
+    return cut_lineage(placed.join(several.select("key"), "key"), "mixed")
+
+
+def _across(docs: DataFrame, mixed: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b) across the components of ``mixed`` that share a band and may be similar.
+
+    Let u of a document's n shingles be rare. A pair that shares a rare one is listed by that shingle, of
+    which RARE documents at most exist. Any other pair shares min(n - u, m - v) shingles at most. A
+    document so bounded meets partners of up to (n - u) * 100 / percent - u shingles only; bands are
+    divided by the sizes of both sides, so that others are not even looked at.
+    """
+    shingles = _exploded(docs, mixed.select("rid").distinct(), k)
+    counted = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= RARE)
+    rare = cut_lineage(shingles.join(counted, "shingle"), "rare")
+    own = rare.groupBy("rid").agg(F.count(F.lit(1)).alias("u"))
+    of = mixed.select("rid", "part").distinct()
+    holders = (
+        rare.where("n > 1").join(of, "rid").groupBy("shingle").agg(F.collect_list(F.struct("rid", "part")).alias("h"))  # RARE at most
+        .select("h", F.explode("h").alias("x")).select("x", F.explode("h").alias("y")).where("x.rid < y.rid AND x.part <> y.part")
+    )
+    by_shingle = holders.select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b"))
+
+    rows = (
+        mixed.join(reps.select("rid", F.col("n_shingles").alias("n")), "rid").join(own, "rid", "left")
+        .withColumn("u", F.coalesce("u", F.lit(0)))
+    )
+    most = F.least(F.col("n") * 100 / percent, (F.col("n") - F.col("u")) * 100 / percent - F.col("u"))
+    cell = lambda size: F.floor(F.ln(F.greatest(size.cast("double"), F.lit(1.0))) / F.lit(float(np.log(1.1)))).cast("int")
+    ranged = rows.select("key", "rid", "part", "n", "u", cell(F.col("n")).alias("own"), cell(F.col("n") * percent / 100).alias("low"), cell(most).alias("high"))
+    # The larger document waits in a cell per possible size of the smaller one, and the other way round.
+    larger = ranged.withColumn("high", F.least("own", "high")).where("low <= high").select(
+        "key", F.col("own").alias("large"), F.explode(F.sequence("low", "high")).alias("small"),
+        F.col("rid").alias("a"), F.col("part").alias("part_a"), F.col("n").alias("n_a"), F.col("u").alias("u_a"))
+    smaller = ranged.where("own <= high").select(
+        "key", F.explode(F.sequence("own", "high")).alias("large"), F.col("own").alias("small"),
+        F.col("rid").alias("b"), F.col("part").alias("part_b"), F.col("n").alias("n_b"), F.col("u").alias("u_b"))
+    shared = "least(n_a - u_a, n_b - u_b)"
+    met = larger.join(smaller, ["key", "large", "small"]).where(
+        f"part_a <> part_b AND (n_b < n_a OR (n_b = n_a AND b < a)) AND 100 * {shared} >= {percent} * (n_a + n_b - {shared})")
+    return cut_lineage(met.select("a", "b").unionByName(by_shingle).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "across")
+
+
+def _exploded(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(rid, shingle) of the rows numbered in ``wanted``."""
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.frombuffer(s, np.int64) for s in batch.column(1).to_pylist()]
+            if sets:
+                rid = np.repeat(batch.column(0).to_numpy(), [len(s) for s in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(np.concatenate(sets))], names=["rid", "shingle"])
+
+    return _sets(docs, wanted, k).mapInArrow(explode, "rid long, shingle long")
+
+
+def _meeting(mixed: DataFrame, number: int) -> DataFrame:
+    """(a, b): per component the pair with another one that shares most bands, among one document per band and component: the most central, later by hash."""
+    order = F.col("weight") if number == 0 else F.xxhash64("rid", F.lit(number))
+    envoys = mixed.groupBy("key", "part").agg(F.max_by("rid", order).alias("rid"), F.max(order).alias("order"))
+    hosts = envoys.groupBy("key").agg(F.max_by(F.struct("rid", "part"), "order").alias("host"))
+    pairs = (
+        envoys.join(hosts, "key").where("part <> host.part").groupBy(F.col("host.rid").alias("a"), F.col("rid").alias("b"), "part")
+        .agg(F.count(F.lit(1)).alias("shared"))
+    )
+    best = Window.partitionBy("part").orderBy(F.col("shared").desc(), "a", "b")
+    return pairs.withColumn("place", F.row_number().over(best)).where("place = 1").select("a", "b")
+
+
 def _confirm(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """Those (a, b) ``pairs`` of row numbers whose full sets are similar.
 
@@ -158,15 +248,7 @@ def _confirm(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFra
     roles = cut_lineage(
         sized.select(F.col("a").alias("rid"), "a", "part", F.lit(0).alias("role")).distinct()
         .unionByName(sized.select(F.col("b").alias("rid"), "a", "part", F.lit(1).alias("role"))), "roles")
-    texts = docs.select("rid", "text")
-    wanted = roles.select("rid").distinct()
-    small = 8 * wanted.count() <= BROADCAST_BYTES
-    texts = texts.join(F.broadcast(wanted) if small else wanted, "rid", "left_semi")
-
-    def make():
-        return lambda rows: {"shingles": [shingle_set(t, k).tobytes() for t in rows]}
-
-    sets = per_text(texts, ["rid"], "text", make, "shingles binary")
+    sets = _sets(docs, roles.select("rid").distinct(), k)
     stars = sets.join(roles, "rid").repartition("a", "part").sortWithinPartitions("a", "part", "role")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -228,32 +310,37 @@ def _linked(numbered: DataFrame, stats: DataFrame, k: int, percent: int) -> Data
     filled = stats.where("n_shingles > 0")
     classes = cut_lineage(
         filled.groupBy("n_shingles", "one", "two").agg(F.min("rid").alias("rep"), F.min("id").alias("least")), "classes")
-    reps = filled.join(classes.select(F.col("rep").alias("rid")), "rid", "left_semi").select("rid", "registers")
+    reps = filled.join(classes.select(F.col("rep").alias("rid")), "rid", "left_semi").select("rid", "n_shingles", "registers")
 
     def make():
         return lambda rows: {"keys": [bands(np.frombuffer(r, np.uint16)).tolist() for r in rows]}
 
     keys = cut_lineage(per_text(reps, ["rid"], "registers", make, "keys array<long>").select("rid", F.explode("keys").alias("key")), "bands")
-    leader = F.xxhash64("rid", "key")
-    leaders = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min_by("rid", leader).alias("a")).where("n > 1")
-    led = cut_lineage(
-        keys.join(leaders.select("key", "a"), "key").where("rid <> a").groupBy("a", F.col("rid").alias("b"))
-        .agg(F.count(F.lit(1)).alias("shared")), "led")
+    # Bands of one document link nothing. The others make a document the more central, the more they hold;
+    # the most central one leads a band, so that most of a group meets the same few leaders.
+    counts = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    held = keys.join(counts, "key")
+    weight = held.groupBy("rid").agg((F.sum("n") * 1024 + F.pmod(F.xxhash64("rid"), F.lit(1024))).alias("weight"))
+    keys = cut_lineage(held.select("key", "rid").join(weight, "rid"), "shared-bands")
+    leaders = keys.groupBy("key").agg(F.max_by("rid", "weight").alias("a"))
+    led = (
+        keys.join(leaders, "key").where("rid <> a").groupBy("a", F.col("rid").alias("b"))
+        .agg(F.count(F.lit(1)).alias("shared"))
+    )
     best = Window.partitionBy("b").orderBy(F.col("shared").desc(), "a")
     first = led.withColumn("place", F.row_number().over(best)).where("place = 1").select("a", "b")
     links = cut_lineage(_confirm(numbered, _weighed(first, reps, percent), k, percent), "links")
     part = cut_lineage(components(links), "parts")
 
-    # All pairs of a band across components, until none is left to confirm.
-    placed = keys.join(part.withColumnRenamed("node", "rid"), "rid", "left").select("key", "rid", F.coalesce("component", "rid").alias("part"))
-    mixed = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high")
-    open_ = cut_lineage(placed.join(mixed.select("key"), "key"), "open")
-    other = open_.select("key", F.col("rid").alias("b"), F.col("part").alias("part_b"))
-    across = (
-        open_.withColumnRenamed("rid", "a").join(other, "key").where("part < part_b").select("a", "b").distinct()
-        .join(first.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")),
-              (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y")), "left_anti")
-    )
+    for number in range(MEETINGS):
+        mixed = _mixed(keys, part)
+        met = cut_lineage(_confirm(numbered, _weighed(_meeting(mixed, number), reps, percent), k, percent), "links")
+        if not met.limit(1).count():
+            break
+        links = links.unionByName(met)
+        part = cut_lineage(components(links), "parts")
+    mixed = _mixed(keys, part)
+    across = _across(numbered, mixed, reps, k, percent)
     more = _confirm(numbered, _weighed(across, reps, percent), k, percent)
     part = components(links.unionByName(more))
 

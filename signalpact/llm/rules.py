@@ -80,6 +80,10 @@ def with_stats(docs: DataFrame, keep: list[str], text: str = "text") -> DataFram
     return per_text(docs, keep, text, make, ", ".join(f"{c} long" for c in STATS))
 
 
+#: Number of ratios().
+FEATURES = 5
+
+
 def ratios() -> list[Column]:
     """Length-free features of a row with STATS."""
     words = F.greatest(F.col("n_words"), F.lit(1))
@@ -184,12 +188,12 @@ def isolate(
     fails = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PCT * F.col("n_words"))
 
     taken = stats.where(~fails).orderBy(F.xxhash64(id_col), "f").limit(sample).select("f").toPandas()["f"]
-    points = np.array(taken.tolist(), np.float64).reshape(len(taken), -1)
+    points = np.array(taken.tolist(), np.float64).reshape(-1, FEATURES)
     forest = stats.sparkSession.sparkContext.broadcast(Forest(points, trees))
 
     @F.pandas_udf("double")
     def anomaly(features: pd.Series) -> pd.Series:
-        return pd.Series(forest.value.score(np.array(features.tolist(), np.float64).reshape(len(features), -1)))
+        return pd.Series(forest.value.score(np.array(features.tolist(), np.float64).reshape(-1, FEATURES)))
 
     at = F.floor(F.col("anomaly") * BINS).cast("int")
     histogram = (
