@@ -59,7 +59,7 @@ class WordTokens:
             spec = json.load(file)
         model, vocab = spec["model"], spec["model"]["vocab"]
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.split = regex.compile(pattern).findall
+        self.split = regex.compile(r"\n|" + pattern).findall
         letters, end = _byte_letters(), model["end_of_word_suffix"]
         self.byte = np.array([vocab[c] for c in letters], np.int32)
         self.last = np.array([vocab[c + end] for c in letters], np.int32)
@@ -111,39 +111,44 @@ class WordTokens:
         ends = (4 * np.cumsum(kept.sum(axis=1))).tolist()
         return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
-    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
+    def _encode_pieces(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
         raw = [p.encode() for p in pieces]
-        out: list = [None] * len(raw)
-        groups: dict[int, list[int]] = {}
-        for i, piece in enumerate(raw):
-            groups.setdefault(len(piece) if len(piece) <= SHORT else 0, []).append(i)
-        for length, group in groups.items():
-            for k in range(0, len(group), 4096):
-                some = group[k:k + 4096]
-                coded = self._merge([raw[i] for i in some]) if length else self._library([pieces[i] for i in some])
-                for i, ids in zip(some, coded, strict=True):
-                    out[i] = ids
-        return out
-
-    def _encode_words(self, words: list[bytes]) -> list[bytes]:
-        texts = [w.decode() for w in words]
-        out: list = [None] * len(texts)
-        rare = [i for i, t in enumerate(texts) if not t.isascii() and _HIGH.search(t)]
-        for i, ids in zip(rare, self._library([texts[i] for i in rare]) if rare else [], strict=True):
-            out[i] = ids
-        split = [None if out[i] is not None else self.split(t.lower()) for i, t in enumerate(texts)]
-        here = set().union(*(s for s in split if s))
+        lengths = np.fromiter(map(len, raw), np.int64, len(raw))
+        order = np.argsort(lengths, kind="stable")
+        short = int((lengths <= SHORT).sum())
+        for k in range(0, short, 4096):
+            some = order[k:min(k + 4096, short)].tolist()
+            yield from zip([pieces[i] for i in some], self._merge([raw[i] for i in some]), strict=True)
+        some = order[short:].tolist()
+        if some:
+            yield from zip([pieces[i] for i in some], self._library([pieces[i] for i in some]), strict=True)
+
+    def _encode_words(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        text = b"\n".join(words).decode()
+        if _HIGH.search(text):
+            texts = text.split("\n")
+            rare = [i for i, t in enumerate(texts) if not t.isascii() and _HIGH.search(t)]
+            yield from zip([words[i] for i in rare], self._library([texts[i] for i in rare]), strict=True)
+            for i in reversed(rare):
+                del texts[i], words[i]
+            text = "\n".join(texts)
+        if not words:
+            return
+        split = self.split(text.lower() + "\n")  # a piece per part of a word, a line end after each word
+        here = set(split)
         fresh = list(here.difference(self.pieces))
-        if fresh:
-            if len(self.pieces) + len(fresh) > CACHE:
-                self.pieces = {p: self.pieces[p] for p in here.intersection(self.pieces)}
-            self.pieces.update(zip(fresh, self._encode_pieces(fresh), strict=True))
-        find = self.pieces.__getitem__
-        return [ids if pieces is None else find(pieces[0]) if len(pieces) == 1 else b"".join(map(find, pieces))
-                for ids, pieces in zip(out, split, strict=True)]
+        if len(self.pieces) + len(fresh) > CACHE:
+            self.pieces = {p: self.pieces[p] for p in here.intersection(self.pieces)}
+        self.pieces["\n"] = b""
+        self.pieces.update(self._encode_pieces([p for p in fresh if p != "\n"]))
+        values = list(map(self.pieces.__getitem__, split))
+        upto = np.cumsum(np.fromiter(map(len, values), np.int64, len(values)))
+        ends = upto[[i for i, p in enumerate(split) if p == "\n"]].tolist()
+        flat = b"".join(values)
+        yield from zip(words, [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True)
 
     def encode(self, texts: list) -> Iterator[bytes]:
-        for part in slices(texts):
+        for part in slices(texts, 1 << 23):
             rows = [b"" if not t else t.encode() if not t.isascii() and _HIGH.search(t) else t.lower().encode() for t in texts[part]]
             data = b"\n".join(rows)
             hashes, starts, ends = word_table(data)
@@ -153,7 +158,7 @@ class WordTokens:
             if fresh:
                 if len(self.words) + len(fresh) > CACHE:
                     self.words = {w: self.words[w] for w in words if w in self.words}
-                self.words.update(zip(fresh, self._encode_words(fresh), strict=True))
+                self.words.update(self._encode_words(fresh))
             values = list(map(self.words.__getitem__, words))
             counts = np.fromiter(map(len, values), np.int64, len(values)) // 4
             flat = np.frombuffer(b"".join(values), "<u4")
