@@ -6,10 +6,9 @@ filled one, so short documents are compared as well. Runs of registers are bande
 band are candidates, weighed by the collision-corrected Jaccard estimate and confirmed on their full sets.
 
 Connected components need no pair inside a component. So every document is first confirmed against the
-best of its band leaders, and components meet through one document per band for a few rounds. At last all
-pairs across components that share a band are left. There a document's rare shingles count: a pair shares
-one of them, which the few documents that hold it tell, or none of them, which bounds the pair's similarity
-and sets most pairs aside by their sizes alone.
+two best of its band leaders. Pairs across components that share a band are left. There a document's rare
+shingles count: a pair shares one of them, which the few documents that hold it tell, or none of them, which
+bounds the pair's similarity and sets most pairs aside by their sizes alone.
 """
 
 from __future__ import annotations
@@ -32,10 +31,10 @@ REGISTERS, MANTISSA, ROWS = 128, 10, 4
 SLACK = 0.3
 #: Documents compared with one leader by one task.
 STAR = 256
-#: Rounds in which components meet through one document per band, at most.
-MEETINGS = 3
+#: Leaders that a document is confirmed against at first.
+LEADERS = 2
 #: A shingle of this many documents at most is rare, where bands still mix components.
-RARE = 8
+RARE = 24
 #: Bytes of row numbers that are sent to every task to pick texts; beyond it they are joined.
 BROADCAST_BYTES = 16 << 20
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -175,36 +174,41 @@ def _across(docs: DataFrame, mixed: DataFrame, reps: DataFrame, k: int, percent:
     """(a, b) across the components of ``mixed`` that share a band and may be similar.
 
     Let u of a document's n shingles be rare. A pair that shares a rare one is listed by that shingle, of
-    which RARE documents at most exist. Any other pair shares min(n - u, m - v) shingles at most. A
-    document so bounded meets partners of up to (n - u) * 100 / percent - u shingles only; bands are
-    divided by the sizes of both sides, so that others are not even looked at.
+    which RARE documents at most exist. Any other pair shares min(n - u, m - v) shingles at most, less one
+    for every bit that a sketch of the other shingles has on one side only. A document so bounded meets
+    partners of up to (n - u) * 100 / percent - u shingles only; bands are divided by the sizes of both
+    sides, so that others are not even looked at.
     """
     shingles = _exploded(docs, mixed.select("rid").distinct(), k)
     counted = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= RARE)
-    rare = cut_lineage(shingles.join(counted, "shingle"), "rare")
-    own = rare.groupBy("rid").agg(F.count(F.lit(1)).alias("u"))
+    flagged = cut_lineage(shingles.join(counted, "shingle", "left"), "flagged")
+    hashed = F.xxhash64("shingle")
+    bit = F.expr("shiftleft(1L, cast(pmod(shiftright(xxhash64(shingle), 8), 64) AS int))")
+    words = [F.bit_or(F.when(F.col("n").isNull() & (F.pmod(hashed, F.lit(4)) == w), bit).otherwise(F.lit(0).cast("long"))).alias(f"s{w}") for w in range(4)]
+    own = flagged.groupBy("rid").agg(F.count("n").alias("u"), *words)
+    rare = flagged.where("n > 1")
     of = mixed.select("rid", "part").distinct()
     holders = (
-        rare.where("n > 1").join(of, "rid").groupBy("shingle").agg(F.collect_list(F.struct("rid", "part")).alias("h"))  # RARE at most
-        .select("h", F.explode("h").alias("x")).select("x", F.explode("h").alias("y")).where("x.rid < y.rid AND x.part <> y.part")
+        rare.join(of, "rid").groupBy("shingle")
+        .agg(F.collect_list(F.struct("rid", "part")).alias("h"), F.min("part").alias("low"), F.max("part").alias("high"))  # RARE at most
+        .where("low < high").select("h", F.explode("h").alias("x")).select("x", F.explode("h").alias("y")).where("x.rid < y.rid AND x.part <> y.part")
     )
     by_shingle = holders.select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b"))
 
-    rows = (
-        mixed.join(reps.select("rid", F.col("n_shingles").alias("n")), "rid").join(own, "rid", "left")
-        .withColumn("u", F.coalesce("u", F.lit(0)))
-    )
+    rows = mixed.join(reps.select("rid", F.col("n_shingles").alias("n")), "rid").join(own, "rid")
+    sketch_of = [f"s{w}" for w in range(4)]
     most = F.least(F.col("n") * 100 / percent, (F.col("n") - F.col("u")) * 100 / percent - F.col("u"))
     cell = lambda size: F.floor(F.ln(F.greatest(size.cast("double"), F.lit(1.0))) / F.lit(float(np.log(1.1)))).cast("int")
-    ranged = rows.select("key", "rid", "part", "n", "u", cell(F.col("n")).alias("own"), cell(F.col("n") * percent / 100).alias("low"), cell(most).alias("high"))
+    ranged = rows.select("key", "rid", "part", "n", "u", *sketch_of, cell(F.col("n")).alias("own"), cell(F.col("n") * percent / 100).alias("low"), cell(most).alias("high"))
     # The larger document waits in a cell per possible size of the smaller one, and the other way round.
     larger = ranged.withColumn("high", F.least("own", "high")).where("low <= high").select(
         "key", F.col("own").alias("large"), F.explode(F.sequence("low", "high")).alias("small"),
-        F.col("rid").alias("a"), F.col("part").alias("part_a"), F.col("n").alias("n_a"), F.col("u").alias("u_a"))
+        F.col("rid").alias("a"), F.col("part").alias("part_a"), F.col("n").alias("n_a"), F.col("u").alias("u_a"), *(F.col(w).alias(f"{w}_a") for w in sketch_of))
     smaller = ranged.where("own <= high").select(
         "key", F.explode(F.sequence("own", "high")).alias("large"), F.col("own").alias("small"),
-        F.col("rid").alias("b"), F.col("part").alias("part_b"), F.col("n").alias("n_b"), F.col("u").alias("u_b"))
-    shared = "least(n_a - u_a, n_b - u_b)"
+        F.col("rid").alias("b"), F.col("part").alias("part_b"), F.col("n").alias("n_b"), F.col("u").alias("u_b"), *(F.col(w).alias(f"{w}_b") for w in sketch_of))
+    only = lambda x, y: " + ".join(f"bit_count({w}_{x} & ~{w}_{y})" for w in sketch_of)
+    shared = f"least(n_a - u_a - ({only('a', 'b')}), n_b - u_b - ({only('b', 'a')}))"
     met = larger.join(smaller, ["key", "large", "small"]).where(
         f"part_a <> part_b AND (n_b < n_a OR (n_b = n_a AND b < a)) AND 100 * {shared} >= {percent} * (n_a + n_b - {shared})")
     return cut_lineage(met.select("a", "b").unionByName(by_shingle).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "across")
@@ -223,19 +227,6 @@ def _exploded(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return _sets(docs, wanted, k).mapInArrow(explode, "rid long, shingle long")
 
 
-def _meeting(mixed: DataFrame, number: int) -> DataFrame:
-    """(a, b): per component the pair with another one that shares most bands, among one document per band and component: the most central, later by hash."""
-    order = F.col("weight") if number == 0 else F.xxhash64("rid", F.lit(number))
-    envoys = mixed.groupBy("key", "part").agg(F.max_by("rid", order).alias("rid"), F.max(order).alias("order"))
-    hosts = envoys.groupBy("key").agg(F.max_by(F.struct("rid", "part"), "order").alias("host"))
-    pairs = (
-        envoys.join(hosts, "key").where("part <> host.part").groupBy(F.col("host.rid").alias("a"), F.col("rid").alias("b"), "part")
-        .agg(F.count(F.lit(1)).alias("shared"))
-    )
-    best = Window.partitionBy("part").orderBy(F.col("shared").desc(), "a", "b")
-    return pairs.withColumn("place", F.row_number().over(best)).where("place = 1").select("a", "b")
-
-
 def _confirm(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """Those (a, b) ``pairs`` of row numbers whose full sets are similar.
 
@@ -328,21 +319,22 @@ def _linked(numbered: DataFrame, stats: DataFrame, k: int, percent: int) -> Data
         .agg(F.count(F.lit(1)).alias("shared"))
     )
     best = Window.partitionBy("b").orderBy(F.col("shared").desc(), "a")
-    first = led.withColumn("place", F.row_number().over(best)).where("place = 1").select("a", "b")
+    first = led.withColumn("place", F.row_number().over(best)).where(F.col("place") <= LEADERS).select("a", "b")
     links = cut_lineage(_confirm(numbered, _weighed(first, reps, percent), k, percent), "links")
     part = cut_lineage(components(links), "parts")
 
-    for number in range(MEETINGS):
-        mixed = _mixed(keys, part)
-        met = cut_lineage(_confirm(numbered, _weighed(_meeting(mixed, number), reps, percent), k, percent), "links")
-        if not met.limit(1).count():
-            break
-        links = links.unionByName(met)
-        part = cut_lineage(components(links), "parts")
     mixed = _mixed(keys, part)
     across = _across(numbered, mixed, reps, k, percent)
-    more = _confirm(numbered, _weighed(across, reps, percent), k, percent)
-    part = components(links.unionByName(more))
+    more = cut_lineage(_confirm(numbered, _weighed(across, reps, percent), k, percent), "links")
+    if more.limit(1).count():
+        # Only whole components meet now: their links are few, whatever the components' sizes.
+        of = mixed.select("rid", "part").distinct()
+        joined = more.join(of.select(F.col("rid").alias("a"), F.col("part").alias("x")), "a").join(
+            of.select(F.col("rid").alias("b"), F.col("part").alias("y")), "b")
+        over = components(joined.select(F.col("x").alias("a"), F.col("y").alias("b")))
+        part = part.unionByName(over.select("node", F.col("node").alias("component"))).distinct().join(
+            over.select(F.col("node").alias("component"), F.col("component").alias("over")), "component", "left"
+        ).select("node", F.coalesce("over", "component").alias("component"))
 
     of_class = classes.join(part.withColumnRenamed("node", "rep"), "rep", "left").select(
         "n_shingles", "one", "two", "least", F.coalesce("component", "rep").alias("part"))
