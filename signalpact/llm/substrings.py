@@ -27,7 +27,7 @@ from signalpact.session import cut_lineage
 LENGTH = 20
 #: Words of a seed. A window holds LENGTH - SEED + 1 seeds and always selects one of them.
 SEED = 8
-#: Bytes of marks that are sent to every task; beyond it they are joined by shuffles.
+#: Bytes of shared anchors that are sent to every task to be looked at again; beyond it they are joined.
 BROADCAST_BYTES = 16 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -161,16 +161,15 @@ def removed(n_words: int, ranges: list | None, length: int = LENGTH) -> np.ndarr
     return np.cumsum(cover[:-1]) > 0
 
 
-def _marked(docs: DataFrame, id_col: str, text_col: str, length: int, seed: int) -> tuple[DataFrame, bool]:
-    """``docs`` with ``_ranges``, and whether the marks were small enough to be sent to every task."""
+def _marked(docs: DataFrame, id_col: str, text_col: str, length: int, seed: int) -> DataFrame:
+    """``docs`` with ``_ranges``. Most documents have some, so the marks are joined, not broadcast."""
     docs = stored(docs, "documents")
     key = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
     numbered = docs.withColumn("_rid", F.monotonically_increasing_id())
     marks = cut_lineage(
         repeats(numbered.select(key.alias("doc"), F.col("_rid").alias("rid"), F.col(text_col).alias("text")), length, seed), "repeats")
-    small = 16 * marks.count() <= BROADCAST_BYTES
     ranges = marks.groupBy(F.col("rid").alias("_rid")).agg(F.collect_list(F.struct("first", "last")).alias("_ranges"))
-    return numbered.join(F.broadcast(ranges) if small else ranges, "_rid", "left"), small
+    return numbered.join(ranges.hint("merge"), "_rid", "left")
 
 
 def kept_digests(
@@ -183,7 +182,7 @@ def kept_digests(
     as documents in the order they are stored; rows without an id come last. A null or short text keeps
     all its words. Other columns are ignored.
     """
-    whole, _ = _marked(docs.select(id_col, text_col), id_col, text_col, length, seed)
+    whole = _marked(docs.select(id_col, text_col), id_col, text_col, length, seed)
     both = whole.select(id_col, F.struct(F.col(text_col).alias("text"), F.col("_ranges").alias("ranges")).alias("_both"))
 
     def make():
@@ -211,7 +210,7 @@ def drop_repeats(
     unchanged, a null stays null, a text of repeats only becomes empty.
     """
     others = [c for c in docs.columns if c != text_col]
-    whole, _ = _marked(docs, id_col, text_col, length, seed)
+    whole = _marked(docs, id_col, text_col, length, seed)
     both = whole.select(*others, F.struct(F.col(text_col).alias("text"), F.col("_ranges").alias("ranges")).alias("_both"))
 
     def make():
