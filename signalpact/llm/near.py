@@ -35,7 +35,7 @@ STAR = 256
 LEADERS = 2
 #: A shingle of this many documents at most is rare, where bands still mix components.
 RARE = 24
-#: Bytes of row numbers that are sent to every task to pick texts; beyond it they are joined.
+#: Bytes of row numbers, labels or pairs that are sent to every task; beyond it they are joined by shuffles.
 BROADCAST_BYTES = 16 << 20
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -140,18 +140,24 @@ def components(edges: DataFrame, purpose: str = "components") -> DataFrame:
     both = cut_lineage(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), purpose)
     labels = cut_lineage(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"), purpose)
     while True:
-        near = (
-            both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node"))
-            .agg(F.min("label").alias("near"))
+        near = both.join(_light(labels.select(F.col("node").alias("b"), "label"), 64), "b")
+        moved = (
+            near.select(F.col("a").alias("node"), "label", F.lit(None).cast("long").alias("own"))
+            .unionByName(labels.select("node", "label", F.col("label").alias("own")))
+            .groupBy("node").agg(F.min("own").alias("label"), F.min("label").alias("next"))
         )
-        moved = labels.join(near, "node", "left").select("node", "label", F.least("label", F.coalesce("near", "label")).alias("next"))
-        jump = labels.select(F.col("node").alias("next"), F.col("label").alias("far"))
+        jump = _light(labels.select(F.col("node").alias("next"), F.col("label").alias("far")), 64)
         new = cut_lineage(moved.join(jump, "next", "left").select("node", "label", F.least("next", F.coalesce("far", "next")).alias("next")), purpose)
         if not new.where("next <> label").limit(1).count():
             return new.select("node", F.col("next").alias("component"))
         labels = new.select("node", F.col("next").alias("label"))
 
 
+def _light(stored_rows: DataFrame, width: int) -> DataFrame:
+    """A written table as a broadcast side while its rows times ``width`` bytes stay within the bound, else as it is."""
+    return F.broadcast(stored_rows) if width * stored_rows.count() <= BROADCAST_BYTES else stored_rows
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """(rid, shingles binary) of the rows numbered in ``wanted``; the numbers are broadcast within their bound."""
     small = 8 * wanted.count() <= BROADCAST_BYTES
@@ -165,7 +171,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 
 def _mixed(keys: DataFrame, part: DataFrame) -> DataFrame:
     """(key, rid, part) of the bands that hold more than one component."""
-    placed = keys.join(part.withColumnRenamed("node", "rid"), "rid", "left").select("key", "rid", "weight", F.coalesce("component", "rid").alias("part"))
+    placed = keys.join(_light(part.withColumnRenamed("node", "rid"), 64), "rid", "left").select("key", "rid", "weight", F.coalesce("component", "rid").alias("part"))
     several = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high")
     return cut_lineage(placed.join(several.select("key"), "key"), "mixed")
 
@@ -301,7 +307,7 @@ def _linked(numbered: DataFrame, stats: DataFrame, k: int, percent: int) -> Data
     filled = stats.where("n_shingles > 0")
     classes = cut_lineage(
         filled.groupBy("n_shingles", "one", "two").agg(F.min("rid").alias("rep"), F.min("id").alias("least")), "classes")
-    reps = filled.join(classes.select(F.col("rep").alias("rid")), "rid", "left_semi").select("rid", "n_shingles", "registers")
+    reps = cut_lineage(filled.join(classes.select(F.col("rep").alias("rid")), "rid", "left_semi").select("rid", "n_shingles", "registers"), "reps")
 
     def make():
         return lambda rows: {"keys": [bands(np.frombuffer(r, np.uint16)).tolist() for r in rows]}
@@ -349,8 +355,10 @@ def _linked(numbered: DataFrame, stats: DataFrame, k: int, percent: int) -> Data
 def _weighed(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Pairs whose collision-corrected estimate comes near the threshold."""
     least = percent / 100 - SLACK
-    sketches = pairs.join(reps.select(F.col("rid").alias("a"), F.col("registers").alias("ra")), "a").join(
-        reps.select(F.col("rid").alias("b"), F.col("registers").alias("rb")), "b").select("a", "b", "ra", "rb")
+    pairs = _light(cut_lineage(pairs, "pairs"), 4 * REGISTERS)
+    one = reps.select(F.col("rid").alias("a"), F.col("registers").alias("ra")).join(pairs, "a")
+    one = _light(cut_lineage(one, "pairs"), 4 * REGISTERS)
+    sketches = reps.select(F.col("rid").alias("b"), F.col("registers").alias("rb")).join(one, "b").select("a", "b", "ra", "rb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
