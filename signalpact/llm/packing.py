@@ -206,7 +206,8 @@ def cut_pieces(
 
         return work
 
-    cut = per_text(docs, [id_col], text_col, make, "pieces array<struct<start: long, length: long, ids_crc32: long>>")
+    cut = per_text(docs, [id_col], text_col, make, "pieces array<struct<start: long, length: long, ids_crc32: long>>",
+                   rows=2048)
     return cut.select(id_col, F.posexplode("pieces").alias("piece", "p")).select(id_col, "piece", "p.*")
 
 
