@@ -20,6 +20,16 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def accept_repeated_keys(spark: SparkSession) -> None:
+    """Let the JSON reader take documents that repeat a key (the last value stays).
+
+    Called wherever documents are parsed, so that the same document gives the same result in a
+    session nobody configured.
+    """
+    if spark.conf.get("spark.sql.variant.allowDuplicateKeys", "false") != "true":
+        spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: ``spark.checkpoint.dir`` as the cluster names it.
 

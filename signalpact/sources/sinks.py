@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from signalpact.operators.validate import error_strings
+from signalpact.session import accept_repeated_keys
 
 # --- fixed values: delivery limits of the webhook ---
 WEBHOOK_TIMEOUT_S = 2
@@ -23,9 +24,13 @@ def rejected(validated: DataFrame) -> DataFrame:
 
 
 def dlq_records(validated: DataFrame, payload: str = "payload") -> DataFrame:
-    """Dead letters as {payload, errors, ts}; ``ts`` is the processing time in seconds."""
+    """Dead letters as {payload, errors, ts}; ``ts`` is the processing time in seconds.
+
+    A payload that is no JSON document is kept as it came, as a string.
+    """
+    accept_repeated_keys(validated.sparkSession)
     return rejected(validated).select(
-        F.try_parse_json(payload).alias("payload"), error_strings("errors").alias("errors"),
+        F.coalesce(F.try_parse_json(payload), F.col(payload).cast("variant")).alias("payload"), error_strings("errors").alias("errors"),
         F.unix_timestamp(F.current_timestamp()).alias("ts"),
     )
 

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from signalpact.session import cut_lineage
+
 SNAPSHOTS_DDL = "id bigint, event_name string, payload string, created_at timestamp, sha string"
 CHUNK_ROWS = 10_000
+CHUNK_BYTES = 16 << 20
 BROADCAST_EVENTS = 100_000
 
 
@@ -25,18 +28,22 @@ def load_snapshots(spark: SparkSession, path: str, sha: str | None = None) -> Da
     return df if sha is None else df.filter(F.col("sha") == sha)
 
 
-def snapshots_by_event(snapshots: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def snapshots_by_event(
+    snapshots: DataFrame, chunk_rows: int = CHUNK_ROWS, chunk_bytes: int = CHUNK_BYTES
+) -> DataFrame:
     """Samples grouped by event: (event_name, chunk, payloads).
 
-    A frequent event is spread over as many chunks as its row count asks for, so no task ever
-    holds a whole event; all chunks of an event together are its samples. Counting first costs
-    one pass over the event names only.
+    A frequent event is spread over as many chunks as its rows and its bytes ask for (about
+    ``chunk_rows`` and ``chunk_bytes`` each), so no task ever holds a whole event; all chunks of an
+    event together are its samples.
     """
-    sizes = snapshots.groupBy("event_name").agg(F.count(F.lit(1)).alias("__n")).persist()
+    counted = snapshots.groupBy("event_name").agg(
+        F.greatest(F.count(F.lit(1)) / F.lit(chunk_rows), F.sum(F.octet_length("payload")) / F.lit(chunk_bytes)).alias("__n"))
+    sizes = cut_lineage(counted, "sizes")
     # Joining by event would bring a frequent one together after all; so broadcast where it fits.
     few = sizes.limit(BROADCAST_EVENTS + 1).count() <= BROADCAST_EVENTS
     sizes = F.broadcast(sizes) if few else sizes
-    chunks = F.ceil(F.col("__n") / F.lit(chunk_rows)).cast("int")
+    chunks = F.greatest(F.ceil("__n"), F.lit(1)).cast("int")
     placed = snapshots.join(sizes, "event_name").withColumn(
         "chunk", F.pmod(F.xxhash64("id"), chunks).cast("int")
     )

@@ -5,29 +5,35 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.query import StreamingQuery
 
 from signalpact.model import Contract, Mapping
 from signalpact.operators.compiled import CompiledContract, compile_contract
-from signalpact.operators.validate import observe_validation, summary, validate
-from signalpact.session import scratch_path
+from signalpact.operators.lint import check_plan
+from signalpact.operators.validate import event_metrics, observe_validation, summary, validate
 from signalpact.sources.sinks import dlq_records, write_dlq_webhook
 
 log = logging.getLogger(__name__)
 Sink = Callable[[DataFrame, int], None]
 
 
+class DeliveryFailed(RuntimeError):
+    """Dead letters of a batch did not reach their endpoint."""
+
+
 class ContractSource:
     """The contract each micro-batch works with.
 
     ``provider`` returns (version key, contract). A new key is compiled once; if the provider or
-    the compilation fails, the last good contract stays in use.
+    the compilation fails, the last good contract stays in use. With ``gate`` a plan whose flows
+    and events don't fit together (see :func:`signalpact.operators.lint.lint_contract`) fails as well.
     """
 
-    def __init__(self, provider: Callable[[], tuple[str, Contract]]) -> None:
+    def __init__(self, provider: Callable[[], tuple[str, Contract]], gate: bool = False) -> None:
         self._provider = provider
+        self._gate = gate
         self._key: str | None = None
         self._compiled: CompiledContract | None = None
 
@@ -35,6 +41,8 @@ class ContractSource:
         try:
             key, contract = self._provider()
             if self._compiled is None or key != self._key:
+                if self._gate:
+                    check_plan(contract)
                 self._compiled, self._key = compile_contract(contract), key
         except Exception:
             if self._compiled is None:
@@ -45,16 +53,17 @@ class ContractSource:
 
 def validate_stream(
     events: DataFrame, provider: Callable[[], tuple[str, Contract]], sinks: list[Sink],
-    checkpoint: str | None = None, payload: str = "payload", mapping: Mapping = Mapping(),
+    checkpoint: str, payload: str = "payload", mapping: Mapping = Mapping(),
     identity_gate: bool = True, available_now: bool = False, interval: str = "5 seconds",
-    name: str | None = None,
+    name: str | None = None, plan_gate: bool = False,
 ) -> StreamingQuery:
     """Validate every micro-batch against exactly one contract and hand it to all sinks.
 
+    ``checkpoint`` is where a restarted stream goes on; ``plan_gate`` refuses plans that don't lint.
     With several sinks the batch is validated once and kept for them. Delivery is at least once:
     a batch replayed after a failure reaches the sinks again under the same batch id.
     """
-    contracts = ContractSource(provider)
+    contracts = ContractSource(provider, plan_gate)
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         checked = validate(batch, contracts.current(), payload, mapping, identity_gate)
@@ -67,12 +76,13 @@ def validate_stream(
             if len(sinks) > 1:
                 checked.unpersist()
 
-    writer = events.writeStream.foreachBatch(on_batch).option(
-        "checkpointLocation", checkpoint or scratch_path(events.sparkSession, "validate-stream")
-    )
+    writer = events.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
     writer = writer.queryName(name) if name else writer
-    trigger = {"availableNow": True} if available_now else {"processingTime": interval}
-    return writer.trigger(**trigger).start()
+    return writer.trigger(**_trigger(available_now, interval)).start()
+
+
+def _trigger(available_now: bool, interval: str) -> dict:
+    return {"availableNow": True} if available_now else {"processingTime": interval}
 
 
 def file_sink(path: str, workers: int | None = None) -> Sink:
@@ -80,18 +90,21 @@ def file_sink(path: str, workers: int | None = None) -> Sink:
     def sink(checked: DataFrame, batch_id: int) -> None:
         records = dlq_records(checked)
         if workers:
-            records = records.coalesce(workers)
+            records = records.repartition(workers)  # coalesce would validate in that many tasks
         records.write.mode("overwrite").json(f"{path}/batch_id={batch_id}")
     return sink
 
 
 def webhook_sink(post: Callable[[str], int], workers: int = 5) -> Sink:
-    """Dead letters of a batch to an HTTP endpoint, with at most ``workers`` senders."""
+    """Dead letters of a batch to an HTTP endpoint, with at most ``workers`` senders.
+
+    If any is not delivered the batch fails, so that the stream replays it: letters arrive at least once.
+    """
     def sink(checked: DataFrame, batch_id: int) -> None:
         done = write_dlq_webhook(checked, post, workers=workers).first()
         if done["failed"]:
-            log.warning("batch %s: %s dead letters not delivered, first: %s",
-                        batch_id, done["failed"], done["first_failure"])
+            raise DeliveryFailed(
+                f"batch {batch_id}: {done['failed']} dead letters not delivered, first: {done['first_failure']}")
     return sink
 
 
@@ -103,7 +116,7 @@ def routed_sink(path: str) -> Sink:
 
 
 def dlq_sink(
-    sink: str, path: str | None = None, post: Callable[[str], int] | None = None, workers: int = 5
+    sink: str, path: str | None = None, post: Callable[[str], int] | None = None, workers: int = 5,
 ) -> Sink:
     """The dead-letter sink by name: ``webhook`` or ``files``."""
     if sink == "webhook":
@@ -113,32 +126,45 @@ def dlq_sink(
     if sink == "files":
         if path is None:
             raise ValueError("the files sink needs a path")
-        return file_sink(path)
+        return file_sink(path, workers)
     raise ValueError(f"unknown sink {sink!r}: use 'webhook' or 'files'")
 
 
 def summary_stream(
     events: DataFrame, contract: Contract | CompiledContract, query_name: str,
-    checkpoint: str | None = None, fmt: str = "memory", output_mode: str = "complete", **options: str,
+    checkpoint: str, fmt: str = "memory", output_mode: str = "complete", available_now: bool = False,
+    interval: str = "5 seconds", known_only: bool = False, **options: str,
 ) -> StreamingQuery:
-    """Running per-event counts over everything seen so far (state: one row per event name)."""
-    counts = summary(validate(events, contract, with_errors=False))
+    """Running per-event counts over everything seen so far (state: one row per event name).
+
+    Names come from the payloads; ``known_only`` counts those no contract knows under ``''``, which
+    bounds the state by the contract.
+    """
+    checked = validate(events, contract, with_errors=known_only)
+    if known_only:
+        unknown = F.exists("errors", lambda e: e["rule"] == "unknown_event")
+        checked = checked.withColumn("event", F.when(unknown, "").otherwise(F.col("event")))
+    counts = summary(checked)
     return counts.writeStream.outputMode(output_mode).format(fmt).queryName(query_name).options(
         **options
-    ).option(
-        "checkpointLocation", checkpoint or scratch_path(events.sparkSession, "summary-stream")
-    ).trigger(availableNow=True).start()
+    ).option("checkpointLocation", checkpoint).trigger(**_trigger(available_now, interval)).start()
+
+
+def metrics_sink(path: str) -> Sink:
+    """Telemetry per event name of a batch (see :func:`signalpact.operators.validate.event_metrics`); a replay overwrites it."""
+    def sink(checked: DataFrame, batch_id: int) -> None:
+        event_metrics(checked, batch_id).write.mode("overwrite").parquet(f"{path}/part={batch_id}")
+    return sink
 
 
 def observed_stream(
-    events: DataFrame, contract: Contract | CompiledContract, sink: Sink, checkpoint: str | None = None,
-    metric: str = "validation",
+    events: DataFrame, contract: Contract | CompiledContract, sink: Sink, checkpoint: str,
+    metric: str = "validation", available_now: bool = False, interval: str = "5 seconds",
 ) -> StreamingQuery:
     """Validate with one contract and report outcome counts per batch to a ValidationListener."""
     checked, _ = observe_validation(validate(events, contract), metric)
     return checked.writeStream.foreachBatch(sink).option(
-        "checkpointLocation", checkpoint or scratch_path(events.sparkSession, "observed-stream")
-    ).trigger(availableNow=True).start()
+        "checkpointLocation", checkpoint).trigger(**_trigger(available_now, interval)).start()
 
 
 class ValidationListener(StreamingQueryListener):
