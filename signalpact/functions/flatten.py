@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from signalpact.functions.paths import json_path, name, quoted
+from signalpact.functions.paths import json_path, name, quotable, quoted
 from signalpact.model import MAX_DEPTH
 
 # An overflow needs the document, the root object and MAX_DEPTH + 1 objects below it.
@@ -98,13 +98,21 @@ def last_at(text: str, root: str, key: str) -> str:
 
 
 def spelled_with_dot(text: str, segments: list[str]) -> str:
-    """Whether some key of the document may hold a dot that stands for these nested segments."""
+    """Whether some key of the document may hold a dot that stands for these nested segments.
+
+    An escape can spell any letter of a key, so any backslash counts.
+    """
     tests = [f"contains({text}, {quoted(a + '.' + b)})" for a, b in zip(segments, segments[1:])]
-    return " OR ".join([f"contains({text}, {quoted(chr(92) + 'u002e')})", *tests])
+    return " OR ".join([f"contains({text}, {quoted(chr(92))})", *tests])
 
 
 def value_at(text: str, root: str, root_column: str, below: list[str]) -> str:
-    """VARIANT at a flat key; a key with a dot in its name can spell it as well."""
+    """VARIANT at a flat key; a key with a dot in its name can spell it as well.
+
+    Keys a literal path can't hold (quotes, brackets) are looked up among the flat entries.
+    """
+    if not all(map(quotable, below)):
+        return last_at(text, root, ".".join([root, *below]))
     nested = f"try_variant_get({root_column}, {json_path(below)}, 'variant')"
     if len(below) == 1:
         return nested

@@ -31,25 +31,27 @@ def json_path(segments: Iterable[str]) -> str:
     return quoted("$" + "".join(f"['{s}']" for s in segments))
 
 
-def repeated(payload: str, key: str) -> str:
-    """Cheap necessary test for a repeated key: its quoted name occurs twice in the text."""
-    # substring_index gives the whole text when there is no second one
-    found = quoted(f'"{key}"')
-    return f"octet_length(substring_index({payload}, {found}, 2)) <> octet_length({payload})"
+#: Column that says a document must be read from its text, see :func:`unusual`.
+ODD = "__odd"
 
 
-def root_text(payload: str, doc: str, path: str) -> str:
-    """Text at a dotted path below the document root, NULL where absent or JSON null.
+def unusual(payload: str, keys: Iterable[str]) -> str:
+    """Cheap necessary test for a root key given twice, one flag per document.
 
-    The parsed document keeps the last of repeated keys; a repeated root key must yield its first
-    value, so those few documents are read from the text instead.
+    The parsed document keeps the last of repeated keys; a repeated root key must yield its first value,
+    so those few documents are read from the text instead. A key is repeated only if its quoted name
+    occurs twice or an escape may spell it.
     """
-    segments = path.split(".")
-    steps = json_path(segments)
-    return (
-        f"CASE WHEN {repeated(payload, segments[0])} THEN get_json_object({payload}, {steps}) "
-        f"ELSE try_variant_get({doc}, {steps}, 'string') END"
-    )
+    # substring_index gives the whole text when there is no second one
+    twice = [f"octet_length(substring_index({payload}, {quoted(chr(34) + k + chr(34))}, 2)) <> octet_length({payload})"
+             for k in sorted(set(keys))]
+    return " OR ".join([f"contains({payload}, {quoted(chr(92) + 'u')})", *twice])
+
+
+def root_text(payload: str, doc: str, path: str) -> str:
+    """Text at a dotted path below the document root, NULL where absent or JSON null."""
+    steps = json_path(path.split("."))
+    return f"CASE WHEN {ODD} THEN get_json_object({payload}, {steps}) ELSE try_variant_get({doc}, {steps}, 'string') END"
 
 
 def first_texts(
@@ -73,7 +75,7 @@ def root_object(payload: str, doc: str, key: str) -> str:
     """Sub-document under a root key as VARIANT (first one wins when the key is repeated)."""
     steps = json_path([key])
     return (
-        f"CASE WHEN {repeated(payload, key)} THEN try_parse_json(get_json_object({payload}, {steps})) "
+        f"CASE WHEN {ODD} THEN try_parse_json(get_json_object({payload}, {steps})) "
         f"ELSE try_variant_get({doc}, {steps}, 'variant') END"
     )
 

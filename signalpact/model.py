@@ -190,8 +190,21 @@ def read_plan_file(path: str) -> dict[str, Any]:
     return yaml.safe_load(text) or {}
 
 
-def load_contract(spark: SparkSession, path: str, plan_id: str = "plan") -> Contract:
-    """Contract tables from one plan file, or from all plan files of a folder in name order."""
+def load_contract(spark: SparkSession, path: str, plan_id: str = "plan", gate: bool = False) -> Contract:
+    """Contract tables from one plan file, or from all plan files of a folder in name order.
+
+    With ``gate`` a plan whose flows and events don't fit together is refused
+    (:class:`signalpact.operators.lint.PlanRefused`).
+    """
+    from signalpact.operators.lint import check_plan
+
+    contract = _load(spark, path, plan_id)
+    if gate:
+        check_plan(contract)
+    return contract
+
+
+def _load(spark: SparkSession, path: str, plan_id: str) -> Contract:
     from signalpact.operators.resolve import fragments_of_plan, merge_fragments, plan_of_fragments
 
     if not os.path.isdir(path):

@@ -10,9 +10,8 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, functions as F
 
 from signalpact.functions.paths import quotable
-from signalpact.model import Contract, local_table
+from signalpact.model import PLAN_KEYS, Contract, local_table
 from signalpact.operators.resolve import CHECK_FIELDS, constraint_table, resolve_properties, unusable
-from signalpact.session import configure
 
 MAX_LITERAL_CHECKS = 256        # beyond this the checks travel as data instead of as code
 BROADCAST_BYTES = 64 << 20      # beyond this the contract is joined by a salted shuffle
@@ -54,7 +53,10 @@ def compile_contract(
     broadcast_bytes: int = BROADCAST_BYTES,
 ) -> CompiledContract:
     """Resolve one plan version and fix the join strategy from its measured size."""
-    spark = configure(contract.events.sparkSession)
+    spark = contract.events.sparkSession
+    versions = contract.events.select(*PLAN_KEYS).distinct().limit(2).count()
+    if versions > 1:
+        raise ValueError("the contract holds several plan versions: pick one with Contract.at(plan_id, version)")
     resolution = resolve_properties(contract)
     table = constraint_table(contract, resolution).withColumn("__why", unusable()).persist()
     bad = _bad_patterns(table)

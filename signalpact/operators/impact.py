@@ -25,15 +25,19 @@ def check_parity(
 
     The stored name decides the contract entry and identity is not asked for. A sample that cannot
     be checked at all is a breach too, so that one bad sample does not stop the run.
+
+    All samples are checked without reasons first, which leaves one id per event to a hash aggregate;
+    reasons are made for those samples only.
     """
-    samples = snapshots if sha is None else snapshots.filter(F.col("sha") == sha)
-    checked = validate(
-        samples.select("id", "event_name", "payload"), contract,
-        identity_gate=False, event=F.col("event_name"),
-    )
-    return checked.filter(F.col("status") != "valid").groupBy("event_name").agg(
-        F.min("id").alias("id"), F.min_by("errors", "id").alias("errors")
-    )
+    samples = (snapshots if sha is None else snapshots.filter(F.col("sha") == sha)).select("id", "event_name", "payload")
+    options = {"identity_gate": False, "event": F.col("event_name")}
+    first = validate(samples, contract, with_errors=False, **options).filter(F.col("status") != "valid").groupBy(
+        "event_name").agg(F.min("id").alias("id"))
+    checked = validate(samples.join(first, ["event_name", "id"], "left_semi"), contract, **options)
+    return checked.filter(F.col("status") != "valid").select("event_name", "id", "errors").dropDuplicates(["event_name"])
+
+
+# The texts of the changes below are fixed values.
 
 
 def diff_events(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -120,6 +124,14 @@ def gate_count(findings: DataFrame, breaking_only: bool = False) -> DataFrame:
     return kept.agg(F.count(F.lit(1)).alias("findings")).withColumn("failed", F.col("findings") > 0)
 
 
+def gate_counts(findings: DataFrame) -> DataFrame:
+    """Both scopes in one pass over the findings: (scope ``all`` or ``breaking``, findings, failed)."""
+    counts = findings.agg(F.count(F.lit(1)).alias("n"), F.count_if("breaking").alias("b"))
+    rows = F.array(*[F.struct(F.lit(s).alias("scope"), F.col(c).alias("findings"), (F.col(c) > 0).alias("failed"))
+                     for s, c in (("all", "n"), ("breaking", "b"))])
+    return counts.select(F.inline(rows))
+
+
 def gate(findings: DataFrame, breaking_only: bool = False, what: str = "contract check") -> int:
     """Raise when there is any finding (any change at all, unless ``breaking_only``)."""
     count = gate_count(findings, breaking_only).first()["findings"]

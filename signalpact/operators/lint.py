@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from signalpact.model import PLAN_KEYS
+from signalpact.model import PLAN_KEYS, Contract
+from signalpact.operators.resolve import Resolution, resolve_properties
 
 FLOW_KEYS = PLAN_KEYS + ["flow"]
 
@@ -76,3 +77,44 @@ def bad_gate_refs(nodes: DataFrame, properties: DataFrame) -> DataFrame:
     return refs.join(triggers.select(*FLOW_KEYS).distinct(), FLOW_KEYS, "left_semi").join(
         offered, FLOW_KEYS + ["property"], "left_anti"
     ).select(*FLOW_KEYS, "node", "property", "expression")
+
+
+class PlanRefused(ValueError):
+    """The flows and events of a plan don't fit together."""
+
+
+def lint_contract(contract: Contract, resolution: Resolution | None = None) -> DataFrame:
+    """All integrity findings of every plan version: (plan_id, version, rule, subject, error).
+
+    Rules: ``target`` (an edge to no node), ``event`` (a node's event the plan lacks), ``orphan`` (an
+    event no flow uses), ``gate`` (a condition on a property no event of its flow has).
+    """
+    resolution = resolution or resolve_properties(contract)
+    nodes, events = contract.flows, contract.events.select(*PLAN_KEYS, "event").distinct()
+    used = used_events(nodes)
+
+    def finding(df: DataFrame, rule: str, subject: str, error) -> DataFrame:
+        return df.select(*PLAN_KEYS, F.lit(rule).alias("rule"), F.col(subject).alias("subject"), error.alias("error"))
+
+    unknown = used.join(events, PLAN_KEYS + ["event"], "left_anti")
+    orphans = events.join(used.select(*PLAN_KEYS, "event").distinct(), PLAN_KEYS + ["event"], "left_anti")
+    return finding(
+        orphan_targets(flow_edges(nodes), nodes), "target", "src",
+        F.concat(F.lit("flow "), F.col("flow"), F.lit(": "), F.col("error")),
+    ).unionByName(finding(
+        unknown, "event", "node", F.format_string("flow %s, node %s: event %s not found in taxonomy", "flow", "node", "event"),
+    )).unionByName(finding(
+        orphans, "orphan", "event", F.format_string("orphan event: %s is defined in taxonomy but not used in any flow", "event"),
+    )).unionByName(finding(
+        bad_gate_refs(nodes, resolution.properties), "gate", "node",
+        F.format_string("flow %s, node %s: property %s is unknown to the events of the flow", "flow", "node", "property"),
+    ))
+
+
+def check_plan(contract: Contract) -> None:
+    """Raise :class:`PlanRefused` with the first finding of a plan, if there is any."""
+    if contract.flows is None:
+        raise PlanRefused("the plan has no flow table")
+    first = lint_contract(contract).orderBy("rule", "subject", "error").first()
+    if first:
+        raise PlanRefused(first["error"])

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from signalpact.functions import flatten as fl
-from signalpact.functions.paths import name, root_object, sealed
+from signalpact.functions.paths import ODD, name, root_object, sealed
 from signalpact.model import Contract, Mapping, local_table
-from signalpact.operators.normalize import DOC, ROOTS, identity_names, parse, read_names
+from signalpact.operators.normalize import DOC, ROOTS, identity_names, normalize, parse, read_names
 from signalpact.operators.resolve import resolve_properties
 
 # --- fixed values: column type per contract type; every other type is text ---
@@ -40,10 +40,10 @@ def typed_model(
     text = name(payload)
     identity = {k: f"__id_{i}" for i, k in enumerate(identity_names(mapping))
                 if k in {p for p, _, _ in properties}}
-    parsed = parse(df.select(*keep, payload), payload)
+    parsed = parse(df.select(*keep, payload), payload, mapping)
     if event is not None:
         named = read_names(parsed, text, DOC, mapping, "__name", {})
-        parsed = sealed(named, [*keep, payload], {DOC: DOC, "__name": "__name"}).filter(
+        parsed = sealed(named, [*keep, payload], {DOC: DOC, ODD: ODD, "__name": "__name"}).filter(
             F.col("__name") == event)
     opened = read_names(parsed, text, DOC, mapping, None, identity, first={
         f"__root_{r}": root_object(text, DOC, r) for r in ROOTS})
@@ -69,6 +69,47 @@ def typed_model(
     return valued.selectExpr(*[name(c) for c in keep], *[column(p, t) for p, t, _ in sorted(properties)])
 
 
+def typed_values(
+    df: DataFrame, properties: DataFrame, keep: tuple[str, ...], payload: str = "payload", mapping: Mapping = Mapping(),
+) -> DataFrame:
+    """Typed values of all events in one scan: (``keep``, event, property, type, text, number, whole, flag).
+
+    ``properties`` are the resolved (event, property, type) of one plan version. Each declared property
+    an event carries gives a row, with its value in the column of its type and NULL there if it can't be
+    cast; identity keys come from the payload's identity paths. Stored partitioned by event, this is
+    every event's model (see :func:`typed_model` for the wide form of one).
+    """
+    flat = normalize(df.select(*keep, payload), payload, mapping)
+    ids = "transform(map_entries(identity), e -> named_struct('key', e.key, 'value', cast(e.value AS variant)))"
+    leaves = "transform(map_entries(properties), e -> named_struct('key', e.key, 'value', e.value))"
+    # An identity key is its text, whatever the properties hold.
+    both = f"concat({ids}, filter(coalesce({leaves}, array()), e -> NOT map_contains_key(identity, e.key)))"
+    rows = flat.selectExpr(*[name(c) for c in keep], "event", f"inline({both})")
+    known = properties.select("event", F.col("property").alias("key"), "type")
+
+    def column(target: str, types: str) -> str:
+        return f"CASE WHEN type {types} THEN try_variant_get(value, '$', '{target}') END"
+
+    return rows.join(known, ["event", "key"]).selectExpr(
+        *[name(c) for c in keep], "event", "key AS property", "type",
+        f"{column('string', "NOT IN ('number', 'integer', 'boolean')")} AS text", f"{column('double', "= 'number'")} AS number",
+        f"{column('int', "= 'integer'")} AS whole", f"{column('boolean', "= 'boolean'")} AS flag",
+    )
+
+
+def null_counts(values: DataFrame, events: DataFrame, required: DataFrame) -> DataFrame:
+    """Nulls per required property of all events: (event, property, nulls, total).
+
+    ``values`` come from :func:`typed_values`, ``events`` has a row per event that was read (column
+    ``event``), ``required`` the (event, property) to test.
+    """
+    total = events.groupBy("event").agg(F.count(F.lit(1)).alias("total"))
+    there = values.where("coalesce(text, cast(number AS string), cast(whole AS string), cast(flag AS string)) IS NOT NULL")
+    held = there.groupBy("event", "property").agg(F.count(F.lit(1)).alias("held"))
+    return required.select("event", "property").distinct().join(total, "event").join(held, ["event", "property"], "left").select(
+        "event", "property", (F.col("total") - F.coalesce("held", F.lit(0))).alias("nulls"), "total")
+
+
 def materialize_model(model: DataFrame, table: str | None = None, path: str | None = None) -> None:
     """Full refresh of a model, as a table or as parquet under a path."""
     writer = model.write.mode("overwrite").format("parquet")
@@ -94,8 +135,10 @@ def check_not_null(model: DataFrame, required: list[str]) -> DataFrame:
     there = [c for c in required if c in model.columns]
     counts = model.agg(
         F.count(F.lit(1)).alias("total"),
-        *[F.count_if(F.col(f"`{c}`").isNull()).alias(f"n{i}") for i, c in enumerate(there)],
+        *[F.count_if(F.col(name(c)).isNull()).alias(f"n{i}") for i, c in enumerate(there)],
     )
+    if not there:
+        return model.sparkSession.createDataFrame([], "property string, nulls bigint, total bigint")
     pairs = F.array(*[
         F.struct(F.lit(c).alias("property"), F.col(f"n{i}").alias("nulls")) for i, c in enumerate(there)
     ])

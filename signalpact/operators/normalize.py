@@ -5,17 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from signalpact.functions import flatten as fl
-from signalpact.functions.paths import first_texts, name, quoted, root_object, sealed
+from signalpact.functions.paths import ODD, first_texts, name, quoted, root_object, sealed, unusual
 from signalpact.model import MAX_DEPTH, Mapping
+from signalpact.session import accept_repeated_keys
 
 ROOTS = ("properties", "context")
+# fixed value: the message of an event nested too deeply
 DEPTH_ERROR = f"excessive json nesting: depth exceeds limit of {MAX_DEPTH}"
 DOC = "__doc"
 
 
-def parse(df: DataFrame, payload: str) -> DataFrame:
-    """Add the parsed document; everything below reads it instead of the text."""
-    return df.selectExpr("*", f"try_parse_json({name(payload)}) AS {DOC}")
+def parse(df: DataFrame, payload: str, mapping: Mapping = Mapping(), doc: str = DOC) -> DataFrame:
+    """Add the parsed document and whether it must be read from its text; all else reads these two."""
+    accept_repeated_keys(df.sparkSession)
+    paths = [p for found in (mapping.event_paths, *mapping.identity_paths.values()) for p in found]
+    keys = {*ROOTS, *(p.split(".")[0] for p in paths)}
+    return df.selectExpr("*", f"try_parse_json({name(payload)}) AS {doc}", f"{unusual(name(payload), keys)} AS {ODD}")
 
 
 def identity_names(mapping: Mapping) -> list[str]:
@@ -63,7 +68,7 @@ def extract_event_name(
     df: DataFrame, payload: str = "payload", mapping: Mapping = Mapping()
 ) -> DataFrame:
     """Add ``event``: the first non-empty name, else an empty string."""
-    named = read_names(parse(df, payload), name(payload), DOC, mapping, "__name", {})
+    named = read_names(parse(df, payload, mapping), name(payload), DOC, mapping, "__name", {})
     return sealed(named, [c for c in df.columns if c != "event"], {"event": "__name"})
 
 
@@ -72,14 +77,14 @@ def extract_identity(
 ) -> DataFrame:
     """Add ``identity``, MAP<STRING,STRING> of the identity keys that are set."""
     columns = _identity_columns(mapping)
-    found = read_names(parse(df, payload), name(payload), DOC, mapping, None, columns)
+    found = read_names(parse(df, payload, mapping), name(payload), DOC, mapping, None, columns)
     return sealed(found, [c for c in df.columns if c != "identity"], {"identity": _identity_map(columns)})
 
 
-def _with_entries(df: DataFrame, payload: str, roots: tuple[str, ...]) -> DataFrame:
+def _with_entries(df: DataFrame, payload: str, roots: tuple[str, ...], mapping: Mapping = Mapping()) -> DataFrame:
     """Parse once, then add per root its flat entries and one flag for excessive depth."""
     text = name(payload)
-    opened = parse(df, payload).selectExpr(
+    opened = parse(df, payload, mapping).selectExpr(
         "*", *[f"{root_object(text, DOC, r)} AS __root_{r}" for r in roots],
         f"{fl.brace_count(text)} AS __levels",
     )
@@ -119,7 +124,7 @@ def normalize(
     """
     text = name(payload)
     columns = _identity_columns(mapping)
-    flat = _with_entries(df, payload, ROOTS)
+    flat = _with_entries(df, payload, ROOTS, mapping)
     whole = read_names(flat, text, DOC, mapping, "__name", columns, first={
         "__all": f"concat({', '.join(f'__flat_{r}' for r in ROOTS)})"})
     kept = [c for c in df.columns if c not in ("event", "identity", "properties", "error")]

@@ -176,17 +176,20 @@ def unusable(row: Column | None = None) -> Column:
 
 
 def catalogue(contract: Contract, resolution: Resolution | None = None) -> DataFrame:
-    """Resolved catalogue for readers: event, description, property, type, requirement."""
+    """Resolved catalogue for readers: event, description, property, type, requirement, error.
+
+    An event that can't be resolved has one row with its ``error`` and no properties.
+    """
     resolution = resolution or resolve_properties(contract)
     p = resolution.properties.select(
         *PLAN_KEYS, "event", "property", "type",
         F.when(F.col("required"), "REQUIRED").otherwise("OPTIONAL").alias("requirement"),
     )
-    resolvable = contract.events.select(*PLAN_KEYS, "event", "description").join(
-        resolution.errors.select(*PLAN_KEYS, "event"), PLAN_KEYS + ["event"], "left_anti"
+    every = contract.events.select(*PLAN_KEYS, "event", "description").join(
+        resolution.errors.select(*PLAN_KEYS, "event", "error"), PLAN_KEYS + ["event"], "left"
     )
-    return resolvable.join(p, PLAN_KEYS + ["event"], "left").select(
-        *PLAN_KEYS, "event", "description", "property", "type", "requirement"
+    return every.join(p, PLAN_KEYS + ["event"], "left").select(
+        *PLAN_KEYS, "event", "description", "property", "type", "requirement", "error"
     ).orderBy(*PLAN_KEYS, "event", "property")
 
 

@@ -10,13 +10,14 @@ from signalpact.functions import flatten as fl
 from signalpact.functions.checks import (
     ABSENT, ERROR_DDL, STRING, Value, checks_of, data_spec, error, kind_of, literal_spec,
 )
-from signalpact.functions.paths import name, quoted, root_object, sealed
+from signalpact.functions.paths import ODD, name, quoted, root_object, sealed
 from signalpact.model import Contract, Mapping
 from signalpact.operators.compiled import WORD_BITS, CompiledContract, compile_contract
 from signalpact.operators.normalize import (
-    DEPTH_ERROR, ROOTS, identity_names, read_names,
+    DEPTH_ERROR, ROOTS, identity_names, parse, read_names,
 )
 
+# fixed value: the message of an event without identity
 IDENTITY_ERROR = "identity_required: no recognized identity properties found"
 SALTS = 16
 NO_ERRORS = f"cast(array() AS array<{ERROR_DDL}>)"
@@ -35,26 +36,27 @@ def validate(
 
     ``event`` replaces the name found in the payload (a string is a literal name).
     ``with_errors=False`` leaves ``errors`` out, for counts and routing without reasons.
-    Works the same on batch and streaming frames.
+    Input columns of these names (in any case) are replaced. Works the same on batch and streaming
+    frames.
     """
     compiled = contract if isinstance(contract, CompiledContract) else compile_contract(contract)
     text, doc = name(payload), "__doc"
-    kept = [c for c in df.columns if c not in ("event", "status", "errors")]
+    kept = [c for c in df.columns if c.lower() not in ("event", "status", "errors")]
     wanted = _identity_columns(compiled, mapping, identity_gate)
     roots = {r: f"__root_{r}" for r in ROOTS}
 
     given = [] if event is None else [(F.lit(event) if isinstance(event, str) else event).alias("__name")]
-    parsed = df.select(*[F.col(name(c)) for c in kept], *given, F.expr(f"try_parse_json({text})").alias(doc))
+    parsed = parse(df.select(*[F.col(name(c)) for c in kept], *given), payload, mapping, doc)
     opened = read_names(
         parsed, text, doc, mapping, None if given else "__name", {k: f"__id_{i}" for k, i in wanted.items()},
         first={c: root_object(text, doc, r) for r, c in roots.items()},
         then={"__deep": fl.too_deep(text, doc, roots)},
     )
     gated = opened.selectExpr(
-        *[name(c) for c in opened.columns if c != doc],
+        *[name(c) for c in opened.columns if c not in (doc, ODD)],
         f"{_identity_ok(compiled, wanted, identity_gate)} AS __identified",
     )
-    joined = _join_rules(gated, compiled, kept)
+    joined = _join_rules(gated, compiled, payload)
     active = "(NOT __deep AND __identified AND __event IS NOT NULL AND __broken IS NULL)"
     check = _check_as_data if compiled.checks is None else _check_as_code
     checked = check(joined, compiled, text, wanted, active, with_errors)
@@ -98,15 +100,15 @@ def _identity_ok(compiled: CompiledContract, wanted: dict[str, int], gate: bool)
     return " OR ".join(found) or "false"
 
 
-def _join_rules(df: DataFrame, compiled: CompiledContract, kept: list[str]) -> DataFrame:
+def _join_rules(df: DataFrame, compiled: CompiledContract, payload: str) -> DataFrame:
     """Left join on the event name: broadcast within the size bound, else a salted shuffle."""
     on = F.col("__name") == F.col("__event")
     if compiled.broadcast:
         return df.join(F.broadcast(compiled.rules), on, "left")
-    # One event name may hold a third of all rows: spread it over copies of its rules. Equal rows
+    # One event name may hold a third of all rows: spread it over copies of its rules. Equal payloads
     # share a copy; a partition they overfill is split by the adaptive skew join.
     salted = compiled.rules.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    slot = F.pmod(F.xxhash64(*[F.col(name(c)) for c in kept]), F.lit(SALTS)).cast("int")
+    slot = F.pmod(F.xxhash64(F.col(name(payload))), F.lit(SALTS)).cast("int")
     keyed = df.withColumn("__slot", slot)
     return keyed.join(salted, on & (F.col("__slot") == F.col("__salt")), "left").drop("__slot", "__salt")
 
@@ -251,6 +253,20 @@ def observe_validation(validated: DataFrame, name: str = "validation") -> tuple[
     ), seen
 
 
+def event_metrics(validated: DataFrame, batch: int = 0) -> DataFrame:
+    """Outcome counts per event name and the findings by rule, of one batch: telemetry per event.
+
+    Names no contract knows come from the payloads and are unbounded, so they share the row ``''``.
+    """
+    unknown = F.exists("errors", lambda e: e["rule"] == "unknown_event")
+    rules = ("required", "type", "min", "max", "min_length", "max_length", "pattern", "enum")
+    return validated.groupBy(F.when(unknown, "").otherwise(F.col("event")).alias("event")).agg(
+        F.count(F.lit(1)).alias("total"), _count("valid").alias("valid"),
+        _count("invalid").alias("invalid"), _count("error").alias("error"),
+        *[F.sum(F.expr(f"size(filter(errors, e -> e.rule = '{r}'))")).cast("bigint").alias(f"rule_{r}") for r in rules],
+    ).withColumn("batch_id", F.lit(batch).cast("bigint"))
+
+
 def summary(validated: DataFrame) -> DataFrame:
     """Per event name: total, valid, invalid and error counts (partial aggregation first)."""
     return validated.groupBy("event").agg(
