@@ -380,3 +380,53 @@ WHERE f IN (SELECT f FROM u WHERE opens)
   AND NOT EXISTS (SELECT 1 FROM u JOIN has USING (event) WHERE u.f = refs.f AND has.property = refs.property)""",
 }
 ORACLE["validation_summary"] = ORACLE["stream_validate_counts"]
+
+
+def _rule_count(rule: str) -> str:
+    hits = [f"CAST({cond.format(et='et')} AS INT)" for _, r, cond, _ in CHECKS_V1 if r == rule]
+    return f"CAST(coalesce(sum({' + '.join(hits)}) FILTER (idok AND et <> 'error'), 0) AS BIGINT) AS rule_{rule}"
+
+
+ORACLE["validate_salted"] = ORACLE["validate_events"]
+ORACLE["event_metrics"] = _outcomes() + f"""
+SELECT CASE WHEN status = 'error' THEN '' ELSE et END AS event, count(*) AS total, count(*) FILTER (status = 'valid') AS valid,
+       count(*) FILTER (status = 'invalid') AS invalid, count(*) FILTER (status = 'error') AS error,
+       {', '.join(map(_rule_count, ('type', 'required', 'min', 'max')))}
+FROM v GROUP BY ALL"""
+ORACLE["dlq_malformed"] = f"""WITH {EVENTS}
+SELECT k AS qty, 'identity_required: no recognized identity properties found' AS errors FROM c"""
+_GATES = ORACLE["bad_gate_refs"].replace("SELECT flow, node, property FROM refs", """SELECT 'gate', node,
+  'flow ' || flow || ', node ' || node || ': property ' || property || ' is unknown to the events of the flow' FROM refs""")
+ORACLE["lint_contract"] = _GATES + """
+UNION ALL SELECT 'target', src, 'flow ' || flow || ': node ' || src || ': orphaned ' || kind || ' target ' || dst
+FROM ed WHERE NOT EXISTS (SELECT 1 FROM nd WHERE nd.flow = ed.flow AND nd.node = ed.dst)
+UNION ALL SELECT 'event', node, 'flow ' || flow || ', node ' || node || ': event ' || event || ' not found in taxonomy'
+FROM u WHERE event = 'error'
+UNION ALL SELECT 'orphan', event, 'orphan event: ' || event || ' is defined in taxonomy but not used in any flow'
+FROM (VALUES ('click'), ('view'), ('purchase'), ('signup')) x(event) WHERE event NOT IN (SELECT event FROM u WHERE event IS NOT NULL)"""
+ORACLE["lint_contract"] = f"SELECT * FROM ({ORACLE['lint_contract']}) x(rule, subject, error)"
+
+_MODEL = """
+has(event, property) AS (
+  SELECT event, property FROM (VALUES ('click'), ('view'), ('purchase'), ('signup')) a(event),
+    (VALUES ('context.ip'), ('context.library.name'), ('properties.metadata.source')) b(property)
+  UNION ALL VALUES ('click', 'properties.price'), ('click', 'properties.category'), ('view', 'properties.code'),
+    ('purchase', 'properties.price'), ('purchase', 'properties.category'), ('purchase', 'properties.qty'), ('purchase', 'properties.tags'),
+    ('purchase', 'properties.code'), ('purchase', 'userId'),
+    ('signup', 'properties.price'), ('signup', 'properties.category'), ('signup', 'properties.qty'), ('signup', 'properties.tags'),
+    ('signup', 'properties.code')
+), held AS (
+  SELECT et AS event, property, value, k, CASE property WHEN 'context.ip' THEN i % 23 <> 0 WHEN 'properties.metadata.source' THEN source IS NOT NULL
+         WHEN 'userId' THEN uid IS NOT NULL ELSE TRUE END AS there
+  FROM c JOIN has ON has.event = c.et
+)
+"""
+ORACLE["typed_models_all"] = f"""WITH {EVENTS}, {_MODEL}
+SELECT event, property, count(*) FILTER (there) AS held,
+       round(CASE WHEN property = 'properties.price' THEN sum(value) END, 2) AS number_sum,
+       CAST(CASE WHEN property = 'properties.qty' THEN sum(k) END AS BIGINT) AS whole_sum
+FROM held GROUP BY event, property HAVING count(*) FILTER (there) > 0"""
+ORACLE["null_counts_all"] = f"""WITH {EVENTS}, {_MODEL}
+SELECT event, property, count(*) FILTER (NOT there) AS nulls, count(*) AS total FROM held
+WHERE property IN ('context.ip', 'context.library.name', 'properties.metadata.source')
+   OR event = 'purchase' AND property IN ('properties.price', 'userId') GROUP BY event, property"""

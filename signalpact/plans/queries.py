@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from signalpact.model import Mapping
+from signalpact.model import Contract, Mapping
 from signalpact.operators import impact, lint, models, normalize as norm, resolve, validate as val
 from signalpact.operators.compiled import CompiledContract, compile_contract
 from signalpact.plans import fixtures as fx
@@ -65,7 +65,7 @@ def stream_validate_counts(spark, sf_dir):
         spark, sf_dir, "parquet", schema, pathGlobFilter="events.parquet", maxFilesPerTrigger="8"
     )
     name = "counts_" + scratch_path(spark, "q")[-32:]
-    summary_stream(fx.raw_events(stream), demo(spark), name).awaitTermination()
+    summary_stream(fx.raw_events(stream), demo(spark), name, scratch_path(spark, "counts"), available_now=True).awaitTermination()
     return spark.table(name)
 
 
@@ -99,6 +99,16 @@ def dlq_records(spark, sf_dir):
     )
 
 
+@query
+def dlq_malformed(spark, sf_dir):
+    """Payloads cut short are no JSON documents: their text must reach the dead letter."""
+    cut = raw(spark, sf_dir).withColumn("payload", F.expr("left(payload, length(payload) - 1)"))
+    letters = sinks.dlq_records(val.validate(cut, demo(spark)))
+    return letters.select(
+        F.regexp_extract(F.try_variant_get("payload", "$", "string"), '"qty":([0-9]+)', 1).cast("int").alias("qty"),
+        F.array_join("errors", " | ").alias("errors"))
+
+
 @query
 def dlq_webhook_envelope(spark, sf_dir):
     body = sinks.webhook_envelopes(validated(spark, sf_dir), source="edge")
@@ -282,6 +292,22 @@ def validate_no_identity(spark, sf_dir):
         "event_id", "event", "status", codes().alias("errors"))
 
 
+@query
+def validate_salted(spark, sf_dir):
+    """Checks held as data and rules joined by a salted shuffle, beside a column that can't be hashed."""
+    key = (spark.sparkContext.applicationId, -1)
+    if key not in _compiled:
+        _compiled[key] = compile_contract(fx.demo_contract(spark), max_literal_checks=0, broadcast_bytes=0)
+    rows = raw(spark, sf_dir).withColumn("tags", F.create_map(F.lit("a"), F.lit(1)))
+    return val.validate(rows, _compiled[key]).select("event_id", "event", "status", codes().alias("errors"))
+
+
+@query
+def event_metrics(spark, sf_dir):
+    return val.event_metrics(validated(spark, sf_dir)).select(
+        "event", "total", "valid", "invalid", "error", "rule_type", "rule_required", "rule_min", "rule_max")
+
+
 @query
 def validate_event_override(spark, sf_dir):
     return validated(spark, sf_dir, identity_gate=False, event="click").select(
@@ -355,10 +381,7 @@ def diff_entity(spark, sf_dir):
 
 @query
 def impact_gate(spark, sf_dir):
-    found = _property_diff(spark, sf_dir)
-    every = impact.gate_count(found).withColumn("scope", F.lit("all"))
-    return every.unionByName(
-        impact.gate_count(found, breaking_only=True).withColumn("scope", F.lit("breaking")))
+    return impact.gate_counts(_property_diff(spark, sf_dir))
 
 
 # --- models -----------------------------------------------------------------------------------
@@ -383,6 +406,27 @@ def typed_model(spark, sf_dir):
     return _purchase_model(spark, sf_dir)
 
 
+def _typed_values(spark, sf_dir):
+    resolved = resolve.resolve_properties(fx.demo_contract(spark)).properties
+    return resolved, models.typed_values(raw(spark, sf_dir), resolved, keep=("event_id",))
+
+
+@query
+def typed_models_all(spark, sf_dir):
+    """All events' models from one scan, as counts and sums per event and property."""
+    _, values = _typed_values(spark, sf_dir)
+    there = "coalesce(text, cast(number AS string), cast(whole AS string), cast(flag AS string)) IS NOT NULL"
+    return values.groupBy("event", "property").agg(
+        F.count_if(F.expr(there)).alias("held"), F.round(F.sum("number"), 2).alias("number_sum"), F.sum("whole").alias("whole_sum"))
+
+
+@query
+def null_counts_all(spark, sf_dir):
+    resolved, values = _typed_values(spark, sf_dir)
+    events = norm.extract_event_name(raw(spark, sf_dir))
+    return models.null_counts(values, events, models.required_columns(resolved))
+
+
 @query
 def materialized_model(spark, sf_dir):
     path = scratch_path(spark, models.model_name("purchase"))
@@ -437,6 +481,17 @@ def unused_events(spark, sf_dir):
     return lint.unused_events(fx.demo_contract(spark, 2).events, _observed(spark, sf_dir))
 
 
+@query
+def lint_contract(spark, sf_dir):
+    """The demo plan with the journeys of all customers, as one plan version."""
+    demo_plan = fx.demo_contract(spark)
+    keyed = {
+        part: getattr(demo_plan, part).withColumns({"plan_id": F.lit("registry"), "version": F.lit("1")})
+        for part in ("events", "imports", "props", "enums", "identity", "mixins")
+    }
+    return lint.lint_contract(Contract(**keyed, flows=_nodes(spark, sf_dir))).select("rule", "subject", "error")
+
+
 @query
 def bad_gate_refs(spark, sf_dir):
     resolved = resolve.resolve_properties(fx.demo_contract(spark)).properties.select(

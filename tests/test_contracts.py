@@ -11,26 +11,37 @@ def resolved(spark, plan):
     return resolve.resolve_properties(contract_from_dict(spark, plan))
 
 
+def import_chains(plan, event):
+    """All import chains of an event with the places of their steps, until one repeats or is unknown."""
+    done, open_ = [], [((i,), (m,)) for i, m in enumerate(plan["events"][event].get("imports", []))]
+    while open_:
+        places, names = open_.pop()
+        done.append((places, names))
+        if names[-1] in plan["mixins"] and names[-1] not in names[:-1]:
+            below = plan["mixins"][names[-1]].get("imports", [])
+            open_ += [((*places, i), (*names, m)) for i, m in enumerate(below)]
+    return sorted(done)
+
+
 def brute_order(plan, event):
-    """Depth-first merge with a visited set."""
-    flat, visited = {}, set()
-
-    def visit(mixin, stack):
-        if mixin in stack:
-            raise ValueError(f"circular dependency detected in mixins: [{' -> '.join(stack)} -> {mixin}]")
-        if mixin not in plan["mixins"]:
-            raise ValueError(f"mixin {mixin} not found")
-        if mixin in visited:
-            return
-        for sub in plan["mixins"][mixin].get("imports", []):
-            visit(sub, stack + [mixin])
-        flat.update({p: mixin for p in plan["mixins"][mixin].get("properties", {})})
-        visited.add(mixin)
-
-    for m in plan["events"][event].get("imports", []):
-        visit(m, [])
-    flat.update({p: event for p in plan["events"][event].get("properties", {})})
-    return flat
+    """Owner of every property: chains are followed in import order, a mixin counts where it is met first.
+
+    What a mixin imports comes before it, and the event itself comes last.
+    """
+    chains = import_chains(plan, event)
+    for _, names in chains:
+        if names[-1] in names[:-1]:
+            raise ValueError(f"circular dependency detected in mixins: [{' -> '.join(names)}]")
+        if names[-1] not in plan["mixins"]:
+            raise ValueError(f"mixin {names[-1]} not found")
+    last = 10**6
+    visits = {}
+    for places, names in chains:
+        visits[names[-1]] = min(visits.get(names[-1], (last,) * 99), (*places, last))
+    owners = {}
+    for mixin in sorted(visits, key=visits.get):
+        owners |= dict.fromkeys(plan["mixins"][mixin].get("properties", {}), mixin)
+    return owners | dict.fromkeys(plan["events"][event].get("properties", {}), event)
 
 
 def random_plan(seed, cyclic):
@@ -179,4 +190,18 @@ def test_typed_model(spark):
     assert {r["property"]: r["nulls"] for r in counts} == {"userId": 0, "total": 1}
     required = spark.createDataFrame([("e", "userId"), ("e", "absent")], "event string, property string")
     assert [r["property"] for r in models.check_columns(model, required).collect()] == ["absent"]
-    assert dict(model.dtypes)["properties.n"] == "int" and F is not None
+    assert dict(model.dtypes)["properties.n"] == "int"
+
+
+def test_models_of_unusual_names_and_no_requirements(spark):
+    raw = spark.createDataFrame([(r'{"event":"E","properties":{"it\'s":1,"a[0]":"x"}}',)], "payload string")
+    model = models.typed_model(raw, [("properties.it's", "integer", False), ("properties.a[0]", "string", True)])
+    assert tuple(model.first()) == ("x", 1)
+    assert models.check_not_null(model, []).count() == 0
+    assert [tuple(r) for r in models.check_not_null(model, ["properties.a[0]"]).collect()] == [("properties.a[0]", 0, 1)]
+
+
+def test_catalogue_names_events_that_do_not_resolve(spark):
+    contract = contract_from_dict(spark, {"mixins": {}, "events": {"A": {"imports": ["Gone"]}, "B": {"properties": {"properties.x": {"type": "string"}}}}})
+    rows = {(r["event"], r["property"]): r["error"] for r in resolve.catalogue(contract).collect()}
+    assert rows == {("A", None): "mixin Gone not found", ("B", "properties.x"): None}

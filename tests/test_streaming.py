@@ -3,9 +3,11 @@ import json
 import pytest
 
 from signalpact.model import contract_from_dict
+from signalpact.operators import lint
 from signalpact.operators.compiled import compile_contract
 from signalpact.operators.validate import observe_validation, summary, validate
 from signalpact.plans import fixtures as fx
+from signalpact.session import scratch_path
 from signalpact.sources import sinks, snapshots as snap
 from signalpact.sources.events import read_events, read_events_stream
 from signalpact.streaming import jobs
@@ -108,7 +110,7 @@ def test_stream_equals_batch(spark):
     rows = []
     jobs.validate_stream(
         fx.raw_events(stream), lambda: ("1", fx.demo_contract(spark)),
-        [lambda df, _: rows.extend(df.collect())], available_now=True).awaitTermination()
+        [lambda df, _: rows.extend(df.collect())], scratch_path(spark, "cp"), available_now=True).awaitTermination()
     batch = validate(fx.raw_events(events), contract).collect()
     assert sorted(map(str, rows)) == sorted(map(str, batch)) and len(rows) == events.count()
 
@@ -128,7 +130,8 @@ def test_observed_metrics_and_listener(spark):
         stream = read_events_stream(
             spark, "/root/testdata/sf0.001", "parquet", events.schema, pathGlobFilter="events.parquet")
         query = jobs.observed_stream(
-            fx.raw_events(stream), contract, lambda df, _: df.write.format("noop").mode("overwrite").save())
+            fx.raw_events(stream), contract, lambda df, _: df.write.format("noop").mode("overwrite").save(),
+            scratch_path(spark, "cp"), available_now=True)
         query.awaitTermination()
         for _ in range(50):
             if listener.batches:
@@ -162,3 +165,82 @@ def test_dlq_file_and_feed(spark, tmp_path):
     assert len(lines(tmp_path / "dlq")) == 2
     feed = {tuple(r)[:2] for r in sinks.result_feed(checked).collect()}
     assert feed == {("Login", True), ("Login", False)}
+
+
+def test_failed_letters_are_replayed(spark, folder):
+    contract = contract_from_dict(spark, plan())
+    for n in range(2, 6):
+        (folder / "in" / f"{n}.jsonl").write_text(f'{{"event":"Login","n":{n}}}\n{{"event":"Login","userId":"u"}}\n')
+    calls = folder / "calls"
+    calls.mkdir()
+    target = str(calls)
+
+    def run(status):
+        def post(body):
+            import time
+            import uuid
+            time.sleep(0.05)  # a slow endpoint
+            if status < 400:
+                with open(f"{target}/{uuid.uuid4().hex}.json", "w") as out:
+                    out.write(body)
+            return status
+
+        jobs.validate_stream(
+            read_events_stream(spark, str(folder / "in"), maxFilesPerTrigger="1"), lambda: ("1", contract),
+            [jobs.dlq_sink("webhook", post=post, workers=2)], checkpoint=str(folder / "cp"), available_now=True,
+        ).awaitTermination()
+
+    with pytest.raises(Exception, match="dead letters not delivered"):
+        run(503)
+    run(200)
+    got = sorted(json.loads(x["payload"]).get("n", 0) for x in lines(calls))
+    assert got == [0, 2, 3, 4, 5]
+
+
+def test_unreadable_payload_stays_in_the_letter(spark, folder):
+    (folder / "in" / "2.jsonl").write_text('{"event":"Login","userId":\n')
+    contract = contract_from_dict(spark, {"identity_properties": ["userId"], **plan()})
+    checked = validate(read_events(spark, str(folder / "in")), contract)
+    sinks.write_dlq_files(checked, str(folder / "dlq"))
+    assert '{"event":"Login","userId":' in [x["payload"] for x in lines(folder / "dlq")]
+
+
+def test_plan_gate_keeps_the_old_plan(spark):
+    flows = {"F": {"nodes": {"Start": {"type": "TriggerNode", "event": "Login", "transitions": [{"target": "End"}]},
+                             "End": {"type": "TerminalNode"}}}}
+    good = {**plan(), "flows": flows}
+    orphan = {**plan(), "flows": flows, "events": {**plan()["events"], "Orphan": {}}}
+    versions = [("1", contract_from_dict(spark, good))]
+    source = jobs.ContractSource(lambda: versions[-1], gate=True)
+    first = source.current()
+    versions.append(("2", contract_from_dict(spark, orphan)))
+    assert source.current() is first
+    with pytest.raises(lint.PlanRefused, match="orphan event: Orphan"):
+        lint.check_plan(versions[-1][1])
+    with pytest.raises(lint.PlanRefused, match="event Gone not found"):
+        lint.check_plan(contract_from_dict(spark, {**plan(), "flows": {"F": {"nodes": {
+            "A": {"type": "TriggerNode", "event": "Login"}, "B": {"type": "WaitNode", "listen_for": "Gone"}}}}}))
+
+
+def test_summary_folds_unknown_names(spark, folder):
+    name = "folded_" + scratch_path(spark, "q")[-32:]
+    jobs.summary_stream(
+        read_events_stream(spark, str(folder / "in")), contract_from_dict(spark, plan()), name,
+        str(folder / "cp"), available_now=True, known_only=True).awaitTermination()
+    assert {r["event"]: r["total"] for r in spark.table(name).collect()} == {"Login": 2, "": 1}
+
+
+def test_metrics_per_event(spark, folder):
+    contract = contract_from_dict(spark, plan())
+    jobs.validate_stream(
+        read_events_stream(spark, str(folder / "in")), lambda: ("1", contract), [jobs.metrics_sink(str(folder / "metrics"))],
+        checkpoint=str(folder / "cp"), available_now=True).awaitTermination()
+    got = {r["event"]: (r["total"], r["valid"], r["rule_required"], r["batch_id"])
+           for r in spark.read.parquet(str(folder / "metrics")).collect()}
+    assert got == {"Login": (2, 1, 1, 0), "": (1, 0, 0, 0)}
+
+
+def test_chunks_are_bounded_by_bytes(spark):
+    rows = spark.range(64).selectExpr("id", "'E' AS event_name", "repeat('x', 100000) AS payload")
+    sizes = [len(r["payloads"]) for r in snap.snapshots_by_event(rows, chunk_bytes=800_000).collect()]
+    assert sum(sizes) == 64 and len(sizes) >= 6 and max(sizes) < 24

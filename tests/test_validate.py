@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from signalpact.model import Mapping, contract_from_dict
+from signalpact.model import Contract, Mapping, contract_from_dict
 from signalpact.operators import normalize as norm
 from signalpact.operators.compiled import compile_contract
 from signalpact.operators.validate import error_strings, validate
@@ -209,3 +209,49 @@ def test_dotted_leaf_beside_deeper_object(spark, limit):
         ('{"event":"E","properties":{"a":{"b":{"c":1}},"a.b":7}}',),
         ('{"event":"E","properties":{"a":{"b":3},"x":{"y":{"z":{}}}}}',)], "payload string")
     assert [r["status"] for r in validate(raw, compiled).collect()] == ["invalid", "invalid", "valid"]
+
+
+ESCAPES = [
+    r'{"event":"E","properties":{"\u0061.b":7}}', r'{"event":"E","properties":{"a.b":7}}', r'{"event":"E","properties":{"a":{"b":7}}}',
+    r'{"event":"E","properties":{"a":{"b":7},"\u0061.b":2}}', r'{"event":"E","properties":{"a.b":7,"a":{"b":2}}}',
+    r'{"event":"E","\u0070roperties":{"a":{"b":7}}}', r'{"event":"E","properties":{"a":{"b":2}},"\u0070roperties":{"a":{"b":7}}}',
+    r'{"event":"E","properties":{"x":"\"","a":{"b":9}}}', r'{"event":"E","properties":{"a":1,"a":{"b":3}}}', r'{"\u0065vent":"E"}', "nonsense", "",
+]
+
+
+def test_modes_agree_on_spelled_keys(spark):
+    contract = contract_from_dict(spark, {"events": {"E": {"properties": {
+        "properties.a.b": {"type": "integer", "required": True, "rules": {"max": 5}}}}}})
+    raw = spark.createDataFrame(list(enumerate(ESCAPES)), "id int, payload string").withColumn("tags", F.create_map(F.lit("k"), "id"))
+    results = []
+    for options in ({}, {"max_literal_checks": 0}, {"broadcast_bytes": 0}, {"max_literal_checks": 0, "broadcast_bytes": 0}):
+        checked = validate(raw, compile_contract(contract, **options), identity_gate=False)
+        results.append({r["id"]: (r["event"], r["status"], [e["rule"] for e in r["errors"]]) for r in checked.collect()})
+    assert results[0] == results[1] == results[2] == results[3]
+    assert results[0][0] == ("E", "invalid", ["max"]) == results[0][1] == results[0][2]
+    assert results[0][9] == ("E", "invalid", ["required"])
+
+
+def test_same_answers_in_a_plain_session(spark):
+    contract = contract_from_dict(spark, {"events": {"E": {"properties": {"properties.a": {"type": "integer", "required": True}}}}})
+    raw = spark.createDataFrame([('{"event":"E","userId":"u","properties":{"a":1,"a":2}}',)], "payload string")
+    plain = spark.newSession()
+    plain.conf.set("spark.sql.variant.allowDuplicateKeys", "false")
+    other = plain.createDataFrame([('{"event":"E","userId":"u","properties":{"a":1,"a":2}}',)], "payload string")
+    assert norm.normalize(other).select("event", "identity").collect() == norm.normalize(raw).select("event", "identity").collect()
+    assert validate(raw, contract).first()["status"] == "valid"
+
+
+def test_several_plan_versions_are_refused(spark):
+    one = contract_from_dict(spark, {"events": {"E": {}}}, version="1")
+    two = contract_from_dict(spark, {"events": {"E": {}}}, version="2")
+    both = Contract(*(getattr(one, f).unionByName(getattr(two, f)) for f in ("events", "imports", "props", "enums", "identity")))
+    with pytest.raises(ValueError, match="several plan versions"):
+        compile_contract(both)
+    assert compile_contract(both.at("plan", "2")).rules.count() == 1
+
+
+def test_output_names_in_any_case(spark):
+    raw = spark.createDataFrame([('{"event":"E"}', "old")], "payload string, Status string")
+    checked = validate(raw, contract_from_dict(spark, {"events": {"E": {}}}), identity_gate=False)
+    assert checked.select("status").first()[0] == "valid"
