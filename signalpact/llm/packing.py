@@ -15,6 +15,7 @@ import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -34,7 +35,7 @@ ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2, 2, 3, 4
 #: Bins at least this full are kept as they are; the others are packed again.
 GOOD = 0.995
 #: Words, and pieces of words, kept with their ids per Python worker.
-CACHE = 200_000
+CACHE = 100_000
 #: Bytes of a piece that is merged beside others.
 SHORT = 32
 _HIGH = re.compile("[\u0300-\U0010ffff]")
@@ -226,12 +227,21 @@ def best_fit(lengths: np.ndarray, items: np.ndarray, bins: list[list[int]], room
             insort(room, (free - need, b))
 
 
+def filling(lengths: np.ndarray, bins: list[list[int]]) -> np.ndarray:
+    """Tokens in each of some bins, none of which is empty."""
+    if not bins:
+        return np.empty(0, np.int64)
+    sizes = np.fromiter(map(len, bins), np.int64, len(bins))
+    items = np.fromiter(chain.from_iterable(bins), np.int64, int(sizes.sum()))
+    return np.add.reduceat(lengths[items], np.cumsum(sizes) - sizes)
+
+
 class Packing:
     """Bin of every item, with the filling of every bin."""
 
     def __init__(self, lengths: np.ndarray, bins: list[list[int]], capacity: int):
         self.bins = [b for b in bins if b]
-        self.fill = np.array([lengths[b].sum() for b in self.bins], np.int64)
+        self.fill = filling(lengths, self.bins)
         # Few bins first; among equals the packing with fuller full bins (and so one emptier rest).
         self.fitness = -len(self.bins) + float(np.mean((self.fill / capacity) ** 2)) if len(self.bins) else 0.0
 
@@ -262,7 +272,7 @@ def crossover(lengths: np.ndarray, one: Packing, other: Packing, capacity: int,
     poor = (one.fill < capacity * GOOD) & ~touched
     touched |= poor & (rng.random(len(poor)) < 0.8)
     bins = [list(b) for b in injected] + [list(b) for i, b in enumerate(one.bins) if not touched[i]]
-    fill = np.array([lengths[b].sum() for b in bins], np.int64)
+    fill = filling(lengths, bins)
     room = sorted((capacity - int(f), i) for i, f in enumerate(fill) if f < capacity)
     displaced = np.flatnonzero(touched[owner] & ~inside)
     best_fit(lengths, displaced[np.argsort(-lengths[displaced], kind="stable")], bins, room, capacity)
@@ -270,13 +280,18 @@ def crossover(lengths: np.ndarray, one: Packing, other: Packing, capacity: int,
 
 
 def first_generation(lengths: np.ndarray, capacity: int, size: int, rng: np.random.Generator) -> list[Packing]:
-    """Best-fit decreasing, and best-fit of blurred orders for the rest of the population."""
+    """Best-fit decreasing, and best-fit of blurred orders for the rest of the population.
+
+    If the first already needs no more bins than the tokens do, it is the whole population.
+    """
     out = []
     for k in range(size):
         blurred = lengths * rng.uniform(0.9, 1.1, len(lengths)) if k else lengths
         bins: list[list[int]] = []
         best_fit(lengths, np.argsort(-blurred, kind="stable"), bins, [], capacity)
         out.append(Packing(lengths, bins, capacity))
+        if len(out[0].bins) <= -(-int(lengths.sum()) // capacity):
+            break
     return out
 
 

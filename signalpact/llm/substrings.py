@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from signalpact.llm.text import Spans, gram_hashes, mix, per_text, signed, slices, stored, table, text_bytes, word_hashes, word_table
+from signalpact.llm.text import Spans, bound_batches, gram_hashes, mix, per_text, signed, slices, stored, table, text_bytes, word_hashes, word_table
 from signalpact.session import cut_lineage
 
 #: Words of a window: the shortest repeat that is removed.
@@ -129,6 +129,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFram
 
     Earlier means smaller (doc, rid), or an earlier start in the same row. ``doc`` and ``rid`` are bigints.
     """
+    bound_batches(docs.sparkSession)
     seeded = docs.select("doc", "rid", "text").mapInArrow(
         _seeds(length, seed), "key long, wide long, doc long, rid long, first int, last int, known boolean")
     same = Window.partitionBy("key", "wide").orderBy("doc", "rid", "first")

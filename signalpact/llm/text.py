@@ -154,6 +154,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bound_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Let Spark send texts to Python in batches of ``most`` bytes instead of 64 MB, for the rest of the session.
+
+    A batch is held by the executor, by the Arrow writer and by the Python worker at once.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int("".join(c for c in spark.conf.get(key) if c.isdigit())) != most:
+        spark.conf.set(key, str(most))
+
+
 def per_text(
     df: DataFrame, keep: list[str], text: str, make: Callable[[], Callable[[list], dict]], added: str, rows: int = 512,
 ) -> DataFrame:
@@ -163,6 +173,7 @@ def per_text(
     ``text`` may be one of ``keep``.
     Columns pass through Arrow, so nulls and wide integers in ``keep`` survive.
     """
+    bound_batches(df.sparkSession)
     fields = StructType.fromDDL(added).fields
     schema = StructType([*(df.schema[c] for c in keep), *fields])
 
