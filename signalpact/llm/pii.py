@@ -194,11 +194,11 @@ def disclosing_terms(
 
 def find_spans(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH, support: int = SUPPORT,
-    disclosure: float = DISCLOSURE, keep: list[str] | None = None,
+    disclosure: float = DISCLOSURE, keep: list[str] | None = None, name: str = "spans",
 ) -> DataFrame:
     """(``keep``, spans): all spans of every row, patterns and disclosing terms.
 
-    ``keep`` defaults to the id and may hold the text. ``spans`` is an array of (start, kind, end), sorted; kind 4 is a term. A
+    ``keep`` defaults to the id and may hold the text; ``name`` is that of the added column. ``spans`` is an array of (start, kind, end), sorted; kind 4 is a term. A
     term is marked in the documents that hold the entity it discloses, wherever it stands there outside
     the patterns. A null or empty text has no spans; repeated rows are treated alike.
     """
@@ -219,7 +219,7 @@ def find_spans(
             spans.sort()
         return [{"start": a, "kind": k, "end": b} for a, k, b in spans]
 
-    schema = "spans array<struct<start: int, kind: int, end: int>>"
+    schema = f"`{name}` array<struct<start: int, kind: int, end: int>>"
     if size <= BROADCAST_BYTES:
         by_entity: dict[str, set[str]] = {}
         for entity, term in flagged.collect():  # at most BROADCAST_BYTES
@@ -233,7 +233,7 @@ def find_spans(
                     spans = base_spans(t)
                     terms = set().union(*(known.value.get(entity_name(t, s), ()) for s in spans)) if spans else set()
                     out.append(mark(t, spans, terms))
-                return {"spans": out}
+                return {name: out}
 
             return work
 
@@ -250,7 +250,7 @@ def find_spans(
     whole = numbered.join(terms, "_row", "left").withColumn("_both", F.struct(F.col(text_col).alias("text"), "terms"))
 
     def make_joined():
-        return lambda rows: {"spans": [mark(r["text"], base_spans(r["text"]), set(r["terms"] or ())) for r in rows]}
+        return lambda rows: {name: [mark(r["text"], base_spans(r["text"]), set(r["terms"] or ())) for r in rows]}
 
     return per_text(whole, keep, "_both", make_joined, schema)
 
@@ -281,15 +281,15 @@ def masked(text: str | None, spans: list[tuple[int, int, int]]) -> str | None:
 def sanitise(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """``docs`` with the text sanitised; all other columns and all rows stay. See :func:`find_spans`."""
     others = [c for c in docs.columns if c != text_col]
-    found = find_spans(docs, text_col=text_col, keep=docs.columns, **options).withColumn(
-        "_both", F.struct(F.col(text_col).alias("text"), "spans"))
+    found = find_spans(docs, text_col=text_col, keep=docs.columns, name="_spans", **options).withColumn(
+        "_both", F.struct(F.col(text_col).alias("text"), F.col("_spans").alias("spans")))
 
     def make():
-        return lambda rows: {"clean": [
+        return lambda rows: {"_clean": [
             masked(r["text"], [(s["start"], s["kind"], s["end"]) for s in r["spans"]]) for r in rows]}
 
-    out = per_text(found, others, "_both", make, "clean string")
-    return out.withColumnRenamed("clean", text_col).select(*docs.columns)
+    out = per_text(found, others, "_both", make, "_clean string")
+    return out.withColumnRenamed("_clean", text_col).select(*docs.columns)
 
 
 def op7_information_sanitiser(spark: SparkSession, sf_dir: str) -> DataFrame:
