@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from signalpact.llm.text import LOWER, gram_hashes, mix, per_text, signed, stored, table, text_bytes, word_hashes
+from signalpact.llm.text import LOWER, gram_hashes, mix, per_text, signed, stored, table, text_bytes, tidy, word_hashes
 from signalpact.session import cut_lineage
 
 #: Words of a shingle and the similarity of a link in per cent.
@@ -230,7 +230,7 @@ def _exploded(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 rid = np.repeat(batch.column(0).to_numpy(), [len(s) for s in sets])
                 yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(np.concatenate(sets))], names=["rid", "shingle"])
 
-    return _sets(docs, wanted, k).mapInArrow(explode, "rid long, shingle long")
+    return _sets(docs, wanted, k).mapInArrow(tidy(explode), "rid long, shingle long")
 
 
 def _confirm(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -262,7 +262,7 @@ def _confirm(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFra
                     found.append((a, rid))
             yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in range(2)], schema=schema)
 
-    return stars.select("a", "rid", "role", "shingles").mapInArrow(run, "a long, b long")
+    return stars.select("a", "rid", "role", "shingles").mapInArrow(tidy(run), "a long, b long")
 
 
 def link(
@@ -367,7 +367,7 @@ def _weighed(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
                 near = pa.array(estimate(ra, rb) >= least)
                 yield pa.RecordBatch.from_arrays([batch.column(i).filter(near) for i in range(2)], names=["a", "b"])
 
-    return sketches.mapInArrow(run, "a long, b long")
+    return sketches.mapInArrow(tidy(run), "a long, b long")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

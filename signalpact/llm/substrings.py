@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from signalpact.llm.text import Spans, bound_batches, gram_hashes, mix, per_text, signed, slices, stored, table, text_bytes, word_hashes, word_table
+from signalpact.llm.text import Spans, bound_batches, gram_hashes, mix, per_text, signed, slices, stored, table, text_bytes, tidy, word_hashes, word_table
 from signalpact.session import cut_lineage
 
 #: Words of a window: the shortest repeat that is removed.
@@ -131,7 +131,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFram
     """
     bound_batches(docs.sparkSession)
     seeded = docs.select("doc", "rid", "text").mapInArrow(
-        _seeds(length, seed), "key long, wide long, doc long, rid long, first int, last int, known boolean")
+        tidy(_seeds(length, seed)), "key long, wide long, doc long, rid long, first int, last int, known boolean")
     same = Window.partitionBy("key", "wide").orderBy("doc", "rid", "first")
     group = Window.partitionBy("key")
     judged = (
@@ -146,7 +146,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFram
     count = judged.where("NOT known").count()
     small = 16 * count <= BROADCAST_BYTES
     texts = docs.join(F.broadcast(open_) if small else open_, "rid").select("doc", "rid", "text", "ranges")
-    windows = texts.mapInArrow(_windows(length), "one long, two long, doc long, rid long, first int")
+    windows = texts.mapInArrow(tidy(_windows(length)), "one long, two long, doc long, rid long, first int")
     # An anchor's widest extension stands for all its copies within a batch, so a common window meets here once per batch.
     earlier = Window.partitionBy("one", "two").orderBy("doc", "rid", "first")
     again = windows.withColumn("place", F.row_number().over(earlier)).where("place > 1").select("rid", "first", F.col("first").alias("last"))

@@ -6,6 +6,8 @@ Word and n-gram hashes are computed for whole texts with numpy; every hash is 64
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 from collections.abc import Callable, Iterator
 
@@ -164,6 +166,22 @@ def bound_batches(spark: SparkSession, most: int = 8 << 20) -> None:
         spark.conf.set(key, str(most))
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run``, giving a task's memory back when it ends: Python workers stay for later tasks of other operators."""
+
+    def tidied(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+            if trim:
+                trim(0)
+
+    return tidied
+
+
 def per_text(
     df: DataFrame, keep: list[str], text: str, make: Callable[[], Callable[[list], dict]], added: str, rows: int = 512,
 ) -> DataFrame:
@@ -188,4 +206,4 @@ def per_text(
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     at = keep.index(text) if text in keep else len(keep)
-    return df.select(*keep, *([] if text in keep else [text])).mapInArrow(run, schema)
+    return df.select(*keep, *([] if text in keep else [text])).mapInArrow(tidy(run), schema)
