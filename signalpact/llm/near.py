@@ -355,10 +355,8 @@ def _linked(numbered: DataFrame, stats: DataFrame, k: int, percent: int) -> Data
 def _weighed(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Pairs whose collision-corrected estimate comes near the threshold."""
     least = percent / 100 - SLACK
-    pairs = _light(cut_lineage(pairs, "pairs"), 4 * REGISTERS)
-    one = reps.select(F.col("rid").alias("a"), F.col("registers").alias("ra")).join(pairs, "a")
-    one = _light(cut_lineage(one, "pairs"), 4 * REGISTERS)
-    sketches = reps.select(F.col("rid").alias("b"), F.col("registers").alias("rb")).join(one, "b").select("a", "b", "ra", "rb")
+    sketches = pairs.join(reps.select(F.col("rid").alias("a"), F.col("registers").alias("ra")), "a").join(
+        reps.select(F.col("rid").alias("b"), F.col("registers").alias("rb")), "b").select("a", "b", "rb", "ra")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
