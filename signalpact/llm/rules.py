@@ -1,7 +1,8 @@
 """Quality rules: statistics of whole texts and an isolation forest over them.
 
-The forest isolates points by random splits of rule statistics; short mean paths mark anomalies. It is
-grown on a bounded sample of all rows, and its threshold is calibrated on all labelled rows.
+A forest isolates points by random splits of rule statistics; short mean paths mark anomalies. One forest sees
+the characters, one the repetition, figures and length. They are grown on a bounded sample of all rows, and
+their thresholds are calibrated on all labelled rows, the second on what the first leaves.
 """
 
 from __future__ import annotations
@@ -80,16 +81,20 @@ def with_stats(docs: DataFrame, keep: list[str], text: str = "text") -> DataFram
     return per_text(docs, keep, text, make, ", ".join(f"{c} long" for c in STATS))
 
 
-#: Number of ratios().
-FEATURES = 5
+#: Number of ratios(), and which of them each forest sees. Characters come first: many good rows repeat lines, and in
+#: one forest they would hide the odd characters of bad ones.
+FEATURES = 10
+FORESTS = (slice(0, 5), slice(5, 10))
 
 
 def ratios() -> list[Column]:
-    """Length-free features of a row with STATS."""
+    """Features of a row with STATS: every statistic by its share, and the length as a logarithm."""
     words = F.greatest(F.col("n_words"), F.lit(1))
+    lines = F.greatest(F.col("n_lines"), F.lit(1))
     return [
         F.col("word_chars") / words, F.col("n_symbols") / words, F.col("n_upper") / F.greatest(F.col("n_letters"), F.lit(1)),
-        F.col("n_marks") / words, F.col("n_bars") / words,
+        F.col("n_marks") / words, F.col("n_bars") / words, F.col("n_dup_lines") / lines, F.col("n_repeat_words") / words,
+        F.col("n_digits") / F.greatest(F.col("word_chars"), F.lit(1)), F.col("n_stutters") / words, F.log1p(F.col("n_words").cast("double")),
     ]
 
 
@@ -172,11 +177,12 @@ def isolate(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
     sample: int = SAMPLE, trees: int = TREES, good_loss: float = GOOD_LOSS,
 ) -> DataFrame:
-    """Base rules plus an isolation forest on rule statistics.
+    """Base rules plus isolation forests on rule statistics.
 
     ``labels`` has ``id_col`` and ``label_col`` (1 good, 0 bad); a document labelled both ways counts as
-    good, null labels and ids are left out. The forest is grown on the ``sample`` rows of least hash among those
-    that pass the base, labelled or not; its threshold uses all labelled rows.
+    good, null labels and ids are left out. The forests are grown on the ``sample`` rows of least hash among those
+    that pass the base, labelled or not; their thresholds use all labelled rows and cost ``good_loss`` of the good
+    ones at most, together. ``kept`` asks each forest's score, ``anomaly`` is the highest of them.
 
     Returns the id, STATS' first five as longs, ``base_failed``, ``kept`` and ``anomaly``, one row per input row.
     A null or empty text has zeros and fails the base; repeated rows are judged alike; other columns are
@@ -189,21 +195,30 @@ def isolate(
 
     taken = stats.where(~fails).orderBy(F.xxhash64(id_col), "f").limit(sample).select("f").toPandas()["f"]
     points = np.array(taken.tolist(), np.float64).reshape(-1, FEATURES)
-    forest = stats.sparkSession.sparkContext.broadcast(Forest(points, trees))
-
-    @F.pandas_udf("double")
-    def anomaly(features: pd.Series) -> pd.Series:
-        return pd.Series(forest.value.score(np.array(features.tolist(), np.float64).reshape(-1, FEATURES)))
-
-    at = F.floor(F.col("anomaly") * BINS).cast("int")
-    histogram = (
-        labelled.where(~fails).withColumn("anomaly", anomaly("f")).groupBy(at.alias("bin"))
-        .agg(F.count_if(F.col("label_") == 1), F.count_if(F.col("label_") == 0)).collect()  # BINS + 1 rows at most
-    )
-    limit = threshold([tuple(r) for r in histogram], good_loss)
+    forests = stats.sparkSession.sparkContext.broadcast([Forest(points[:, part], trees) for part in FORESTS])
+
+    @F.pandas_udf("array<double>")
+    def anomalies(features: pd.Series) -> pd.Series:
+        points = np.array(features.tolist(), np.float64).reshape(-1, FEATURES)
+        return pd.Series(list(np.stack([f.score(points[:, part]) for f, part in zip(forests.value, FORESTS, strict=True)], axis=1)))
+
+    at = lambda i: F.floor(F.col("scores")[i] * BINS).cast("int")
+    open_ = labelled.where(~fails).withColumn("scores", anomalies("f"))
+    total, kept = None, ~F.col("base_failed")
+    for i in range(len(FORESTS)):
+        histogram = [tuple(r) for r in (
+            open_.groupBy(at(i).alias("bin"))
+            .agg(F.count_if(F.col("label_") == 1), F.count_if(F.col("label_") == 0)).collect()  # BINS + 1 rows at most
+        )]
+        good = sum(h[1] for h in histogram)
+        total = good if total is None else total
+        # What the forests before have cost counts; the rest may still be lost.
+        limit = threshold(histogram, (good_loss * total - (total - good)) / good if good else 0.0)
+        passes = at(i) / BINS < limit
+        open_, kept = open_.where(passes), kept & passes
     return (
-        stats.withColumn("anomaly", anomaly("f")).withColumn("base_failed", fails)
-        .withColumn("kept", ~F.col("base_failed") & (F.floor(F.col("anomaly") * BINS) / BINS < limit))
+        stats.withColumn("scores", anomalies("f")).withColumn("base_failed", fails)
+        .withColumn("kept", kept).withColumn("anomaly", F.array_max("scores"))
         .select(id_col, *STATS[:5], "base_failed", "kept", "anomaly")
     )
 

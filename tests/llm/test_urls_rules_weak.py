@@ -179,6 +179,31 @@ def test_isolation_edge_cases(spark):
     assert rules.isolate(docs, labels.limit(0)).count() == len(TEXTS) + 2
 
 
+@pytest.mark.parametrize("fault", ["lines", "figures", "stutters", "repeats"])
+def test_forest_sees_every_statistic(spark, fault):
+    random.seed(3)
+    word = lambda: "".join(random.choice("abcdefgh") for _ in range(9))
+    texts = []
+    for i in range(600):
+        lines = [[word() for _ in range(8)] for _ in range(12)]
+        if i % 10 == 0:
+            if fault == "lines":
+                lines = [part for x in lines for part in (x, ["menu"])]
+            elif fault == "figures":
+                lines = [["".join(random.choice("0123456789") for _ in w) if j % 2 else w for j, w in enumerate(x)] for x in lines]
+            elif fault == "stutters":
+                lines = [[w for w in x[:4] for _ in range(2)] for x in lines]
+            else:  # two copies of nine words: under 30 % of the text
+                lines[1] = lines[8] = lines[1] + ["bead"]
+        texts.append("\n".join(" ".join(x) for x in lines))
+    docs = rows(spark, list(enumerate(texts)), "doc_id long, text string")
+    labels = docs.select("doc_id", F.when(F.col("doc_id") % 10 == 0, 0).otherwise(1).alias("quality"))
+    got = rules.isolate(docs, labels).collect()
+    assert not any(r.base_failed for r in got)
+    assert sum(r.kept for r in got if r.doc_id % 10 == 0) <= 6
+    assert sum(r.kept for r in got if r.doc_id % 10) >= 0.98 * 540
+
+
 # --- weak labels
 
 
