@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from signalpact.llm.text import LOWER, gram_hashes, mix, per_text, signed, stored, table, text_bytes, tidy, word_hashes
+from signalpact.llm.text import LOWER, gram_hashes, mix, numbered, per_text, signed, table, text_bytes, tidy, word_hashes
 from signalpact.session import cut_lineage
 
 #: Words of a shingle and the similarity of a link in per cent.
@@ -276,15 +276,13 @@ def link(
     take part, but don't give their component its id unless none has one; of rows that repeat an id
     all are kept if the id is the smallest. Other columns are ignored.
     """
-    rows = stored(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "documents")
-    numbered, stats = _sketched(rows, k)
-    return _linked(numbered, stats, k, percent).select(
+    rows = numbered(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "documents")
+    return _linked(rows, _sketched(rows, k), k, percent).select(
         F.col("id").alias(id_col), "n_shingles", F.col("component").alias("component_id"), F.col("kept"))
 
 
-def _sketched(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """Rows of a stored input with a number each, and the written sketches by number."""
-    numbered = rows.withColumn("rid", F.monotonically_increasing_id())
+def _sketched(rows: DataFrame, k: int) -> DataFrame:
+    """The written sketches of numbered rows."""
 
     def make():
         def work(texts: list) -> dict:
@@ -298,11 +296,11 @@ def _sketched(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
             return out
         return work
 
-    stats = per_text(numbered, ["rid", "id"], "text", make, "n_shingles long, one long, two long, registers binary")
-    return numbered, cut_lineage(stats, "sketches")
+    stats = per_text(rows, ["rid", "id"], "text", make, "n_shingles long, one long, two long, registers binary")
+    return cut_lineage(stats, "sketches")
 
 
-def _linked(numbered: DataFrame, stats: DataFrame, k: int, percent: int) -> DataFrame:
+def _linked(rows: DataFrame, stats: DataFrame, k: int, percent: int) -> DataFrame:
     """(rid, id, n_shingles, component, kept)."""
     filled = stats.where("n_shingles > 0")
     classes = cut_lineage(
@@ -326,12 +324,12 @@ def _linked(numbered: DataFrame, stats: DataFrame, k: int, percent: int) -> Data
     )
     best = Window.partitionBy("b").orderBy(F.col("shared").desc(), "a")
     first = led.withColumn("place", F.row_number().over(best)).where(F.col("place") <= LEADERS).select("a", "b")
-    links = cut_lineage(_confirm(numbered, _weighed(first, reps, percent), k, percent), "links")
+    links = cut_lineage(_confirm(rows, _weighed(first, reps, percent), k, percent), "links")
     part = cut_lineage(components(links), "parts")
 
     mixed = _mixed(keys, part)
-    across = _across(numbered, mixed, reps, k, percent)
-    more = cut_lineage(_confirm(numbered, _weighed(across, reps, percent), k, percent), "links")
+    across = _across(rows, mixed, reps, k, percent)
+    more = cut_lineage(_confirm(rows, _weighed(across, reps, percent), k, percent), "links")
     if more.limit(1).count():
         # Only whole components meet now: their links are few, whatever the components' sizes.
         of = mixed.select("rid", "part").distinct()
@@ -372,10 +370,10 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with one row of each group of near duplicates: the one of least id (and least number)."""
     if not {"id", "rid"}.isdisjoint(c.lower() for c in docs.columns):
         raise ValueError("docs already has a column id or rid")
-    rows = stored(docs, "documents").withColumns({"id": F.col(id_col), "rid": F.monotonically_increasing_id()})
+    rows = numbered(docs, "documents").withColumn("id", F.col(id_col))
     k, percent = options.get("k", SHINGLE), options.get("percent", PERCENT)
-    numbered, stats = _sketched(rows.select("id", F.col(text_col).alias("text")), k)
-    found = _linked(numbered, stats, k, percent).where("kept")
+    texts = rows.select("rid", "id", F.col(text_col).alias("text"))
+    found = _linked(texts, _sketched(texts, k), k, percent).where("kept")
     place = Window.partitionBy("component").orderBy("rid")
     lone = found.where("n_shingles = 0 OR component IS NULL").select("rid")
     one = found.where("n_shingles > 0 AND component IS NOT NULL").withColumn("place", F.row_number().over(place)).where("place = 1").select("rid")

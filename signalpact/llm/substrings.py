@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from signalpact.llm.text import Spans, bound_batches, gram_hashes, mix, per_text, signed, slices, stored, table, text_bytes, tidy, word_hashes, word_table
+from signalpact.llm.text import Spans, bound_batches, gram_hashes, mix, numbered, per_text, signed, slices, table, text_bytes, tidy, word_hashes, word_table
 from signalpact.session import cut_lineage
 
 #: Words of a window: the shortest repeat that is removed.
@@ -164,13 +164,12 @@ def removed(n_words: int, ranges: list | None, length: int = LENGTH) -> np.ndarr
 
 def _marked(docs: DataFrame, id_col: str, text_col: str, length: int, seed: int) -> DataFrame:
     """``docs`` with ``_ranges``. Most documents have some, so the marks are joined, not broadcast."""
-    docs = stored(docs, "documents")
     key = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
-    numbered = docs.withColumn("_rid", F.monotonically_increasing_id())
+    rows = numbered(docs, "documents", "_rid")
     marks = cut_lineage(
-        repeats(numbered.select(key.alias("doc"), F.col("_rid").alias("rid"), F.col(text_col).alias("text")), length, seed), "repeats")
+        repeats(rows.select(key.alias("doc"), F.col("_rid").alias("rid"), F.col(text_col).alias("text")), length, seed), "repeats")
     ranges = marks.groupBy(F.col("rid").alias("_rid")).agg(F.collect_list(F.struct("first", "last")).alias("_ranges"))
-    return numbered.join(ranges.hint("merge"), "_rid", "left")
+    return rows.join(ranges.hint("merge"), "_rid", "left")
 
 
 def kept_digests(
@@ -180,7 +179,7 @@ def kept_digests(
 
     A word is removed if a window of ``length`` words that covers it also starts earlier: in a row of
     smaller id, or earlier in the same row. Windows are judged on the input. Rows that repeat an id count
-    as documents in the order they are stored; rows without an id come last. A null or short text keeps
+    as documents in the order they are stored (files by path); rows without an id come last. A null or short text keeps
     all its words. Other columns are ignored.
     """
     whole = _marked(docs.select(id_col, text_col), id_col, text_col, length, seed)

@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -145,11 +146,33 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 
 def stored(df: DataFrame, purpose: str) -> DataFrame:
-    """``df`` itself if it only reads files, else its written copy: so that rows keep their numbers when read again."""
+    """``df`` itself if it only reads Parquet files, else its written copy: so that :func:`numbered` can tell its rows."""
     plan = df._jdf.queryExecution().optimizedPlan()
-    while plan.nodeName() in ("Project", "Filter"):
+    while plan.nodeName() in ("Project", "Filter") and plan.deterministic():
         plan = plan.children().head()
-    return df if plan.getClass().getSimpleName() == "LogicalRelation" else cut_lineage(df, purpose)
+    if plan.getClass().getSimpleName() == "LogicalRelation":
+        relation = plan.relation()
+        if relation.getClass().getSimpleName() == "HadoopFsRelation" and relation.fileFormat().getClass().getSimpleName() == "ParquetFileFormat":
+            return df
+    return cut_lineage(df, purpose)
+
+
+#: Rows of one file that get numbers of their own.
+_FILE_ROWS = 1 << 40
+
+
+def numbered(df: DataFrame, purpose: str, name: str = "rid") -> DataFrame:
+    """``df`` (its written copy if it does more than read Parquet files) with a bigint ``name``, unique per row.
+
+    The number is that of the row's file, by path, and of the row in its file. So it is the same in every
+    later job, however the files are split there: splits follow the cores that are present.
+    """
+    df = stored(df, purpose)
+    seen = sorted(r[0] for r in df.select("_metadata.file_path").distinct().collect())  # the driver lists these files anyway
+    files = df.sparkSession.createDataFrame(list(enumerate(seen)), "_file long, _path string")
+    placed = df.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_at"))
+    return placed.join(F.broadcast(files), "_path").select(
+        *(F.col(f"`{c}`") for c in df.columns), (F.col("_file") * _FILE_ROWS + F.col("_at")).alias(name))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -149,3 +149,33 @@ def test_every_long_window_selects_the_same_anchor():
     assert keys[0] & keys[1]
     _, _, first, last = substrings.anchors(a)
     assert first[0] == 0 and last[-1] == len(a) - 20 and (first[1:] == last[:-1] + 1).all()
+
+
+# --- row numbers
+
+
+@pytest.mark.parametrize("module", [substrings, near])
+def test_rows_keep_their_numbers_when_splits_change(spark, tmp_path, monkeypatch, module):
+    """Executors come and go between two jobs, and splits follow the cores: here their size changes at every cut."""
+    path = str(tmp_path / "docs")
+    texts = soup(11, 240, 2)
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2).write.option(
+        "parquet.block.size", 4096).parquet(path)
+    docs = spark.read.parquet(path)
+    query = (lambda: substrings.kept_digests(docs)) if module is substrings else (lambda: near.link(docs))
+    want = sorted(map(tuple, query().collect()))
+    key, cut, calls = "spark.sql.files.maxPartitionBytes", module.cut_lineage, []
+    before = spark.conf.get(key)
+
+    def moving(df, purpose):
+        out = cut(df, purpose)
+        calls.append(purpose)
+        spark.conf.set(key, ("9000", "100000000", "5000")[len(calls) % 3])
+        return out
+
+    monkeypatch.setattr(module, "cut_lineage", moving)
+    try:
+        assert sorted(map(tuple, query().collect())) == want
+    finally:
+        spark.conf.set(key, before)
+    assert calls
