@@ -5,6 +5,7 @@ from __future__ import annotations
 from signalpact.llm.alignment import op12_identity_map_alignment
 from signalpact.llm.bpe import op10_segment_tree_bpe
 from signalpact.llm.conversations import op13_path_ranked_repair
+from signalpact.llm.fingerprints import OP11_SQL, op11_invertible_lookup_fingerprints
 from signalpact.llm.near import OP8_SQL, op8_hyperminhash_near_dedup
 from signalpact.llm.packing import op6_grouping_genetic_packing
 from signalpact.llm.pii import op7_information_sanitiser
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_hyperminhash_near_dedup": op8_hyperminhash_near_dedup,
     "op9_rendezvous_shards": op9_rendezvous_shards,
     "op10_segment_tree_bpe": op10_segment_tree_bpe,
+    "op11_invertible_lookup_fingerprints": op11_invertible_lookup_fingerprints,
     "op12_identity_map_alignment": op12_identity_map_alignment,
     "op13_path_ranked_repair": op13_path_ranked_repair,
 }
@@ -35,4 +37,5 @@ ORACLE = {
     "op4_seed_extend_substrings": OP4_SQL,
     "op8_hyperminhash_near_dedup": OP8_SQL,
     "op9_rendezvous_shards": OP9_SQL,
+    "op11_invertible_lookup_fingerprints": OP11_SQL,
 }
