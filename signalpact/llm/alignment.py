@@ -10,11 +10,14 @@ of its own pairs.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +31,10 @@ from signalpact.session import cut_lineage
 CHUNK = 8 << 20
 #: Characters that are tokenised at once.
 SLICE = 1 << 19
+#: Words kept with their A ids per Python worker.
+CACHE = 200_000
+#: From here on the regex module's Unicode tables may differ from those of the tokenizers library.
+_HIGH = re.compile("[\u0530-\U0010ffff]")
 _STATS = ("n_a", "n_b", "n_groups", "n_links")
 
 
@@ -37,6 +44,13 @@ def default_paths() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
+def default_pattern() -> str:
+    """How a byte-level tokenizer splits a text into words."""
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
 def _letters() -> dict[str, int]:
     """Byte of each character that a byte-level vocabulary writes: printable Latin-1 stands for itself, the
     other bytes in turn for the characters from 256 on."""
@@ -76,19 +90,42 @@ class Vocabularies:
                  if not self.b.is_control(i) and not self.b.is_unknown(i)}
         self.same = np.array([whole.get(x, -1) if x else -1 for x in self.a_bytes], np.int64)
         self.width = len(self.b_bytes)
-        self.group_of = [f"{a}|{b}" for a, b in enumerate(self.same.tolist())]
-
-    def encode(self, texts: list[str | None]) -> tuple[list[list[int]], list[list[int]]]:
+        self.group_of = np.array([f"{a}|{b}" for a, b in enumerate(self.same.tolist())], object)
+        with open(a_path, encoding="utf-8") as file:
+            spec = json.load(file)
+        before = spec["pre_tokenizer"] or {}
+        by_word = (spec["model"]["type"] == "BPE" and not spec["normalizer"] and before.get("type") == "ByteLevel"
+                   and before.get("use_regex", True) and not before["add_prefix_space"])
+        self.split = regex.compile(default_pattern()).findall if by_word else None
+        self.words: dict[str, bytes] = {}
+
+    def _a_ids(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids by A. It never joins across the words its pattern yields, so each distinct word is encoded once."""
+        out: list = [None] * len(texts)
+        split = {i: self.split(t) for i, t in enumerate(texts) if self.split and (t.isascii() or not _HIGH.search(t))}
+        whole = [i for i in range(len(texts)) if i not in split]
+        if len(self.words) > CACHE:
+            self.words = {}
+        fresh = list({w for words in split.values() for w in words}.difference(self.words))
+        for word, code in zip(fresh, self.a.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
+            self.words[word] = np.array(code.ids, "<i4").tobytes()
+        for i, words in split.items():
+            out[i] = np.frombuffer(b"".join(map(self.words.__getitem__, words)), "<i4")
+        for i, code in zip(whole, self.a.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False), strict=True):
+            out[i] = np.array(code.ids, "<i4")
+        return out
+
+    def encode(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Ids by A and B of each text; none if the text is null or empty, or either's bytes are not the text's."""
         there = [i for i, t in enumerate(texts) if t]
         spaced = [" " + texts[i] for i in there]
-        a_ids: list[list[int]] = [[] for _ in texts]
-        b_ids: list[list[int]] = [[] for _ in texts]
-        coded = zip(self.a.encode_batch_fast(spaced, add_special_tokens=False), self.b.encode([texts[i] for i in there], num_threads=1), strict=True)
+        none = np.empty(0, np.int32)
+        a_ids, b_ids = [none] * len(texts), [none] * len(texts)
+        coded = zip(self._a_ids(spaced), self.b.encode([texts[i] for i in there], num_threads=1), strict=True)
         for i, text, (a, b) in zip(there, spaced, coded, strict=True):
-            raw, ids = text.encode(), a.ids
-            if b"".join([self.a_bytes[x] for x in ids]) == raw == b"".join([self.b_bytes[x] for x in b]):
-                a_ids[i], b_ids[i] = ids, b
+            raw = text.encode()
+            if b"".join([self.a_bytes[x] for x in a.tolist()]) == raw == b"".join([self.b_bytes[x] for x in b]):
+                a_ids[i], b_ids[i] = a, np.array(b, np.int32)
         return a_ids, b_ids
 
     def align(self, texts: list[str | None]) -> Aligned:
@@ -98,10 +135,10 @@ class Vocabularies:
 class Aligned:
     """Groups and links of some texts, laid end to end: all their tokens are cut at once, as both end with each text."""
 
-    def __init__(self, vocabularies: Vocabularies, a_ids: list[list[int]], b_ids: list[list[int]]):
+    def __init__(self, vocabularies: Vocabularies, a_ids: list[np.ndarray], b_ids: list[np.ndarray]):
         v, self.v = vocabularies, vocabularies
         self.n_a, self.n_b = (np.array([len(x) for x in own], np.int64) for own in (a_ids, b_ids))
-        self.a, self.b = (np.array([i for x in own for i in x], np.int64) for own in (a_ids, b_ids))
+        self.a, self.b = (np.concatenate([np.empty(0, np.int32), *own]).astype(np.int64) for own in (a_ids, b_ids))
         a_ends, b_ends = np.cumsum(v.a_size[self.a]), np.cumsum(v.b_size[self.b])
         cuts = np.intersect1d(a_ends, b_ends, assume_unique=True)
         self.a_to, self.b_to = (np.searchsorted(ends, cuts, side="right") for ends in (a_ends, b_ends))
@@ -127,13 +164,16 @@ class Aligned:
 
     def groups(self) -> list[str]:
         """``a1,a2|b1;a3|b2,b3`` per text, an empty string without tokens."""
-        of, a_all, b_all = self.v.group_of, list(map(str, self.a.tolist())), list(map(str, self.b.tolist()))
-        told = [
-            of[first] if exact else f"{','.join(a_all[i:j])}|{','.join(b_all[k:m])}"
-            for exact, first, i, j, k, m in zip(
-                self.exact.tolist(), self.first_a.tolist(), (self.a_to - self.in_a).tolist(), self.a_to.tolist(),
-                (self.b_to - self.in_b).tolist(), self.b_to.tolist(), strict=True)
+        told = np.empty(len(self.exact), object)
+        told[self.exact] = self.v.group_of[self.first_a[self.exact]]
+        rest = np.flatnonzero(~self.exact)
+        a_all, b_all = self.a.tolist(), self.b.tolist()
+        spans = ((to - n)[rest].tolist() for to, n in ((self.a_to, self.in_a), (self.b_to, self.in_b)))
+        told[rest] = [
+            f"{','.join(map(str, a_all[i:j]))}|{','.join(map(str, b_all[k:m]))}"
+            for (i, k), j, m in zip(zip(*spans, strict=True), self.a_to[rest].tolist(), self.b_to[rest].tolist(), strict=True)
         ]
+        told = told.tolist()
         ends = np.cumsum(self.n_groups).tolist()
         return [";".join(told[i:j]) for i, j in zip([0, *ends], ends, strict=False)]
 
@@ -149,33 +189,34 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
 
 
-def _held(doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (text, key), in order, with how often each occurs."""
-    order = np.lexsort((key, doc))
-    doc, key = doc[order], key[order]
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])
-    at = np.flatnonzero(new)
-    return doc[at], key[at], np.diff(at, append=len(doc))
+def _held(doc: np.ndarray, key: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (text, key), in order, with how often each occurs; keys are below ``width``."""
+    both = np.sort(doc * width + key)
+    at = np.flatnonzero(np.append(True, both[1:] != both[:-1])[:len(both)])
+    return both[at] // width, both[at] % width, np.diff(at, append=len(both))
 
 
 def _sparse(docs: int, doc: np.ndarray, key: np.ndarray, times: np.ndarray) -> bytes:
     """Keys per text and their multiplicities: counts, then steps between keys, then multiplicities."""
-    step = np.diff(key, prepend=0)
-    step[np.searchsorted(doc, np.unique(doc))] = key[np.searchsorted(doc, np.unique(doc))]
-    return _packed(np.concatenate([np.bincount(doc, minlength=docs), step, times]))
+    first = np.append(True, doc[1:] != doc[:-1])[:len(doc)]
+    return _packed(np.concatenate([np.bincount(doc, minlength=docs), np.where(first, key, np.diff(key, prepend=0)), times]))
 
 
 def _dense(docs: int, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """What :func:`_sparse` was given."""
+    """What :func:`_sparse` was given, with counts per text in place of the texts."""
     values = _unpacked(data)
     counts, rest = values[:docs], values[docs:]
     step, times = rest[:len(rest) // 2], rest[len(rest) // 2:]
+    total = np.append(0, np.cumsum(step))
     doc, _ = _blocks(counts)
-    total = np.cumsum(step)
-    starts = np.cumsum(counts) - counts
-    before = np.where(starts > 0, total[np.maximum(starts, 1) - 1], 0) if len(total) else starts
-    return doc, total - before[doc] if len(total) else total, times
+    return counts, total[1:] - total[(np.cumsum(counts) - counts)[doc]], times
+
+
+def _sums(counts: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Sums of consecutive blocks."""
+    total = np.append(0, np.cumsum(values))
+    ends = np.cumsum(counts)
+    return total[ends] - total[ends - counts]
 
 
 def _chunk_schema(docs: DataFrame, id_col: str) -> str:
@@ -208,11 +249,11 @@ def _chunks(docs: DataFrame, id_col: str, text_col: str, a_path: str, b_path: st
                 into.append(part)
         equal_doc, equal, other_doc, other = (np.concatenate(x) for x in found)
         n = len(texts)
-        doc, a, times = _held(equal_doc, equal)
+        doc, a, times = _held(equal_doc, equal, len(v.a_bytes))
         vector = np.bincount(a, minlength=len(v.a_bytes))  # texts that hold A id and its equal, linked
         vec_a = np.flatnonzero(vector)
         pairs, number = np.unique(other, return_inverse=True)
-        other_held = _held(other_doc, number)
+        other_held = _held(other_doc, number, max(1, len(pairs)))
         row = {
             "chunk": pa.array([key]), "ids": pa.ListArray.from_arrays([0, n], pa.concat_arrays(ids)),
             **{s: pa.array([np.concatenate(x)]) for s, x in stats.items()}, "groups": pa.array([groups], pa.list_(pa.string())),
@@ -296,11 +337,10 @@ def align(
                 held = [batch.column(k).slice(r, 1).flatten().to_numpy(zero_copy_only=False) for k in (8, 9)]
                 total, top = np.zeros(docs_n, np.int64), np.zeros(docs_n, np.int64)
                 for column, of, n_of in ((6, np.arange(width), equal_n), (7, *held)):
-                    doc, key, times = _dense(docs_n, batch.column(column)[r].as_py())
-                    if len(doc):
-                        n = n_of[key]
-                        np.add.at(total, doc, n * times)
-                        np.add.at(top, doc, np.where(n == best[of[key]], times, 0))
+                    counts, key, times = _dense(docs_n, batch.column(column)[r].as_py())
+                    n = n_of[key]
+                    total += _sums(counts, n * times)
+                    top += _sums(counts, np.where(n == best[of[key]], times, 0))
                 columns = [ids, *(batch.column(k).slice(r, 1).flatten() for k in range(1, 5)), pa.array(top), pa.array(total),
                            batch.column(5).slice(r, 1).flatten()]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
