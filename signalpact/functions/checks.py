@@ -89,55 +89,78 @@ def _plain(number: str) -> str:
     return f"regexp_replace(cast({number} AS string), '\\\\.0$', '')"
 
 
-def checks_of(v: Value, s: Spec, guard: str = "true") -> list[tuple[str, str]]:
-    """(condition, error struct) per check that the spec can raise, in rule-name order.
+def _rules(v: Value, s: Spec) -> dict[str, tuple[str, str]]:
+    """Condition and error struct per rule that the spec can raise, in rule-name order.
 
-    After a type mismatch only the type error is raised. Bounds look at numbers, lengths, pattern
-    and enum at strings.
+    Conditions of bounds hold for numbers, those of lengths, pattern and enum for strings.
     """
-    if s.type_name is not None:
-        right_type = v.has_type(s.type_name)
-        on_number, on_text = s.type_name in ("number", "integer"), s.type_name == "string"
-    else:
-        cases = " ".join(
-            f"WHEN '{t}' THEN {v.has_type(t)}"
-            for t in ("string", "number", "integer", "boolean", "array", "null")
-        )
-        right_type = f"coalesce(CASE {s.type} {cases} END, false)"
-        on_number = on_text = True
-    fits = f"{guard} AND {right_type}"
-    number = f"{fits} AND {v.numeric}" if s.type_name is None else fits
-    text = f"{fits} AND {v.kind} = {STRING}" if s.type_name is None else fits
-    out: list[tuple[str, str]] = []
+    out: dict[str, tuple[str, str]] = {}
 
     def add(rule: str, condition: str, detail: str) -> None:
-        out.append((condition, error(s.property, rule, detail)))
+        out[rule] = condition, error(s.property, rule, detail)
 
-    if s.allowed is not None and on_text:
-        add("enum", f"{text} AND NOT array_contains({s.allowed}, {v.text})",
+    if s.allowed is not None:
+        add("enum", f"NOT array_contains({s.allowed}, {v.text})",
             f"concat({s.property}, ' must be one of the following: ', array_join({s.allowed}, ', '))")
-    if s.max is not None and on_number:
-        add("max", f"{number} AND {v.number} > {s.max}",
-            f"concat('Must be less than or equal to ', {_plain(s.max)})")
-    if s.max_length is not None and on_text:
-        add("max_length", f"{text} AND char_length({v.text}) > {s.max_length}",
+    if s.max is not None:
+        add("max", f"{v.number} > {s.max}", f"concat('Must be less than or equal to ', {_plain(s.max)})")
+    if s.max_length is not None:
+        add("max_length", f"char_length({v.text}) > {s.max_length}",
             f"concat('String length must be less than or equal to ', {s.max_length})")
-    if s.min is not None and on_number:
-        add("min", f"{number} AND {v.number} < {s.min}",
-            f"concat('Must be greater than or equal to ', {_plain(s.min)})")
-    if s.min_length is not None and on_text:
-        add("min_length", f"{text} AND char_length({v.text}) < {s.min_length}",
+    if s.min is not None:
+        add("min", f"{v.number} < {s.min}", f"concat('Must be greater than or equal to ', {_plain(s.min)})")
+    if s.min_length is not None:
+        add("min_length", f"char_length({v.text}) < {s.min_length}",
             f"concat('String length must be greater than or equal to ', {s.min_length})")
-    if s.pattern is not None and on_text:
-        add("pattern", f"{text} AND NOT rlike({v.text}, {s.pattern})",
-            f"concat('Does not match pattern \\'', {s.pattern}, '\\'')")
-    if s.required != "false":
-        add("required", f"{guard} AND {s.required} AND NOT ({v.present})", f"concat({s.property}, ' is required')")
-    add("type", f"{guard} AND {v.present} AND NOT {right_type}",
-        f"concat('Invalid type. Expected: ', {s.type}, ', given: ', {v.kind_name})")
+    if s.pattern is not None:
+        add("pattern", f"NOT rlike({v.text}, {s.pattern})", f"concat('Does not match pattern \\'', {s.pattern}, '\\'')")
+    add("required", f"{s.required} AND NOT ({v.present})", f"concat({s.property}, ' is required')")
+    add("type", v.present, f"concat('Invalid type. Expected: ', {s.type}, ', given: ', {v.kind_name})")
     return out
 
 
+ON_NUMBER, ON_TEXT = ("max", "min"), ("enum", "max_length", "min_length", "pattern")
+
+
+def checks_of(v: Value, s: Spec, guard: str = "true") -> list[tuple[str, str]]:
+    """(condition, error struct) per check that a spec of fixed type can raise, in rule-name order.
+
+    After a type mismatch only the type error is raised.
+    """
+    right_type = v.has_type(s.type_name)
+    fits = f"{guard} AND {right_type}"
+    allowed = {
+        **{r: fits for r in ON_NUMBER if s.type_name in ("number", "integer")},
+        **{r: fits for r in ON_TEXT if s.type_name == "string"},
+        **({"required": guard} if s.required != "false" else {}), "type": f"{guard} AND NOT {right_type}",
+    }
+    return [(f"{allowed[r]} AND {condition}", err) for r, (condition, err) in _rules(v, s).items() if r in allowed]
+
+
+def errors_of(v: Value, row: str) -> str:
+    """Errors of one value against a check held as data (struct ``row``); NULL if it passes.
+
+    Only the rules of the value's kind are looked at, and only where the check has any.
+    """
+    rules = _rules(v, data_spec(row))
+    cases = " ".join(
+        f"WHEN '{t}' THEN {v.has_type(t)}" for t in ("string", "number", "integer", "boolean", "array", "null"))
+
+    def some(names: tuple[str, ...]) -> tuple[str, str]:
+        fields = {"enum": "allowed"}
+        asked = " OR ".join(f"{row}.{fields.get(r, r)} IS NOT NULL" for r in names)
+        return f"({asked})", "array_compact(array(" + ", ".join(f"CASE WHEN {rules[r][0]} THEN {rules[r][1]} END" for r in names) + "))"
+
+    on_number, number_errors = some(ON_NUMBER)
+    on_text, text_errors = some(ON_TEXT)
+    return (
+        f"CASE WHEN NOT ({v.present}) THEN CASE WHEN {row}.required THEN array({rules['required'][1]}) END "
+        f"WHEN NOT coalesce(CASE {row}.type {cases} END, false) THEN array({rules['type'][1]}) "
+        f"WHEN {v.kind} = {STRING} THEN CASE WHEN {on_text} THEN {text_errors} END "
+        f"WHEN {v.numeric} THEN CASE WHEN {on_number} THEN {number_errors} END END"
+    )
+
+
 def literal_spec(check) -> Spec:
     """Spec of one constraint row with its bounds as literals."""
     def lit(value, wrap=str):

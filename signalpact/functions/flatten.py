@@ -5,9 +5,11 @@ All functions take and return SQL text.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame
 
-from signalpact.functions.paths import json_path, name, quotable, quoted
+from signalpact.functions.paths import json_path, name, quotable, quoted, root_object
 from signalpact.model import MAX_DEPTH
 
 # An overflow needs the document, the root object and MAX_DEPTH + 1 objects below it.
@@ -28,11 +30,43 @@ def _rounds(levels: str) -> str:
     return f"sequence(1, greatest(least({levels}, {ALL_LEVELS}), 1))"
 
 
+def _entry(key: str, value: str, depth: str, text: str | None = None) -> str:
+    """An entry with the schema tag of its value; only an object's starts with OBJECT<."""
+    known = f", 'text', {text}" if text else ""
+    return f"named_struct('key', {key}, 'value', {value}, 'depth', {depth}, 'tag', schema_of_variant({value}){known})"
+
+
+#: An entry to be opened. What it leaves behind, so that members can be counted, has no tag.
+_OPEN = "startswith(e.tag, 'OBJECT')"
+
+
+def _members(value: str, key: str, depth: str) -> str:
+    """Entries of the members of a VARIANT object, NULL if it is none."""
+    return (f"transform(map_entries(try_variant_get({value}, '$', 'map<string,variant>')), c -> "
+            f"{_entry(f"concat({key}, '.', c.key)", 'c.value', depth)})")
+
+
+def _text_members(text: str, key: str, depth: str) -> str:
+    """The same read from the object's text: in document order and with repeated keys, as a map that comes
+    from JSON keeps every member it was given."""
+    return (f"zip_with(map_entries(from_json({text}, 'map<string,variant>')), map_values(from_json({text}, 'map<string,string>')), "
+            f"(t, s) -> {_entry(f"concat({key}, '.', t.key)", 't.value', depth, 's')})")
+
+
+def _opened(first: str, below: str, levels: str, text: bool = False) -> str:
+    """Entries ``first`` with all objects opened ``levels`` times; without objects one look at them is all."""
+    known = ", 'text', cast(NULL AS string)" if text else ""
+    mark = f"named_struct('key', e.key, 'value', e.value, 'depth', e.depth, 'tag', cast(NULL AS string){known})"
+    step = f"flatten(transform(acc, e -> CASE WHEN {_OPEN} THEN concat(array({mark}), {below}) ELSE array(e) END))"
+    return (f"aggregate(sequence(1, greatest(least({levels}, {ALL_LEVELS}), 1)), {first}, "
+            f"(acc, i) -> CASE WHEN exists(acc, e -> {_OPEN}) THEN {step} ELSE acc END)")
+
+
 def expand_objects(root: str, value: str, levels: str) -> str:
-    """Entries (key, value, depth) after opening objects ``levels`` times; arrays stay whole.
+    """Entries (key, value, depth) of a VARIANT after opening objects ``levels`` times; arrays stay whole.
 
-    ``levels`` is normally bounded by the number of braces of the document, so flat documents
-    stop early. A root that is missing or no object gives no entry.
+    A root that is missing or no object gives no entry. Used for the depth test only: of repeated keys
+    a VARIANT has the last.
     """
     opened = (
         "flatten(transform(acc, e -> coalesce("
@@ -44,26 +78,6 @@ def expand_objects(root: str, value: str, levels: str) -> str:
     return f"filter(aggregate({_rounds(levels)}, {start}, (acc, i) -> {opened}), e -> e.depth >= 0)"
 
 
-def expand_text(root: str, text: str, levels: str) -> str:
-    """Like expand_objects, but reads the text so that document order is kept.
-
-    Needed only where a dotted key and a nested key meet: the later one must win.
-    """
-    members = (
-        "zip_with(map_entries(from_json(e.text, 'map<string,variant>')), "
-        "map_values(from_json(e.text, 'map<string,string>')), (t, s) -> "
-        "named_struct('key', concat(e.key, '.', t.key), 'value', t.value, 'depth', e.depth + 1, "
-        f"'text', CASE WHEN {is_object('t.value')} THEN s END))"
-    )
-    opened = f"flatten(transform(acc, e -> CASE WHEN e.text IS NULL THEN array(e) ELSE {members} END))"
-    start = (
-        f"array(named_struct('key', {quoted(root)}, 'value', try_parse_json({text}), 'depth', -1, "
-        f"'text', {text}))"
-    )
-    entries = f"filter(aggregate({_rounds(levels)}, {start}, (acc, i) -> {opened}), e -> e.depth >= 0)"
-    return f"transform({entries}, e -> named_struct('key', e.key, 'value', e.value, 'depth', e.depth))"
-
-
 def keep_last(entries: str) -> str:
     """One entry per key, the last one given."""
     return (
@@ -72,42 +86,82 @@ def keep_last(entries: str) -> str:
     )
 
 
-def add_entries(
-    df: DataFrame, text: str, roots: dict[str, str], levels: str, when: str
-) -> DataFrame:
-    """Add ``__flat_<root>``: flat entries below each root, one per key.
+def _count(text: str, part: str) -> str:
+    return f"((octet_length({text}) - octet_length(replace({text}, {quoted(part)}, ''))) div {len(part)})"
+
+
+def _written(payload: str) -> str:
+    """Members that a text shows by its names; NULL if white space before colons or escapes leave that open."""
+    loose = " OR ".join(f"contains({payload}, {quoted(x)})" for x in (*(w + ":" for w in " \t\n\r"), chr(92) + "u"))
+    return f"CASE WHEN NOT ({loose}) THEN {_count(payload, chr(34) + ':')} END"
+
 
-    On equal keys the later one wins; only then is the text itself read for its order. Done in
-    steps of one column each, as array lambdas would evaluate a shared input once per use.
+def _held(entries: str) -> str:
+    """Members among some entries: they, the objects opened, and those of objects in arrays."""
+    nested = f"filter({entries}, e -> startswith(e.tag, 'ARRAY<OBJECT') OR startswith(e.tag, 'ARRAY<VARIANT'))"
+    inside = _count("to_json(e.value)", chr(34) + ":")
+    return f"coalesce(size({entries}) + aggregate({nested}, 0, (n, e) -> n + cast({inside} AS int)), 0)"
+
+
+def add_entries(df: DataFrame, text: str, doc: str, roots: Iterable[str], levels: str, when: str) -> DataFrame:
+    """Add ``__flat_<root>``: flat entries (key, value, depth, tag) below each root, one per key, arrays whole.
+
+    A parsed document keeps the last of repeated keys only. So its members are counted against the names
+    in the text, and where the text shows any more the roots are read from it: objects of one name all
+    count, of leaves with one flat key the last, of repeated roots the first. (Texts whose names can't be
+    counted, or with further root objects, count as such: nothing but time is lost.) Done in steps of one
+    column each, as lambdas would evaluate a shared input once per use.
     """
-    opened = df.selectExpr("*", *[
-        f"CASE WHEN {when} THEN {expand_objects(r, v, levels)} END AS __open_{r}" for r, v in roots.items()
-    ])
-    return opened.selectExpr(*[name(c) for c in df.columns], *[
-        f"CASE WHEN size(array_distinct(transform(__open_{r}, e -> e.key))) = size(__open_{r}) THEN __open_{r} "
-        f"WHEN __open_{r} IS NOT NULL THEN "
-        f"{keep_last(expand_text(r, f'get_json_object({text}, {json_path([r])})', levels))} END AS __flat_{r}"
+    base = [name(c) for c in df.columns]
+    first = df.selectExpr(*base, *[
+        f"CASE WHEN {when} THEN {_members(root_object(text, doc, r), quoted(r), '0')} END AS __first_{r}" for r in roots],
+        f"{_written(text)} - size(json_object_keys({text})) AS __written")
+    below = _members("e.value", "e.key", "e.depth + 1")
+    opened = first.selectExpr(*base, "__written", *[
+        f"CASE WHEN exists(__first_{r}, e -> {_OPEN}) THEN {_opened(f'__first_{r}', below, levels)} ELSE __first_{r} END AS __open_{r}" for r in roots])
+    every = " + ".join(_held(f"__open_{r}") for r in roots)
+    told = opened.selectExpr(*base, *[f"{leaves_of(f'__open_{r}')} AS __open_{r}" for r in roots],
+                             f"{when} AND coalesce(__written <> {every}, true) AS __more")
+    keys = "transform(__open_{0}, e -> e.key)"
+    return told.selectExpr(*base, *[
+        f"CASE WHEN {when} THEN coalesce(CASE WHEN __more OR size(array_distinct({keys.format(r)})) <> size(__open_{r}) "
+        f"THEN {keep_last(leaves_of(all_entries(text, r, levels)))} ELSE __open_{r} END, {_NONE}) END AS __flat_{r}"
         for r in roots
     ])
 
 
+_NONE = "cast(array() AS array<struct<key:string,value:variant,depth:int,tag:string>>)"
+
+
+def leaves_of(entries: str) -> str:
+    return (f"transform(filter({entries}, e -> e.tag IS NOT NULL), "
+            "e -> named_struct('key', e.key, 'value', e.value, 'depth', e.depth, 'tag', e.tag))")
+
+
+def all_entries(text: str, root: str, levels: str | None = None) -> str:
+    """All entries below a root (the first of that name), read from the text alone; repeated keys included."""
+    own = f"get_json_object({text}, {json_path([root])})"
+    below = _text_members("e.text", "e.key", "e.depth + 1")
+    return _opened(_text_members(own, quoted(root), "0"), below, levels or brace_count(text), text=True)
+
+
 def last_at(text: str, root: str, key: str) -> str:
     """Value of one flat key read from the text, so that the later of two spellings wins."""
-    entries = expand_text(root, f"get_json_object({text}, {json_path([root])})", brace_count(text))
-    return f"try_element_at(filter({entries}, e -> e.key = {quoted(key)}), -1).value"
-
+    return f"try_element_at(filter({all_entries(text, root)}, e -> e.tag IS NOT NULL AND e.key = {quoted(key)}), -1).value"
 
-def spelled_with_dot(text: str, segments: list[str]) -> str:
-    """Whether some key of the document may hold a dot that stands for these nested segments.
 
-    An escape can spell any letter of a key, so any backslash counts.
+def spelled_otherwise(text: str, segments: list[str]) -> str:
+    """Whether some key of the document may hold a dot that stands for these nested segments, or an object on
+    the way to them may be given twice. An escape can spell any letter of a key, so any of a letter counts.
     """
-    tests = [f"contains({text}, {quoted(a + '.' + b)})" for a, b in zip(segments, segments[1:])]
-    return " OR ".join([f"contains({text}, {quoted(chr(92))})", *tests])
+    dotted = [f"contains({text}, {quoted(a + '.' + b)})" for a, b in zip(segments, segments[1:])]
+    # substring_index gives the whole text when there is no second one
+    twice = [f"octet_length(substring_index({text}, {quoted(chr(34) + s + chr(34))}, 2)) <> octet_length({text})" for s in segments[:-1]]
+    return " OR ".join([f"contains({text}, {quoted(chr(92) + 'u')})", *dotted, *twice])
 
 
 def value_at(text: str, root: str, root_column: str, below: list[str]) -> str:
-    """VARIANT at a flat key; a key with a dot in its name can spell it as well.
+    """VARIANT at a flat key; a key with a dot in its name can spell it as well, and objects may repeat.
 
     Keys a literal path can't hold (quotes, brackets) are looked up among the flat entries.
     """
@@ -117,7 +171,7 @@ def value_at(text: str, root: str, root_column: str, below: list[str]) -> str:
     if len(below) == 1:
         return nested
     key = ".".join([root, *below])
-    return f"CASE WHEN {spelled_with_dot(text, below)} THEN {last_at(text, root, key)} ELSE {nested} END"
+    return f"CASE WHEN {spelled_otherwise(text, below)} THEN {last_at(text, root, key)} ELSE {nested} END"
 
 
 def text_overflows(payload: str) -> str:
@@ -133,13 +187,13 @@ def text_overflows(payload: str) -> str:
     )
 
 
-def too_deep(payload: str, doc: str, roots: dict[str, str]) -> str:
+def too_deep(payload: str, doc: str, roots: Iterable[str]) -> str:
     """Whether any root object nests deeper than permitted; nearly free for ordinary documents.
 
     Opening all permitted levels must leave no object behind.
     """
     left = " OR ".join(
-        f"exists({expand_objects(r, v, ALL_LEVELS)}, e -> {is_object('e.value')})" for r, v in roots.items()
+        f"exists({expand_objects(r, root_object(payload, doc, r), ALL_LEVELS)}, e -> {is_object('e.value')})" for r in roots
     )
     return (
         f"coalesce(octet_length({payload}) >= {OVERFLOW_BYTES} AND {brace_count(payload)} >= {OVERFLOW_BRACES} "

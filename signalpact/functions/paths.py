@@ -31,38 +31,26 @@ def json_path(segments: Iterable[str]) -> str:
     return quoted("$" + "".join(f"['{s}']" for s in segments))
 
 
-#: Column that says a document must be read from its text, see :func:`unusual`.
+#: Column that says a document must be read from its text, see :func:`repeats_root`.
 ODD = "__odd"
 
 
-def unusual(payload: str, keys: Iterable[str]) -> str:
-    """Cheap necessary test for a root key given twice, one flag per document.
+def repeats_root(payload: str) -> str:
+    """Whether a key of the document root is given twice.
 
-    The parsed document keeps the last of repeated keys; a repeated root key must yield its first value,
-    so those few documents are read from the text instead. A key is repeated only if its quoted name
-    occurs twice or an escape may spell it.
+    A parsed document keeps the last of repeated keys; a repeated root key must yield its first value, so
+    those few documents are read from the text instead. Keys spelled with escapes are decoded.
     """
-    # substring_index gives the whole text when there is no second one
-    twice = [f"octet_length(substring_index({payload}, {quoted(chr(34) + k + chr(34))}, 2)) <> octet_length({payload})"
-             for k in sorted(set(keys))]
-    return " OR ".join([f"contains({payload}, {quoted(chr(92) + 'u')})", *twice])
+    keys = f"json_object_keys({payload})"
+    return f"coalesce(size(array_distinct({keys})) <> size({keys}), false)"
 
 
-def root_text(payload: str, doc: str, path: str) -> str:
-    """Text at a dotted path below the document root, NULL where absent or JSON null."""
-    steps = json_path(path.split("."))
-    return f"CASE WHEN {ODD} THEN get_json_object({payload}, {steps}) ELSE try_variant_get({doc}, {steps}, 'string') END"
-
-
-def first_texts(
-    payload: str, doc: str, wanted: dict[str, tuple[str, ...]]
-) -> tuple[dict[str, str], dict[str, str]]:
-    """First non-empty text of each path list, NULL when all are empty, in two steps of columns.
+def first_texts(texts: dict[str, list[str]]) -> tuple[dict[str, str], dict[str, str]]:
+    """First non-empty text of each list, NULL when all are empty, in two steps of columns.
 
     The first step is a plain coalesce, which is right unless it meets an empty string; only then
-    does the second go through the paths again. An ordinary event costs one lookup per missing path.
+    does the second go through the list again. An ordinary event costs one lookup per missing path.
     """
-    texts = {n: [root_text(payload, doc, p) for p in paths] for n, paths in wanted.items()}
     first = {n: f"coalesce({', '.join(t)})" for n, t in texts.items()}
     then = {
         n: f"CASE WHEN {n} = '' THEN get(filter(array({', '.join(t)}), t -> t <> ''), 0) ELSE {n} END"

@@ -111,9 +111,11 @@ def local_table(spark: SparkSession, rows: Iterable[tuple], schema: str | Struct
 
 
 def _plain(value: Any) -> Any:
-    """Rows inside a value as dicts, as Arrow wants them."""
+    """Rows inside a value as dicts and maps as pairs, as Arrow wants them."""
     if isinstance(value, Row):
         return {k: _plain(v) for k, v in value.asDict().items()}
+    if isinstance(value, dict):
+        return [(k, _plain(v)) for k, v in value.items()]
     return [_plain(v) for v in value] if isinstance(value, list) else value
 
 

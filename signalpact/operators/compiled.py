@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 from signalpact.functions.paths import quotable
 from signalpact.model import PLAN_KEYS, Contract, local_table
 from signalpact.operators.resolve import CHECK_FIELDS, constraint_table, resolve_properties, unusable
+from signalpact.session import cut_lineage
 
 MAX_LITERAL_CHECKS = 256        # beyond this the checks travel as data instead of as code
 BROADCAST_BYTES = 64 << 20      # beyond this the contract is joined by a salted shuffle
@@ -25,10 +26,10 @@ class CompiledContract:
 
     ``checks`` holds the distinct checks when they are few: they become literal expressions and an
     event only carries a bit mask of those it wants. Otherwise it is None and every event carries
-    its checks as an array of structs.
+    its checks as a map from property to structs.
     """
 
-    rules: DataFrame                # __event, __broken, then __mask_0.. or __checks
+    rules: DataFrame                # __event, __broken, then __mask_0.. or __checks (property -> its checks)
     identity_keys: tuple[str, ...]
     checks: tuple[Any, ...] | None
     levels: int                     # most dotted segments below a root in any property name
@@ -59,21 +60,16 @@ def compile_contract(
         raise ValueError("the contract holds several plan versions: pick one with Contract.at(plan_id, version)")
     resolution = resolve_properties(contract)
     table = constraint_table(contract, resolution).withColumn("__why", unusable()).persist()
+    frames = [table]
     bad = _bad_patterns(table)
     if bad:
         table = table.withColumn("__why", F.coalesce("__why", F.when(
             F.col("pattern").isin(bad),
             F.concat(F.lit("property "), F.col("property"), F.lit(": bad pattern")),
         ))).withColumn("pattern", F.when(~F.col("pattern").isin(bad), F.col("pattern"))).persist()
+        frames.append(table)
 
-    size = table.agg(
-        F.sum(
-            F.octet_length("event") + F.octet_length("property") + F.lit(64)
-            + F.coalesce(F.octet_length("pattern"), F.lit(0))
-            + F.coalesce(F.octet_length(F.array_join("allowed", ",")), F.lit(0))
-        ).alias("bytes"),
-        F.max(F.size(F.split("property", r"\.")) - 1).alias("levels"),
-    ).first()
+    levels = table.agg(F.max(F.size(F.split("property", r"\.")) - 1)).first()[0]
     distinct = table.select(*CHECK_FIELDS).distinct().limit(max_literal_checks + 1).collect()
     literal = len(distinct) <= max_literal_checks and all(
         quotable(s) for r in distinct for s in r["property"].split(".")
@@ -87,9 +83,11 @@ def compile_contract(
         grouped = _masks(spark, table, checks)
     else:
         checks = None
-        grouped = table.groupBy("event").agg(
+        by_property = table.groupBy("event", "property").agg(
+            F.min("__why").alias("__why"), F.array_sort(F.collect_list(F.struct(*CHECK_FIELDS))).alias("checks"))
+        grouped = by_property.groupBy("event").agg(
             F.min("__why").alias("__broken"),
-            F.array_sort(F.collect_list(F.struct(*CHECK_FIELDS))).alias("__checks"),
+            F.map_from_entries(F.array_sort(F.collect_list(F.struct("property", "checks")))).alias("__checks"),
         )
 
     events = contract.events.select("event").distinct()
@@ -99,15 +97,17 @@ def compile_contract(
         .withColumn("__broken", F.coalesce("error", "__broken"))
         .drop("error").withColumnRenamed("event", "__event")
     )
-    small = (size["bytes"] or 0) <= broadcast_bytes
-    if small:
-        rows = rules.limit(LOCAL_EVENTS + 1).collect()
-        if len(rows) <= LOCAL_EVENTS:
-            rules = local_table(spark, rows, rules.schema)
-        else:
-            rules = rules.persist()
+    # Everything the join would send counts, events without properties and failed ones too.
+    held = rules.agg(F.count(F.lit(1)).alias("events"), F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("bytes")).first()
+    small = (held["bytes"] or 0) <= broadcast_bytes
+    if small and held["events"] <= LOCAL_EVENTS:
+        rules = local_table(spark, rules.collect(), rules.schema)
+    else:
+        rules = cut_lineage(rules, "rules")
+    for frame in frames:
+        frame.unpersist()
     return CompiledContract(
-        rules, identity, None if checks is None else tuple(checks), max(size["levels"] or 1, 1), small
+        rules, identity, None if checks is None else tuple(checks), max(levels or 1, 1), small
     )
 
 

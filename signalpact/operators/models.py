@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from signalpact.functions import flatten as fl
 from signalpact.functions.paths import ODD, name, root_object, sealed
 from signalpact.model import Contract, Mapping, local_table
-from signalpact.operators.normalize import DOC, ROOTS, identity_names, normalize, parse, read_names
+from signalpact.operators.normalize import DOC, ROOTS, TEXTS, identity_names, normalize, parse, read_names
 from signalpact.operators.resolve import resolve_properties
 
 # --- fixed values: column type per contract type; every other type is text ---
@@ -42,10 +42,10 @@ def typed_model(
                 if k in {p for p, _, _ in properties}}
     parsed = parse(df.select(*keep, payload), payload, mapping)
     if event is not None:
-        named = read_names(parsed, text, DOC, mapping, "__name", {})
-        parsed = sealed(named, [*keep, payload], {DOC: DOC, ODD: ODD, "__name": "__name"}).filter(
+        named = read_names(parsed, text, mapping, "__name", {})
+        parsed = sealed(named, [*keep, payload], {c: c for c in (DOC, ODD, TEXTS, "__name") if c in named.columns}).filter(
             F.col("__name") == event)
-    opened = read_names(parsed, text, DOC, mapping, None, identity, first={
+    opened = read_names(parsed, text, mapping, None, identity, first={
         f"__root_{r}": root_object(text, DOC, r) for r in ROOTS})
     found = {
         p: fl.value_at(text, p.split(".")[0], f"__root_{p.split('.')[0]}", p.split(".")[1:])

@@ -5,22 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from signalpact.functions import flatten as fl
-from signalpact.functions.paths import ODD, first_texts, name, quoted, root_object, sealed, unusual
+from signalpact.functions.paths import ODD, first_texts, json_path, name, quoted, repeats_root, sealed
+from signalpact.functions.typed import Paths
 from signalpact.model import MAX_DEPTH, Mapping
 from signalpact.session import accept_repeated_keys
 
 ROOTS = ("properties", "context")
 # fixed value: the message of an event nested too deeply
 DEPTH_ERROR = f"excessive json nesting: depth exceeds limit of {MAX_DEPTH}"
-DOC = "__doc"
+DOC, TEXTS = "__doc", "__texts_of"
 
 
 def parse(df: DataFrame, payload: str, mapping: Mapping = Mapping(), doc: str = DOC) -> DataFrame:
-    """Add the parsed document and whether it must be read from its text; all else reads these two."""
+    """Add the parsed document, whether it must be read from its text (ODD), and the texts of all name paths,
+    read from the document at once (TEXTS)."""
     accept_repeated_keys(df.sparkSession)
-    paths = [p for found in (mapping.event_paths, *mapping.identity_paths.values()) for p in found]
-    keys = {*ROOTS, *(p.split(".")[0] for p in paths)}
-    return df.selectExpr("*", f"try_parse_json({name(payload)}) AS {doc}", f"{unusual(name(payload), keys)} AS {ODD}")
+    text, paths = name(payload), name_texts(mapping)
+    whole = df.selectExpr("*", f"try_parse_json({text}) AS {doc}", f"{repeats_root(text)} AS {ODD}")
+    return whole.selectExpr("*", f"{paths.read(doc)} AS {TEXTS}") if paths.plain else whole
+
+
+def name_texts(mapping: Mapping) -> Paths:
+    """Every path of the mapping as text."""
+    known = [p for found in (mapping.event_paths, *mapping.identity_paths.values()) for p in found]
+    return Paths([tuple(p.split(".")) for p in known], "string")
+
+
+def _name_text(text: str, paths: Paths, path: str) -> str:
+    """Text at a name path, NULL where it is absent, null, an object or an array."""
+    plain = f"get_json_object({text}, {json_path(path.split('.'))})"
+    found = paths.at(TEXTS, tuple(path.split("."))) if paths.plain else plain
+    return f"CASE WHEN {ODD} THEN {plain} ELSE {found} END"
 
 
 def identity_names(mapping: Mapping) -> list[str]:
@@ -29,11 +44,11 @@ def identity_names(mapping: Mapping) -> list[str]:
 
 
 def read_names(
-    df: DataFrame, text: str, doc: str, mapping: Mapping, event: str | None,
-    identity: dict[str, str], first: dict[str, str] | None = None, then: dict[str, str] | None = None,
+    df: DataFrame, text: str, mapping: Mapping, event: str | None, identity: dict[str, str],
+    first: dict[str, str] | None = None, then: dict[str, str] | None = None,
 ) -> DataFrame:
     """Add the event name (column ``event``, an empty string when no path holds one) and one text
-    column per identity key (key -> column, NULL when empty).
+    column per identity key (key -> column, NULL when empty) to a parsed frame.
 
     ``first`` and ``then`` are further columns for the two projections this takes: every
     projection less is a copy of the row less.
@@ -45,8 +60,8 @@ def read_names(
         own = tuple(mapping.identity_paths.get(key, ()))
         stand_in = tuple(mapping.identity_paths.get("anonymousId", ())) if key == "userId" else ()
         wanted[column] = own + stand_in
-    wanted = {n: p for n, p in wanted.items() if p}
-    one, two = first_texts(text, doc, wanted)
+    paths = name_texts(mapping)
+    one, two = first_texts({n: [_name_text(text, paths, p) for p in found] for n, found in wanted.items() if found})
     if event in two:
         two[event] = f"coalesce({two[event]}, '')"
     one.update(first or {})
@@ -68,7 +83,7 @@ def extract_event_name(
     df: DataFrame, payload: str = "payload", mapping: Mapping = Mapping()
 ) -> DataFrame:
     """Add ``event``: the first non-empty name, else an empty string."""
-    named = read_names(parse(df, payload, mapping), name(payload), DOC, mapping, "__name", {})
+    named = read_names(parse(df, payload, mapping), name(payload), mapping, "__name", {})
     return sealed(named, [c for c in df.columns if c != "event"], {"event": "__name"})
 
 
@@ -77,7 +92,7 @@ def extract_identity(
 ) -> DataFrame:
     """Add ``identity``, MAP<STRING,STRING> of the identity keys that are set."""
     columns = _identity_columns(mapping)
-    found = read_names(parse(df, payload, mapping), name(payload), DOC, mapping, None, columns)
+    found = read_names(parse(df, payload, mapping), name(payload), mapping, None, columns)
     return sealed(found, [c for c in df.columns if c != "identity"], {"identity": _identity_map(columns)})
 
 
@@ -85,12 +100,8 @@ def _with_entries(df: DataFrame, payload: str, roots: tuple[str, ...], mapping:
     """Parse once, then add per root its flat entries and one flag for excessive depth."""
     text = name(payload)
     opened = parse(df, payload, mapping).selectExpr(
-        "*", *[f"{root_object(text, DOC, r)} AS __root_{r}" for r in roots],
-        f"{fl.brace_count(text)} AS __levels",
-    )
-    values = {r: f"__root_{r}" for r in roots}
-    flagged = opened.selectExpr("*", f"{fl.too_deep(text, DOC, values)} AS __deep")
-    return fl.add_entries(flagged, text, values, "__levels", "NOT __deep")
+        "*", f"{fl.brace_count(text)} AS __levels", f"{fl.too_deep(text, DOC, roots)} AS __deep")
+    return fl.add_entries(opened, text, DOC, roots, "__levels", "NOT __deep")
 
 
 def flatten_events(
@@ -101,17 +112,13 @@ def flatten_events(
     Events nested too deeply give no rows; find them with :func:`depth_guard`.
     """
     flat = _with_entries(df.select(id_col, payload), payload, (root,))
-    return sealed(flat, [id_col], {"__flat": f"__flat_{root}"}).selectExpr(name(id_col), "inline(__flat)")
+    return sealed(flat, [id_col], {"__flat": f"__flat_{root}"}).selectExpr(name(id_col), "inline(__flat)").drop("tag")
 
 
 def depth_guard(df: DataFrame, payload: str = "payload") -> DataFrame:
     """Add ``too_deep``: some object below properties or context exceeds the depth limit."""
     text = name(payload)
-    opened = parse(df, payload).selectExpr(
-        "*", *[f"{root_object(text, DOC, r)} AS __root_{r}" for r in ROOTS]
-    )
-    deep = fl.too_deep(text, DOC, {r: f"__root_{r}" for r in ROOTS})
-    return sealed(opened, df.columns, {"too_deep": deep})
+    return sealed(parse(df, payload), df.columns, {"too_deep": fl.too_deep(text, DOC, ROOTS)})
 
 
 def normalize(
@@ -125,7 +132,7 @@ def normalize(
     text = name(payload)
     columns = _identity_columns(mapping)
     flat = _with_entries(df, payload, ROOTS, mapping)
-    whole = read_names(flat, text, DOC, mapping, "__name", columns, first={
+    whole = read_names(flat, text, mapping, "__name", columns, first={
         "__all": f"concat({', '.join(f'__flat_{r}' for r in ROOTS)})"})
     kept = [c for c in df.columns if c not in ("event", "identity", "properties", "error")]
     return sealed(whole, kept, {

@@ -8,13 +8,13 @@ from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from signalpact.functions import flatten as fl
 from signalpact.functions.checks import (
-    ABSENT, ERROR_DDL, STRING, Value, checks_of, data_spec, error, kind_of, literal_spec,
+    ABSENT, ERROR_DDL, STRING, Value, checks_of, error, errors_of, kind_of, literal_spec,
 )
 from signalpact.functions.paths import ODD, name, quoted, root_object, sealed
 from signalpact.model import Contract, Mapping
 from signalpact.operators.compiled import WORD_BITS, CompiledContract, compile_contract
 from signalpact.operators.normalize import (
-    DEPTH_ERROR, ROOTS, identity_names, parse, read_names,
+    DEPTH_ERROR, DOC, ROOTS, TEXTS, identity_names, parse, read_names,
 )
 
 # fixed value: the message of an event without identity
@@ -40,22 +40,19 @@ def validate(
     frames.
     """
     compiled = contract if isinstance(contract, CompiledContract) else compile_contract(contract)
-    text, doc = name(payload), "__doc"
+    text = name(payload)
     kept = [c for c in df.columns if c.lower() not in ("event", "status", "errors")]
     wanted = _identity_columns(compiled, mapping, identity_gate)
-    roots = {r: f"__root_{r}" for r in ROOTS}
 
     given = [] if event is None else [(F.lit(event) if isinstance(event, str) else event).alias("__name")]
-    parsed = parse(df.select(*[F.col(name(c)) for c in kept], *given), payload, mapping, doc)
+    parsed = parse(df.select(*[F.col(name(c)) for c in kept], *given), payload, mapping)
+    roots = {} if compiled.checks is None else {f"__root_{r}": root_object(text, DOC, r) for r in ROOTS}
     opened = read_names(
-        parsed, text, doc, mapping, None if given else "__name", {k: f"__id_{i}" for k, i in wanted.items()},
-        first={c: root_object(text, doc, r) for r, c in roots.items()},
-        then={"__deep": fl.too_deep(text, doc, roots)},
-    )
-    gated = opened.selectExpr(
-        *[name(c) for c in opened.columns if c not in (doc, ODD)],
-        f"{_identity_ok(compiled, wanted, identity_gate)} AS __identified",
+        parsed, text, mapping, None if given else "__name", {k: f"__id_{i}" for k, i in wanted.items()},
+        first=roots, then={"__deep": fl.too_deep(text, DOC, ROOTS)},
     )
+    dropped = (TEXTS,) if compiled.checks is None else (TEXTS, DOC, ODD)
+    gated = opened.selectExpr(*[name(c) for c in opened.columns if c not in dropped], f"{_identity_ok(compiled, wanted, identity_gate)} AS __identified")
     joined = _join_rules(gated, compiled, payload)
     active = "(NOT __deep AND __identified AND __event IS NOT NULL AND __broken IS NULL)"
     check = _check_as_data if compiled.checks is None else _check_as_code
@@ -190,38 +187,34 @@ def _check_as_data(
     df: DataFrame, compiled: CompiledContract, text: str, wanted: dict[str, int], active: str,
     with_errors: bool,
 ) -> DataFrame:
-    """Many distinct checks: flatten the event as deep as any property name and walk its rules."""
-    roots = {r: f"__root_{r}" for r in ROOTS}
-    base = [name(c) for c in df.columns if c not in roots.values()]
+    """Many distinct checks: flatten the event as deep as any property name and meet its rules by key.
+
+    Checks and leaves are two maps by property, zipped through a hash table inside the row: the work
+    grows with their number, not with the product.
+    """
+    base = [name(c) for c in df.columns if c != DOC]
     # One level more than any property name has, so that no unopened object bears a property's name.
     counted = df.selectExpr("*", f"least({fl.brace_count(text)}, {compiled.levels + 1}) AS __levels")
-    entries = fl.add_entries(counted, text, roots, "__levels", active)
-    own = ", ".join(f"named_struct('key', {quoted(k)}, 'text', __id_{i})" for k, i in wanted.items())
-    ids = f"array({own})" if own else "cast(array() AS array<struct<key:string,text:string>>)"
-    flat = entries.selectExpr(
-        *base, f"concat({', '.join(f'__flat_{r}' for r in ROOTS)}) AS __flat",
-        f"filter({ids}, e -> e.text IS NOT NULL) AS __ids",
-    )
-    paired = flat.selectExpr(*base, f"""
-        transform(CASE WHEN {active} THEN __checks END, c -> named_struct(
-            'check', c,
-            'held', get(filter(__flat, e -> e.key = c.property), 0).value,
-            'own', get(filter(__ids, e -> e.key = c.property), 0).text)) AS __paired""")
-    tagged = paired.selectExpr(*base, """
-        transform(__paired, x -> named_struct(
-            'check', x.check, 'own', x.own, 'held', x.held, 'tag', schema_of_variant(x.held))) AS __tagged""")
-    typed = tagged.selectExpr(*base, f"""
-        transform(__tagged, x -> named_struct(
-            'check', x.check,
-            'kind', CASE WHEN x.own IS NOT NULL THEN {STRING} ELSE {kind_of('x.tag', 'x.held')} END,
-            'text', coalesce(x.own, try_variant_get(x.held, '$', 'string')),
-            'number', try_variant_get(x.held, '$', 'double'))) AS __typed""")
+    entries = fl.add_entries(counted, text, DOC, ROOTS, "__levels", active)
+
+    def leaf(key: str, tag: str, own: str, held: str, text: str) -> str:
+        return f"named_struct('key', {key}, 'leaf', named_struct('tag', {tag}, 'own', {own}, 'held', {held}, 'text', {text}))"
+
+    none = "cast(NULL AS string)"
+    own = ", ".join(leaf(quoted(k), none, f"__id_{i}", "cast(NULL AS variant)", none) for k, i in wanted.items())
+    flat = f"concat({', '.join(f'coalesce(__flat_{r}, array())' for r in ROOTS)})"
+    leaves = f"transform({flat}, e -> {leaf('e.key', 'e.tag', none, 'e.value', "try_variant_get(e.value, '$', 'string')")})"
+    every = f"concat(filter(array({own}), e -> e.leaf.own IS NOT NULL), {leaves})" if own else leaves
+    met = entries.selectExpr(*base, f"CASE WHEN {active} THEN map_from_entries({every}) END AS __leaves")
+    typed = f"""named_struct(
+        'kind', CASE WHEN v.own IS NOT NULL THEN {STRING} ELSE {kind_of('v.tag', 'v.held')} END,
+        'text', coalesce(v.own, v.text), 'number', try_cast(v.text AS double))"""
     value = Value("x.kind", "x.text", "x.number")
-    found = ", ".join(
-        f"CASE WHEN {cond} THEN {err} END" for cond, err in checks_of(value, data_spec("x.check")))
-    checked = typed.selectExpr(*base, f"transform(__typed, x -> array({found})) AS __found")
+    each = f"flatten(transform(array({typed}), x -> array_compact(transform(cs, c -> {errors_of(value, 'c')}))))"
+    checked = met.selectExpr(*base, f"""
+        map_zip_with(__checks, __leaves, (k, cs, v) -> CASE WHEN cs IS NOT NULL THEN {each} END) AS __found""")
     failed = checked.selectExpr(
-        *base, f"coalesce(array_compact(flatten(__found)), {NO_ERRORS}) AS __failed")
+        *base, f"coalesce(flatten(flatten(array_compact(map_values(__found)))), {NO_ERRORS}) AS __failed")
     return failed.selectExpr("*", "size(__failed) > 0 AS __any")
 
 

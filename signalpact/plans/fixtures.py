@@ -244,6 +244,54 @@ def side_events(part: DataFrame, new: bool) -> DataFrame:
     ).distinct()
 
 
+def wide_contract(part: DataFrame) -> Contract:
+    """Up to 400 properties on every event type, from ``part``: the least part key of a name sets its checks."""
+    k = F.col("p_partkey")
+    name = F.concat(F.lit("s"), F.col("p_size").cast("string"), F.lit("_"), (k % 8).cast("string"))
+    types = F.array(*[F.lit(t) for t in TYPES])
+    owner = F.element_at(types, (k % 5 + 1).cast("int"))
+    rows = part.groupBy(owner.alias("event"), name.alias("name")).agg(F.min(k).alias("k"))
+    number = F.col("k") % 3 != 1
+    props = rows.select(
+        *_plan_columns(), F.lit("event").alias("owner_kind"), F.col("event").alias("owner"),
+        F.concat(F.lit("properties."), F.col("name")).alias("property"),
+        *_body(type=F.when(F.col("k") % 3 == 0, "number").when(F.col("k") % 3 == 1, "string").otherwise("integer"),
+               required=F.col("k") % 4 == 0, max=F.when(number, 50 + F.col("k") % 50), max_length=F.when(~number, 1 + F.col("k") % 3)),
+    )
+    events = part.sparkSession.range(1).select(F.explode(types).alias("event")).select(
+        *_plan_columns(), "event", F.lit("").alias("description"), F.lit("").alias("entity_type"))
+    spark = part.sparkSession
+    none = {"imports": "plan_id string, version string, owner_kind string, owner string, ordinal int, mixin string",
+            "enums": "plan_id string, version string, name string, values array<string>"}
+    identity = events.select("plan_id", "version", F.lit("userId").alias("key")).distinct()
+    return Contract(events, spark.createDataFrame([], none["imports"]), props, spark.createDataFrame([], none["enums"]), identity)
+
+
+def wide_events(events: DataFrame) -> DataFrame:
+    """Raw events with ten of the names of :func:`wide_contract` each, numbers and texts in turn."""
+    i, k = F.col("event_id"), F.get_json_object("props", "$.k")
+
+    def member(j: int) -> Column:
+        key = F.concat(F.lit('"s'), ((i + 5 * j) % 50 + 1).cast("string"), F.lit(f'_{j % 8}":'))
+        return F.concat(key, F.when((i + j) % 2 == 0, k).otherwise(F.concat(F.lit('"v'), k, F.lit('"'))))
+
+    return events.select("event_id", F.concat(
+        F.lit('{"event":"'), F.col("event_type"), F.lit('","userId":"u","properties":{'),
+        F.concat_ws(",", *[member(j) for j in range(10)]), F.lit("}}")).alias("payload"))
+
+
+def repeating_events(events: DataFrame) -> DataFrame:
+    """Raw events that give keys twice: an object (both count), a leaf (the last counts) and a root (the first counts)."""
+    i, k = F.col("event_id"), F.get_json_object("props", "$.k").cast("int")
+    return events.select("event_id", F.concat(
+        F.lit('{"event":"click","userId":"u","properties":{"metadata":{"source":"'), F.when(i % 4 == 0, "website").otherwise("web"),
+        F.lit('"},"price":"first","metadata":{"medium":"m"},"price":'),
+        F.when(i % 3 == 0, F.lit('"text"')).otherwise(F.col("value").cast("string")),
+        F.lit(',"category":"c'), (k % 5).cast("string"), F.lit('"},"context":{"library":{"version":1},"ip":"10.0.0.1","library":{"name":"sdk"}}'),
+        F.when(i % 5 == 0, ',"properties":{"price":"late"}}').otherwise("}"),
+    ).alias("payload"))
+
+
 TYPES = ["click", "view", "purchase", "signup", "error"]
 
 

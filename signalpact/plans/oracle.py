@@ -430,3 +430,33 @@ ORACLE["null_counts_all"] = f"""WITH {EVENTS}, {_MODEL}
 SELECT event, property, count(*) FILTER (NOT there) AS nulls, count(*) AS total FROM held
 WHERE property IN ('context.ip', 'context.library.name', 'properties.metadata.source')
    OR event = 'purchase' AND property IN ('properties.price', 'userId') GROUP BY event, property"""
+_SECOND = _outcomes(CHECKS_V2, known="et NOT IN ('error', 'view')")
+ORACLE["reload_between_batches"] = f"""SELECT * FROM ({_outcomes()} SELECT i AS event_id, et AS event, status, errors FROM v WHERE i % 2 = 0)
+UNION ALL SELECT * FROM ({_SECOND} SELECT i AS event_id, et AS event, status, errors FROM v WHERE i % 2 = 1)"""
+_REPEATED = """concat_ws(';', CASE WHEN k % 5 = 4 THEN 'properties.category:enum' END,
+  CASE WHEN i % 4 = 0 THEN 'properties.metadata.source:max_length' END, CASE WHEN i % 3 = 0 THEN 'properties.price:type' END)"""
+ORACLE["validate_repeated_keys"] = f"""WITH {EVENTS}, x AS (SELECT i AS event_id, {_REPEATED} AS errors FROM c)
+SELECT event_id, CASE WHEN errors = '' THEN 'valid' ELSE 'invalid' END AS status, errors,
+       CASE WHEN errors = '' THEN 'valid' ELSE 'invalid' END AS data_status, errors AS data_errors FROM x"""
+ORACLE["flatten_repeated_keys"] = """SELECT event_id,
+  'properties.category,properties.metadata.medium,properties.metadata.source,properties.price' AS keys FROM events"""
+ORACLE["validate_wide_contract"] = f"""WITH {EVENTS},
+w AS (
+  SELECT ['click', 'view', 'purchase', 'signup', 'error'][CAST(p_partkey % 5 + 1 AS INT)] AS et,
+         's' || p_size || '_' || (p_partkey % 8) AS name, min(p_partkey) AS pk
+  FROM part GROUP BY ALL
+), given AS (
+  SELECT i, 's' || ((i + 5 * j) % 50 + 1) || '_' || (j % 8) AS name, (i + j) % 2 = 0 AS numeric, k
+  FROM e, (SELECT unnest(range(10)) AS j)
+), met AS (
+  SELECT e.i, e.et, pk, g.name IS NOT NULL AS there, g.numeric, g.k,
+         there AND CASE WHEN pk % 3 = 1 THEN NOT g.numeric ELSE g.numeric END AS fits
+  FROM e LEFT JOIN w ON w.et = e.et LEFT JOIN given g ON g.i = e.i AND g.name = w.name
+), counted AS (
+  SELECT i, et, CAST(count(*) FILTER (pk % 4 = 0 AND NOT there) AS INT) AS n_required, CAST(count(*) FILTER (there AND NOT fits) AS INT) AS n_type,
+         CAST(count(*) FILTER (fits AND pk % 3 <> 1 AND k > 50 + pk % 50) AS INT) AS n_max,
+         CAST(count(*) FILTER (fits AND pk % 3 = 1 AND length('v' || k) > 1 + pk % 3) AS INT) AS n_max_length
+  FROM met GROUP BY i, et
+)
+SELECT i AS event_id, et AS event, CASE WHEN n_required + n_type + n_max + n_max_length = 0 THEN 'valid' ELSE 'invalid' END AS status,
+       n_required, n_type, n_max, n_max_length FROM counted"""

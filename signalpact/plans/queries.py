@@ -13,7 +13,7 @@ from signalpact.plans import fixtures as fx
 from signalpact.session import scratch_path, spread
 from signalpact.sources import sinks, snapshots as snap
 from signalpact.sources.events import read_events, read_events_stream
-from signalpact.streaming.jobs import summary_stream
+from signalpact.streaming.jobs import routed_sink, summary_stream, validate_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -292,14 +292,58 @@ def validate_no_identity(spark, sf_dir):
         "event_id", "event", "status", codes().alias("errors"))
 
 
-@query
-def validate_salted(spark, sf_dir):
-    """Checks held as data and rules joined by a salted shuffle, beside a column that can't be hashed."""
+def _salted(spark: SparkSession) -> CompiledContract:
+    """The demo contract with its checks as data and its rules joined by a salted shuffle."""
     key = (spark.sparkContext.applicationId, -1)
     if key not in _compiled:
         _compiled[key] = compile_contract(fx.demo_contract(spark), max_literal_checks=0, broadcast_bytes=0)
+    return _compiled[key]
+
+
+@query
+def validate_salted(spark, sf_dir):
+    """Checks held as data and rules joined by a salted shuffle, beside a column that can't be hashed."""
     rows = raw(spark, sf_dir).withColumn("tags", F.create_map(F.lit("a"), F.lit(1)))
-    return val.validate(rows, _compiled[key]).select("event_id", "event", "status", codes().alias("errors"))
+    return val.validate(rows, _salted(spark)).select("event_id", "event", "status", codes().alias("errors"))
+
+
+@query
+def validate_wide_contract(spark, sf_dir):
+    """Hundreds of checks per event, held as data."""
+    contract = compile_contract(fx.wide_contract(fx.table(spark, sf_dir, "part")), max_literal_checks=0)
+    checked = val.validate(fx.wide_events(events_table(spark, sf_dir)), contract)
+    found = lambda rule: F.expr(f"size(filter(errors, e -> e.rule = '{rule}'))").alias(f"n_{rule}")
+    return checked.select("event_id", "event", "status", *map(found, ("required", "type", "max", "max_length")))
+
+
+@query
+def validate_repeated_keys(spark, sf_dir):
+    """Members of repeated objects all count, checked as code and as data."""
+    rows = fx.repeating_events(events_table(spark, sf_dir))
+    as_code = val.validate(rows, demo(spark)).select("event_id", "status", codes().alias("errors"))
+    as_data = val.validate(rows, _salted(spark)).select("event_id", F.col("status").alias("data_status"), codes().alias("data_errors"))
+    return as_code.join(as_data, "event_id")
+
+
+@query
+def flatten_repeated_keys(spark, sf_dir):
+    """Every flat key of documents that repeat objects."""
+    flat = norm.flatten_events(fx.repeating_events(events_table(spark, sf_dir)))
+    return flat.groupBy("event_id").agg(F.array_join(F.sort_array(F.collect_list("key")), ",").alias("keys"))
+
+
+@query
+def reload_between_batches(spark, sf_dir):
+    """A stream restarted under the next plan version: even ids come first and meet version 1, odd ids version 2."""
+    rows = raw(spark, sf_dir)
+    inbox, outbox, checkpoint = (scratch_path(spark, f"reload-{n}") for n in ("in", "out", "checkpoint"))
+    for version, odd in ((1, 0), (2, 1)):
+        rows.filter(F.col("event_id") % 2 == odd).write.mode("append").parquet(inbox)
+        stream = read_events_stream(spark, inbox, "parquet", rows.schema)
+        validate_stream(
+            stream, lambda v=version: (str(v), fx.demo_contract(spark, v)), [routed_sink(outbox)], checkpoint,
+            available_now=True).awaitTermination()
+    return spark.read.parquet(outbox).select("event_id", "event", "status", codes().alias("errors"))
 
 
 @query

@@ -5,11 +5,12 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.query import StreamingQuery
 
-from signalpact.model import Contract, Mapping
+from signalpact.model import Contract, Mapping, local_table
 from signalpact.operators.compiled import CompiledContract, compile_contract
 from signalpact.operators.lint import check_plan
 from signalpact.operators.validate import event_metrics, observe_validation, summary, validate
@@ -50,23 +51,83 @@ class ContractSource:
             log.exception("contract reload failed, keeping version %s", self._key)
         return self._compiled
 
+    def for_batch(self, batch_id: int, ledger: VersionLedger, history: Callable[[str], Contract] | None) -> CompiledContract:
+        """The contract of a batch: the version it was begun with, if it was begun before, else the current one.
+
+        The version is written down before the batch runs. A batch that is replayed under another version
+        asks ``history`` for its own; without one (or when it doesn't know the version) the replay fails
+        rather than mix two versions in one batch.
+        """
+        begun = ledger.version(batch_id)
+        if begun is None:
+            contract = self.current()
+            ledger.begin(batch_id, self._key)
+            return contract
+        if begun == self._key:
+            return self._compiled
+        try:
+            key, contract = self._provider()
+        except Exception:
+            key, contract = None, None
+        if key != begun:
+            if history is None:
+                raise VersionGone(f"batch {batch_id} was begun with contract version {begun!r}, the provider has {key!r}")
+            contract = history(begun)
+        return compile_contract(contract)
+
+
+class VersionGone(RuntimeError):
+    """A batch must be replayed with a contract version that can't be had any more."""
+
+
+class VersionLedger:
+    """Which contract version each batch was begun with: a small file per batch next to the checkpoint.
+
+    The file appears when its writer commits, so an entry is complete or absent; an absent one is a batch that
+    was never begun.
+    """
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self._spark, self._path = spark, path.rstrip("/")
+
+    def _file(self, batch_id: int) -> str:
+        return f"{self._path}/batch_id={batch_id}"
+
+    def begin(self, batch_id: int, version: str) -> None:
+        row = local_table(self._spark, [(str(version),)], "version string")
+        row.coalesce(1).write.mode("overwrite").json(self._file(batch_id))
+
+    def version(self, batch_id: int) -> str | None:
+        try:
+            row = self._spark.read.schema("version string").json(self._file(batch_id)).where("version IS NOT NULL").first()
+        except AnalysisException:  # no such file: the batch is new
+            return None
+        return row["version"] if row else None
+
+    def versions(self) -> DataFrame:
+        """(batch_id, version) of all batches begun."""
+        return self._spark.read.schema("version string, batch_id long").json(self._path).select("batch_id", "version")
+
 
 def validate_stream(
     events: DataFrame, provider: Callable[[], tuple[str, Contract]], sinks: list[Sink],
     checkpoint: str, payload: str = "payload", mapping: Mapping = Mapping(),
     identity_gate: bool = True, available_now: bool = False, interval: str = "5 seconds",
-    name: str | None = None, plan_gate: bool = False,
+    name: str | None = None, plan_gate: bool = False, history: Callable[[str], Contract] | None = None,
 ) -> StreamingQuery:
     """Validate every micro-batch against exactly one contract and hand it to all sinks.
 
-    ``checkpoint`` is where a restarted stream goes on; ``plan_gate`` refuses plans that don't lint.
+    ``checkpoint`` is where a restarted stream goes on; ``plan_gate`` refuses plans that don't lint. The
+    contract version of every batch is kept beside the checkpoint (``<checkpoint>-contracts``), so that a
+    batch replayed after a failure meets the version it was begun with; ``history`` gives the contract of
+    an earlier version key.
     With several sinks the batch is validated once and kept for them. Delivery is at least once:
     a batch replayed after a failure reaches the sinks again under the same batch id.
     """
-    contracts = ContractSource(provider, plan_gate)
+    contracts, ledger = ContractSource(provider, plan_gate), VersionLedger(events.sparkSession, f"{checkpoint.rstrip('/')}-contracts")
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        checked = validate(batch, contracts.current(), payload, mapping, identity_gate)
+        checked = validate(batch, contracts.for_batch(batch_id, ledger, history), payload, mapping, identity_gate)
         if len(sinks) > 1:
             checked = checked.persist()
         try:

@@ -244,3 +244,36 @@ def test_chunks_are_bounded_by_bytes(spark):
     rows = spark.range(64).selectExpr("id", "'E' AS event_name", "repeat('x', 100000) AS payload")
     sizes = [len(r["payloads"]) for r in snap.snapshots_by_event(rows, chunk_bytes=800_000).collect()]
     assert sum(sizes) == 64 and len(sizes) >= 6 and max(sizes) < 24
+
+
+def test_a_replayed_batch_meets_its_own_contract_version(spark, folder):
+    plans = {"1": contract_from_dict(spark, plan()),
+             "2": contract_from_dict(spark, plan(new_v={"type": "string", "required": True}))}
+    now, seen = ["1"], []
+
+    def sink(checked, batch_id):
+        statuses = sorted(r["status"] for r in checked.collect())
+        if now[0] == "1":
+            raise RuntimeError("the driver dies after the batch has begun")
+        seen.append((batch_id, statuses))
+
+    def run(history):
+        stream = read_events_stream(spark, str(folder / "in"))
+        jobs.validate_stream(stream, lambda: (now[0], plans[now[0]]), [sink], checkpoint=str(folder / "cp"),
+                             available_now=True, history=history).awaitTermination()
+
+    with pytest.raises(Exception, match="dies"):
+        run(None)
+    now[0] = "2"
+    with pytest.raises(Exception, match="begun with contract version '1'"):
+        run(None)
+    assert seen == []
+    run(plans.__getitem__)
+    assert seen == [(0, ["error", "invalid", "valid"])]
+    (folder / "in" / "2.jsonl").write_text('{"event":"Login","userId":"u1"}\n')
+    run(plans.__getitem__)
+    assert seen[1:] == [(1, ["invalid"])]
+    ledger = jobs.VersionLedger(spark, str(folder / "cp-contracts"))
+    assert {tuple(r) for r in ledger.versions().collect()} == {(0, "1"), (1, "2")}
+    (folder / "cp-contracts" / "batch_id=3").mkdir()
+    assert (ledger.version(1), ledger.version(3), ledger.version(7)) == ("2", None, None)

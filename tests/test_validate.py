@@ -255,3 +255,40 @@ def test_output_names_in_any_case(spark):
     raw = spark.createDataFrame([('{"event":"E"}', "old")], "payload string, Status string")
     checked = validate(raw, contract_from_dict(spark, {"events": {"E": {}}}), identity_gate=False)
     assert checked.select("status").first()[0] == "valid"
+
+
+REPEATED = [
+    ('{"properties":{"a":{"b":1},"a":{"c":2}}}', {"properties.a.b": 1, "properties.a.c": 2}),
+    ('{"properties":{"a":{"b":1},"a":5}}', {"properties.a.b": 1, "properties.a": 5}),
+    ('{"properties":{"a":{"b":1,"b":{"x":2}},"a":{"b":3}}}', {"properties.a.b": 3, "properties.a.b.x": 2}),
+    ('{"properties":{"a":{"b":1},"a":{}}}', {"properties.a.b": 1}),
+    ('{"properties":{"a":{},"a":{"b":"{"}}}', {"properties.a.b": "{"}),
+    ('{"properties":{"a":1,"a":2},"properties":{"z":1}}', {"properties.a": 2}),
+    ('{"properties":{"a" : {"b":1}, "\\u0061" :{"c":2}}}', {"properties.a.b": 1, "properties.a.c": 2}),
+    ('{"properties":{"a":{"b":1},"a.b":7,"a":{"d":"x\\":y"}}}', {"properties.a.b": 7, "properties.a.d": 'x":y'}),
+    ('{"properties":{"i":[{"q":1,"q":2}],"a":{"b":1},"a":{"c":[{"a":1}]}},"traits":{"x":{"y":1}}}',
+     {"properties.i": [{"q": 2}], "properties.a.b": 1, "properties.a.c": [{"a": 1}]}),
+]
+
+
+def test_no_member_of_a_repeated_object_is_lost(spark):
+    rows = spark.createDataFrame(list(enumerate(t for t, _ in REPEATED)), "event_id long, payload string")
+    for r in norm.normalize(rows).select("event_id", F.transform(F.map_entries("properties"), lambda e: F.struct(
+            e["key"], F.to_json(e["value"]).alias("value"))).alias("p")).collect():
+        text, want = REPEATED[r["event_id"]]
+        assert {e["key"]: json.loads(e["value"]) for e in r["p"]} == want, text
+    specs = {k: {"type": "string", "required": True} for _, want in REPEATED for k in want}
+    wrong = {k for k, v in REPEATED[0][1].items()}
+    contract = contract_from_dict(spark, {"events": {"": {"properties": specs}}})
+    for options in ({}, {"max_literal_checks": 0}):
+        checked = validate(rows, compile_contract(contract, **options), identity_gate=False)
+        first = checked.filter("event_id = 0").first()
+        assert {e["property"] for e in first["errors"] if e["rule"] == "type"} == wrong
+
+
+def test_rules_without_properties_count_for_the_broadcast(spark):
+    bare = contract_from_dict(spark, {"events": {f"e{n}": {} for n in range(50)}})
+    assert not compile_contract(bare, broadcast_bytes=0).broadcast and compile_contract(bare).broadcast
+    rows = spark.createDataFrame([('{"event":"e7","userId":"u"}',), ('{"event":"x","userId":"u"}',)], "payload string")
+    got = validate(rows, compile_contract(bare, broadcast_bytes=0)).select("event", "status").collect()
+    assert sorted(map(tuple, got)) == [("e7", "valid"), ("x", "error")]
