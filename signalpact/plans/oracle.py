@@ -460,3 +460,5 @@ w AS (
 )
 SELECT i AS event_id, et AS event, CASE WHEN n_required + n_type + n_max + n_max_length = 0 THEN 'valid' ELSE 'invalid' END AS status,
        n_required, n_type, n_max, n_max_length FROM counted"""
+ORACLE["outbox_redelivery"] = _outcomes() + """
+SELECT k AS qty, CASE WHEN CAST(k AS VARCHAR) LIKE '1%' THEN 2 ELSE 1 END AS posts, 1 AS arrived FROM v WHERE status = 'invalid'"""

@@ -13,6 +13,7 @@ from signalpact.plans import fixtures as fx
 from signalpact.session import scratch_path, spread
 from signalpact.sources import sinks, snapshots as snap
 from signalpact.sources.events import read_events, read_events_stream
+from signalpact.sources.outbox import Outbox
 from signalpact.streaming.jobs import routed_sink, summary_stream, validate_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -120,6 +121,27 @@ def dlq_webhook_envelope(spark, sf_dir):
     )
 
 
+@query
+def outbox_redelivery(spark, sf_dir):
+    """An endpoint that first refuses some letters: how often each letter was posted, and how often it arrived."""
+    outbox = Outbox(spark, scratch_path(spark, "outbox"))
+    for attempt in range(3):  # a replay of the batch finds its letters written
+        outbox.put(0, sinks.webhook_envelopes(validated(spark, sf_dir)))
+        outbox.deliver(0, _refuse_some if attempt == 0 else _take_all)
+    posts = outbox.log(0).groupBy("letter").agg(
+        F.count(F.lit(1)).alias("posts"), F.count_if(F.col("failure").isNull()).alias("arrived"))
+    qty = F.get_json_object(F.get_json_object("body", "$.payload"), "$.properties.qty").cast("int")
+    return outbox.letters(0).join(posts, "letter", "left").select(qty.alias("qty"), "posts", "arrived")
+
+
+def _refuse_some(body: str) -> int:
+    return 503 if '\\"qty\\":1' in body else 200
+
+
+def _take_all(body: str) -> int:
+    return 200
+
+
 @query
 def result_feed(spark, sf_dir):
     return sinks.result_feed(validated(spark, sf_dir)).select(

@@ -14,7 +14,8 @@ from signalpact.model import Contract, Mapping, local_table
 from signalpact.operators.compiled import CompiledContract, compile_contract
 from signalpact.operators.lint import check_plan
 from signalpact.operators.validate import event_metrics, observe_validation, summary, validate
-from signalpact.sources.sinks import dlq_records, write_dlq_webhook
+from signalpact.sources.outbox import Outbox
+from signalpact.sources.sinks import dlq_records, webhook_envelopes, write_dlq_webhook
 
 log = logging.getLogger(__name__)
 Sink = Callable[[DataFrame, int], None]
@@ -169,6 +170,21 @@ def webhook_sink(post: Callable[[str], int], workers: int = 5) -> Sink:
     return sink
 
 
+def outbox_sink(path: str, post: Callable[[str], int], workers: int = 5, payload: str = "payload") -> Sink:
+    """Dead letters of a batch to an HTTP endpoint through an :class:`signalpact.sources.outbox.Outbox` under ``path``.
+
+    A batch with a letter that was not taken fails and is replayed; the replay posts only what is left.
+    """
+    def sink(checked: DataFrame, batch_id: int) -> None:
+        outbox = Outbox(checked.sparkSession, path)
+        outbox.put(batch_id, webhook_envelopes(checked, payload))
+        done = outbox.deliver(batch_id, post, workers)
+        if done["failed"]:
+            raise DeliveryFailed(
+                f"batch {batch_id}: {done['failed']} dead letters not delivered, first: {done['first_failure']}")
+    return sink
+
+
 def routed_sink(path: str) -> Sink:
     """All outcomes of a batch in one pass, partitioned by status; a replay overwrites the batch."""
     def sink(checked: DataFrame, batch_id: int) -> None:
@@ -179,16 +195,20 @@ def routed_sink(path: str) -> Sink:
 def dlq_sink(
     sink: str, path: str | None = None, post: Callable[[str], int] | None = None, workers: int = 5,
 ) -> Sink:
-    """The dead-letter sink by name: ``webhook`` or ``files``."""
-    if sink == "webhook":
+    """The dead-letter sink by name: ``webhook``, ``outbox`` (a webhook that remembers what it delivered) or ``files``."""
+    if sink in ("webhook", "outbox"):
         if post is None:
-            raise ValueError("the webhook sink needs a transport")
-        return webhook_sink(post, workers)
+            raise ValueError(f"the {sink} sink needs a transport")
+        if sink == "webhook":
+            return webhook_sink(post, workers)
+        if path is None:
+            raise ValueError("the outbox sink needs a path")
+        return outbox_sink(path, post, workers)
     if sink == "files":
         if path is None:
             raise ValueError("the files sink needs a path")
         return file_sink(path, workers)
-    raise ValueError(f"unknown sink {sink!r}: use 'webhook' or 'files'")
+    raise ValueError(f"unknown sink {sink!r}: use 'webhook', 'outbox' or 'files'")
 
 
 def summary_stream(

@@ -10,6 +10,7 @@ from signalpact.plans import fixtures as fx
 from signalpact.session import scratch_path
 from signalpact.sources import sinks, snapshots as snap
 from signalpact.sources.events import read_events, read_events_stream
+from signalpact.sources.outbox import Outbox
 from signalpact.streaming import jobs
 
 
@@ -277,3 +278,50 @@ def test_a_replayed_batch_meets_its_own_contract_version(spark, folder):
     assert {tuple(r) for r in ledger.versions().collect()} == {(0, "1"), (1, "2")}
     (folder / "cp-contracts" / "batch_id=3").mkdir()
     assert (ledger.version(1), ledger.version(3), ledger.version(7)) == ("2", None, None)
+
+
+def test_a_replay_posts_only_letters_that_were_not_taken(spark, folder):
+    (folder / "in" / "1.jsonl").write_text("".join(f'{{"event":"Login","n":{n}}}\n' for n in range(100)))
+    calls = folder / "calls"
+    calls.mkdir()
+    target, bad = str(calls), [True]
+
+    def run():
+        refuse = bad[0]
+
+        def post(body):
+            import uuid
+            with open(f"{target}/{uuid.uuid4().hex}.json", "w") as out:
+                out.write(body)
+            return 503 if refuse and '\\"n\\":42' in body else 200
+
+        contract = contract_from_dict(spark, plan())
+        jobs.validate_stream(
+            read_events_stream(spark, str(folder / "in")), lambda: ("1", contract),
+            [jobs.dlq_sink("outbox", path=str(folder / "outbox"), post=post, workers=3)], checkpoint=str(folder / "cp"), available_now=True,
+        ).awaitTermination()
+
+    with pytest.raises(Exception, match="1 dead letters not delivered"):
+        run()
+    assert len(lines(calls)) == 100
+    bad[0] = False
+    run()
+    posted = sorted(json.loads(x["payload"])["n"] for x in lines(calls))
+    assert posted == sorted([*range(100), 42])
+    box = Outbox(spark, str(folder / "outbox"))
+    assert box.waiting(0).count() == 0 and box.log(0).count() == 101 and box.log(9).count() == 0
+    with pytest.raises(ValueError):
+        jobs.dlq_sink("outbox", post=len)
+
+
+def test_letters_half_written_are_written_again(spark, tmp_path):
+    box = Outbox(spark, str(tmp_path / "box"))
+    bodies = spark.createDataFrame([("a",), ("a",), ("b",)], "body string")
+    box.put(5, bodies.limit(1))
+    for f in (tmp_path / "box" / "written" / "batch_id=5").glob("*"):
+        f.unlink()
+    box.put(5, bodies)
+    box.put(5, bodies.limit(0))  # a replay doesn't change what was written
+    assert sorted(r["body"] for r in box.letters(5).collect()) == ["a", "a", "b"]
+    assert box.deliver(5, lambda body: 200).asDict() == {"delivered": 3, "failed": 0, "first_failure": None}
+    assert box.deliver(5, lambda body: 200)["delivered"] == 0
