@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from signalpact.model import Contract
-from signalpact.operators.compiled import CompiledContract
+from signalpact.operators.compiled import CompiledContract, compile_contract
 from signalpact.operators.resolve import Resolution, resolve_properties
 from signalpact.operators.validate import validate
+from signalpact.session import cut_lineage
 
 
 class GateFailed(RuntimeError):
@@ -19,22 +20,38 @@ class GateFailed(RuntimeError):
 
 
 def check_parity(
-    snapshots: DataFrame, sha: str | None, contract: Contract | CompiledContract
+    snapshots: DataFrame, sha: str | None, contract: Contract | CompiledContract, ranges: int = 1,
 ) -> DataFrame:
     """At most one breach per stored event name: the errors of its first failing sample by id.
 
     The stored name decides the contract entry and identity is not asked for. A sample that cannot
     be checked at all is a breach too, so that one bad sample does not stop the run.
 
-    All samples are checked without reasons first, which leaves one id per event to a hash aggregate;
-    reasons are made for those samples only.
+    Every sample is parsed once at most; only failing ones have reasons, and of these a partial
+    aggregation keeps one per event and task. With ``ranges`` the samples are taken in that many ranges
+    of ids, one after the other: an event that failed in a range is not looked at in the next ones.
     """
+    compiled = contract if isinstance(contract, CompiledContract) else compile_contract(contract)
     samples = (snapshots if sha is None else snapshots.filter(F.col("sha") == sha)).select("id", "event_name", "payload")
-    options = {"identity_gate": False, "event": F.col("event_name")}
-    first = validate(samples, contract, with_errors=False, **options).filter(F.col("status") != "valid").groupBy(
-        "event_name").agg(F.min("id").alias("id"))
-    checked = validate(samples.join(first, ["event_name", "id"], "left_semi"), contract, **options)
-    return checked.filter(F.col("status") != "valid").select("event_name", "id", "errors").dropDuplicates(["event_name"])
+
+    def first_breaches(some: DataFrame) -> DataFrame:
+        checked = validate(some, compiled, identity_gate=False, event=F.col("event_name"))
+        return checked.filter(F.col("status") != "valid").groupBy("event_name").agg(
+            F.min("id").alias("id"), F.min_by("errors", "id").alias("errors"))
+
+    if ranges <= 1:
+        return first_breaches(samples)
+    shares = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
+    cuts = sorted(set(samples.agg(F.percentile_approx("id", shares, 20 * ranges)).first()[0] or []))
+    found = None
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        some = samples if low is None else samples.filter(F.col("id") > low)
+        some = some if high is None else some.filter(F.col("id") <= high)
+        if found is not None:
+            some = some.join(found.select("event_name"), "event_name", "left_anti")
+        new = cut_lineage(first_breaches(some), "breaches")
+        found = new if found is None else found.unionByName(new)
+    return found
 
 
 # The texts of the changes below are fixed values.

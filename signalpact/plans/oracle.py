@@ -400,9 +400,9 @@ _GATES = ORACLE["bad_gate_refs"].replace("SELECT flow, node, property FROM refs"
 ORACLE["lint_contract"] = _GATES + """
 UNION ALL SELECT 'target', src, 'flow ' || flow || ': node ' || src || ': orphaned ' || kind || ' target ' || dst
 FROM ed WHERE NOT EXISTS (SELECT 1 FROM nd WHERE nd.flow = ed.flow AND nd.node = ed.dst)
-UNION ALL SELECT 'event', node, 'flow ' || flow || ', node ' || node || ': event ' || event || ' not found in taxonomy'
+UNION ALL SELECT 'event', node, 'node ' || node || ' of flow ' || flow || ' uses event ' || event || ', which the plan does not define'
 FROM u WHERE event = 'error'
-UNION ALL SELECT 'orphan', event, 'orphan event: ' || event || ' is defined in taxonomy but not used in any flow'
+UNION ALL SELECT 'orphan', event, 'event ' || event || ' is used by no flow (orphan event)'
 FROM (VALUES ('click'), ('view'), ('purchase'), ('signup')) x(event) WHERE event NOT IN (SELECT event FROM u WHERE event IS NOT NULL)"""
 ORACLE["lint_contract"] = f"SELECT * FROM ({ORACLE['lint_contract']}) x(rule, subject, error)"
 
@@ -462,3 +462,6 @@ SELECT i AS event_id, et AS event, CASE WHEN n_required + n_type + n_max + n_max
        n_required, n_type, n_max, n_max_length FROM counted"""
 ORACLE["outbox_redelivery"] = _outcomes() + """
 SELECT k AS qty, CASE WHEN CAST(k AS VARCHAR) LIKE '1%' THEN 2 ELSE 1 END AS posts, 1 AS arrived FROM v WHERE status = 'invalid'"""
+ORACLE["check_parity_ranges"] = ORACLE["check_parity"]
+ORACLE["snapshots_saved_twice"] = """SELECT CASE WHEN event_id % 2 = 0 THEN 'sha_a' ELSE 'sha_b' END AS sha, event_type AS event_name,
+       count(*) AS samples, CAST(sum(event_id) AS BIGINT) AS ids FROM events GROUP BY ALL"""

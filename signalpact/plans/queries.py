@@ -80,6 +80,25 @@ def snapshot_roundtrip(spark, sf_dir):
     )
 
 
+@query
+def snapshots_saved_twice(spark, sf_dir):
+    """A save that is repeated, beside another one and a third that never finished."""
+    path, rows = scratch_path(spark, "snapshots"), fx.snapshots(events_table(spark, sf_dir))
+    for sha, save_id in (("sha_a", "first"), ("sha_b", "second"), ("sha_a", "first")):
+        snap.save_snapshots(rows.filter(F.col("sha") == sha), path, save_id=save_id)
+    rows.write.partitionBy("sha").parquet(f"{path}/saves/save_id=broken")
+    return snap.load_snapshots(spark, path).groupBy("sha", "event_name").agg(
+        F.count(F.lit(1)).alias("samples"), F.sum("id").alias("ids"))
+
+
+@query
+def check_parity_ranges(spark, sf_dir):
+    """Parity in four ranges of ids."""
+    samples = fx.snapshots(events_table(spark, sf_dir))
+    return impact.check_parity(samples, "sha_a", demo(spark, 2), ranges=4).select(
+        "event_name", "id", codes().alias("errors"))
+
+
 @query
 def snapshots_by_event(spark, sf_dir):
     samples = fx.snapshots(events_table(spark, sf_dir)).filter("sha = 'sha_a'")

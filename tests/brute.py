@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 
+# fixed values: the default paths of event names and identities
 EVENT_PATHS = ["event", "event_name", "type", "properties.event_name"]
 IDENTITY = {
     "userId": ["userId", "user_id", "context.userId", "context.user_id"],
