@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import json
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from signalpact.functions import flatten as fl
 from signalpact.functions.paths import ODD, name, root_object, sealed
@@ -37,11 +41,21 @@ def typed_model(
     With ``event`` only that event's rows are taken; without it all rows are, so that columns
     other events lack are NULL there.
     """
+    return _typed(df, [(p, t, p) for p, t, _ in sorted(properties)], event, payload, mapping, keep)
+
+
+def _typed(
+    df: DataFrame, wanted: list[tuple[str, str, str]], event: str | None, payload: str, mapping: Mapping,
+    keep: tuple[str, ...], with_event: bool = False,
+) -> DataFrame:
+    """A column per (property, type, column name) of one event or of all rows; ``with_event`` adds their ``event``."""
     text = name(payload)
-    identity = {k: f"__id_{i}" for i, k in enumerate(identity_names(mapping))
-                if k in {p for p, _, _ in properties}}
+    properties = {p for p, _, _ in wanted}
+    identity = {k: f"__id_{i}" for i, k in enumerate(identity_names(mapping)) if k in properties}
     parsed = parse(df.select(*keep, payload), payload, mapping)
-    if event is not None:
+    if with_event:
+        parsed = read_names(parsed, text, mapping, "__name", {})
+    elif event is not None:
         named = read_names(parsed, text, mapping, "__name", {})
         parsed = sealed(named, [*keep, payload], {c: c for c in (DOC, ODD, TEXTS, "__name") if c in named.columns}).filter(
             F.col("__name") == event)
@@ -49,12 +63,12 @@ def typed_model(
         f"__root_{r}": root_object(text, DOC, r) for r in ROOTS})
     found = {
         p: fl.value_at(text, p.split(".")[0], f"__root_{p.split('.')[0]}", p.split(".")[1:])
-        for p, _, _ in properties if p.split(".")[0] in ROOTS and "." in p
+        for p in properties if p.split(".")[0] in ROOTS and "." in p
     }
     order = {p: n for n, p in enumerate(sorted(found))}
     valued = opened.selectExpr("*", *[f"{found[p]} AS __v{n}" for p, n in order.items()])
 
-    def column(prop: str, type_name: str) -> str:
+    def column(prop: str, type_name: str, alias: str) -> str:
         target = COLUMN_TYPES.get(type_name, "string")
         value = f"cast(NULL AS {target})"
         if prop in order:
@@ -64,9 +78,70 @@ def typed_model(
                      f"try_variant_get({held}, '$', '{target}') END")
         if prop in identity:
             value = f"coalesce(try_cast({identity[prop]} AS {target}), {value})"
-        return f"{value} AS {name(prop)}"
+        return f"{value} AS {name(alias)}"
+
+    own = ["__name AS event"] if with_event else []
+    return valued.selectExpr(*own, *[name(c) for c in keep], *[column(*w) for w in wanted])
+
+
+def model_columns(contract: Contract, resolved: DataFrame | None = None) -> list[tuple[str, str, str, str]]:
+    """(event, property, type, column) of every event's model, from the contract (config, so it fits the driver).
+
+    Events share the column of a property unless they give it different types.
+    """
+    resolved = resolve_properties(contract).properties if resolved is None else resolved
+    rows = sorted({(r["event"], r["property"], r["type"]) for r in resolved.select("event", "property", "type").collect()})
+    targets: dict[str, set[str]] = {}
+    for _, prop, kind in rows:
+        targets.setdefault(prop, set()).add(COLUMN_TYPES.get(kind, "string"))
 
-    return valued.selectExpr(*[name(c) for c in keep], *[column(p, t) for p, t, _ in sorted(properties)])
+    def column(prop: str, kind: str) -> str:
+        return prop if len(targets[prop]) == 1 else f"{prop} ({COLUMN_TYPES.get(kind, 'string')})"
+
+    return [(event, prop, kind, column(prop, kind)) for event, prop, kind in rows]
+
+
+def wide_models(
+    df: DataFrame, columns: list[tuple[str, str, str, str]], keep: tuple[str, ...] = (), payload: str = "payload",
+    mapping: Mapping = Mapping(),
+) -> DataFrame:
+    """Rows of all events that have a model: ``event``, ``keep`` and every model's columns, from one scan.
+
+    ``columns`` come from :func:`model_columns`. What an event's own model has is selected when it is read
+    (:func:`read_model`), so a row may hold further values. ``keep`` must not name a column ``event``.
+    """
+    wanted = sorted({(prop, COLUMN_TYPES.get(kind, "string"), column) for _, prop, kind, column in columns})
+    kinds = {target: kind for kind, target in COLUMN_TYPES.items()}
+    rows = _typed(df, [(p, kinds.get(t, "string"), c) for p, t, c in wanted], None, payload, mapping, keep, with_event=True)
+    known = local_table(df.sparkSession, [(e,) for e in sorted({c[0] for c in columns})], "event string")
+    return rows.join(F.broadcast(known), "event", "left_semi")  # the contract's events
+
+
+def write_models(wide: DataFrame, columns: list[tuple[str, str, str, str]], path: str, keep: tuple[str, ...] = ()) -> str:
+    """Full refresh of all models in one pass over ``wide``: a folder per event under a version of its own.
+
+    The version takes effect when its line is added to ``path/current``, which is written last: readers see
+    all models of the old version or all of the new one. Returns the version; older ones stay until removed.
+    """
+    spark, version = wide.sparkSession, uuid.uuid4().hex
+    wide.write.partitionBy("event").parquet(f"{path}/versions/{version}")
+    local_table(spark, columns, "event string, property string, type string, column string").coalesce(1).write.parquet(f"{path}/columns/{version}")
+    line = local_table(spark, [(version, list(keep), wide.select(*keep).schema.json())], "version string, keep array<string>, schema string")
+    line.withColumn("written", F.unix_micros(F.current_timestamp())).coalesce(1).write.mode("append").parquet(f"{path}/current")
+    return version
+
+
+def read_model(spark: SparkSession, path: str, event: str) -> DataFrame:
+    """One event's model as last written by :func:`write_models`: its kept columns and its own properties, typed."""
+    line = spark.read.parquet(f"{path}/current").orderBy(F.col("written").desc(), "version").first()
+    own = spark.read.parquet(f"{path}/columns/{line['version']}").filter(F.col("event") == event).orderBy("property").collect()
+    if not own:
+        raise ValueError(f"the models under {path} have no event {event!r}")
+    kept = StructType.fromJson(json.loads(line["schema"]))
+    fields = [(c["column"], COLUMN_TYPES.get(c["type"], "string")) for c in own]
+    schema = ", ".join([*(f"{name(f.name)} {f.dataType.simpleString()}" for f in kept), *(f"{name(c)} {t}" for c, t in fields), "event string"])
+    rows = spark.read.schema(schema).parquet(f"{path}/versions/{line['version']}").filter(F.col("event") == event)
+    return rows.selectExpr(*[name(c) for c in line["keep"]], *[f"{name(c['column'])} AS {name(c['property'])}" for c in own])
 
 
 def typed_values(

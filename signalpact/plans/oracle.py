@@ -465,3 +465,6 @@ SELECT k AS qty, CASE WHEN CAST(k AS VARCHAR) LIKE '1%' THEN 2 ELSE 1 END AS pos
 ORACLE["check_parity_ranges"] = ORACLE["check_parity"]
 ORACLE["snapshots_saved_twice"] = """SELECT CASE WHEN event_id % 2 = 0 THEN 'sha_a' ELSE 'sha_b' END AS sha, event_type AS event_name,
        count(*) AS samples, CAST(sum(event_id) AS BIGINT) AS ids FROM events GROUP BY ALL"""
+ORACLE["wide_models_read_back"] = f"""WITH {EVENTS}
+SELECT et AS model, i AS event_id, k AS qty, value AS price, 'K' || k AS code, CASE WHEN i % 23 <> 0 THEN '10.0.0.1' END AS ip
+FROM c WHERE et IN ('purchase', 'signup')"""

@@ -520,6 +520,20 @@ def materialized_model(spark, sf_dir):
         "event_id", F.col("`properties.qty`").alias("qty"), F.col("`properties.price`").alias("price"))
 
 
+@query
+def wide_models_read_back(spark, sf_dir):
+    """Every event's wide model from one write over one scan; two of them read back."""
+    path, columns = scratch_path(spark, "models"), models.model_columns(fx.demo_contract(spark))
+    models.write_models(models.wide_models(raw(spark, sf_dir), columns, keep=("event_id",)), columns, path, keep=("event_id",))
+    out = None
+    for event in ("purchase", "signup"):
+        one = models.read_model(spark, path, event).select(
+            F.lit(event).alias("model"), "event_id", F.col("`properties.qty`").alias("qty"), F.col("`properties.price`").alias("price"),
+            F.col("`properties.code`").alias("code"), F.col("`context.ip`").alias("ip"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query
 def model_missing_columns(spark, sf_dir):
     part = fx.table(spark, sf_dir, "part")

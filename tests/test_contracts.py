@@ -205,3 +205,27 @@ def test_catalogue_names_events_that_do_not_resolve(spark):
     contract = contract_from_dict(spark, {"mixins": {}, "events": {"A": {"imports": ["Gone"]}, "B": {"properties": {"properties.x": {"type": "string"}}}}})
     rows = {(r["event"], r["property"]): r["error"] for r in resolve.catalogue(contract).collect()}
     assert rows == {("A", None): "mixin Gone not found", ("B", "properties.x"): None}
+
+
+def test_wide_models_swap_as_one(spark, tmp_path):
+    plan = {"events": {
+        "a": {"properties": {"properties.x": {"type": "integer"}, "properties.y": {"type": "string"}, "userId": {"type": "string"}}},
+        "b": {"properties": {"properties.x": {"type": "string"}, "properties.z": {"type": "boolean"}}}}}
+    columns = models.model_columns(contract_from_dict(spark, plan))
+    assert [c[3] for c in columns] == ["properties.x (int)", "properties.y", "userId", "properties.x (string)", "properties.z"]
+    rows = spark.createDataFrame([
+        (1, '{"event":"a","userId":"u","properties":{"x":5,"y":"t","z":true}}'), (2, '{"event":"b","properties":{"x":7,"z":false}}'),
+        (3, '{"event":"c","properties":{"x":9}}'), (4, '{"event":"a","properties":{"x":"no"}}')], "id long, payload string")
+    path = str(tmp_path / "models")
+    wide = models.wide_models(rows, columns, keep=("id",))
+    models.write_models(wide, columns, path, keep=("id",))
+    a = models.read_model(spark, path, "a")
+    assert a.columns == ["id", "properties.x", "properties.y", "userId"]
+    assert sorted(map(tuple, a.collect())) == [(1, 5, "t", "u"), (4, None, None, None)]
+    assert [tuple(r) for r in models.read_model(spark, path, "b").collect()] == [(2, "7", False)]
+    wide.filter("id > 1").write.partitionBy("event").parquet(f"{path}/versions/unfinished")
+    assert models.read_model(spark, path, "a").count() == 2
+    models.write_models(wide.filter("id > 1"), columns, path, keep=("id",))
+    assert models.read_model(spark, path, "a").count() == 1
+    with pytest.raises(ValueError):
+        models.read_model(spark, path, "c")
