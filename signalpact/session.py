@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the session options the operators need (all are runtime options)."""
@@ -60,8 +62,25 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def cut_lineage(df: DataFrame, purpose: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, so lost executors cannot undo it."""
+    """Write ``df`` to the shared folder and read it back, so lost executors cannot undo it.
+
+    The shuffle files of this one write go when it is done: nothing reads them any more.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, purpose)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_DROP_SHUFFLES, None)
+    spark.conf.set(_DROP_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_DROP_SHUFFLES) if before is None else spark.conf.set(_DROP_SHUFFLES, before)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._scratch = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table that :func:`cut_lineage` wrote, once all that read it has been written itself."""
+    spark, path = table.sparkSession, table._scratch
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
