@@ -20,8 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from signalpact.llm.text import LOWER, gram_hashes, mix, numbered, per_text, signed, table, text_bytes, tidy, word_hashes
-from signalpact.session import cut_lineage
+from signalpact.llm.text import (
+    LOWER, free_names, gram_hashes, mix, numbered, per_text, quoted, signed, table, text_bytes, tidy, word_hashes,
+)
+from signalpact.session import cut_lineage, discard
 
 #: Words of a shingle and the similarity of a link in per cent.
 SHINGLE, PERCENT = 5, 75
@@ -186,13 +188,14 @@ def _across(docs: DataFrame, mixed: DataFrame, reps: DataFrame, k: int, percent:
     sides, so that others are not even looked at.
     """
     shingles = _exploded(docs, mixed.select("rid").distinct(), k)
-    counted = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= RARE)
-    flagged = cut_lineage(shingles.join(counted, "shingle", "left"), "flagged")
+    # A shingle of one document only is rare and tells no pair: it counts, but needn't be kept.
+    counted = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("holders")).where(F.col("holders") > 1)
+    flagged = cut_lineage(shingles.join(counted, "shingle"), "flagged")
     hashed = F.xxhash64("shingle")
     bit = F.expr("shiftleft(1L, cast(pmod(shiftright(xxhash64(shingle), 8), 64) AS int))")
-    words = [F.bit_or(F.when(F.col("n").isNull() & (F.pmod(hashed, F.lit(4)) == w), bit).otherwise(F.lit(0).cast("long"))).alias(f"s{w}") for w in range(4)]
-    own = flagged.groupBy("rid").agg(F.count("n").alias("u"), *words)
-    rare = flagged.where("n > 1")
+    words = [F.bit_or(F.when(F.pmod(hashed, F.lit(4)) == w, bit).otherwise(F.lit(0).cast("long"))).alias(f"s{w}") for w in range(4)]
+    own = flagged.where(F.col("holders") > RARE).groupBy("rid").agg(F.count(F.lit(1)).alias("common"), *words)
+    rare = flagged.where(F.col("holders") <= RARE).select("rid", "shingle")
     of = mixed.select("rid", "part").distinct()
     holders = (
         rare.join(of, "rid").groupBy("shingle")
@@ -201,8 +204,10 @@ def _across(docs: DataFrame, mixed: DataFrame, reps: DataFrame, k: int, percent:
     )
     by_shingle = holders.select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b"))
 
-    rows = mixed.join(reps.select("rid", F.col("n_shingles").alias("n")), "rid").join(own, "rid")
     sketch_of = [f"s{w}" for w in range(4)]
+    sizes = mixed.select("rid").distinct().join(reps.select("rid", F.col("n_shingles").alias("n")), "rid").join(own, "rid", "left").select(
+        "rid", "n", (F.col("n") - F.coalesce("common", F.lit(0))).alias("u"), *(F.coalesce(w, F.lit(0).cast("long")).alias(w) for w in sketch_of))
+    rows = mixed.join(sizes, "rid")
     most = F.least(F.col("n") * 100 / percent, (F.col("n") - F.col("u")) * 100 / percent - F.col("u"))
     cell = lambda size: F.floor(F.ln(F.greatest(size.cast("double"), F.lit(1.0))) / F.lit(float(np.log(1.1)))).cast("int")
     ranged = rows.select("key", "rid", "part", "n", "u", *sketch_of, cell(F.col("n")).alias("own"), cell(F.col("n") * percent / 100).alias("low"), cell(most).alias("high"))
@@ -217,7 +222,10 @@ def _across(docs: DataFrame, mixed: DataFrame, reps: DataFrame, k: int, percent:
     shared = f"least(n_a - u_a - ({only('a', 'b')}), n_b - u_b - ({only('b', 'a')}))"
     met = larger.join(smaller, ["key", "large", "small"]).where(
         f"part_a <> part_b AND (n_b < n_a OR (n_b = n_a AND b < a)) AND 100 * {shared} >= {percent} * (n_a + n_b - {shared})")
-    return cut_lineage(met.select("a", "b").unionByName(by_shingle).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "across")
+    pairs = met.select("a", "b").unionByName(by_shingle).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    found = cut_lineage(pairs.distinct(), "across")
+    discard(flagged)
+    return found
 
 
 def _exploded(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -240,7 +248,10 @@ def _confirm(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFra
     stays in memory while the members stream by. Stars of over STAR members are split and the leader
     copied.
     """
-    sized = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.ceil(F.count(F.lit(1)).over(Window.partitionBy("a")) / F.lit(float(STAR)))))
+    pairs = cut_lineage(pairs, "pairs")
+    large = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > STAR)  # summed before they meet
+    parts = F.coalesce(F.ceil(F.col("n") / F.lit(float(STAR))), F.lit(1))
+    sized = pairs.join(_light(cut_lineage(large, "large-stars"), 64), "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), parts).alias("part"))
     sized = cut_lineage(sized, "stars")
     roles = cut_lineage(
         sized.select(F.col("a").alias("rid"), "a", "part", F.lit(0).alias("role")).distinct()
@@ -310,13 +321,15 @@ def _linked(rows: DataFrame, stats: DataFrame, k: int, percent: int) -> DataFram
     def make():
         return lambda rows: {"keys": [bands(np.frombuffer(r, np.uint16)).tolist() for r in rows]}
 
-    keys = cut_lineage(per_text(reps, ["rid"], "registers", make, "keys array<long>").select("rid", F.explode("keys").alias("key")), "bands")
+    every = cut_lineage(per_text(reps, ["rid"], "registers", make, "keys array<long>").select("rid", F.explode("keys").alias("key")), "bands")
     # Bands of one document link nothing. The others make a document the more central, the more they hold;
     # the most central one leads a band, so that most of a group meets the same few leaders.
-    counts = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    held = keys.join(counts, "key")
+    counts = every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    held = cut_lineage(every.join(counts, "key"), "held-bands")
+    discard(every)
     weight = held.groupBy("rid").agg((F.sum("n") * 1024 + F.pmod(F.xxhash64("rid"), F.lit(1024))).alias("weight"))
     keys = cut_lineage(held.select("key", "rid").join(weight, "rid"), "shared-bands")
+    discard(held)
     leaders = keys.groupBy("key").agg(F.max_by("rid", "weight").alias("a"))
     led = (
         keys.join(leaders, "key").where("rid <> a").groupBy("a", F.col("rid").alias("b"))
@@ -330,6 +343,7 @@ def _linked(rows: DataFrame, stats: DataFrame, k: int, percent: int) -> DataFram
     mixed = _mixed(keys, part)
     across = _across(rows, mixed, reps, k, percent)
     more = cut_lineage(_confirm(rows, _weighed(across, reps, percent), k, percent), "links")
+    discard(reps)
     if more.limit(1).count():
         # Only whole components meet now: their links are few, whatever the components' sizes.
         of = mixed.select("rid", "part").distinct()
@@ -368,16 +382,16 @@ def _weighed(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one row of each group of near duplicates: the one of least id (and least number)."""
-    if not {"id", "rid"}.isdisjoint(c.lower() for c in docs.columns):
-        raise ValueError("docs already has a column id or rid")
-    rows = numbered(docs, "documents").withColumn("id", F.col(id_col))
+    (rid,) = free_names(docs, "rid")
+    rows = numbered(docs, "documents", rid)
     k, percent = options.get("k", SHINGLE), options.get("percent", PERCENT)
-    texts = rows.select("rid", "id", F.col(text_col).alias("text"))
+    texts = rows.select(F.col(rid).alias("rid"), F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"))
     found = _linked(texts, _sketched(texts, k), k, percent).where("kept")
     place = Window.partitionBy("component").orderBy("rid")
     lone = found.where("n_shingles = 0 OR component IS NULL").select("rid")
     one = found.where("n_shingles > 0 AND component IS NOT NULL").withColumn("place", F.row_number().over(place)).where("place = 1").select("rid")
-    return rows.join(cut_lineage(lone.unionByName(one), "kept"), "rid", "left_semi").select(*docs.columns)
+    kept = cut_lineage(lone.unionByName(one), "kept").withColumnRenamed("rid", rid)
+    return rows.join(kept, rid, "left_semi").select(*map(quoted, docs.columns))
 
 
 def op8_hyperminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalpact.llm.text import per_text, table, text_bytes
+from signalpact.llm.text import free_names, per_text, quoted, table, text_bytes
 from signalpact.session import cut_lineage
 
 #: Kinds of the fixed patterns in the order of the output.
@@ -240,19 +240,22 @@ def find_spans(
         return per_text(docs, keep, text_col, make, schema)
 
     # Beyond the bound: each row's entities are joined with the flagged terms and brought back by row number.
-    numbered = cut_lineage(docs.select(*dict.fromkeys([*keep, text_col])).withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    row, pair = free_names(docs, "_row", "_both")
+    needed = map(quoted, dict.fromkeys([*keep, text_col]))
+    numbered = cut_lineage(docs.select(*needed, F.monotonically_increasing_id().alias(row)), "numbered")
 
     def names():
         return lambda texts: {"entities": [list({entity_name(t, s) for s in base_spans(t)}) for t in texts]}
 
-    held = per_text(numbered, ["_row"], text_col, names, "entities array<string>").select("_row", F.explode("entities").alias("entity"))
-    terms = held.join(flagged, "entity").groupBy("_row").agg(F.collect_set("term").alias("terms"))
-    whole = numbered.join(terms, "_row", "left").withColumn("_both", F.struct(F.col(text_col).alias("text"), "terms"))
+    held = per_text(numbered, [row], text_col, names, "entities array<string>").select(row, F.explode("entities").alias("entity"))
+    terms = held.join(flagged, "entity").groupBy(row).agg(F.collect_set("term").alias("terms")).select(
+        row, F.struct("terms").alias(pair))
+    whole = numbered.join(terms, row, "left").withColumn(pair, F.struct(F.col(quoted(text_col)).alias("text"), F.col(pair)["terms"].alias("terms")))
 
     def make_joined():
         return lambda rows: {name: [mark(r["text"], base_spans(r["text"]), set(r["terms"] or ())) for r in rows]}
 
-    return per_text(whole, keep, "_both", make_joined, schema)
+    return per_text(whole, keep, pair, make_joined, schema)
 
 
 def _general(word: str) -> str:
@@ -281,15 +284,16 @@ def masked(text: str | None, spans: list[tuple[int, int, int]]) -> str | None:
 def sanitise(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """``docs`` with the text sanitised; all other columns and all rows stay. See :func:`find_spans`."""
     others = [c for c in docs.columns if c != text_col]
-    found = find_spans(docs, text_col=text_col, keep=docs.columns, name="_spans", **options).withColumn(
-        "_both", F.struct(F.col(text_col).alias("text"), F.col("_spans").alias("spans")))
+    spans, pair, clean = free_names(docs, "_spans", "_both", "_clean")
+    found = find_spans(docs, text_col=text_col, keep=docs.columns, name=spans, **options).select(
+        *map(quoted, others), F.struct(F.col(quoted(text_col)).alias("text"), F.col(spans).alias("spans")).alias(pair))
 
     def make():
-        return lambda rows: {"_clean": [
+        return lambda rows: {clean: [
             masked(r["text"], [(s["start"], s["kind"], s["end"]) for s in r["spans"]]) for r in rows]}
 
-    out = per_text(found, others, "_both", make, "_clean string")
-    return out.withColumnRenamed("_clean", text_col).select(*docs.columns)
+    out = per_text(found, others, pair, make, f"{clean} string")
+    return out.withColumnRenamed(clean, text_col).select(*map(quoted, docs.columns))
 
 
 def op7_information_sanitiser(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from signalpact.llm.text import Spans, bound_batches, gram_hashes, mix, numbered, per_text, signed, slices, table, text_bytes, tidy, word_hashes, word_table
+from signalpact.llm.text import (
+    Spans, bound_batches, free_names, gram_hashes, mix, numbered, per_text, quoted, signed, slices, table, text_bytes, tidy, word_hashes,
+    word_table,
+)
 from signalpact.session import cut_lineage
 
 #: Words of a window: the shortest repeat that is removed.
@@ -163,13 +166,14 @@ def removed(n_words: int, ranges: list | None, length: int = LENGTH) -> np.ndarr
 
 
 def _marked(docs: DataFrame, id_col: str, text_col: str, length: int, seed: int) -> DataFrame:
-    """``docs`` with ``_ranges``. Most documents have some, so the marks are joined, not broadcast."""
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
-    rows = numbered(docs, "documents", "_rid")
+    """``docs`` with a last column of ranges. Most documents have some, so the marks are joined, not broadcast."""
+    key = F.coalesce(F.col(quoted(id_col)).cast("long"), F.lit((1 << 63) - 1))
+    number, name = free_names(docs, "_rid", "_ranges")
+    rows = numbered(docs, "documents", number)
     marks = cut_lineage(
-        repeats(rows.select(key.alias("doc"), F.col("_rid").alias("rid"), F.col(text_col).alias("text")), length, seed), "repeats")
-    ranges = marks.groupBy(F.col("rid").alias("_rid")).agg(F.collect_list(F.struct("first", "last")).alias("_ranges"))
-    return rows.join(ranges.hint("merge"), "_rid", "left")
+        repeats(rows.select(key.alias("doc"), F.col(number).alias("rid"), F.col(quoted(text_col)).alias("text")), length, seed), "repeats")
+    ranges = marks.groupBy(F.col("rid").alias(number)).agg(F.collect_list(F.struct("first", "last")).alias(name))
+    return rows.join(ranges.hint("merge"), number, "left").drop(number)
 
 
 def kept_digests(
@@ -182,8 +186,8 @@ def kept_digests(
     as documents in the order they are stored (files by path); rows without an id come last. A null or short text keeps
     all its words. Other columns are ignored.
     """
-    whole = _marked(docs.select(id_col, text_col), id_col, text_col, length, seed)
-    both = whole.select(id_col, F.struct(F.col(text_col).alias("text"), F.col("_ranges").alias("ranges")).alias("_both"))
+    whole = _marked(docs.select(quoted(id_col), quoted(text_col)), id_col, text_col, length, seed)
+    both = whole.select(quoted(id_col), F.struct(F.col(quoted(text_col)).alias("text"), F.col(whole.columns[-1]).alias("ranges")).alias("_both"))
 
     def make():
         def work(rows: list) -> dict:
@@ -211,14 +215,16 @@ def drop_repeats(
     """
     others = [c for c in docs.columns if c != text_col]
     whole = _marked(docs, id_col, text_col, length, seed)
-    both = whole.select(*others, F.struct(F.col(text_col).alias("text"), F.col("_ranges").alias("ranges")).alias("_both"))
+    pair, clean = free_names(docs, "_both", "_clean")
+    both = whole.select(*map(quoted, others), F.struct(F.col(quoted(text_col)).alias("text"), F.col(whole.columns[-1]).alias("ranges")).alias(pair))
 
     def make():
         def work(rows: list) -> dict:
-            return {"_clean": [cut(row["text"], row["ranges"], length) for row in rows]}
+            return {clean: [cut(row["text"], row["ranges"], length) for row in rows]}
         return work
 
-    return per_text(both, others, "_both", make, "_clean string").withColumnRenamed("_clean", text_col).select(*docs.columns)
+    out = per_text(both, others, pair, make, f"{clean} string")
+    return out.withColumnRenamed(clean, text_col).select(*map(quoted, docs.columns))
 
 
 def cut(text: str | None, ranges: list | None, length: int = LENGTH) -> str | None:

@@ -157,6 +157,22 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return cut_lineage(df, purpose)
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names for helper columns: the ``wanted`` ones, led by underscores until no column of ``df`` has them in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def quoted(name: str) -> str:
+    """A column name as an expression takes it, whatever characters it has."""
+    return f"`{name.replace('`', '``')}`"
+
+
 #: Rows of one file that get numbers of their own.
 _FILE_ROWS = 1 << 40
 
@@ -168,11 +184,12 @@ def numbered(df: DataFrame, purpose: str, name: str = "rid") -> DataFrame:
     later job, however the files are split there: splits follow the cores that are present.
     """
     df = stored(df, purpose)
-    seen = sorted(r[0] for r in df.select("_metadata.file_path").distinct().collect())  # the driver lists these files anyway
-    files = df.sparkSession.createDataFrame(list(enumerate(seen)), "_file long, _path string")
-    placed = df.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_at"))
-    return placed.join(F.broadcast(files), "_path").select(
-        *(F.col(f"`{c}`") for c in df.columns), (F.col("_file") * _FILE_ROWS + F.col("_at")).alias(name))
+    path, at, file, meta = free_names(df, "_path", "_at", "_file", "_meta")
+    source = df.select("*", F.struct(df.metadataColumn("_metadata")["file_path"].alias("path"), df.metadataColumn("_metadata")["row_index"].alias("at")).alias(meta))
+    placed = source.select(*map(quoted, df.columns), F.col(meta)["path"].alias(path), F.col(meta)["at"].alias(at))
+    seen = sorted(r[0] for r in placed.select(path).distinct().collect())  # the driver lists these files anyway
+    files = df.sparkSession.createDataFrame(list(enumerate(seen)), f"{file} long, {path} string")
+    return placed.join(F.broadcast(files), path).select(*map(quoted, df.columns), (F.col(file) * _FILE_ROWS + F.col(at)).alias(name))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -229,4 +246,4 @@ def per_text(
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     at = keep.index(text) if text in keep else len(keep)
-    return df.select(*keep, *([] if text in keep else [text])).mapInArrow(tidy(run), schema)
+    return df.select(*map(quoted, keep), *([] if text in keep else [quoted(text)])).mapInArrow(tidy(run), schema)

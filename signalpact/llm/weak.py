@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalpact.llm.rules import STATS, text_stats
-from signalpact.llm.text import per_text, table, text_bytes
+from signalpact.llm.text import per_text, quoted, table, text_bytes
 from signalpact.session import cut_lineage
 
 #: Hashed dimensions of the linear scorer.
@@ -140,21 +140,23 @@ def train(features: np.ndarray, posterior: np.ndarray, steps: int = STEPS) -> tu
 
 def classify(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_at: float = KEEP_AT,
-    dims: int = DIMS, sample: int = SAMPLE,
+    dims: int = DIMS, sample: int = SAMPLE, added: tuple[str, str] = ("score", "kept"),
 ) -> DataFrame:
-    """Every row of ``docs`` with ``score`` and ``kept`` added.
+    """Every row of ``docs`` with ``score`` and ``kept`` (or the names ``added``) added.
 
-    The columns of ``docs`` stay; added names that clash with one of them (in any case) are an error.
+    The columns of ``docs`` stay; added names that clash with one of them (in any case) are an error, so a
+    caller who has such columns names others.
     A null or empty text has no words: it casts no votes and is never kept. Repeated rows are judged alike. An empty table gives no rows.
 
     Two passes over the texts: votes (counted per pattern, at most 3 ** labellers rows to the driver) and
     scores. The scorer is trained on ``sample`` documents at most.
     """
     taken = {c.lower() for c in docs.columns}
-    if taken & {"score", "kept"}:
-        raise ValueError("docs already has a column score or kept")
-    stamped = docs.select("*", F.xxhash64(F.col(id_col).cast("string"), text_col).alias("_key"))
-    context = docs.sparkSession.sparkContext.broadcast(fit(stamped, text_col, dims, sample))
+    if taken & {n.lower() for n in added}:
+        raise ValueError(f"docs already has a column {added[0]} or {added[1]}")
+    text = F.col(quoted(text_col))
+    stamped = docs.select(F.xxhash64(F.col(quoted(id_col)).cast("string"), text).alias("_key"), text.alias("text"))
+    context = docs.sparkSession.sparkContext.broadcast(fit(stamped, "text", dims, sample))
 
     def make():
         weights, offset = context.value
@@ -163,12 +165,11 @@ def classify(
             x = np.array([hashed_features(t, dims) for t in texts], np.float32).reshape(len(texts), dims)
             score = 1 / (1 + np.exp(-np.clip(x @ weights + offset, -30, 30).astype(np.float64)))
             words = [bool(text_bytes(t).split(None, 1)) for t in texts]
-            return {"score": score, "kept": [bool(w and s >= keep_at) for w, s in zip(words, score, strict=True)]}
+            return {added[0]: score, added[1]: [bool(w and s >= keep_at) for w, s in zip(words, score, strict=True)]}
 
         return work
 
-    out = docs.withColumn("_text", F.col(text_col))
-    return per_text(out, docs.columns, "_text", make, "score double, kept boolean")
+    return per_text(docs, docs.columns, text_col, make, f"{quoted(added[0])} double, {quoted(added[1])} boolean")
 
 
 def fit(stamped: DataFrame, text_col: str, dims: int, sample: int) -> tuple[np.ndarray, float]:

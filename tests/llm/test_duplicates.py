@@ -74,8 +74,7 @@ def test_near_edge_cases(spark):
     assert near.keep_first(df).count() == 4
     assert near.link(df.limit(0)).count() == 0 and near.keep_first(df.limit(0)).count() == 0
     assert near.link(df.where("text IS NULL")).count() == 2
-    with pytest.raises(ValueError):
-        near.keep_first(df.withColumn("RID", F.lit(1)))
+    assert near.keep_first(df.withColumn("RID", F.lit(1))).columns == ["doc_id", "text", "RID"]
 
 
 def test_registers_estimate_and_bands():
