@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalpact.llm import near, packing, pii, substrings, weak
-from signalpact.llm.text import table
-from signalpact.session import scratch_path
+from signalpact.llm.text import free_names, quoted, table
+from signalpact.session import cut_lineage
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -21,7 +21,8 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weak-label classifier keeps."""
-    return weak.classify(docs).where("kept").select(*docs.columns)
+    score, kept = free_names(docs, "score", "kept")
+    return weak.classify(docs, added=(score, kept)).where(F.col(kept)).select(*map(quoted, docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +61,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
-        path = scratch_path(spark, f"stage-{i}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = cut_lineage(stage(spark, docs, sf_dir), f"stage-{i}")
     return docs
