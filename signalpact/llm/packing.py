@@ -1,21 +1,24 @@
 """Best-fit packing of tokenised documents by a grouping genetic algorithm.
 
-Pieces are dealt into bounded shards. In every shard several islands evolve packings: crossover injects
-whole well-filled bins of one parent into the other, bins that hold a duplicate are dissolved, and the
-displaced pieces go where they fit best. After every epoch each island receives the elite of its
-neighbour. The poorly filled bins of all shards are then dealt and packed once more, so what a shard
+Pieces are dealt into bounded shards. Where best-fit decreasing needs no more bins than the tokens do, a
+shard is done. In every other shard several islands evolve packings of its poorly filled bins: crossover
+injects whole well-filled bins of one parent into the other, bins that hold a duplicate are dissolved, and
+the displaced pieces first replace pieces that fill a bin less and then go where they fit best. After every
+epoch each island receives the elite of its neighbour. The poorly filled bins of all shards are then dealt and packed once more, so what a shard
 leaves open does not add up.
 """
 
 from __future__ import annotations
 
+import copy
+import functools
 import json
 import os
 import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, combinations
 
 import numpy as np
 import pandas as pd
@@ -31,7 +34,11 @@ from signalpact.session import cut_lineage
 CAPACITY = 2048
 #: Pieces of a shard on average: what one task packs at once.
 SHARD = 4096
-ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2, 2, 3, 4
+ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2, 2, 8, 8
+#: Pieces that a search has to work with at least, where the poorly filled bins hold fewer.
+CORE = 256
+#: Items of a bin that a replacement considers, the largest first.
+SWAPPED = 6
 #: Bins at least this full are kept as they are; the others are packed again.
 GOOD = 0.995
 #: Words, and pieces of words, kept with their ids per Python worker.
@@ -172,6 +179,18 @@ class WordTokens:
                 yield ids[a:b].tobytes()
 
 
+@functools.lru_cache(maxsize=1)
+def _vocabulary(path: str) -> WordTokens:
+    return WordTokens(path)
+
+
+def word_tokens(path: str) -> WordTokens:
+    """The vocabulary, read once per Python worker, with tables of words that end with the task."""
+    tokens = copy.copy(_vocabulary(path))
+    tokens.words, tokens.pieces = {}, {}
+    return tokens
+
+
 def _byte_letters() -> list[str]:
     """The printable character that stands for each byte in a byte-level vocabulary."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -194,7 +213,7 @@ def cut_pieces(
     """
 
     def make():
-        tokens = WordTokens(path or default_path())
+        tokens = word_tokens(path or default_path())
 
         def work(texts: list) -> dict:
             out = []
@@ -258,6 +277,50 @@ def from_genes(lengths: np.ndarray, genes: np.ndarray, capacity: int) -> Packing
     return Packing(lengths, [b.tolist() for b in np.split(order, cuts)], capacity)
 
 
+def replace(lengths: np.ndarray, bins: list[list[int]], loose: list[int], capacity: int, rng: np.random.Generator) -> list[int]:
+    """Swap one or two items of a bin for one or two loose ones that fill it better; returns what is loose then.
+
+    Of all swaps of a bin the one that leaves least room is made. Few large items come into the bins and
+    small ones, which are easier to place, become loose.
+    """
+    if len(loose) < 2:
+        return loose
+    order = sorted(loose, key=lambda i: int(lengths[i]))
+    sizes = lengths[order]
+    for b in rng.permutation(len(bins)).tolist():
+        members = sorted(bins[b], key=lambda i: -int(lengths[i]))
+        slack = capacity - int(lengths[members].sum())
+        if not slack:
+            continue
+        some = members[:SWAPPED]
+        best, swap = 0, None
+        for out in chain(([i] for i in some), combinations(some, 2)):
+            old = int(lengths[list(out)].sum())
+            room = old + slack
+            one = int(np.searchsorted(sizes, room, "right")) - 1
+            if one < 0:
+                continue
+            if int(sizes[one]) - old > best:
+                best, swap = int(sizes[one]) - old, (out, (one,))
+            partner = np.searchsorted(sizes, room - sizes[:one + 1], "right") - 1
+            partner = np.minimum(partner, np.arange(one + 1) - 1)  # the smaller of both
+            fits = partner >= 0
+            both = np.where(fits, sizes[:one + 1] + sizes[partner], 0)
+            top = int(both.argmax())
+            if int(both[top]) - old > best:
+                best, swap = int(both[top]) - old, (out, (top, int(partner[top])))
+            if best == slack:
+                break
+        if swap:
+            out, chosen = swap
+            bins[b] = [i for i in bins[b] if i not in out] + [order[c] for c in chosen]
+            order = sorted([i for c, i in enumerate(order) if c not in chosen] + list(out), key=lambda i: int(lengths[i]))
+            sizes = lengths[order]
+            if not order:
+                break
+    return order
+
+
 def crossover(lengths: np.ndarray, one: Packing, other: Packing, capacity: int, rng: np.random.Generator) -> Packing:
     """Inject a random share of ``other``'s fullest bins into ``one`` and best-fit what is displaced."""
     take = max(1, int(len(other.bins) * rng.uniform(0.05, 0.5)))
@@ -272,44 +335,88 @@ def crossover(lengths: np.ndarray, one: Packing, other: Packing, capacity: int,
     poor = (one.fill < capacity * GOOD) & ~touched
     touched |= poor & (rng.random(len(poor)) < 0.8)
     bins = [list(b) for b in injected] + [list(b) for i, b in enumerate(one.bins) if not touched[i]]
+    displaced = np.array(replace(lengths, bins, np.flatnonzero(touched[owner] & ~inside).tolist(), capacity, rng), np.int64)
     fill = filling(lengths, bins)
     room = sorted((capacity - int(f), i) for i, f in enumerate(fill) if f < capacity)
-    displaced = np.flatnonzero(touched[owner] & ~inside)
     best_fit(lengths, displaced[np.argsort(-lengths[displaced], kind="stable")], bins, room, capacity)
     return Packing(lengths, bins, capacity)
 
 
-def first_generation(lengths: np.ndarray, capacity: int, size: int, rng: np.random.Generator) -> list[Packing]:
-    """Best-fit decreasing, and best-fit of blurred orders for the rest of the population.
+def least_bins(lengths: np.ndarray, capacity: int) -> int:
+    """Bins that the tokens need at least."""
+    return -(-int(lengths.sum()) // capacity)
 
-    If the first already needs no more bins than the tokens do, it is the whole population.
-    """
-    out = []
-    for k in range(size):
-        blurred = lengths * rng.uniform(0.9, 1.1, len(lengths)) if k else lengths
+
+def decreasing(lengths: np.ndarray, capacity: int) -> Packing:
+    """Best-fit decreasing."""
+    bins: list[list[int]] = []
+    best_fit(lengths, np.argsort(-lengths, kind="stable"), bins, [], capacity)
+    return Packing(lengths, bins, capacity)
+
+
+def poor_bins(packing: Packing, capacity: int) -> np.ndarray:
+    """Whether each bin is searched: the poorly filled ones, and the next ones up to CORE items; none at the bound."""
+    searched = np.zeros(len(packing.bins), bool)
+    if len(packing.bins) > -(-int(packing.fill.sum()) // capacity):
+        order = np.argsort(packing.fill, kind="stable")
+        sizes = np.fromiter((len(packing.bins[i]) for i in order), np.int64, len(order))
+        searched[order] = (packing.fill[order] < GOOD * capacity) | (np.cumsum(sizes) - sizes < CORE)
+    return searched
+
+
+def first_generation(lengths: np.ndarray, capacity: int, size: int, rng: np.random.Generator) -> list[Packing]:
+    """Best-fit decreasing, and best-fit of blurred orders for the rest of the population."""
+    out = [decreasing(lengths, capacity)]
+    for _ in range(1, size):
         bins: list[list[int]] = []
-        best_fit(lengths, np.argsort(-blurred, kind="stable"), bins, [], capacity)
+        best_fit(lengths, np.argsort(-lengths * rng.uniform(0.8, 1.2, len(lengths)), kind="stable"), bins, [], capacity)
         out.append(Packing(lengths, bins, capacity))
-        if len(out[0].bins) <= -(-int(lengths.sum()) // capacity):
-            break
     return out
 
 
 def evolve(
     lengths: np.ndarray, population: list[Packing], capacity: int, generations: int, rng: np.random.Generator,
-) -> list[Packing]:
-    """Steady-state generations; stops where the bins are as few as the tokens allow."""
-    least = -(-int(lengths.sum()) // capacity)
+) -> tuple[list[Packing], int]:
+    """The population after steady-state generations, and its crossovers; stops where the bins are as few as the tokens allow."""
+    least, size, crossovers = least_bins(lengths, capacity), len(population), 0
     population = sorted(population, key=lambda p: -p.fitness)
     for _ in range(generations):
-        if not len(lengths) or len(population[0].bins) <= least:
+        if len(population) < 2 or len(population[0].bins) <= least:
             break
-        for _ in range(len(population) // 2):
-            a, b = rng.choice(len(population), 2, replace=False) if len(population) > 1 else (0, 0)
+        for _ in range(size // 2):
+            a, b = rng.choice(len(population), 2, replace=False)
             population.append(crossover(lengths, population[min(a, b)], population[max(a, b)], capacity, rng))
-            population.append(crossover(lengths, population[max(a, b)], population[min(a, b)], capacity, rng))
-        population = sorted(population, key=lambda p: -p.fitness)[: len(population) - 2 * (len(population) // 4)]
-    return population
+            crossovers += 1
+        population = sorted(population, key=lambda p: -p.fitness)[:size]
+    return population, crossovers
+
+
+def search(
+    lengths: np.ndarray, elites: list[np.ndarray] | None, capacity: int, generations: int, size: int, rng: np.random.Generator,
+) -> tuple[list[np.ndarray], float, int]:
+    """One epoch of one island: bins of all items per individual, best first, its fitness, and the crossovers.
+
+    Well-filled bins of best-fit decreasing stay as they are; every epoch and island finds the same ones.
+    """
+    start = decreasing(lengths, capacity)
+    searched = poor_bins(start, capacity)
+    if not searched.any():
+        return [start.genes(len(lengths))], start.fitness, 0
+    owner = start.genes(len(lengths))
+    core = np.flatnonzero(searched[owner])
+    fixed = (np.cumsum(~searched) - 1)[owner].astype(np.int32)
+    some = lengths[core]
+    if elites is None:
+        population = first_generation(some, capacity, size, rng)
+    else:
+        population = [from_genes(some, g[core], capacity) for g in elites]
+    population, crossovers = evolve(some, population, capacity, generations, rng)
+    out = []
+    for p in population:
+        genes = fixed.copy()
+        genes[core] = p.genes(len(some)) + int((~searched).sum())
+        out.append(genes)
+    return out, population[0].fitness, crossovers
 
 
 def _pack_shards(
@@ -327,14 +434,11 @@ def _pack_shards(
                 for row in batch.itertuples(index=False):
                     lengths = np.asarray(row.lengths, np.int64)
                     rng = np.random.default_rng([int(row.shard) & 0x7FFFFFFF, int(row.island), number])
-                    if number:
-                        have = [from_genes(lengths, np.frombuffer(g, np.int32), capacity) for g in row.elites]
-                    else:
-                        have = first_generation(lengths, capacity, population, rng)
-                    have = evolve(lengths, have, capacity, generations, rng)
+                    elites = [np.frombuffer(g, np.int32) for g in row.elites] if number else None
+                    have, fitness, _ = search(lengths, elites, capacity, generations, population, rng)
                     yield pd.DataFrame({
                         "shard": [row.shard], "island": [row.island], "rids": [row.rids], "lengths": [row.lengths],
-                        "elites": [[p.genes(len(lengths)).tobytes() for p in have]], "fitness": [have[0].fitness]})
+                        "elites": [[g.tobytes() for g in have]], "fitness": [fitness]})
         return run
 
     state = items.repartition(F.col("shard"), F.col("island")).mapInPandas(epoch(0), fields)

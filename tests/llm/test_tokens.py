@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
@@ -109,13 +110,45 @@ def test_crossover_keeps_every_item():
     rng = np.random.default_rng(1)
     lengths = rng.integers(1, 100, 300)
     population = packing.first_generation(lengths, 100, 4, rng)
-    best = packing.evolve(lengths, population, 100, 6, rng)
+    best, _ = packing.evolve(lengths, population, 100, 6, rng)
     for p in best:
         assert sorted(i for b in p.bins for i in b) == list(range(300)) and p.fill.max() <= 100
     assert best[0].fitness >= max(p.fitness for p in population[:1])
     assert packing.from_genes(lengths, best[0].genes(300), 100).fitness == best[0].fitness
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_islands_beat_best_fit(seed):
+    lengths = np.random.default_rng(seed).integers(400, 801, 1000)
+    least, start = packing.least_bins(lengths, 2048), packing.decreasing(lengths, 2048)
+    assert len(start.bins) > least
+    rng = lambda *at: np.random.default_rng([seed, *at])
+    first = [packing.search(lengths, None, 2048, 8, 8, rng(i, 0)) for i in range(2)]
+    then = [packing.search(lengths, first[i][0] + first[1 - i][0][:1], 2048, 8, 8, rng(i, 1)) for i in range(2)]
+    count = lambda found: min(int(genes[0].max()) + 1 for genes, _, _ in found)
+    assert least <= count(then) < count(first) < len(start.bins)
+    assert all(crossovers > 0 for _, _, crossovers in first + then)
+    for genes, _, _ in first + then:
+        for g in genes:
+            assert len(g) == 1000 and np.bincount(g, lengths).max() <= 2048 and np.bincount(g).min() > 0
+    again = packing.search(lengths, None, 2048, 8, 8, rng(0, 0))
+    assert all((a == b).all() for a, b in zip(again[0], first[0][0], strict=True))
+
+
+def test_islands_decide_in_the_frame(spark):
+    lengths = np.random.default_rng(7).integers(400, 801, 1500)
+    rows = spark.createDataFrame([(i, int(n)) for i, n in enumerate(lengths)], "doc_id long, length long")
+    got = packing.pack(rows).collect()
+    assert len(got) == 1500 and check_packing(got, 2048) < len(packing.decreasing(lengths, 2048).bins)
+
+
+def test_search_leaves_good_bins_alone():
+    lengths = np.concatenate([np.full(600, 1024), np.random.default_rng(4).integers(690, 1000, 301)])
+    genes, _, crossovers = packing.search(lengths, None, 2048, 4, 6, np.random.default_rng(4))
+    assert crossovers >= 0 and np.bincount(genes[0], lengths).max() <= 2048
+    assert int(genes[0].max()) + 1 <= len(packing.decreasing(lengths, 2048).bins)
+
+
 def test_shards(spark):
     docs = frame(spark, TEXTS).withColumn("shard", F.lit("x"))
     got = sharding.assign_shards(docs, [1.0] * 8).collect()
