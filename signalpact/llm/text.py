@@ -246,4 +246,5 @@ def per_text(
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     at = keep.index(text) if text in keep else len(keep)
-    return df.select(*map(quoted, keep), *([] if text in keep else [quoted(text)])).mapInArrow(tidy(run), schema)
+    read = [*keep, *([] if text in keep else [text])]  # by place: names may hold dots, which mapInArrow can't resolve
+    return df.select(*(F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(read))).mapInArrow(tidy(run), schema)

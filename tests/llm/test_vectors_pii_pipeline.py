@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from signalpact.llm import pii, vafile
 from signalpact.llm.registry import ORACLE, QUERIES
+from signalpact.session import scratch_path
 from tests.oracle_check import compare
 
 SF = "/root/testdata/sf0.001"
@@ -148,7 +149,7 @@ def test_pipeline_stages(spark):
     columns, before = docs.columns, docs
     for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
         after = stage(spark, before, SF)
-        path = corpus_pipeline.scratch_path(spark, "pipeline-test")
+        path = scratch_path(spark, "pipeline-test")
         after.write.parquet(path)
         after = spark.read.parquet(path)
         ids_before, ids_after = ({r.doc_id for r in d.select("doc_id").collect()} for d in (before, after))
@@ -164,6 +165,21 @@ def test_pipeline_stages(spark):
     assert sum(r.length for r in after.collect()) >= len(texts)
 
 
+def test_stages_keep_columns_of_any_name(spark):
+    names = ["id", "rid", "score", "kept", "_text", "_key", "_path", "_at", "_file", "_rid", "_both", "_ranges", "_clean", "_spans",
+             "Label", "a.b", "component"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60")
+    docs = docs.select("*", *(F.concat(F.lit(n), F.col("doc_id").cast("string")).alias(n) for n in names))
+    path = scratch_path(spark, "names")
+    docs.write.parquet(path)
+    docs = spark.read.parquet(path)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, SF)
+        assert after.columns == docs.columns
+        rows = after.select("doc_id", *(F.col(f"`{n}`") for n in names)).collect()
+        assert rows and all(tuple(r)[1:] == tuple(f"{n}{r.doc_id}" for n in names) for r in rows)
+
+
 def test_pipeline_run(spark):
     first, second = (corpus_pipeline.run(spark, SF) for _ in range(2))
     assert first.count() == second.count() > 0
