@@ -156,7 +156,7 @@ class WordTokens:
         yield from zip(words, [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True)
 
     def encode(self, texts: list) -> Iterator[bytes]:
-        for part in slices(texts, 1 << 23):
+        for part in slices(texts, 1 << 22):
             rows = [b"" if not t else t.encode() if not t.isascii() and _HIGH.search(t) else t.lower().encode() for t in texts[part]]
             data = b"\n".join(rows)
             hashes, starts, ends = word_table(data)
