@@ -161,6 +161,13 @@ def errors_of(v: Value, row: str) -> str:
     )
 
 
+def absent_errors(rows: str) -> str:
+    """Errors per check of an array of checks held as data where the value is absent; NULL if all pass."""
+    missing = _rules(Value(str(ABSENT), "''", "0"), data_spec("c"))["required"][1]
+    found = f"filter(transform({rows}, c -> CASE WHEN c.required THEN array({missing}) END), e -> e IS NOT NULL)"
+    return f"nullif({found}, cast(array() AS array<array<{ERROR_DDL}>>))"
+
+
 def literal_spec(check) -> Spec:
     """Spec of one constraint row with its bounds as literals."""
     def lit(value, wrap=str):

@@ -9,6 +9,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, functions as F
 
+from signalpact.functions.checks import absent_errors
 from signalpact.functions.paths import quotable
 from signalpact.model import PLAN_KEYS, Contract, local_table
 from signalpact.operators.resolve import CHECK_FIELDS, constraint_table, resolve_properties, unusable
@@ -26,10 +27,10 @@ class CompiledContract:
 
     ``checks`` holds the distinct checks when they are few: they become literal expressions and an
     event only carries a bit mask of those it wants. Otherwise it is None and every event carries
-    its checks as a map from property to structs.
+    its checks as a map from property to structs, beside the errors of an absent value.
     """
 
-    rules: DataFrame                # __event, __broken, then __mask_0.. or __checks (property -> its checks)
+    rules: DataFrame                # __event, __broken, then __mask_0.. or __checks (property -> its checks and the errors without a value)
     identity_keys: tuple[str, ...]
     checks: tuple[Any, ...] | None
     levels: int                     # most dotted segments below a root in any property name
@@ -84,10 +85,11 @@ def compile_contract(
     else:
         checks = None
         by_property = table.groupBy("event", "property").agg(
-            F.min("__why").alias("__why"), F.array_sort(F.collect_list(F.struct(*CHECK_FIELDS))).alias("checks"))
+            F.min("__why").alias("__why"), F.array_sort(F.collect_list(F.struct(*CHECK_FIELDS))).alias("checks")
+        ).select("*", F.expr(absent_errors("checks")).alias("absent"))
         grouped = by_property.groupBy("event").agg(
             F.min("__why").alias("__broken"),
-            F.map_from_entries(F.array_sort(F.collect_list(F.struct("property", "checks")))).alias("__checks"),
+            F.map_from_entries(F.array_sort(F.collect_list(F.struct("property", F.struct("checks", "absent").alias("rules"))))).alias("__checks"),
         )
 
     events = contract.events.select("event").distinct()

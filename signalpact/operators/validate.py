@@ -53,6 +53,8 @@ def validate(
     )
     dropped = (TEXTS,) if compiled.checks is None else (TEXTS, DOC, ODD)
     gated = opened.selectExpr(*[name(c) for c in opened.columns if c not in dropped], f"{_identity_ok(compiled, wanted, identity_gate)} AS __identified")
+    if compiled.checks is None:     # before the join: every step after it would copy the rules of the event
+        gated = _with_leaves(gated, compiled, text, wanted)
     joined = _join_rules(gated, compiled, payload)
     active = "(NOT __deep AND __identified AND __event IS NOT NULL AND __broken IS NULL)"
     check = _check_as_data if compiled.checks is None else _check_as_code
@@ -183,19 +185,13 @@ def _check_as_code(
     return filled.selectExpr(*base, "__any", f"coalesce(array_compact(__slots), {NO_ERRORS}) AS __failed")
 
 
-def _check_as_data(
-    df: DataFrame, compiled: CompiledContract, text: str, wanted: dict[str, int], active: str,
-    with_errors: bool,
-) -> DataFrame:
-    """Many distinct checks: flatten the event as deep as any property name and meet its rules by key.
-
-    Checks and leaves are two maps by property, zipped through a hash table inside the row: the work
-    grows with their number, not with the product.
-    """
-    base = [name(c) for c in df.columns if c != DOC]
+def _with_leaves(df: DataFrame, compiled: CompiledContract, text: str, wanted: dict[str, int]) -> DataFrame:
+    """Add ``__leaves``, the values of the event by property: flattened as deep as any property name."""
+    base = [name(c) for c in df.columns if c not in (DOC, ODD)]
+    read = "(NOT __deep AND __identified)"
     # One level more than any property name has, so that no unopened object bears a property's name.
     counted = df.selectExpr("*", f"least({fl.brace_count(text)}, {compiled.levels + 1}) AS __levels")
-    entries = fl.add_entries(counted, text, DOC, ROOTS, "__levels", active)
+    entries = fl.add_entries(counted, text, DOC, ROOTS, "__levels", read)
 
     def leaf(key: str, tag: str, own: str, held: str, text: str) -> str:
         return f"named_struct('key', {key}, 'leaf', named_struct('tag', {tag}, 'own', {own}, 'held', {held}, 'text', {text}))"
@@ -205,14 +201,27 @@ def _check_as_data(
     flat = f"concat({', '.join(f'coalesce(__flat_{r}, array())' for r in ROOTS)})"
     leaves = f"transform({flat}, e -> {leaf('e.key', 'e.tag', none, 'e.value', "try_variant_get(e.value, '$', 'string')")})"
     every = f"concat(filter(array({own}), e -> e.leaf.own IS NOT NULL), {leaves})" if own else leaves
-    met = entries.selectExpr(*base, f"CASE WHEN {active} THEN map_from_entries({every}) END AS __leaves")
+    return entries.selectExpr(*base, f"CASE WHEN {read} THEN map_from_entries({every}) END AS __leaves")
+
+
+def _check_as_data(
+    df: DataFrame, compiled: CompiledContract, text: str, wanted: dict[str, int], active: str,
+    with_errors: bool,
+) -> DataFrame:
+    """Many distinct checks: the event's leaves meet its rules by key.
+
+    Checks and leaves are two maps by property, zipped through a hash table inside the row: the work
+    grows with their number, not with the product. The errors of absent values stand in the rules.
+    """
+    base = [name(c) for c in df.columns if c not in ("__leaves", "__checks")]
     typed = f"""named_struct(
         'kind', CASE WHEN v.own IS NOT NULL THEN {STRING} ELSE {kind_of('v.tag', 'v.held')} END,
-        'text', coalesce(v.own, v.text), 'number', try_cast(v.text AS double))"""
+        'text', coalesce(v.own, v.text),
+        'number', CASE WHEN v.tag IN ('BIGINT', 'DOUBLE') OR startswith(v.tag, 'DECIMAL') THEN try_cast(v.text AS double) END)"""
     value = Value("x.kind", "x.text", "x.number")
-    each = f"flatten(transform(array({typed}), x -> array_compact(transform(cs, c -> {errors_of(value, 'c')}))))"
-    checked = met.selectExpr(*base, f"""
-        map_zip_with(__checks, __leaves, (k, cs, v) -> CASE WHEN cs IS NOT NULL THEN {each} END) AS __found""")
+    each = f"flatten(transform(array({typed}), x -> array_compact(transform(cs.checks, c -> {errors_of(value, 'c')}))))"
+    checked = df.selectExpr(*base, f"""CASE WHEN {active} THEN map_zip_with(
+        __checks, __leaves, (k, cs, v) -> CASE WHEN v IS NULL THEN cs.absent WHEN cs IS NOT NULL THEN {each} END) END AS __found""")
     failed = checked.selectExpr(
         *base, f"coalesce(flatten(flatten(array_compact(map_values(__found)))), {NO_ERRORS}) AS __failed")
     return failed.selectExpr("*", "size(__failed) > 0 AS __any")
