@@ -9,7 +9,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
 
-from signalpact.functions.paths import json_path, name, quotable, quoted, root_object
+from signalpact.functions.paths import ODD, json_path, name, quotable, quoted, root_object
 from signalpact.model import MAX_DEPTH
 
 # An overflow needs the document, the root object and MAX_DEPTH + 1 objects below it.
@@ -26,10 +26,6 @@ def brace_count(payload: str) -> str:
     return f"(length({payload}) - length(translate({payload}, '{{', '')))"
 
 
-def _rounds(levels: str) -> str:
-    return f"sequence(1, greatest(least({levels}, {ALL_LEVELS}), 1))"
-
-
 def _entry(key: str, value: str, depth: str, text: str | None = None) -> str:
     """An entry with the schema tag of its value; only an object's starts with OBJECT<."""
     known = f", 'text', {text}" if text else ""
@@ -43,14 +39,22 @@ _OPEN = "startswith(e.tag, 'OBJECT')"
 def _members(value: str, key: str, depth: str) -> str:
     """Entries of the members of a VARIANT object, NULL if it is none."""
     return (f"transform(map_entries(try_variant_get({value}, '$', 'map<string,variant>')), c -> "
-            f"{_entry(f"concat({key}, '.', c.key)", 'c.value', depth)})")
+            f"{_entry(f"concat_ws('.', {key}, c.key)", 'c.value', depth)})")
+
+
+def _given(variable: str, value: str, body: str) -> str:
+    """``body`` with a variable that is computed once."""
+    return f"get(transform(array({value}), {variable} -> {body}), 0)"
 
 
 def _text_members(text: str, key: str, depth: str) -> str:
     """The same read from the object's text: in document order and with repeated keys, as a map that comes
-    from JSON keeps every member it was given."""
-    return (f"zip_with(map_entries(from_json({text}, 'map<string,variant>')), map_values(from_json({text}, 'map<string,string>')), "
-            f"(t, s) -> {_entry(f"concat({key}, '.', t.key)", 't.value', depth, 's')})")
+    from JSON keeps every member it was given. Only objects that hold objects are read as text too."""
+    at = f"concat_ws('.', {key}, t.key)"
+    return _given("o", text, _given("m", "from_json(o, 'map<string,variant>')", (
+        f"CASE WHEN exists(map_values(m), v -> {is_object('v')}) "
+        f"THEN zip_with(map_entries(m), map_values(from_json(o, 'map<string,string>')), (t, s) -> {_entry(at, 't.value', depth, 's')}) "
+        f"ELSE transform(map_entries(m), t -> {_entry(at, 't.value', depth, 'cast(NULL AS string)')}) END")))
 
 
 def _opened(first: str, below: str, levels: str, text: bool = False) -> str:
@@ -62,27 +66,36 @@ def _opened(first: str, below: str, levels: str, text: bool = False) -> str:
             f"(acc, i) -> CASE WHEN exists(acc, e -> {_OPEN}) THEN {step} ELSE acc END)")
 
 
-def expand_objects(root: str, value: str, levels: str) -> str:
-    """Entries (key, value, depth) of a VARIANT after opening objects ``levels`` times; arrays stay whole.
+def _marks(value: str) -> str:
+    """Opening and closing marks (``<``, ``>``) of the objects of a VARIANT outside of arrays.
 
-    A root that is missing or no object gives no entry. Used for the depth test only: of repeated keys
-    a VARIANT has the last.
+    They stand in its schema; where that has arrays, those are taken out of its text, innermost first.
     """
-    opened = (
-        "flatten(transform(acc, e -> coalesce("
-        "transform(map_entries(try_variant_get(e.value, '$', 'map<string,variant>')), c -> "
-        "named_struct('key', concat(e.key, '.', c.key), 'value', c.value, 'depth', e.depth + 1)), "
-        "array(e))))"
-    )
-    start = f"array(named_struct('key', {quoted(root)}, 'value', {value}, 'depth', -1))"
-    return f"filter(aggregate({_rounds(levels)}, {start}, (acc, i) -> {opened}), e -> e.depth >= 0)"
+    names = f"regexp_replace(s, '`[^`]*`', '')"
+    plain = f"replace(replace(to_json({value}), {quoted(chr(92) * 2)}, ''), {quoted(chr(92) + chr(34))}, '')"
+    marks = f"""regexp_replace(regexp_replace({plain}, '"[^"]*"', ''), {quoted(r'[^{}\[\]]+')}, '')"""
+    arrays = "length(j) - length(replace(j, '[', ''))"
+    inner = quoted(r"\[[{}]*\]")
+    bare = f"aggregate(sequence(0, {arrays}), j, (a, i) -> CASE WHEN contains(a, '[') THEN regexp_replace(a, {inner}, '') ELSE a END)"
+    return _given("s", f"schema_of_variant({value})", (
+        f"CASE WHEN contains(s, 'ARRAY<') THEN {_given('j', marks, f"translate({bare}, '{{}}', '<>')")} "
+        f"ELSE regexp_replace({names}, '[^<>]+', '') END"))
+
+
+def nests_deeper(value: str, levels: str) -> str:
+    """Whether objects are left in a VARIANT after taking away the innermost ones ``levels`` times.
+
+    Arrays are leaves. Of repeated keys a VARIANT has the last.
+    """
+    return f"aggregate(sequence(1, {levels}), {_marks(value)}, (m, i) -> replace(m, '<>', '')) <> ''"
 
 
 def keep_last(entries: str) -> str:
-    """One entry per key, the last one given."""
+    """One entry per key, the last one given. ``entries`` must be a column: it is read once per key."""
+    keys = f"array_distinct(transform({entries}, e -> e.key))"
     return (
-        f"transform(array_distinct(transform({entries}, e -> e.key)), "
-        f"k -> element_at(filter({entries}, e -> e.key = k), -1))"
+        f"CASE WHEN size({keys}) = size({entries}) THEN {entries} "
+        f"ELSE transform({keys}, k -> element_at(filter({entries}, e -> e.key = k), -1)) END"
     )
 
 
@@ -96,38 +109,42 @@ def _written(payload: str) -> str:
     return f"CASE WHEN NOT ({loose}) THEN {_count(payload, chr(34) + ':')} END"
 
 
-def _held(entries: str) -> str:
-    """Members among some entries: they, the objects opened, and those of objects in arrays."""
-    nested = f"filter({entries}, e -> startswith(e.tag, 'ARRAY<OBJECT') OR startswith(e.tag, 'ARRAY<VARIANT'))"
-    inside = _count("to_json(e.value)", chr(34) + ":")
-    return f"coalesce(size({entries}) + aggregate({nested}, 0, (n, e) -> n + cast({inside} AS int)), 0)"
+def _lost(payload: str, doc: str, schema: str) -> str:
+    """Members that the text shows and the parsed document lacks, repeated names of the root aside.
+
+    The schema of a document names each member once, unless objects in arrays share one or names are quoted.
+    """
+    keys = f"json_object_keys({payload})"
+    known = f"CASE WHEN {ODD} THEN size({keys}) - size(array_distinct({keys})) ELSE 0 END"
+    shared = " OR ".join(f"contains({schema}, {quoted(x)})" for x in ("ARRAY<OBJECT", "ARRAY<VARIANT", "`"))
+    held = f"CASE WHEN {shared} THEN {_count(f'to_json({doc})', chr(34) + ':')} ELSE {_count(schema, ': ')} END"
+    return f"{_written(payload)} - {held} - {known}"
 
 
 def add_entries(df: DataFrame, text: str, doc: str, roots: Iterable[str], levels: str, when: str) -> DataFrame:
     """Add ``__flat_<root>``: flat entries (key, value, depth, tag) below each root, one per key, arrays whole.
 
-    A parsed document keeps the last of repeated keys only. So its members are counted against the names
-    in the text, and where the text shows any more the roots are read from it: objects of one name all
-    count, of leaves with one flat key the last, of repeated roots the first. (Texts whose names can't be
-    counted, or with further root objects, count as such: nothing but time is lost.) Done in steps of one
-    column each, as lambdas would evaluate a shared input once per use.
+    A parsed document keeps the last of repeated keys only. So its names are counted against those in the
+    text, and where the text shows any more the roots are read from it: objects of one name all count, of
+    leaves with one flat key the last, of repeated roots the first. (Texts whose names can't be counted
+    count as such: nothing but time is lost.) Done in steps of one column each, as lambdas would evaluate
+    a shared input once per use.
     """
     base = [name(c) for c in df.columns]
-    first = df.selectExpr(*base, *[
+    first = df.selectExpr(*base, f"schema_of_variant({doc}) AS __schema").selectExpr(*base, *[
         f"CASE WHEN {when} THEN {_members(root_object(text, doc, r), quoted(r), '0')} END AS __first_{r}" for r in roots],
-        f"{_written(text)} - size(json_object_keys({text})) AS __written")
+        f"{when} AND coalesce({_lost(text, doc, "__schema")} <> 0, true) AS __more")
     below = _members("e.value", "e.key", "e.depth + 1")
-    opened = first.selectExpr(*base, "__written", *[
-        f"CASE WHEN exists(__first_{r}, e -> {_OPEN}) THEN {_opened(f'__first_{r}', below, levels)} ELSE __first_{r} END AS __open_{r}" for r in roots])
-    every = " + ".join(_held(f"__open_{r}") for r in roots)
-    told = opened.selectExpr(*base, *[f"{leaves_of(f'__open_{r}')} AS __open_{r}" for r in roots],
-                             f"{when} AND coalesce(__written <> {every}, true) AS __more")
+    opened = first.selectExpr(*base, "__more", *[
+        f"CASE WHEN NOT __more THEN {leaves_of(f'CASE WHEN exists(__first_{r}, e -> {_OPEN}) THEN {_opened(f"__first_{r}", below, levels)} ELSE __first_{r} END')} "
+        f"END AS __open_{r}" for r in roots])
     keys = "transform(__open_{0}, e -> e.key)"
+    told = opened.selectExpr(*base, *[f"__open_{r}" for r in roots], *[
+        f"CASE WHEN __more OR size(array_distinct({keys.format(r)})) <> size(__open_{r}) "
+        f"THEN coalesce({leaves_of(all_entries(text, r, levels))}, {_NONE}) END AS __told_{r}" for r in roots])
     return told.selectExpr(*base, *[
-        f"CASE WHEN {when} THEN coalesce(CASE WHEN __more OR size(array_distinct({keys.format(r)})) <> size(__open_{r}) "
-        f"THEN {keep_last(leaves_of(all_entries(text, r, levels)))} ELSE __open_{r} END, {_NONE}) END AS __flat_{r}"
-        for r in roots
-    ])
+        f"CASE WHEN {when} THEN coalesce(CASE WHEN __told_{r} IS NOT NULL THEN {keep_last(f'__told_{r}')} ELSE __open_{r} END, {_NONE}) "
+        f"END AS __flat_{r}" for r in roots])
 
 
 _NONE = "cast(array() AS array<struct<key:string,value:variant,depth:int,tag:string>>)"
@@ -190,10 +207,10 @@ def text_overflows(payload: str) -> str:
 def too_deep(payload: str, doc: str, roots: Iterable[str]) -> str:
     """Whether any root object nests deeper than permitted; nearly free for ordinary documents.
 
-    Opening all permitted levels must leave no object behind.
+    Taking away all permitted levels must leave no object behind.
     """
     left = " OR ".join(
-        f"exists({expand_objects(r, root_object(payload, doc, r), ALL_LEVELS)}, e -> {is_object('e.value')})" for r in roots
+        f"coalesce({nests_deeper(root_object(payload, doc, r), ALL_LEVELS)}, false)" for r in roots
     )
     return (
         f"coalesce(octet_length({payload}) >= {OVERFLOW_BYTES} AND {brace_count(payload)} >= {OVERFLOW_BRACES} "

@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Parts per core of an input that is spread.
+PARTS_PER_CORE = 4
 _DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -55,10 +57,11 @@ def scratch_path(spark: SparkSession, purpose: str) -> str:
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores on an input with fewer partitions than cores (one small file, one row group).
 
+    Small files can hold many rows, so a core gets several parts: the longest task is a fraction of its work.
     Inputs of any size worth distributing have more partitions than that and stay unshuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(PARTS_PER_CORE * cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def cut_lineage(df: DataFrame, purpose: str) -> DataFrame:

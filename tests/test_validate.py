@@ -292,3 +292,49 @@ def test_rules_without_properties_count_for_the_broadcast(spark):
     rows = spark.createDataFrame([('{"event":"e7","userId":"u"}',), ('{"event":"x","userId":"u"}',)], "payload string")
     got = validate(rows, compile_contract(bare, broadcast_bytes=0)).select("event", "status").collect()
     assert sorted(map(tuple, got)) == [("e7", "valid"), ("x", "error")]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_other_roots_leave_a_document_parsed(spark):
+    """Members of a root that isn't asked for are no lost ones, so decimals stay decimals."""
+    text = '{"event":"E","properties":{"a":{"b":1.25},"l":[{"x":1},{"x":2,"y":3}]},"context":{"ip":"i","odd name: ":{"z":1}}}'
+    leaves = norm.flatten_events(spark.createDataFrame([(1, text)], "event_id long, payload string"))
+    got = {r["key"]: r["tag"] for r in leaves.selectExpr("key", "schema_of_variant(value) AS tag").collect()}
+    assert got == {"properties.a.b": "DECIMAL(3,2)", "properties.l": "ARRAY<OBJECT<x: BIGINT, y: BIGINT>>"}
+
+
+def test_repeated_keys_are_read_from_the_text_once(spark):
+    text = '{"properties":{"a":{"b":1},"p":1,"a":{"c":{"d":2}},"p":2,"q":[{"a":1,"a":2}]},"context":{"x":1}}'
+    leaves = norm.flatten_events(spark.createDataFrame([(1, text)], "event_id long, payload string"))
+    assert {r["key"]: r["v"] for r in leaves.selectExpr("key", "to_json(value) AS v").collect() if r["key"] != "properties.q"} == {
+        "properties.a.b": "1", "properties.a.c.d": "2", "properties.p": "2"}
+    reading = [line for line in plan_of(leaves).splitlines() if "from_json" in line]
+    assert [line.count("get_json_object(payload") for line in reading] == [1]
+
+
+@pytest.mark.parametrize("levels, deep", [(101, False), (102, True), (103, True)])
+def test_depth_looks_past_arrays_and_quoted_marks(spark, levels, deep):
+    """Only objects outside arrays count, whatever names and texts hold."""
+    pad = '"p":"' + "x{" * 110 + '",'
+    plain, held = nest(levels), nest(levels, '{"`<>":"}\\\\\\"}","[":[[{"c":{"e":1}},"]"],[]]}')
+    inside = '{"a":[' + nest(levels + 5) + "]}"
+    docs = [(0, f'{{"properties":{plain},{pad}"q":1}}'), (1, f'{{"context":{held},{pad}"q":1}}'), (2, f'{{"properties":{inside}}}')]
+    guarded = norm.depth_guard(spark.createDataFrame(docs, "event_id long, payload string"))
+    assert {r["event_id"]: r["too_deep"] for r in guarded.collect()} == {0: deep, 1: levels + 1 >= 102, 2: False}
+    assert "map_entries" not in plan_of(guarded)    # levels are taken off the marks, not opened as documents
+
+
+def test_rules_held_as_data_pass_one_step(spark):
+    """Events are flattened before they meet their rules, and errors of absent values are found beforehand."""
+    checks = {f"properties.p{i}": {"type": "string", "required": i % 2 == 0} for i in range(6)}
+    compiled = compile_contract(contract_from_dict(spark, {"taxonomy": {"events": {"E": {"properties": checks}}}}), 0)
+    rules = compiled.rules.selectExpr("explode(__checks)").selectExpr("key", "size(coalesce(value.absent, array())) AS n")
+    assert {r["key"]: r["n"] for r in rules.collect()} == {p: int(c["required"]) for p, c in checks.items()}
+    rows = spark.createDataFrame([(1, '{"event":"E","properties":{"p1":"a","p2":3,"p4":"b"}}')], "event_id long, payload string")
+    checked = validate(rows, compiled, identity_gate=False)
+    assert [(e["property"], e["rule"]) for e in checked.first()["errors"]] == [("properties.p0", "required"), ("properties.p2", "type")]
+    plan = plan_of(checked)
+    assert "__first_properties" not in plan[:plan.index("Join")]
