@@ -42,7 +42,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 2048 tokens with their sequence and place."""
-    return packing.pack(packing.cut_pieces(docs))
+    # The executors of the stages before keep what they hold, so texts are looked up in smaller parts here.
+    return packing.pack(packing.cut_pieces(docs, at_once=packing.AT_ONCE // 2, cache=60_000))
 
 
 STAGES = [

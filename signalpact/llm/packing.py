@@ -43,6 +43,8 @@ SWAPPED = 6
 GOOD = 0.995
 #: Words, and pieces of words, kept with their ids per Python worker.
 CACHE = 100_000
+#: Characters of text whose words are looked up at once.
+AT_ONCE = 1 << 22
 #: Bytes of a piece that is merged beside others.
 SHORT = 32
 _HIGH = re.compile("[\u0300-\U0010ffff]")
@@ -74,6 +76,7 @@ class WordTokens:
         width = max(vocab.values()) + 1
         self.merged = np.array([vocab[a + b] for a, b in model["merges"]], np.int32)
         self.table = PairTable({vocab[a] * width + vocab[b]: i for i, (a, b) in enumerate(model["merges"])}, width)
+        self.at_once, self.cache = AT_ONCE, CACHE
         self.words: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
@@ -145,7 +148,7 @@ class WordTokens:
         split = self.split(text.lower() + "\n")  # a piece per part of a word, a line end after each word
         here = set(split)
         fresh = list(here.difference(self.pieces))
-        if len(self.pieces) + len(fresh) > CACHE:
+        if len(self.pieces) + len(fresh) > self.cache:
             self.pieces = {p: self.pieces[p] for p in here.intersection(self.pieces)}
         self.pieces["\n"] = b""
         self.pieces.update(self._encode_pieces([p for p in fresh if p != "\n"]))
@@ -156,7 +159,7 @@ class WordTokens:
         yield from zip(words, [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True)
 
     def encode(self, texts: list) -> Iterator[bytes]:
-        for part in slices(texts, 1 << 22):
+        for part in slices(texts, self.at_once):
             rows = [b"" if not t else t.encode() if not t.isascii() and _HIGH.search(t) else t.lower().encode() for t in texts[part]]
             data = b"\n".join(rows)
             hashes, starts, ends = word_table(data)
@@ -164,7 +167,7 @@ class WordTokens:
             words = [data[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
             fresh = [w for w in words if w not in self.words]
             if fresh:
-                if len(self.words) + len(fresh) > CACHE:
+                if len(self.words) + len(fresh) > self.cache:
                     self.words = {w: self.words[w] for w in words if w in self.words}
                 self.words.update(self._encode_words(fresh))
             values = list(map(self.words.__getitem__, words))
@@ -184,9 +187,10 @@ def _vocabulary(path: str) -> WordTokens:
     return WordTokens(path)
 
 
-def word_tokens(path: str) -> WordTokens:
+def word_tokens(path: str, at_once: int = AT_ONCE, cache: int = CACHE) -> WordTokens:
     """The vocabulary, read once per Python worker, with tables of words that end with the task."""
     tokens = copy.copy(_vocabulary(path))
+    tokens.at_once, tokens.cache = at_once, cache
     tokens.words, tokens.pieces = {}, {}
     return tokens
 
@@ -206,14 +210,16 @@ def default_path() -> str:
 
 def cut_pieces(
     docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", path: str | None = None,
+    at_once: int = AT_ONCE, cache: int = CACHE,
 ) -> DataFrame:
     """Tokenise whole texts, close each with id 0 and cut those longer than ``capacity``.
 
     Returns (id, piece, start, length, ids_crc32). A null text is empty and has one piece of one id.
+    ``at_once`` (characters) and ``cache`` (words) bound a worker's memory against its time, not the result.
     """
 
     def make():
-        tokens = word_tokens(path or default_path())
+        tokens = word_tokens(path or default_path(), at_once, cache)
 
         def work(texts: list) -> dict:
             out = []
@@ -227,7 +233,7 @@ def cut_pieces(
         return work
 
     cut = per_text(docs, [id_col], text_col, make, "pieces array<struct<start: long, length: long, ids_crc32: long>>",
-                   rows=2048)
+                   rows=max(1, at_once >> 11))
     return cut.select(id_col, F.posexplode("pieces").alias("piece", "p")).select(id_col, "piece", "p.*")
 
 

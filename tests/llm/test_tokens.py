@@ -172,3 +172,10 @@ def test_shard_weights_and_hot_rows(spark):
     hot = spark.range(250_001).select(F.lit(5).cast("long").alias("doc_id"), F.lit("t").alias("text"))
     got = sharding.assign_shards(hot, [1.0] * 3).agg(F.min("slot"), F.max("slot"), F.count_distinct("slot"), F.count_distinct("shard")).first()
     assert tuple(got) == (0, 250_000, 250_001, 1)
+
+
+def test_small_parts_of_text_give_the_same_pieces(spark):
+    rows = [(i, f"Word{i} other{i % 7} näïve{i} end." * (1 + i % 5)) for i in range(60)] + [(60, None), (61, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole, small = packing.cut_pieces(docs), packing.cut_pieces(docs, at_once=100, cache=5)
+    assert sorted(whole.collect()) == sorted(small.collect())
