@@ -23,7 +23,7 @@ def is_object(value: str) -> str:
 
 
 def brace_count(payload: str) -> str:
-    return f"(length({payload}) - length(translate({payload}, '{{', '')))"
+    return f"(length({payload}) - length(replace({payload}, '{{', '')))"
 
 
 def _entry(key: str, value: str, depth: str, text: str | None = None) -> str:
@@ -32,7 +32,7 @@ def _entry(key: str, value: str, depth: str, text: str | None = None) -> str:
     return f"named_struct('key', {key}, 'value', {value}, 'depth', {depth}, 'tag', schema_of_variant({value}){known})"
 
 
-#: An entry to be opened. What it leaves behind, so that members can be counted, has no tag.
+#: An entry to be opened.
 _OPEN = "startswith(e.tag, 'OBJECT')"
 
 
@@ -49,19 +49,27 @@ def _given(variable: str, value: str, body: str) -> str:
 
 def _text_members(text: str, key: str, depth: str) -> str:
     """The same read from the object's text: in document order and with repeated keys, as a map that comes
-    from JSON keeps every member it was given. Only objects that hold objects are read as text too."""
+    from JSON keeps every member it was given. Only objects that may hold objects are read as text too,
+    which a second brace tells. ``text`` is used more than once, so it must be cheap."""
     at = f"concat_ws('.', {key}, t.key)"
-    return _given("o", text, _given("m", "from_json(o, 'map<string,variant>')", (
-        f"CASE WHEN exists(map_values(m), v -> {is_object('v')}) "
-        f"THEN zip_with(map_entries(m), map_values(from_json(o, 'map<string,string>')), (t, s) -> {_entry(at, 't.value', depth, 's')}) "
-        f"ELSE transform(map_entries(m), t -> {_entry(at, 't.value', depth, 'cast(NULL AS string)')}) END")))
+    return (f"CASE WHEN {brace_count(text)} > 1 "
+            f"THEN zip_with({_read_members(text)}, {_read_texts(text)}, (t, s) -> {_entry(at, 't.value', depth, 's')}) "
+            f"ELSE transform({_read_members(text)}, t -> {_entry(at, 't.value', depth, 'cast(NULL AS string)')}) END")
 
 
-def _opened(first: str, below: str, levels: str, text: bool = False) -> str:
+def _read_members(text: str) -> str:
+    """Members (key, value VARIANT) of an object's text, repeated ones too."""
+    return f"map_entries(from_json({text}, 'map<string,variant>'))"
+
+
+def _read_texts(text: str) -> str:
+    """The texts of the same members."""
+    return f"map_values(from_json({text}, 'map<string,string>'))"
+
+
+def _opened(first: str, below: str, levels: str) -> str:
     """Entries ``first`` with all objects opened ``levels`` times; without objects one look at them is all."""
-    known = ", 'text', cast(NULL AS string)" if text else ""
-    mark = f"named_struct('key', e.key, 'value', e.value, 'depth', e.depth, 'tag', cast(NULL AS string){known})"
-    step = f"flatten(transform(acc, e -> CASE WHEN {_OPEN} THEN concat(array({mark}), {below}) ELSE array(e) END))"
+    step = f"flatten(transform(acc, e -> CASE WHEN {_OPEN} THEN {below} ELSE array(e) END))"
     return (f"aggregate(sequence(1, greatest(least({levels}, {ALL_LEVELS}), 1)), {first}, "
             f"(acc, i) -> CASE WHEN exists(acc, e -> {_OPEN}) THEN {step} ELSE acc END)")
 
@@ -131,9 +139,10 @@ def add_entries(df: DataFrame, text: str, doc: str, roots: Iterable[str], levels
     a shared input once per use.
     """
     base = [name(c) for c in df.columns]
+    more = f"({when} AND coalesce({_lost(text, doc, '__schema')} <> 0, true))"
     first = df.selectExpr(*base, f"schema_of_variant({doc}) AS __schema").selectExpr(*base, *[
-        f"CASE WHEN {when} THEN {_members(root_object(text, doc, r), quoted(r), '0')} END AS __first_{r}" for r in roots],
-        f"{when} AND coalesce({_lost(text, doc, "__schema")} <> 0, true) AS __more")
+        f"CASE WHEN {more} THEN NULL WHEN {when} THEN {_members(root_object(text, doc, r), quoted(r), '0')} END AS __first_{r}"
+        for r in roots], f"{more} AS __more")
     below = _members("e.value", "e.key", "e.depth + 1")
     opened = first.selectExpr(*base, "__more", *[
         f"CASE WHEN NOT __more THEN {leaves_of(f'CASE WHEN exists(__first_{r}, e -> {_OPEN}) THEN {_opened(f"__first_{r}", below, levels)} ELSE __first_{r} END')} "
@@ -159,7 +168,7 @@ def all_entries(text: str, root: str, levels: str | None = None) -> str:
     """All entries below a root (the first of that name), read from the text alone; repeated keys included."""
     own = f"get_json_object({text}, {json_path([root])})"
     below = _text_members("e.text", "e.key", "e.depth + 1")
-    return _opened(_text_members(own, quoted(root), "0"), below, levels or brace_count(text), text=True)
+    return _given("o", own, _opened(_text_members("o", quoted(root), "0"), below, levels or brace_count(text)))
 
 
 def last_at(text: str, root: str, key: str) -> str:
@@ -167,14 +176,28 @@ def last_at(text: str, root: str, key: str) -> str:
     return f"try_element_at(filter({all_entries(text, root)}, e -> e.tag IS NOT NULL AND e.key = {quoted(key)}), -1).value"
 
 
-def spelled_otherwise(text: str, segments: list[str]) -> str:
-    """Whether some key of the document may hold a dot that stands for these nested segments, or an object on
-    the way to them may be given twice. An escape can spell any letter of a key, so any of a letter counts.
+def repeated_at(text: str, root: str, segments: list[str]) -> str:
+    """The same where no key holds a dot: only objects on the way to the value are read."""
+    objects = f"array(get_json_object({text}, {json_path([root])}))"
+    for s in segments[:-1]:
+        inner = f"CASE WHEN t.key = {quoted(s)} AND {is_object('t.value')} THEN s END"
+        objects = f"flatten(transform({objects}, o -> filter(zip_with({_read_members('o')}, {_read_texts('o')}, (t, s) -> {inner}), s -> s IS NOT NULL)))"
+    held = f"filter({_read_members('o')}, t -> t.key = {quoted(segments[-1])} AND NOT {is_object('t.value')})"
+    return f"try_element_at(flatten(transform({objects}, o -> {held})), -1).value"
+
+
+def spelled_with_dots(text: str, segments: list[str]) -> str:
+    """Whether some key of the document may hold a dot that stands for these nested segments. An escape can spell
+    any letter of a key, so any of a letter counts.
     """
     dotted = [f"contains({text}, {quoted(a + '.' + b)})" for a, b in zip(segments, segments[1:])]
+    return " OR ".join([f"contains({text}, {quoted(chr(92) + 'u')})", *dotted])
+
+
+def given_twice(text: str, segments: list[str]) -> str:
+    """Whether an object on the way to these nested segments may be given twice."""
     # substring_index gives the whole text when there is no second one
-    twice = [f"octet_length(substring_index({text}, {quoted(chr(34) + s + chr(34))}, 2)) <> octet_length({text})" for s in segments[:-1]]
-    return " OR ".join([f"contains({text}, {quoted(chr(92) + 'u')})", *dotted, *twice])
+    return " OR ".join(f"octet_length(substring_index({text}, {quoted(chr(34) + s + chr(34))}, 2)) <> octet_length({text})" for s in segments[:-1])
 
 
 def value_at(text: str, root: str, root_column: str, below: list[str]) -> str:
@@ -188,7 +211,8 @@ def value_at(text: str, root: str, root_column: str, below: list[str]) -> str:
     if len(below) == 1:
         return nested
     key = ".".join([root, *below])
-    return f"CASE WHEN {spelled_otherwise(text, below)} THEN {last_at(text, root, key)} ELSE {nested} END"
+    return (f"CASE WHEN {spelled_with_dots(text, below)} THEN {last_at(text, root, key)} "
+            f"WHEN {given_twice(text, below)} THEN {repeated_at(text, root, below)} ELSE {nested} END")
 
 
 def text_overflows(payload: str) -> str:

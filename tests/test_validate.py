@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from signalpact.functions import flatten as fl
 from signalpact.model import Contract, Mapping, contract_from_dict
 from signalpact.operators import normalize as norm
 from signalpact.operators.compiled import compile_contract
@@ -338,3 +339,25 @@ def test_rules_held_as_data_pass_one_step(spark):
     assert [(e["property"], e["rule"]) for e in checked.first()["errors"]] == [("properties.p0", "required"), ("properties.p2", "type")]
     plan = plan_of(checked)
     assert "__first_properties" not in plan[:plan.index("Join")]
+
+
+def test_a_value_in_repeated_objects_is_read_along_its_path(spark):
+    """Only objects on the way to the value are read, and what is found is what reading all entries finds."""
+    docs = [
+        '{"p":{"a":{"b":{"c":1}},"x":"{","a":{"b":{"d":2},"b":{"c":"two","c":"three"}}}}', '{"p":{"a":{"b":{"c":1}},"a":{"b":{"c":{"d":1}}}}}',
+        '{"p":{"a":"{\\"b\\":{\\"c\\":9}}","a":{"b":"{\\"c\\":9}"},"a":{}}}', '{"p":{"a":{"b":{"c":1.50}},"a":[{"b":{"c":2}}],"a":null},"p":{"a":{"b":{"c":7}}}}',
+        '{"p":{"a":{"b":{"c":[1,{"c":2}]}},"a":{"b":{"c":null}}}}', '{"p":"{\\"a\\":{\\"b\\":{\\"c\\":9}}}"}', '{"p":[]}', '{"q":1}', '{"p":{"a":', "", None]
+    rows = spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "i int, t string")
+    along, whole = fl.repeated_at("t", "p", ["a", "b", "c"]), fl.last_at("t", "p", "p.a.b.c")
+    found = rows.selectExpr("i", *[f"concat(schema_of_variant({x}), to_json({x})) AS {n}" for x, n in ((along, "along"), (whole, "whole"))])
+    got = {r["i"]: (r["along"], r["whole"]) for r in found.collect()}
+    assert [i for i, (a, w) in got.items() if a != w] == []
+    assert {i for i, (a, _) in got.items() if a} == {0, 1, 3, 4, 5} and got[0][0] == 'STRING"three"'
+    assert "aggregate(" not in along
+
+
+def test_documents_that_lost_members_are_not_opened_twice(spark):
+    """Where the text is read anyway, the parsed document's members are left alone."""
+    plan = plan_of(norm.flatten_events(spark.createDataFrame([(1, "{}")], "event_id long, payload string")))
+    step = next(line for line in plan.splitlines() if "AS __first_properties" in line)
+    assert step.count("AS __more") == 1 and "ELSE CASE WHEN NOT __deep" in step or "THEN null WHEN NOT __deep" in step
