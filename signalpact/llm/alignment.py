@@ -13,18 +13,18 @@ import hashlib
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from signalpact.llm.text import bound_batches, slices, table, tidy
+from signalpact.llm.text import bound_batches, narrow, slices, table, tidy
 from signalpact.session import cut_lineage
 
 #: Characters of the texts whose pairs are numbered and counted together; a longer text is a chunk of its own.
@@ -65,6 +65,16 @@ def _blocks(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return block, np.arange(len(block)) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
+def _spelled(ids: list[np.ndarray], flat: np.ndarray, size: np.ndarray) -> Iterator[bytes]:
+    """The bytes of each text's tokens; ``flat`` has those of all tokens end to end, ``size`` how many each has."""
+    every = np.concatenate([np.empty(0, np.int32), *ids])
+    own = size[every]
+    upto = np.append(0, np.cumsum(own))
+    data = flat[np.arange(upto[-1]) + np.repeat((np.cumsum(size) - size)[every] - upto[:-1], own)].tobytes()
+    cuts = upto[np.cumsum([0, *map(len, ids)])].tolist()
+    return (data[i:j] for i, j in zip(cuts, cuts[1:], strict=False))
+
+
 class Vocabularies:
     """Both tokenizers, the bytes of their tokens, and ``same``: the B id with the bytes of an A id, or -1."""
 
@@ -91,12 +101,14 @@ class Vocabularies:
         self.same = np.array([whole.get(x, -1) if x else -1 for x in self.a_bytes], np.int64)
         self.width = len(self.b_bytes)
         self.group_of = np.array([f"{a}|{b}" for a, b in enumerate(self.same.tolist())], object)
+        self.told = np.array([str(i) for i in range(max(len(self.a_bytes), self.width))], object)
+        self.a_flat, self.b_flat = (np.frombuffer(b"".join(own), np.uint8) for own in (self.a_bytes, self.b_bytes))
         with open(a_path, encoding="utf-8") as file:
             spec = json.load(file)
         before = spec["pre_tokenizer"] or {}
         by_word = (spec["model"]["type"] == "BPE" and not spec["normalizer"] and before.get("type") == "ByteLevel"
                    and before.get("use_regex", True) and not before["add_prefix_space"])
-        self.split = regex.compile(default_pattern()).findall if by_word else None
+        self.split = re.compile(narrow(default_pattern())).findall if by_word else None
         self.words: dict[str, bytes] = {}
 
     def _a_ids(self, texts: list[str]) -> list[np.ndarray]:
@@ -106,9 +118,9 @@ class Vocabularies:
         whole = [i for i in range(len(texts)) if i not in split]
         if len(self.words) > CACHE:
             self.words = {}
-        fresh = list({w for words in split.values() for w in words}.difference(self.words))
+        fresh = list(set().union(*split.values()).difference(self.words))
         for word, code in zip(fresh, self.a.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            self.words[word] = np.array(code.ids, "<i4").tobytes()
+            self.words[word] = array("i", code.ids).tobytes()
         for i, words in split.items():
             out[i] = np.frombuffer(b"".join(map(self.words.__getitem__, words)), "<i4")
         for i, code in zip(whole, self.a.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False), strict=True):
@@ -121,11 +133,12 @@ class Vocabularies:
         spaced = [" " + texts[i] for i in there]
         none = np.empty(0, np.int32)
         a_ids, b_ids = [none] * len(texts), [none] * len(texts)
-        coded = zip(self._a_ids(spaced), self.b.encode([texts[i] for i in there], num_threads=1), strict=True)
-        for i, text, (a, b) in zip(there, spaced, coded, strict=True):
-            raw = text.encode()
-            if b"".join([self.a_bytes[x] for x in a.tolist()]) == raw == b"".join([self.b_bytes[x] for x in b]):
-                a_ids[i], b_ids[i] = a, np.array(b, np.int32)
+        coded_a = self._a_ids(spaced)
+        coded_b = [np.array(b, np.int32) for b in self.b.encode([texts[i] for i in there], num_threads=1)]
+        read = zip(_spelled(coded_a, self.a_flat, self.a_size), _spelled(coded_b, self.b_flat, self.b_size), strict=True)
+        for i, text, a, b, (by_a, by_b) in zip(there, spaced, coded_a, coded_b, read, strict=True):
+            if by_a == text.encode() == by_b:
+                a_ids[i], b_ids[i] = a, b
         return a_ids, b_ids
 
     def align(self, texts: list[str | None]) -> Aligned:
@@ -140,7 +153,9 @@ class Aligned:
         self.n_a, self.n_b = (np.array([len(x) for x in own], np.int64) for own in (a_ids, b_ids))
         self.a, self.b = (np.concatenate([np.empty(0, np.int32), *own]).astype(np.int64) for own in (a_ids, b_ids))
         a_ends, b_ends = np.cumsum(v.a_size[self.a]), np.cumsum(v.b_size[self.b])
-        cuts = np.intersect1d(a_ends, b_ends, assume_unique=True)
+        ends = np.zeros((2, max([0, *a_ends[-1:], *b_ends[-1:]]) + 1), bool)
+        ends[0, a_ends] = ends[1, b_ends] = True
+        cuts = np.flatnonzero(ends[0] & ends[1])
         self.a_to, self.b_to = (np.searchsorted(ends, cuts, side="right") for ends in (a_ends, b_ends))
         self.in_a, self.in_b = (np.diff(to, prepend=0) for to in (self.a_to, self.b_to))
         a_doc, _ = _blocks(self.n_a)
@@ -167,10 +182,10 @@ class Aligned:
         told = np.empty(len(self.exact), object)
         told[self.exact] = self.v.group_of[self.first_a[self.exact]]
         rest = np.flatnonzero(~self.exact)
-        a_all, b_all = self.a.tolist(), self.b.tolist()
+        a_all, b_all = self.v.told[self.a].tolist(), self.v.told[self.b].tolist()
         spans = ((to - n)[rest].tolist() for to, n in ((self.a_to, self.in_a), (self.b_to, self.in_b)))
         told[rest] = [
-            f"{','.join(map(str, a_all[i:j]))}|{','.join(map(str, b_all[k:m]))}"
+            f"{','.join(a_all[i:j])}|{','.join(b_all[k:m])}"
             for (i, k), j, m in zip(zip(*spans, strict=True), self.a_to[rest].tolist(), self.b_to[rest].tolist(), strict=True)
         ]
         told = told.tolist()

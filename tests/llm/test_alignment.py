@@ -2,11 +2,15 @@
 
 import hashlib
 import random
+import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
+import regex
 
 from signalpact.llm import alignment
+from signalpact.llm.text import narrow
 
 random.seed(12)
 TEXTS = [None, "", " ", "a", "<s> </s> <|endoftext|> <0x41> <unk>", "▁ x", "it's  WE'RE\n\n ok", "é" * 50, "漢字😀 the thwhrest",
@@ -83,3 +87,18 @@ def test_identity_map(vocabularies):
     told = [(v.a_bytes[a], v.b_bytes[b]) for a, b in enumerate(v.same.tolist()) if b >= 0]
     assert len(told) > 10_000 and all(x == y for x, y in told)
     assert not v.b.is_byte(int(v.same[v.a_bytes.index(b"e")]))
+
+
+def test_listed_classes_split_as_the_pattern_does():
+    random.seed(7)
+    texts = ["".join(chr(random.randint(1, 0x52F)) for _ in range(300)) for _ in range(60)]
+    texts += ["".join(random.choice("ab \n\t\x1c\x85\xa01\u00b2'sdl,\u0301\u0410") for _ in range(300)) for _ in range(60)]
+    for pattern in (alignment.default_pattern(), r"\n|'s|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"):
+        assert [re.findall(narrow(pattern), t) for t in texts] == [regex.findall(pattern, t) for t in texts]
+
+
+def test_bytes_of_each_text_are_read_from_one_table():
+    size = np.array([1, 0, 3])
+    ids = [np.array(x, np.int32) for x in ([2, 0, 1], [], [0, 0])]
+    assert list(alignment._spelled(ids, np.frombuffer(b"abcd", np.uint8), size)) == [b"bcda", b"", b"aa"]
+    assert list(alignment._spelled([], np.frombuffer(b"abcd", np.uint8), size)) == []
