@@ -22,12 +22,11 @@ from itertools import chain, combinations
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalpact.llm.bpe import NEVER, PairTable
-from signalpact.llm.text import per_text, slices, table, word_table
+from signalpact.llm.text import narrow, per_text, slices, table, word_table
 from signalpact.session import cut_lineage
 
 #: Tokens a sequence holds.
@@ -42,7 +41,7 @@ SWAPPED = 6
 #: Bins at least this full are kept as they are; the others are packed again.
 GOOD = 0.995
 #: Words, and pieces of words, kept with their ids per Python worker.
-CACHE = 100_000
+CACHE = 300_000
 #: Characters of text whose words are looked up at once.
 AT_ONCE = 1 << 22
 #: Bytes of a piece that is merged beside others.
@@ -50,6 +49,19 @@ SHORT = 32
 _HIGH = re.compile("[\u0300-\U0010ffff]")
 
 
+def _distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Some place of each distinct hash, and the number of each hash among them.
+
+    Which of equal hashes stands for them is open, so the sort need not be a stable one.
+    """
+    order = np.argsort(hashes)
+    there = hashes[order]
+    new = np.append(True, there[1:] != there[:-1])[:len(there)]
+    inverse = np.empty(len(hashes), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return order[new], inverse
+
+
 class WordTokens:
     """Ids of whole texts as little-endian 32-bit bytes.
 
@@ -69,7 +81,7 @@ class WordTokens:
             spec = json.load(file)
         model, vocab = spec["model"], spec["model"]["vocab"]
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.split = regex.compile(r"\n|" + pattern).findall
+        self.split = re.compile(narrow(r"\n|" + pattern)).findall
         letters, end = _byte_letters(), model["end_of_word_suffix"]
         self.byte = np.array([vocab[c] for c in letters], np.int32)
         self.last = np.array([vocab[c + end] for c in letters], np.int32)
@@ -125,7 +137,7 @@ class WordTokens:
     def _encode_pieces(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
         raw = [p.encode() for p in pieces]
         lengths = np.fromiter(map(len, raw), np.int64, len(raw))
-        order = np.argsort(lengths, kind="stable")
+        order = np.argsort(np.minimum(lengths, SHORT + 1).astype(np.uint8), kind="stable")  # a byte: sorted by counting
         short = int((lengths <= SHORT).sum())
         for k in range(0, short, 4096):
             some = order[k:min(k + 4096, short)].tolist()
@@ -154,7 +166,7 @@ class WordTokens:
         self.pieces.update(self._encode_pieces([p for p in fresh if p != "\n"]))
         values = list(map(self.pieces.__getitem__, split))
         upto = np.cumsum(np.fromiter(map(len, values), np.int64, len(values)))
-        ends = upto[[i for i, p in enumerate(split) if p == "\n"]].tolist()
+        ends = upto[np.flatnonzero(np.fromiter(map("\n".__eq__, split), bool, len(split)))].tolist()
         flat = b"".join(values)
         yield from zip(words, [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True)
 
@@ -163,7 +175,7 @@ class WordTokens:
             rows = [b"" if not t else t.encode() if not t.isascii() and _HIGH.search(t) else t.lower().encode() for t in texts[part]]
             data = b"\n".join(rows)
             hashes, starts, ends = word_table(data)
-            _, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+            first, inverse = _distinct(hashes)
             words = [data[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
             fresh = [w for w in words if w not in self.words]
             if fresh:

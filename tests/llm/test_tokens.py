@@ -179,3 +179,22 @@ def test_small_parts_of_text_give_the_same_pieces(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     whole, small = packing.cut_pieces(docs), packing.cut_pieces(docs, at_once=100, cache=5)
     assert sorted(whole.collect()) == sorted(small.collect())
+
+
+def test_words_of_a_partition_are_encoded_once():
+    """150,000 distinct words, met twice, stay known; which of equal words was met first makes no difference."""
+    tokens = packing.word_tokens(packing.default_path())
+    asked, plain = [], tokens._encode_words
+    tokens._encode_words = lambda words: (asked.extend(words), plain(words))[1]
+    text = " ".join(f"w{i:x}" for i in range(150_000))
+    first, again = (list(tokens.encode([text, "w1 w2 w1"])) for _ in range(2))
+    assert first == again and len(asked) == len(set(asked)) == 150_000
+    place, number = packing._distinct(np.array([5, 3, 5, 9, 3], np.uint64))
+    assert number.tolist() == [1, 0, 1, 2, 0] and place.tolist()[2] == 3 and packing._distinct(np.empty(0, np.uint64))[1].size == 0
+
+
+def test_letters_whose_lower_case_lies_higher_stay_letters():
+    """Lower-casing turns U+023A into U+2C65, which the split must take for a letter."""
+    texts = ["a\u023ab \u023e9\u0130x don't", "".join(map(chr, range(1, 0x300))), "\x1c\x85\xa0 1\u00b22 \u01c5"]
+    tokens = packing.word_tokens(packing.default_path())
+    assert list(tokens.encode(texts)) == tokens._library(texts)
